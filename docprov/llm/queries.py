@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, secret_scan
+from . import exact_dedup, packing, planes, secret_scan
 from .shared import table
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -18,10 +23,26 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The digest columns of op9 and of the pipeline's last stage."""
+    return packing.pack(docs, WORD_BPE, "word", end_id=2).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = planes.write_corpus(table(spark, sf_dir, "documents"), BYTE_BPE, "byte", end_id=0)
+    return planes.read_corpus(spark, files).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op4_secret_scan": op4_secret_scan,
+        "op9_packing": op9_packing,
+        "op10_token_planes": op10_token_planes,
     }
 
 
