@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, planes, secret_scan
+from . import exact_dedup, language_id, packing, planes, secret_scan, simhash, warc
 from .shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,10 +19,24 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """The digest columns of op9 and of the pipeline's last stage."""
     return packing.pack(docs, WORD_BPE, "word", end_id=2).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -40,7 +54,10 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_warc": op2_warc,
         "op4_secret_scan": op4_secret_scan,
+        "op5_simhash": op5_simhash,
+        "op7_language_id": op7_language_id,
         "op9_packing": op9_packing,
         "op10_token_planes": op10_token_planes,
     }
@@ -49,5 +66,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op2_warc": warc.ORACLE,
         "op4_secret_scan": secret_scan.ORACLE,
     }
