@@ -19,32 +19,74 @@ _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\x
 _encoders: dict = {}
 
 
+#: ASCII punctuation that stands apart from letters and digits in both files; not the apostrophe, which contractions start with.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: First bytes of combining characters that join ASCII letters: lower-casing before normalising could change those.
+_JOINS = re.compile(rb"[\xcc\xcd]")
+
+
+def _letter(c: bytes) -> bool:
+    """True for one ASCII letter or digit, or a letter of two bytes that start with 0xC3."""
+    return c.isalnum() or (c[:1] == b"\xc3" and c[1:] not in (b"\x97", b"\xb7"))
+
+
+def _parts(unit: bytes) -> list[bytes]:
+    """The unit, cut where marks meet letters, if it is marks around one word and has no apostrophe."""
+    core = unit.strip(_MARKS)
+    if len(core) == len(unit) or not core or b"'" in unit:
+        return [unit]
+    i, j = unit.index(core[:1]), len(unit.rstrip(_MARKS))
+    first, last = core[:2] if core[0] > 127 else core[:1], core[-2:] if core[-1] > 127 else core[-1:]
+    if (i and not _letter(first)) or (j < len(unit) and not _letter(last)):
+        return [unit]
+    return [p for p in (unit[:i], core, unit[j:]) if p]
+
+
 class Encoder:
     """ids of texts in UTF-8, as bytes of little-endian unsigned 32-bit ids; the library decides on every unit.
 
     most: units remembered; beyond it all are forgotten, which costs time and changes nothing.
     """
 
-    def __init__(self, path: str, units: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, units: str, most: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their names in a text are ordinary text
-        self.units, self.whole, self.most, self.known = UNITS[units], units == "byte", most, {}
+        self.units, self.spaced, self.most, self.known = UNITS[units], units == "byte", most, {}
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        known, find = self.known, self.units.findall
-        cut = [None if self.whole and _WIDE_SPACE.search(t) else find(t) for t in texts]
-        new = list({u for units in cut if units for u in units if u not in known})
-        if len(known) + len(new) > self.most:
+    def _learn(self, units: set[bytes]) -> None:
+        known = self.known
+        if len(known) + len(units) > self.most:
             known.clear()
-            new = list({u for units in cut if units for u in units})
+        parts = {u: p for u in units if len(p := _parts(u)) > 1}
+        new = list(({u for u in units if u not in parts} | {x for p in parts.values() for x in p}) - known.keys())
         known.update(zip(new, self._encode(new), strict=True))
-        return [b"".join(map(known.__getitem__, units)) if units is not None else self._encode([t])[0] for t, units in zip(texts, cut, strict=True)]
+        for u, p in parts.items():
+            known[u] = b"".join(map(known.__getitem__, p))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        out: list = []
+        for t in texts:
+            if self.spaced and _WIDE_SPACE.search(t):
+                out.append(self._encode([t])[0])
+            else:
+                out.append(self.units.findall(t if self.spaced or _JOINS.search(t) else t.lower()))
+        get = self.known.get
+        found = [x if isinstance(x, bytes) else list(map(get, x)) for x in out]
+        new = {u for x, f in zip(out, found, strict=True) if not isinstance(x, bytes) and None in f for u, ids in zip(x, f, strict=True) if ids is None}
+        if new:
+            self._learn(new)
+        for i, (x, f) in enumerate(zip(out, found, strict=True)):
+            if not isinstance(x, bytes):
+                if None in f:
+                    f = [get(u) if ids is None else ids for u, ids in zip(x, f, strict=True)]
+                out[i] = b"".join(f)
+        return out
 
 
 def encoder(path: str, units: str) -> Encoder:

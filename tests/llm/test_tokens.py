@@ -45,7 +45,7 @@ def docs(spark, rows=TEXTS):
     return spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
 
 
-ODD = st.text(st.sampled_from(list(" \n\t\r\x0b\x1c\x85  　ab'sé́İß1!.<|>\U0001f600")), max_size=30)
+ODD = st.text(st.sampled_from(list("  \n\t\r,,\x0b\x1c\x85  　abEH'sé×̱́İß1!.<|>\U0001f600")), max_size=30)
 
 
 @settings(max_examples=150, deadline=None)
