@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, planes, secret_scan, simhash, warc
+from . import exact_dedup, language_id, max_score, packing, pieces, planes, secret_scan, simhash, suffix_dedup, warc
 from .shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_score.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -33,10 +38,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), PIECE_BPE), PIECE_BPE)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(suffix_dedup.repeats(table(spark, sf_dir, "documents")))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """The digest columns of op9 and of the pipeline's last stage."""
     return packing.pack(docs, WORD_BPE, "word", end_id=2).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -55,9 +68,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_warc": op2_warc,
+        "op3_max_score": op3_max_score,
         "op4_secret_scan": op4_secret_scan,
         "op5_simhash": op5_simhash,
+        "op6_pieces": op6_pieces,
         "op7_language_id": op7_language_id,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_packing": op9_packing,
         "op10_token_planes": op10_token_planes,
     }
@@ -67,5 +83,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op2_warc": warc.ORACLE,
+        "op3_max_score": max_score.ORACLE,
         "op4_secret_scan": secret_scan.ORACLE,
     }
