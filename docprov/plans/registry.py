@@ -3,17 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docprov.sources.register import FIXTURE_SQL
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+#: Modules that register queries.
+_MODULES = ("docprov.plans.audit", "docprov.plans.attribution", "docprov.plans.scalars", "docprov.plans.rasters", "docprov.plans.streams")
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir); sql goes behind the derived tables of FIXTURE_SQL, or stands alone if it starts
+    with WITH."""
+
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql if sql.lstrip().startswith("WITH") else FIXTURE_SQL + sql.lstrip().removeprefix("AND")
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for m in _MODULES:
+        import_module(m)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["j4_three_hash_or_vote"](spark, sf_dir)
+    return queries()["attribute_leaks"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
