@@ -1 +1,257 @@
-"""Queries."""
+"""Queries of leak attribution and of the ledger."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from docprov.functions import bits
+from docprov.operators import attribution as op
+from docprov.plans.registry import query
+from docprov.sources import register as reg
+
+_DIST = """, pairs AS (
+  SELECT leak_id, event_id, l.read_bits, bit_count(xor(l.p_hash, r.p_hash)) AS p, bit_count(xor(l.d_hash, r.d_hash)) AS d, bit_count(xor(l.a_hash, r.a_hash)) AS a FROM leaks l, releases r)"""
+_VOTE = _DIST + """, c12 AS (SELECT leak_id, event_id, CASE WHEN p <= 12 THEN p END AS p_dist, CASE WHEN d <= 12 THEN d END AS d_dist, CASE WHEN a <= 12 THEN a END AS a_dist FROM pairs WHERE p <= 12 OR d <= 12 OR a <= 12)"""
+_POOL = _VOTE + """, recent AS (SELECT event_id FROM releases ORDER BY created_at DESC, event_id DESC LIMIT 50),
+pool AS (SELECT i.leak_id, r.event_id, user_id, created_at, 48 - bit_count(xor(l.read_bits, r.payload)) AS matches
+  FROM (SELECT leak_id, event_id FROM c12 UNION SELECT leak_id, event_id FROM leaks, recent) i JOIN leaks l ON l.leak_id = i.leak_id JOIN releases r ON r.event_id = i.event_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY leak_id ORDER BY matches DESC, created_at DESC, event_id DESC) AS place FROM pool),
+tops AS (SELECT leak_id, event_id, user_id, matches FROM ranked WHERE place = 1),
+rivals AS (SELECT t.leak_id, t.event_id, t.user_id, t.matches, (SELECT max(matches) FROM pool p WHERE p.leak_id = t.leak_id AND p.user_id <> t.user_id) AS rival, (SELECT count(DISTINCT user_id) FROM pool p WHERE p.leak_id = t.leak_id) AS officers FROM tops t)"""
+_BAD = "(bit_count(read_bits) <= 6 OR bit_count(read_bits) >= 42 OR (read_bits >> 12) IN (0, 68719476735))"
+_CRC = reg.SQL_CRC.format(x="(read_bits >> 12)")
+
+
+def _pool(s, d):
+    leaks, register = reg.leaks(s, d), reg.releases(s, d)
+    return op.pool(leaks, register, op.three_way(leaks, register))
+
+
+@query("j3_hamming_radius_join", _DIST + " SELECT leak_id, event_id, p AS distance FROM pairs WHERE p <= 12")
+def j3(s, d):
+    return op.radius_join(reg.leaks(s, d), reg.releases(s, d))
+
+
+@query("j3_banded_radius_join", _DIST + " SELECT leak_id, event_id, p AS distance FROM pairs WHERE p <= 12")
+def j3_banded(s, d):
+    return op.radius_join(reg.leaks(s, d), reg.releases(s, d), most=0)
+
+
+@query("j4_three_hash_or_vote", _VOTE + " SELECT *, least(p_dist, d_dist, a_dist) AS best FROM c12")
+def j4(s, d):
+    return op.three_way(reg.leaks(s, d), reg.releases(s, d))
+
+
+@query("u3_union_of_index_hits", _DIST + " SELECT leak_id, event_id FROM pairs WHERE p <= 12 UNION SELECT leak_id, event_id FROM pairs WHERE d <= 12 UNION SELECT leak_id, event_id FROM pairs WHERE a <= 12")
+def u3(s, d):
+    return op.three_way(reg.leaks(s, d), reg.releases(s, d)).select("leak_id", "event_id")
+
+
+@query("j5_tiered_radius", _DIST + """, b AS (SELECT leak_id, min(least(p, d, a)) AS m FROM pairs GROUP BY leak_id), t AS (SELECT leak_id, CASE WHEN m <= 12 THEN 12 WHEN m <= 28 THEN 28 WHEN m <= 34 THEN 34 END AS tier FROM b),
+c AS (SELECT leak_id, tier, event_id, CASE WHEN p <= tier THEN p END AS p, CASE WHEN d <= tier THEN d END AS d, CASE WHEN a <= tier THEN a END AS a FROM pairs JOIN t USING (leak_id) WHERE p <= tier OR d <= tier OR a <= tier)
+SELECT leak_id, tier, count(*) AS n, count(p) AS n_p, min(least(p, d, a)) AS best, sum(event_id) AS ids FROM c GROUP BY leak_id, tier""")
+def j5(s, d):
+    found = op.tiered(reg.leaks(s, d), reg.releases(s, d))
+    return found.groupBy("leak_id", "tier").agg(F.count("*").alias("n"), F.count("p_dist").alias("n_p"), F.min("best").alias("best"), F.sum("event_id").alias("ids"))
+
+
+@query("f6_visual_matches", _VOTE + " SELECT leak_id, event_id, p_dist FROM c12 WHERE p_dist IS NOT NULL")
+def f6(s, d):
+    return op.three_way(reg.leaks(s, d), reg.releases(s, d)).filter("p_dist IS NOT NULL").select("leak_id", "event_id", "p_dist")
+
+
+@query("r6_visual_summary", _VOTE + " SELECT leak_id, count(p_dist) AS n, min(p_dist) AS nearest FROM c12 WHERE p_dist IS NOT NULL GROUP BY leak_id")
+def r6(s, d):
+    return f6(s, d).groupBy("leak_id").agg(F.count("*").alias("n"), F.min("p_dist").alias("nearest"))
+
+
+@query("j2_exact_receipt_lookup", f"""
+, x AS (SELECT leak_id, read_bits >> 12 AS own, CAST({_CRC} AS BIGINT) = ((read_bits >> 4) & 255) AND NOT {_BAD} AS crc_ok FROM leaks)
+SELECT leak_id, crc_ok, event_id, user_id FROM x LEFT JOIN releases ON own = short_id AND crc_ok""")
+def j2(s, d):
+    return op.named_exactly(reg.leaks(s, d), reg.releases(s, d))
+
+
+@query("j6_pool_bit_agreement", _POOL + " SELECT leak_id, event_id, user_id, matches FROM pool")
+def j6(s, d):
+    return _pool(s, d).select("leak_id", "event_id", "user_id", "matches")
+
+
+@query("u1_pool_union_distinct", _POOL + " SELECT leak_id, count(*) AS n, sum(event_id) AS ids FROM pool GROUP BY leak_id")
+def u1(s, d):
+    return _pool(s, d).groupBy("leak_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("j7_best_rival", _POOL + " SELECT leak_id, event_id, user_id, matches, rival FROM rivals")
+def j7(s, d):
+    return op.top_and_rival(_pool(s, d)).select("leak_id", "event_id", "user_id", "matches", "rival")
+
+
+@query("r7_officers_compared", _POOL + " SELECT leak_id, count(DISTINCT user_id) AS officers FROM pool GROUP BY leak_id")
+def r7(s, d):
+    return _pool(s, d).groupBy("leak_id").agg(F.count_distinct("user_id").alias("officers"))
+
+
+@query("r22_traitor_comparison", _POOL + " SELECT leak_id, matches AS own, rival, officers - 1 AS others FROM rivals")
+def r22(s, d):
+    return op.top_and_rival(_pool(s, d)).select("leak_id", F.col("matches").alias("own"), "rival", (F.col("officers") - 1).alias("others"))
+
+
+@query("w1_suspect_ranking", _POOL + " SELECT leak_id, place, event_id, user_id, matches, CAST(floor(matches / 48.0 * 100 + 0.5) AS BIGINT) AS pct, CASE WHEN matches >= 34 THEN 'HIGH' WHEN matches >= 26 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM ranked WHERE place <= 5")
+def w1(s, d):
+    return op.suspects(_pool(s, d))
+
+
+@query("w2_margin_rule", _POOL + f""" SELECT leak_id, event_id, matches, rival, NOT {_BAD} AND matches >= CASE WHEN matches - coalesce(rival, 0) >= 2 THEN 30 ELSE 32 END AND matches - coalesce(rival, 0) >= 1 AND (matches >= 36 OR coalesce(p_dist <= 12, false)) AS accepted
+FROM rivals JOIN leaks USING (leak_id) LEFT JOIN c12 USING (leak_id, event_id)""")
+def w2(s, d):
+    leaks, register = reg.leaks(s, d), reg.releases(s, d)
+    found = op.three_way(leaks, register)
+    best = op.top_and_rival(op.pool(leaks, register, found)).join(leaks.select("leak_id", "read_bits"), "leak_id").join(found.select("leak_id", "event_id", "p_dist"), ["leak_id", "event_id"], "left")
+    return best.select("leak_id", "event_id", "matches", "rival", op.accepted(F.col("read_bits"), F.col("matches"), F.col("rival"), F.col("p_dist")).alias("accepted"))
+
+
+@query("j13_reading_identifies", f""", recent AS (SELECT payload FROM releases ORDER BY created_at DESC, event_id DESC LIMIT 50)
+SELECT leak_id FROM leaks WHERE (CAST({_CRC} AS BIGINT) = ((read_bits >> 4) & 255) AND NOT {_BAD} AND (read_bits >> 12) IN (SELECT short_id FROM releases)) OR EXISTS (SELECT 1 FROM recent WHERE 48 - bit_count(xor(read_bits, payload)) >= 30)""")
+def j13(s, d):
+    leaks, register = reg.leaks(s, d), reg.releases(s, d)
+    recent = register.orderBy(F.desc("created_at"), F.desc("event_id")).limit(50).select("payload")
+    close = leaks.join(F.broadcast(recent), bits.matching(F.col("read_bits"), F.col("payload")) >= 30, "left_semi").select("leak_id")
+    return op.named_exactly(leaks, register).filter("event_id IS NOT NULL").select("leak_id").union(close).distinct()
+
+
+@query("w8_best_reading", f""", readings AS (SELECT event_id // 10 AS leak, event_id % 10 AS pass, xor(payload, (CAST(1 AS BIGINT) << (event_id % 20)) - 1) AS read_bits, payload FROM releases),
+x AS (SELECT *, 48 - bit_count(xor(read_bits, payload)) AS m, CAST({_CRC} AS BIGINT) = ((read_bits >> 4) & 255) AND NOT {_BAD} AND (read_bits >> 12) IN (SELECT short_id FROM releases) AS named FROM readings),
+r AS (SELECT *, row_number() OVER (PARTITION BY leak ORDER BY named DESC, m DESC, pass) AS n FROM x WHERE named OR m >= 30) SELECT leak, pass, m AS matches, named FROM r WHERE n = 1""")
+def w8(s, d):
+    r, k = reg.releases(s, d), F.col("event_id")
+    worn = F.call_function("shiftleft", F.lit(1).cast("bigint"), (k % 20).cast("int")) - 1
+    x = r.select(F.floor(k / 10).alias("leak"), (k % 10).alias("pass"), F.col("payload").bitwiseXOR(worn).alias("read_bits"), "payload").select(F.inline(F.array(F.struct("leak", "pass", "read_bits", "payload"))))
+    own = r.select(F.col("short_id").alias("sid")).distinct()
+    named = x.withColumn("crc", bits.crc_ok(F.col("read_bits"))).join(own, (bits.payload_id(F.col("read_bits")) == F.col("sid")) & F.col("crc"), "left")
+    y = named.select("leak", "pass", bits.matching(F.col("read_bits"), F.col("payload")).alias("matches"), F.col("sid").isNotNull().alias("named")).filter("named OR matches >= 30")
+    place = F.row_number().over(Window.partitionBy("leak").orderBy(F.desc("named"), F.desc("matches"), "pass"))
+    return y.withColumn("n", place).filter("n = 1").drop("n")
+
+
+@query("j17_distance_fill_in", _DIST + """ SELECT leak_id, event_id, coalesce(p, 64) AS p_dist, coalesce(d, 64) AS d_dist, coalesce(a, 64) AS a_dist FROM pairs WHERE leak_id = event_id""")
+def j17(s, d):
+    leaks, register = reg.leaks(s, d), reg.releases(s, d)
+    listed = op.three_way(leaks, register).drop("best")
+    both = op.as_leaks(leaks).join(register.select("event_id", "p_hash", "d_hash", "a_hash"), F.col("leak_id") == F.col("event_id")).join(listed, ["leak_id", "event_id"], "left")
+    return both.select("leak_id", "event_id", *(F.coalesce(n, bits.hamming(F.col(f"leak_{h}"), F.col(h)), F.lit(64)).alias(n) for h, n in (("p_hash", "p_dist"), ("d_hash", "d_dist"), ("a_hash", "a_dist"))))
+
+
+@query("j8_ledger_verification", "SELECT event_id, receipt_id IN (SELECT receipt_id FROM ledger) AS verified FROM releases")
+def j8(s, d):
+    known = reg.ledger(s, d).select(F.col("receipt_id").alias("k")).distinct()
+    return reg.releases(s, d).join(known, F.col("receipt_id") == F.col("k"), "left").select("event_id", F.col("k").isNotNull().alias("verified"))
+
+
+@query("j18_reconciliation", "SELECT receipt_id, 'release without receipt' AS reason FROM releases WHERE receipt_id NOT IN (SELECT receipt_id FROM ledger) UNION ALL SELECT DISTINCT receipt_id, 'receipt without release' FROM ledger WHERE receipt_id NOT IN (SELECT receipt_id FROM releases)")
+def j18(s, d):
+    r, led = reg.releases(s, d).select("receipt_id"), reg.ledger(s, d).select("receipt_id").distinct()
+    return r.join(led, "receipt_id", "left_anti").withColumn("reason", F.lit("release without receipt")).union(led.join(r, "receipt_id", "left_anti").withColumn("reason", F.lit("receipt without release")))
+
+
+@query("j16_all_pairs_report", ", probe AS (SELECT p_hash AS p, d_hash AS d FROM releases ORDER BY event_id DESC LIMIT 1) SELECT event_id, bit_count(xor(p_hash, p)) AS p_dist, bit_count(xor(d_hash, d)) AS d_dist FROM releases, probe")
+def j16(s, d):
+    r = reg.releases(s, d).select("event_id", "p_hash", "d_hash")
+    probe = r.orderBy(F.desc("event_id")).limit(1).select(F.col("p_hash").alias("p"), F.col("d_hash").alias("q"))
+    return r.join(F.broadcast(probe)).select("event_id", bits.hamming(F.col("p_hash"), F.col("p")).alias("p_dist"), bits.hamming(F.col("d_hash"), F.col("q")).alias("d_dist"))
+
+
+@query("o3_nearest_first", _VOTE + " SELECT * FROM (SELECT leak_id, event_id, least(p_dist, d_dist, a_dist) AS best, row_number() OVER (PARTITION BY leak_id ORDER BY least(p_dist, d_dist, a_dist), event_id) AS place FROM c12)")
+def o3(s, d):
+    place = F.row_number().over(Window.partitionBy("leak_id").orderBy("best", "event_id"))
+    return op.three_way(reg.leaks(s, d), reg.releases(s, d)).select("leak_id", "event_id", "best", place.alias("place"))
+
+
+_UNION = _VOTE + """, recent AS (SELECT event_id, row_number() OVER (ORDER BY created_at DESC, event_id DESC) AS k FROM releases ORDER BY created_at DESC, event_id DESC LIMIT 15),
+u AS (SELECT leak_id, event_id, 0 AS src, p_dist AS k FROM c12 WHERE p_dist IS NOT NULL UNION ALL SELECT leak_id, event_id, 1, k FROM leaks, recent),
+f AS (SELECT leak_id, event_id, min(src) AS src, arg_min(k, src) AS k FROM u GROUP BY leak_id, event_id)"""
+
+
+def _union(s, d):
+    leaks, register = reg.leaks(s, d), reg.releases(s, d)
+    recent = register.orderBy(F.desc("created_at"), F.desc("event_id")).limit(15).select("event_id", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("event_id"))).alias("k"))
+    seen = op.three_way(leaks, register).filter("p_dist IS NOT NULL").select("leak_id", "event_id", F.lit(0).alias("src"), F.col("p_dist").alias("k"))
+    both = seen.union(leaks.select("leak_id").join(F.broadcast(recent)).select("leak_id", "event_id", F.lit(1), "k"))
+    return both.groupBy("leak_id", "event_id").agg(F.min(F.struct("src", "k")).alias("m")).select("leak_id", "event_id", "m.src", "m.k")
+
+
+@query("u2_ordered_distinct_union", _UNION + " SELECT leak_id, event_id, src FROM f")
+def u2(s, d):
+    return _union(s, d).select("leak_id", "event_id", "src")
+
+
+@query("o6_ordered_capped_union", _UNION + ", r AS (SELECT *, row_number() OVER (PARTITION BY leak_id ORDER BY src, k, event_id) AS place FROM f) SELECT leak_id, event_id, place FROM r WHERE place <= 12")
+def o6(s, d):
+    place = F.row_number().over(Window.partitionBy("leak_id").orderBy("src", "k", "event_id"))
+    return _union(s, d).withColumn("place", place).filter("place <= 12").select("leak_id", "event_id", "place")
+
+
+@query("u4_distinct_deltas", "SELECT event_id, array_to_string(CASE delta_used WHEN 12 THEN [12, 14, 16] WHEN 14 THEN [14, 12, 16] WHEN 16 THEN [16, 12, 14] ELSE [delta_used, 12, 14, 16] END, ',') AS deltas FROM releases")
+def u4(s, d):
+    deltas = F.array_distinct(F.array_compact(F.array(F.col("delta_used"), F.lit(12), F.lit(14), F.lit(16))))
+    return reg.releases(s, d).select("event_id", F.array_join(F.transform(deltas, lambda x: x.cast("string")), ",").alias("deltas"))
+
+
+_SIGNALS = """, sig AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id % 49 AS DOUBLE) / 48 END AS agreement, CASE WHEN event_id % 11 <> 0 THEN event_id % 65 END AS p, CASE WHEN event_id % 13 <> 0 THEN event_id * 3 % 65 END AS d, CASE WHEN event_id % 5 <> 0 THEN event_id * 7 % 65 END AS a, CASE WHEN event_id % 3 <> 0 THEN event_id % 2 = 0 END AS chain FROM releases),
+z AS (SELECT event_id, chain AS chain0, coalesce(agreement, 0) AS b, coalesce(p, 64) AS p, coalesce(d, 64) AS d, coalesce(a, 64) AS a, CASE WHEN chain THEN 1.0 ELSE 0.0 END AS c FROM sig),
+sc AS (SELECT *, CASE WHEN (p > 16 OR d > 16) AND b >= 0.6 THEN CAST(0.72 AS DOUBLE) * b + CAST(0.13 AS DOUBLE) * (1 - least(p, d) / CAST(64 AS DOUBLE)) + CAST(0.15 AS DOUBLE) * c
+  ELSE CAST(0.45 AS DOUBLE) * b + CAST(0.25 AS DOUBLE) * (1 - p / CAST(64 AS DOUBLE)) + CAST(0.15 AS DOUBLE) * (1 - d / CAST(64 AS DOUBLE)) + CAST(0.1 AS DOUBLE) * (1 - a / CAST(64 AS DOUBLE)) + CAST(0.05 AS DOUBLE) * c END AS s FROM z)"""
+
+
+def _signals(s, d):
+    k = F.col("event_id")
+    return reg.releases(s, d).select(
+        k,
+        F.when(k % 7 != 0, (k % 49).cast("double") / 48).alias("agreement"),
+        F.when(k % 11 != 0, k % 65).alias("p"),
+        F.when(k % 13 != 0, k * 3 % 65).alias("d"),
+        F.when(k % 5 != 0, k * 7 % 65).alias("a"),
+        F.when(k % 3 != 0, k % 2 == 0).alias("chain"),
+    )
+
+
+@query("x13_confidence_score", _SIGNALS + " SELECT event_id, floor(s * 1000000 + 0.5) / 1000000 AS score FROM sc")
+def x13(s, d):
+    return _signals(s, d).select("event_id", bits.half_up(op.score(*(F.col(c) for c in ("agreement", "p", "d", "a", "chain"))), 6).alias("score"))
+
+
+@query("x14_verdict_band", _SIGNALS + " SELECT event_id, CASE WHEN s >= 0.85 THEN 'ATTRIBUTED' WHEN s >= 0.6 THEN 'PROBABLE' WHEN s >= 0.3 THEN 'SUSPICION' ELSE 'INCONCLUSIVE' END AS verdict FROM sc")
+def x14(s, d):
+    return _signals(s, d).select("event_id", reg.verdict(op.score(*(F.col(c) for c in ("agreement", "p", "d", "a", "chain")))).alias("verdict"))
+
+
+@query("x15_reasons", _SIGNALS + """ SELECT event_id, concat_ws('; ', CASE WHEN (p > 16 OR d > 16) AND b >= 0.6 THEN 'Display frame / screenshot transformation detected — watermark frequency content preserved' END,
+'dHash distance ' || d || '/64 — ' || CASE WHEN d <= 8 THEN 'strong' WHEN d <= 16 THEN 'moderate' ELSE 'poor' END || ' visual match', 'pHash distance ' || p || '/64 — ' || CASE WHEN p <= 8 THEN 'near-identical' WHEN p <= 16 THEN 'similar' ELSE 'different' END || ' frequency content',
+CASE WHEN chain0 IS NULL THEN 'No receipt identified to verify on chain' WHEN chain0 THEN 'On-chain receipt verified' ELSE 'Chain verification unavailable or failed' END) AS reasons FROM sc""")
+def x15(s, d):
+    return _signals(s, d).select("event_id", F.array_join(op.reasons(F.col("agreement"), F.col("p"), F.col("d"), F.col("chain")), "; ").alias("reasons"))
+
+
+@query("x16_suspicion_level", "SELECT event_id, CASE WHEN m >= 34 THEN 'HIGH' WHEN m >= 26 THEN 'MEDIUM' ELSE 'LOW' END AS level, CAST(floor(m / CAST(48 AS DOUBLE) * 100 + 0.5) AS BIGINT) AS pct FROM (SELECT event_id, event_id % 49 AS m FROM releases)")
+def x16(s, d):
+    x = reg.releases(s, d).select(F.lit(0).alias("leak_id"), "event_id", "user_id", "created_at", (F.col("event_id") % 49).alias("matches"))
+    ranked = op.suspects(x.withColumn("leak_id", F.col("event_id")), 1)
+    return ranked.select("event_id", "level", "pct")
+
+
+def _attribute(s, d):
+    return op.attribute(reg.leaks(s, d), reg.releases(s, d), reg.users(s, d), reg.ledger(s, d))
+
+
+@query("attribute_leaks")
+def attribute_leaks(s, d):
+    return _attribute(s, d)
+
+
+@query("f13_redaction", """, sj AS (SELECT investigation_id, verdict, event_id, user_id FROM investigations LEFT JOIN releases ON top_receipt_id = receipt_id)
+SELECT investigation_id AS leak_id, verdict, CASE WHEN verdict IN ('ATTRIBUTED', 'PROBABLE') THEN event_id END AS event_id, CASE WHEN verdict IN ('ATTRIBUTED', 'PROBABLE') AND event_id IS NOT NULL THEN name END AS name FROM sj LEFT JOIN users USING (user_id)""")
+def f13(s, d):
+    r = reg.releases(s, d).select("receipt_id", "event_id", "user_id")
+    judged = reg.investigations(s, d).join(r, F.col("top_receipt_id") == F.col("receipt_id"), "left").select(F.col("investigation_id").alias("leak_id"), "event_id", "user_id", F.coalesce("confidence", F.lit(0.0)).alias("score"), "verdict", F.lit(None).cast("boolean").alias("chain"))
+    return op.redacted(judged, reg.users(s, d)).select("leak_id", "verdict", "event_id", "name")
