@@ -53,20 +53,19 @@ def _most_frequent(counts: DataFrame, item: str, most: int) -> DataFrame:
 
 
 def _table(counts: DataFrame, item: str, most: int, languages: tuple[str, ...], sums: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
-    at, rows, logs = {x: i for i, x in enumerate(languages)}, {}, []
-    got = counts.transform(_most_frequent, item, most).groupBy(item).agg(F.collect_list(F.struct("lang", "n")).alias("of"))
-    for r in got.collect():
-        rows[r[0]] = len(logs)
-        n = [0.5] * len(languages)
-        for lang, k in r["of"]:
-            n[at[lang]] += k
-        logs.append(n)
-    size = len(rows)
-    out = np.array(logs, np.float64).reshape(size, len(languages))
-    return rows, np.log(out / np.array([sums[x] + 0.5 * size for x in languages])).astype(np.float32)
-
-
-def train(docs: DataFrame, most_words: int = 300_000, most_grams: int = 150_000, longest: int = 5) -> Model:
+    got = counts.transform(_most_frequent, item, most).groupBy(item).agg(F.collect_list(F.struct("lang", "n")).alias("of")).toArrow()
+    rows = {x: i for i, x in enumerate(got.column(item).to_pylist())}
+    each = got.column("of").combine_chunks()
+    flat = each.flatten()
+    at = {x: i for i, x in enumerate(languages)}
+    out = np.full((len(rows), len(languages)), 0.5, np.float32)
+    if len(rows):
+        where = np.array([at[x] for x in flat.field("lang").to_pylist()])
+        out[np.repeat(np.arange(len(rows)), each.value_lengths().to_numpy(zero_copy_only=False)), where] += flat.field("n").to_numpy(zero_copy_only=False)
+    return rows, np.log(out / np.array([sums[x] + 0.5 * len(rows) for x in languages], np.float32))
+
+
+def train(docs: DataFrame, most_words: int = 100_000, most_grams: int = 60_000, longest: int = 4) -> Model:
     """A model of all rows of docs (text, lang) that hold both.
 
     Frequencies cover every word of every such text. The model keeps at most most_words words and most_grams n-grams, the
