@@ -1 +1,234 @@
-"""Queries."""
+"""Queries over tile tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from docprov.functions import bits
+from docprov.operators import raster as op
+from docprov.plans.registry import query
+from docprov.sources import register as reg
+
+#: The tile table as SQL: images of 1024 tiles, half-tile differences, carriers and votes.
+_IMG = """, cnt AS (SELECT count(*) AS n FROM tiles), img AS (
+  SELECT image_id, t, px FROM (SELECT image_id, t, (t * 7 + image_id * 100) % n AS tile_id FROM (SELECT unnest(range(CAST(ceil(n / 100.0) AS BIGINT))) AS image_id, n FROM cnt), (SELECT unnest(range(1024)) AS t)) JOIN tiles USING (tile_id))"""
+_COEF = _IMG + """, hv AS (SELECT image_id, t, list_sum(list_transform(range(64), lambda i: CASE WHEN i % 8 < 4 THEN px[i + 1] ELSE -px[i + 1] END)) / CAST(64 AS DOUBLE) AS hl,
+  list_sum(list_transform(range(64), lambda i: CASE WHEN i < 32 THEN px[i + 1] ELSE -px[i + 1] END)) / CAST(64 AS DOUBLE) AS lh FROM img),
+co AS (SELECT image_id, t, 2 * t AS idx, hl AS c FROM hv UNION ALL SELECT image_id, t, 2 * t + 1, lh FROM hv),
+car AS (SELECT idx, place // 21 AS bit FROM (SELECT idx, row_number() OVER (ORDER BY sha256('mark:' || idx)) - 1 AS place FROM (SELECT unnest(range(2048)) AS idx)) WHERE place < 1008)"""
+
+
+def _votes(where: str = "true", delta: str = "12") -> str:
+    return _COEF + f""", vo AS (SELECT image_id, {delta} AS delta, bit, sum(CASE WHEN c / {delta} - floor(c / {delta}) < 0.5 THEN 0 ELSE 1 END) AS ones, count(*) AS n FROM co JOIN car USING (idx){' , (SELECT unnest([8, 12, 14, 16]) AS d)' if delta != '12' else ''} WHERE {where} GROUP BY ALL),
+ma AS (SELECT image_id, delta, CAST(sum(CASE WHEN 2 * ones > n THEN CAST(1 AS BIGINT) << CAST(47 - bit AS BIGINT) ELSE 0 END) AS BIGINT) AS payload, floor((sum(greatest(ones, n - ones) / CAST(n AS DOUBLE)) + (48 - count(*)) * 0.5) / 48 * 1000000 + 0.5) / 1000000 AS confidence FROM vo GROUP BY image_id, delta)"""
+
+
+def _images(s, d):
+    return op.images(reg.tiles(s, d))
+
+
+@query("x19_a_hash", "SELECT tile_id, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(64), lambda i: CASE WHEN px[i + 1] * 64 > list_sum(px) THEN CAST(1 AS BIGINT) << CAST(i % 63 AS BIGINT) ELSE 0 END)[:63]), lambda a, b: a | b) AS BIGINT) AS low63, px[64] * 64 > list_sum(px) AS top FROM tiles")
+def x19(s, d):
+    h = op.a_hash(F.col("px"))
+    return reg.tiles(s, d).select("tile_id", h.alias("h")).select("tile_id", F.col("h").bitwiseAND(F.lit(2**63 - 1)).alias("low63"), (F.col("h") < 0).alias("top"))
+
+
+@query("x20_d_hash", "SELECT tile_id, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(56), lambda i: CASE WHEN px[CAST(i // 7 * 8 + i % 7 + 1 AS BIGINT)] > px[CAST(i // 7 * 8 + i % 7 + 2 AS BIGINT)] THEN CAST(1 AS BIGINT) << i ELSE 0 END)), lambda a, b: a | b) AS BIGINT) AS h FROM tiles")
+def x20(s, d):
+    return reg.tiles(s, d).select("tile_id", op.d_hash(F.col("px")).alias("h"))
+
+
+@query("x21_p_hash")
+def x21(s, d):
+    return op.p_hash(_images(s, d))
+
+
+@query("x22_luma", "SELECT tile_id, floor((px[1] * CAST(0.299 AS DOUBLE) + px[22] * CAST(0.587 AS DOUBLE) + px[43] * CAST(0.114 AS DOUBLE)) * 1000000 + 0.5) / 1000000 AS y FROM tiles")
+def x22(s, d):
+    px = F.col("px")
+    return reg.tiles(s, d).select("tile_id", bits.half_up(op.luma(px[0], px[21], px[42]), 6).alias("y"))
+
+
+@query("x23_haar_level_3", _COEF + " SELECT image_id, t, hl, lh FROM hv")
+def x23(s, d):
+    hl, lh = op.haar(F.col("px"))
+    return _images(s, d).select("image_id", "t", hl.alias("hl"), lh.alias("lh"))
+
+
+@query("x24_qim", _COEF + ", q AS (SELECT image_id, idx, c, 12 * (floor(c / 12 - 0.25 + 0.5) + 0.25) AS zero, 12 * (floor(c / 12 - 0.75 + 0.5) + 0.75) AS one FROM co) SELECT image_id, idx, zero, one, CASE WHEN zero / 12 - floor(zero / 12) < 0.5 THEN 0 ELSE 1 END AS read0, CASE WHEN one / 12 - floor(one / 12) < 0.5 THEN 0 ELSE 1 END AS read1 FROM q")
+def x24(s, d):
+    step, c = F.lit(12.0), F.col("c")
+    q = op.coefficients(_images(s, d)).select("image_id", "idx", op.qim(c, step, F.lit(0)).alias("zero"), op.qim(c, step, F.lit(1)).alias("one"))
+    return q.select("*", op.qim_read(F.col("zero"), step).alias("read0"), op.qim_read(F.col("one"), step).alias("read1"))
+
+
+@query("x28_block_digest", _IMG + " SELECT image_id, t, sha256('key|' || image_id || '|' || t || '|' || array_to_string(list_transform(px, lambda v: v - v % 2), ',')) AS digest FROM img")
+def x28(s, d):
+    return _images(s, d).select("image_id", "t", op.block_digest(F.col("px"), F.col("image_id"), F.col("t")).alias("digest"))
+
+
+@query("w7_keyed_permutation", _COEF + " SELECT idx, CAST(bit AS INTEGER) AS bit, (SELECT count(*) FROM img WHERE t = idx // 2) AS images FROM car")
+def w7(s, d):
+    n = _images(s, d).groupBy("t").agg(F.count("*").alias("images"))
+    return op.carriers(s).join(n, F.floor(F.col("idx") / 2) == F.col("t")).select("idx", "bit", "images")
+
+
+@query("r8_majority_vote", _votes() + " SELECT image_id, CAST(bit AS INTEGER) AS bit, CASE WHEN ones * 2 > n THEN 1 ELSE 0 END AS v, greatest(ones, n - ones) AS most FROM vo")
+def r8(s, d):
+    votes = op.coefficients(_images(s, d)).join(F.broadcast(op.carriers(s)), "idx").groupBy("image_id", "bit").agg(F.sum(op.qim_read(F.col("c"), F.lit(12.0))).alias("ones"), F.count("*").alias("n"))
+    return votes.select("image_id", "bit", (F.col("ones") * 2 > F.col("n")).cast("int").alias("v"), F.greatest("ones", F.col("n") - F.col("ones")).alias("most"))
+
+
+@query("m3_robust_extract", _votes() + " SELECT image_id, payload, confidence FROM ma")
+def m3(s, d):
+    return op.extract(_images(s, d))
+
+
+@query("m4_partial_view_extract", _votes("t % 32 BETWEEN 4 AND 20 AND t // 32 BETWEEN 3 AND 9") + " SELECT image_id, payload, confidence FROM ma")
+def m4(s, d):
+    inside = (F.col("t") % 32).between(4, 20) & F.floor(F.col("t") / 32).between(3, 9)
+    return op.extract(_images(s, d).filter(inside))
+
+
+@query("m6_strength_sweep", _votes(delta="d") + " SELECT image_id, delta, payload, confidence FROM ma")
+def m6(s, d):
+    swept = _images(s, d).withColumn("delta", F.explode(F.array(*map(F.lit, (8, 12, 14, 16)))))
+    return op.extract(swept, F.col("delta").cast("double"))
+
+
+@query("r21_release_inspection", _votes() + f""", w AS (SELECT *, CAST('0x' || substr(sha256('image:' || image_id), 1, 9) AS BIGINT) AS sid FROM ma),
+x AS (SELECT image_id, payload, (sid << 12) | (CAST({reg.SQL_CRC.format(x='sid')} AS BIGINT) << 4) | 1 AS want FROM w)
+SELECT image_id, 48 - bit_count(xor(payload, want)) AS matching, 48 AS total, CAST(floor((48 - bit_count(xor(payload, want))) / CAST(48 AS DOUBLE) * 100 + 0.5) AS BIGINT) AS pct, payload = want AS intact FROM x""")
+def r21(s, d):
+    read = op.extract(_images(s, d)).select("image_id", "payload", op.payload_for(F.col("image_id")).alias("want"))
+    m = bits.matching(F.col("payload"), F.col("want"))
+    return read.select("image_id", m.alias("matching"), F.lit(48).alias("total"), bits.half_up(m / 48 * 100).cast("long").alias("pct"), (F.col("payload") == F.col("want")).alias("intact"))
+
+
+@query("m2_robust_embed")
+def m2(s, d):
+    """Marks embedded and read back: bits recovered and PSNR of every image."""
+    image = _images(s, d)
+    marked = op.embed(image, op.payload_for(F.col("image_id")))
+    error = op.squared_error(image, marked, ["image_id"])
+    read = op.extract(marked)
+    return read.join(error, "image_id").select("image_id", bits.matching(F.col("payload"), op.payload_for(F.col("image_id"))).alias("recovered"), bits.half_up(op.psnr(F.col("sse"), F.col("n")), 2).alias("psnr"))
+
+
+@query("m5_four_orientations")
+def m5(s, d):
+    """Marked images turned by image_id quarters, and read in all four orientations."""
+    marked = op.embed(_images(s, d), op.payload_for(F.col("image_id")))
+    worn = op.turned(marked).filter(F.col("turn") == F.col("image_id") % 4).select("image_id", "t", "px")
+    return op.best_turn(worn).select("image_id", "turn", "ok", bits.matching(F.col("payload"), op.payload_for(F.col("image_id"))).alias("recovered"))
+
+
+@query("m7_coarse_page_mark")
+def m7(s, d):
+    """The mark read at a third of the size, where few tiles are left to vote."""
+    return op.extract(op.coarse(_images(s, d)), 8)
+
+
+@query("m1_fingerprint_table", _IMG + """, cell AS (SELECT image_id, t // 32 // 4 * 8 + t % 32 // 4 AS cell, sum(list_sum(px)) AS v FROM img GROUP BY ALL), tot AS (SELECT image_id, sum(v) AS s FROM cell GROUP BY image_id),
+l AS (SELECT image_id, list(v ORDER BY cell) AS px FROM cell GROUP BY image_id)
+SELECT image_id, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(63), lambda i: CASE WHEN px[i + 1] * 64 > s THEN CAST(1 AS BIGINT) << i ELSE 0 END)), lambda a, b: a | b) AS BIGINT) AS a_low,
+CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(56), lambda i: CASE WHEN px[CAST(i // 7 * 8 + i % 7 + 1 AS BIGINT)] > px[CAST(i // 7 * 8 + i % 7 + 2 AS BIGINT)] THEN CAST(1 AS BIGINT) << i ELSE 0 END)), lambda a, b: a | b) AS BIGINT) AS d_hash FROM l JOIN tot USING (image_id)""")
+def m1(s, d):
+    small = op.shrunk(_images(s, d)).select(F.inline(F.array(F.struct("image_id", "px"))))
+    return small.select("image_id", op.a_hash(F.col("px")).bitwiseAND(F.lit(2**63 - 1)).alias("a_low"), op.d_hash(F.col("px")).alias("d_hash"))
+
+
+_ERR = _IMG + ", er AS (SELECT a.image_id, sum(list_sum(list_transform(range(64), lambda i: (a.px[i + 1] - b.px[i + 1]) * (a.px[i + 1] - b.px[i + 1])))) AS sse, count(*) * 64 AS n FROM img a JOIN img b ON b.image_id = a.image_id + 1 AND b.t = a.t GROUP BY a.image_id)"
+
+
+def _next_error(s, d):
+    image = _images(s, d)
+    return op.squared_error(image, image.withColumn("image_id", F.col("image_id") - 1), ["image_id"])
+
+
+@query("r10_psnr", _ERR + " SELECT image_id, floor(10 * log10(CAST(65025 AS DOUBLE) / (sse / CAST(n AS DOUBLE))) * 1000000 + 0.5) / 1000000 AS psnr FROM er")
+def r10(s, d):
+    return _next_error(s, d).select("image_id", bits.half_up(op.psnr(F.col("sse"), F.col("n")), 6).alias("psnr"))
+
+
+@query("r11_pooled_psnr", _ERR + " SELECT image_id // 3 AS doc, count(*) AS pages, floor(10 * log10(CAST(65025 AS DOUBLE) / (sum(sse) / CAST(sum(n) AS DOUBLE))) * 1000000 + 0.5) / 1000000 AS psnr FROM er GROUP BY ALL")
+def r11(s, d):
+    pooled = _next_error(s, d).groupBy(F.floor(F.col("image_id") / 3).alias("doc")).agg(F.count("*").alias("pages"), F.sum("sse").alias("sse"), F.sum("n").alias("n"))
+    return pooled.select("doc", "pages", bits.half_up(op.psnr(F.col("sse"), F.col("n")), 6).alias("psnr"))
+
+
+_HIST = _IMG + """, cn AS (SELECT image_id, v, count(*) AS n FROM (SELECT image_id, unnest(px) AS v FROM img) GROUP BY ALL),
+hi AS (SELECT image_id, CAST(v AS INTEGER) AS v, coalesce(n, 0) AS n, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY image_id ORDER BY v) AS BIGINT) AS upto FROM (SELECT DISTINCT image_id FROM img) CROSS JOIN (SELECT unnest(range(256)) AS v) LEFT JOIN cn USING (image_id, v))"""
+
+
+@query("r14_histogram_cdf", _HIST + " SELECT * FROM hi")
+def r14(s, d):
+    return op.histogram(_images(s, d))
+
+
+@query("w9_tone_lut", _HIST + " SELECT h.image_id, h.v, least(min(r.v), 255) AS \"to\" FROM hi h JOIN hi r ON r.image_id = 0 AND r.upto >= h.upto GROUP BY ALL")
+def w9(s, d):
+    return op.tone_table(op.histogram(_images(s, d)))
+
+
+@query("m10_tone_match", _HIST + ", lu AS (SELECT h.image_id, h.v, least(min(r.v), 255) AS w FROM hi h JOIN hi r ON r.image_id = 0 AND r.upto >= h.upto GROUP BY ALL) SELECT image_id, t, CAST(sum(w * i) AS BIGINT) AS digest FROM (SELECT image_id, t, unnest(px) AS v, unnest(range(1, 65)) AS i FROM img) JOIN lu USING (image_id, v) GROUP BY image_id, t")
+def m10(s, d):
+    out = op.tone_match(_images(s, d))
+    return out.select("image_id", "t", F.aggregate(F.transform("px", lambda v, i: (v * (i + 1)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("digest"))
+
+
+@query("r19_aligned_correlation", _IMG + " SELECT a.image_id, a.t, coalesce(CASE WHEN isnan(c) THEN NULL ELSE c END, -1) AS ncc FROM (SELECT a.image_id, a.t, floor(corr(a.v, b.v) * 10000 + 0.5) / 10000 AS c FROM (SELECT image_id, t, unnest(px) AS v, unnest(range(64)) AS i FROM img) a JOIN (SELECT image_id, t, unnest(px) AS v, unnest(range(64)) AS i FROM img) b ON b.image_id = a.image_id + 1 AND b.t = a.t AND a.i = b.i GROUP BY ALL) a")
+def r19(s, d):
+    image = _images(s, d)
+    a = image.select("image_id", "t", F.posexplode("px").alias("i", "a"))
+    b = image.select((F.col("image_id") - 1).alias("image_id"), "t", F.posexplode("px").alias("i", "b"))
+    ncc = F.corr("a", "b")
+    return a.join(b, ["image_id", "t", "i"]).groupBy("image_id", "t").agg(F.coalesce(F.nanvl(bits.half_up(ncc, 4), F.lit(-1.0)), F.lit(-1.0)).alias("ncc"))
+
+
+def _tampered(s, d):
+    """Fragile marks, then blocks of every third image altered."""
+    marked = op.fragile_embed(_images(s, d))
+    hit = (F.col("image_id") % 3 == 1) & (F.col("t") % 32).between(3, 6) & F.floor(F.col("t") / 32).between(8, 9) | (F.col("image_id") % 3 == 1) & (F.col("t") % 97 == 0)
+    return marked.withColumn("px", F.when(hit, F.transform("px", lambda v: 255 - v)).otherwise(F.col("px")))
+
+
+@query("m8_fragile_embed", _IMG + """, dg AS (SELECT image_id, t, px, sha256('key|' || image_id || '|' || t || '|' || array_to_string(list_transform(px, lambda v: v - v % 2), ',')) AS h FROM img)
+SELECT image_id, t, CAST(list_sum(list_transform(range(64), lambda i: (px[i + 1] - px[i + 1] % 2 + ((CAST('0x' || substr(h, CAST(i // 4 + 1 AS BIGINT), 1) AS BIGINT) >> (3 - i % 4)) & 1)) * (i + 1))) AS BIGINT) AS digest FROM dg""")
+def m8(s, d):
+    out = op.fragile_embed(_images(s, d))
+    return out.select("image_id", "t", F.aggregate(F.transform("px", lambda v, i: (v * (i + 1)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("digest"))
+
+
+@query("r16_tamper_verdict")
+def r16(s, d):
+    return op.tamper_verdict(op.fragile_check(_tampered(s, d)))
+
+
+@query("r17_tamper_regions")
+def r17(s, d):
+    return op.regions(op.fragile_check(_tampered(s, d)))
+
+
+@query("o5_top_regions")
+def o5(s, d):
+    rows = op.regions(op.fragile_check(_tampered(s, d)))
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc(F.col("w") * F.col("h")), "x", "y"))
+    return rows.withColumn("by_area", place).filter("by_area <= 20").select("image_id", "by_area", "x", "y", "w", "h")
+
+
+@query("m9_fragile_verify")
+def m9(s, d):
+    checked = op.fragile_check(_tampered(s, d))
+    return op.tamper_verdict(checked).join(op.regions(checked).groupBy("image_id").agg(F.count("*").alias("regions")), "image_id", "left").withColumn("regions", F.coalesce("regions", F.lit(0)))
+
+
+@query("r13_robustness_table")
+def r13(s, d):
+    return op.robustness(_images(s, d))
+
+
+@query("m11_robustness_sweep")
+def m11(s, d):
+    return op.robustness(_images(s, d), (4, 8, 12, 16, 24), 44)

@@ -1 +1,79 @@
-"""Queries."""
+"""Queries that run as streams over the given tables until these are drained."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docprov.functions import bits
+from docprov.operators import attribution
+from docprov.plans.registry import query
+from docprov.sources import register as reg
+from docprov.streaming import register as st
+
+
+def _receipts(s, d):
+    k = F.col("o_orderkey")
+    rows = st.stream(s, d, "orders").select(
+        F.when(k % 1009 == 0, st.ZERO).otherwise(F.sha2(F.concat(F.lit("receipt:"), F.floor(k / 2).cast("string")), 256)).alias("receipt_id"),
+        (k % 100).alias("asset_id"),
+        F.when(k % 3 != 0, F.md5(k.cast("string"))).alias("signature_commit"),
+    )
+    return rows
+
+
+_REC = "WITH rec AS (SELECT CASE WHEN o_orderkey % 1009 = 0 THEN repeat('0', 64) ELSE sha256('receipt:' || (o_orderkey // 2)) END AS receipt_id, o_orderkey % 100 AS asset_id, CASE WHEN o_orderkey % 3 <> 0 THEN md5(CAST(o_orderkey AS VARCHAR)) END AS signature_commit FROM orders)"
+
+
+@query("t1_hot_register", """, h AS (SELECT event_id, p_hash FROM releases) SELECT l.event_id AS leak_id, count(*) AS n, min(r.event_id) AS least FROM (SELECT event_id, p_hash FROM releases WHERE event_id % 50 = 0) l JOIN h r ON bit_count(xor(l.p_hash, r.p_hash)) <= 12 GROUP BY l.event_id""")
+def t1(s, d):
+    """Releases stream in and are searched by the leaks at once."""
+    r = reg.releases(s, d)
+    leaks = r.filter("event_id % 50 = 0").select(F.col("event_id").alias("leak_id"), F.lit(0).cast("bigint").alias("read_bits"), "p_hash", "d_hash", "a_hash")
+    keys = st.stream(s, d, "orders").select(F.col("o_orderkey").alias("event_id"))
+
+    def found(batch):
+        return attribution.radius_join(leaks, r.join(batch, "event_id", "left_semi"))
+
+    rows = st.each_batch(keys, "hot", found)
+    return rows.groupBy("leak_id").agg(F.count("*").alias("n"), F.min("event_id").alias("least"))
+
+
+@query("t2_challenge_response", """WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), r AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase')
+SELECT DISTINCT c.event_id AS challenge_id, c.user_id FROM c JOIN r ON c.user_id = r.user_id AND r.ts >= c.ts AND r.ts < c.ts + INTERVAL 12 HOUR""")
+def t2(s, d):
+    e = st.stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    asked = e.filter("event_type = 'view'").select(F.col("event_id").alias("challenge_id"), "user_id", F.col("ts").alias("ch_ts"))
+    given = e.filter("event_type = 'purchase'").select(F.col("user_id").alias("user"), F.col("ts").alias("resp_ts"))
+    return st.drained(st.answered(asked, given, "12 hours", "60 days"), "answered")
+
+
+@query("t3_first_receipts", _REC + " SELECT DISTINCT receipt_id FROM rec WHERE receipt_id <> repeat('0', 64)")
+def t3(s, d):
+    return st.drained(st.first_receipts(_receipts(s, d)).select("receipt_id"), "receipts")
+
+
+@query("t4_receipt_events", _REC + " SELECT receipt_id, 'ReceiptStored' AS event_name FROM rec UNION ALL SELECT receipt_id, 'SignatureAnchored' FROM rec WHERE signature_commit IS NOT NULL")
+def t4(s, d):
+    return st.drained(st.receipt_events(_receipts(s, d)), "receipt_events")
+
+
+@query("t5_running_counts", _REC + " SELECT asset_id, count(*) AS n FROM rec GROUP BY asset_id")
+def t5(s, d):
+    counts = _receipts(s, d).groupBy("asset_id").agg(F.count("*").alias("n"))
+    rows = st.each_batch(counts, "counts", lambda b: b, mode="update")
+    return rows.groupBy("asset_id").agg(F.max_by("n", "batch").alias("n"))
+
+
+@query("t6_fidelity_backfill", "SELECT event_id, floor((38 + CAST(event_id % 200 AS DOUBLE) / 10) * 10 + 0.5) / 10 AS psnr FROM releases WHERE psnr_db <= 0")
+def t6(s, d):
+    """Releases without a figure are measured batch by batch; figures already there stay."""
+    r = reg.releases(s, d).filter("psnr_db <= 0").select("event_id")
+    keys = st.stream(s, d, "orders").select(F.col("o_orderkey").alias("event_id"))
+    return st.each_batch(keys, "backfill", lambda b: b.join(r, "event_id", "left_semi").select("event_id", bits.half_up(38 + F.col("event_id") % 200 / 10, 1).alias("psnr"))).drop("batch")
+
+
+@query("t7_account_state", "SELECT event_id, user_id FROM releases JOIN users USING (user_id) WHERE active")
+def t7(s, d):
+    """Requests pass while their account is active; accounts are read anew for each batch."""
+    asked = st.stream(s, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("user_id"))
+    return st.each_batch(asked, "state", lambda b: b.join(reg.users(s, d).filter("active").select("user_id"), "user_id", "left_semi")).select("event_id", "user_id")
