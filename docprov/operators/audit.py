@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from docprov.functions import bits
 from docprov.sources import register as reg
 
-NEWEST = (F.desc("created_at"), F.desc("event_id"))
 _REF_SALT = "docprov"
 
 
+def newest_first() -> list[Column]:
+    return [F.desc("created_at"), F.desc("event_id")]
+
+
 def newest(rows: DataFrame, n: int) -> DataFrame:
     """The n newest rows; equal times by falling event_id."""
-    return rows.orderBy(*NEWEST).limit(n)
+    return rows.orderBy(*newest_first()).limit(n)
 
 
 def audit_filter(rows: DataFrame, user_id=None, asset_id=None, classification=None, since=None, until=None) -> DataFrame:
@@ -38,7 +41,7 @@ def page(rows: DataFrame, number: int = 1, limit: int = 50) -> DataFrame:
     """A page of rows, newest first; number from 1, limit 1 to 200."""
     if number < 1 or not 1 <= limit <= 200:
         raise ValueError("page from 1, limit 1 to 200")
-    return rows.orderBy(*NEWEST).offset((number - 1) * limit).limit(limit)
+    return rows.orderBy(*newest_first()).offset((number - 1) * limit).limit(limit)
 
 
 def envelope(rows: DataFrame, limit: int) -> DataFrame:

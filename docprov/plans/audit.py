@@ -37,7 +37,7 @@ def s4(s, d):
 SELECT k AS file_key, event_id FROM r WHERE n = 1""")
 def s5(s, d):
     rows = reg.releases(s, d).select((F.col("event_id") % 1000).alias("file_key"), "event_id", "created_at")
-    return op.latest(rows, ["file_key"], list(op.NEWEST)).select("file_key", "event_id")
+    return op.latest(rows, ["file_key"], op.newest_first()).select("file_key", "event_id")
 
 
 @query("s8_versioned_ledger", "SELECT receipt_id, asset_id, signature_commit, priority, copy FROM ledger")
@@ -230,7 +230,7 @@ def j15(s, d):
 @query("j19_release_list", "SELECT event_id, asset_id, name, coalesce(device_label, 'UNKNOWN') AS device, floor(psnr_db * 10 + 0.5) / 10 AS psnr, marked_path IS NOT NULL AS has_marked_file, row_number() OVER (PARTITION BY asset_id ORDER BY created_at DESC, event_id DESC) AS place FROM releases JOIN users USING (user_id)")
 def j19(s, d):
     rows = reg.releases(s, d).join(reg.users(s, d).select("user_id", "name"), "user_id")
-    place = F.row_number().over(Window.partitionBy("asset_id").orderBy(*op.NEWEST))
+    place = F.row_number().over(Window.partitionBy("asset_id").orderBy(*op.newest_first()))
     return rows.select("event_id", "asset_id", "name", F.coalesce("device_label", F.lit("UNKNOWN")).alias("device"), bits.half_up(F.col("psnr_db"), 1).alias("psnr"), F.col("marked_path").isNotNull().alias("has_marked_file"), place.alias("place"))
 
 
@@ -287,7 +287,7 @@ def r20(s, d):
 
 @query("w3_newest_n", "SELECT * FROM (SELECT event_id, asset_id, row_number() OVER (ORDER BY created_at DESC, event_id DESC) AS place FROM releases) WHERE place <= 50")
 def w3(s, d):
-    return op.newest(reg.releases(s, d).select("event_id", "asset_id", "created_at"), 50).select("event_id", "asset_id", F.row_number().over(Window.orderBy(*op.NEWEST)).alias("place"))
+    return op.newest(reg.releases(s, d).select("event_id", "asset_id", "created_at"), 50).select("event_id", "asset_id", F.row_number().over(Window.orderBy(*op.newest_first())).alias("place"))
 
 
 @query("w4_telemetry_series", _RECENT + " SELECT row_number() OVER (ORDER BY created_at, event_id) AS idx, event_id, floor(psnr_db * 10 + 0.5) / 10 AS psnr, delta_used AS delta FROM m")
@@ -299,7 +299,7 @@ def w4(s, d):
 SELECT asset_id, user_id, coalesce(pw, passphrase) AS passphrase FROM encapsulations JOIN up USING (asset_id, user_id) WHERE n = 1""")
 def w5(s, d):
     r = reg.releases(s, d).select("asset_id", "user_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("new-"), F.col("event_id").cast("string"))).alias("passphrase"), "created_at", "event_id")
-    new = op.latest(r, ["asset_id", "user_id"], list(op.NEWEST))
+    new = op.latest(r, ["asset_id", "user_id"], op.newest_first())
     return op.upsert(reg.encapsulations(s, d), new, ["asset_id", "user_id"], "passphrase")
 
 
