@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprov.functions import bits
+from docprov.functions.workers import ship
 
 GRID, VOTES, BITS = 32, 21, 48
 _LEFT = [1 if i % 8 < 4 else -1 for i in range(64)]
@@ -218,6 +219,7 @@ def regions(checked: DataFrame, most: int = 20) -> DataFrame:
         cols = list(zip(*boxes, strict=True)) or [()] * 4
         return pa.table({"image_id": pa.array([image] * len(boxes), pa.int64()), "place": pa.array(range(1, len(boxes) + 1), pa.int32()), **{n: pa.array(c, pa.int32()) for n, c in zip("xywh", cols, strict=True)}})
 
+    ship(checked.sparkSession)
     return checked.filter("failed").select("image_id", "t").groupBy("image_id").applyInArrow(run, "image_id long, place int, x int, y int, w int, h int")
 
 
