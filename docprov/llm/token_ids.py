@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docprov.functions.workers import ship
+
 #: Per file kind: what may be encoded apart from the rest. Tokens of the first never hold white space; those of the
 #: second hold it as a leading space or a run of its own.
 UNITS = {"word": re.compile(rb"[^\s]+"), "byte": re.compile(rb" ?[^\s]+|\s+(?!\S)|\s+")}
@@ -111,4 +113,5 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, name: str = "
 
 def as_bytes(docs: DataFrame) -> DataFrame:
     """doc_id and text in UTF-8, null being empty."""
+    ship(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
