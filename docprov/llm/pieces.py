@@ -9,6 +9,7 @@ is, if no merge across their border comes before the merges that made both.
 
 from __future__ import annotations
 
+import array
 import heapq
 import re
 from collections.abc import Iterator
@@ -65,12 +66,12 @@ def ranges(codes: np.ndarray, order: np.ndarray, words: list[list[int]]) -> tupl
 class Model:
     """Pieces and scores of a SentencePiece BPE file with byte fallback; the library only reads the file."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 900_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.vocab_size()
-        self.most, self.known, self.fits = most, {}, {}
+        self.most, self.known, self.fits, self.n_fits = most, {}, {}, 0
         self.byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(size) if sp.is_byte(i)}
         plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
@@ -83,9 +84,10 @@ class Model:
         self.bytes[sp.unk_id()] = " ⁇ ".encode()
         self.pieces = sorted(self.ids)
         self.codes = [[ord(c) for c in p] for p in self.pieces]
+        self.sized = [(p, len(p)) for p in self.pieces]
         self.longest = max(map(len, self.pieces))
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
-        self.unit = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.unit = re.compile(b"(?s).+" if crossing else b" *[^ ]+| +")
         self.spines: dict = {}
 
     def merged(self, text: str) -> tuple[list[str], dict]:
@@ -133,20 +135,32 @@ class Model:
         return self.spines[piece]
 
     def may_follow(self, left: str, right: str) -> bool:
-        pair = (left, right)
-        if pair not in self.fits:
-            if len(self.fits) >= 4 * self.most:
-                self.fits.clear()
-            a, b, rank = self.spine(left), self.spine(right), self.rank
-            self.fits[pair] = a is not None and b is not None and not any((r := rank.get(x + y)) is not None and r < stop_x and r <= stop_y for x, stop_x in a[1] for y, stop_y in b[0])
-        return self.fits[pair]
+        """True if BPE of left and right together is left, right: no merge across the border is before those beside it."""
+        a, b, rank = self.spine(left), self.spine(right), self.rank
+        if a is None or b is None:
+            return False
+        for x, stop_x in a[1]:
+            for y, stop_y in b[0]:
+                r = rank.get(x + y)
+                if r is not None and r < stop_x and r <= stop_y:
+                    return False
+        return True
+
+    def _fit(self, row: dict[str, bool], left: str, right: str) -> bool:
+        """may_follow, kept in row (the answers for left)."""
+        self.n_fits += 1
+        row[right] = fits = self.may_follow(left, right)
+        return fits
 
     def _ids(self, pieces: list[str]) -> bytes:
-        out = []
+        out = array.array("I")
         for p in pieces:
             i = self.ids.get(p)
-            out += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
-        return np.array(out, "<u4").tobytes()
+            if i is None:
+                out.extend([self.byte_ids[b] for b in p.encode()])
+            else:
+                out.append(i)
+        return out.tobytes()
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
         """ids of different units, none of them empty."""
@@ -160,51 +174,59 @@ class Model:
         piece = np.repeat(np.arange(len(self.pieces)), counts)
         place = order[np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(len(piece))]
         by_place = np.argsort(place, kind="stable")
-        place, piece = place[by_place].tolist(), piece[by_place].tolist()
-        out, e, n_edges, pieces = [], 0, len(place), self.pieces
-        for unit, start in zip(units, starts.tolist(), strict=True):
-            stop = start + len(unit)
-            first = e
-            while e < n_edges and place[e] < stop:
-                e += 1
-            out.append(self._ids(self._relax(unit, start, [(place[k] - start, pieces[piece[k]]) for k in range(first, e)])))
-        return out
-
-    def _relax(self, unit: str, start: int, edges: list[tuple[int, str]]) -> list[str]:
-        n = len(unit)
+        bounds = np.searchsorted(place[by_place], np.arange(len(codes) + 1)).tolist()
+        if self.n_fits >= self.most // 2:
+            self.fits.clear()
+            self.n_fits = 0
+        piece = list(map(self.sized.__getitem__, piece[by_place].tolist()))
+        return [self._ids(self._relax(u, start, bounds, piece)) for u, start in zip(units, starts.tolist(), strict=True)]
+
+    def _relax(self, unit: str, start: int, bounds: list[int], piece: list[tuple[str, int]]) -> list[str]:
+        """The pieces of a unit; its place k has the edges piece[bounds[start + k] : bounds[start + k + 1]]."""
+        n, ids = len(unit), self.ids
         if unit.startswith(MARK * 2):  # runs of marks have equal scores: their merges have no order but that of places
             return self.merged(unit)[0]
         last: list[str | None] = [None] * (n + 1)
-        here, k = 0, 0
         for here in range(n):
-            single = False
-            reached = here == 0 or last[here] is not None
-            while k < len(edges) and edges[k][0] == here:
-                p = edges[k][1]
-                single |= len(p) == 1
-                if reached and (self.spine(p) is not None if here == 0 else self.may_follow(last[here], p)):
-                    last[here + len(p)] = p
-                k += 1
-            if reached and not single:  # a character that is no piece: bytes stand for it
-                c = unit[here]
-                if here == 0 or self.may_follow(last[here], c):
-                    last[here + 1] = c
+            left, k, stop = last[here], bounds[start + here], bounds[start + here + 1]
+            if here == 0:
+                for p, size in piece[k:stop]:
+                    if self.spine(p) is not None:
+                        last[size] = p
+            elif left is None:
+                continue
+            else:
+                row = self.fits.get(left)
+                if row is None:
+                    row = self.fits[left] = {}
+                for p, size in piece[k:stop]:
+                    fits = row.get(p)
+                    if fits is None:
+                        fits = self._fit(row, left, p)
+                    if fits:
+                        last[here + size] = p
+            c = unit[here]
+            if c not in ids and (here == 0 or self.may_follow(left, c)):  # no piece: bytes stand for it
+                last[here + 1] = c
         out, at = [], n
         while at:
             out.append(last[at])
             at -= len(last[at])
         return out[::-1]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """ids of each text, as bytes of little-endian unsigned 32-bit ids."""
-        cut = [self.unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({u for units in cut for u in units if u not in self.known})
+    def encode(self, texts: list[bytes], chunk: int = 40_000) -> list[bytes]:
+        """ids of each text (in UTF-8), as bytes of little-endian unsigned 32-bit ids. chunk: units in a suffix array."""
+        mark = MARK.encode()
+        cut = [self.unit.findall(b" " + t.replace(mark, b" ")) if t else [] for t in texts]
+        get = self.known.get
+        found = [list(map(get, units)) for units in cut]
+        new = list({u for units, f in zip(cut, found, strict=True) if None in f for u, ids in zip(units, f, strict=True) if ids is None})
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list({u for units in cut for u in units})
-        if new:
-            self.known.update(zip(new, self._encode_units(new), strict=True))
-        return [b"".join(map(self.known.__getitem__, units)) for units in cut]
+        for i in range(0, len(new), chunk):
+            part = new[i : i + chunk]
+            self.known.update(zip(part, self._encode_units([u.decode().replace(" ", MARK) for u in part]), strict=True))
+        return [b"".join([get(u) if ids is None else ids for u, ids in zip(units, f, strict=True)] if None in f else f) for units, f in zip(cut, found, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -227,7 +249,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids = model(path).encode([t.decode() for t in b.column("text").to_pylist()])
+            ids = model(path).encode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return as_bytes(docs).mapInArrow(run, "doc_id long, ids binary")

@@ -67,7 +67,7 @@ def model():
 
 
 def same(texts):
-    for t, ids in zip(texts, model().encode(texts), strict=True):
+    for t, ids in zip(texts, model().encode([t.encode() for t in texts], chunk=200), strict=True):
         want = library().encode(t)
         assert np.frombuffer(ids, "<u4").tolist() == want
         assert model().decode(ids) == library().decode(want)
@@ -76,7 +76,7 @@ def same(texts):
 ODD = st.text(st.sampled_from(list("aabcdeinorst  \n\t.▁é梦ﬁ́\x00\U0001f600ا1239-_=")), max_size=50)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.lists(ODD, max_size=4))
 def test_encodes_like_the_library(texts):
     same(texts)
