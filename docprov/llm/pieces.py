@@ -66,7 +66,7 @@ def ranges(codes: np.ndarray, order: np.ndarray, words: list[list[int]]) -> tupl
 class Model:
     """Pieces and scores of a SentencePiece BPE file with byte fallback; the library only reads the file."""
 
-    def __init__(self, path: str, most: int = 900_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -86,6 +86,8 @@ class Model:
         self.codes = [[ord(c) for c in p] for p in self.pieces]
         self.sized = [(p, len(p)) for p in self.pieces]
         self.longest = max(map(len, self.pieces))
+        self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.part_ids: dict[str, bytes] = {}
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
         self.unit = re.compile(b"(?s).+" if crossing else b" *[^ ]+| +")
         self.spines: dict = {}
@@ -214,6 +216,16 @@ class Model:
             at -= len(last[at])
         return out[::-1]
 
+    def _parts(self, unit: str) -> list[str]:
+        """The unit cut between characters that stand side by side in no piece: no merge can cross there."""
+        pairs, out, start = self.pairs, [], 0
+        for i in range(1, len(unit)):
+            if unit[i - 1 : i + 1] not in pairs:
+                out.append(unit[start:i])
+                start = i
+        out.append(unit[start:])
+        return out
+
     def encode(self, texts: list[bytes], chunk: int = 40_000) -> list[bytes]:
         """ids of each text (in UTF-8), as bytes of little-endian unsigned 32-bit ids. chunk: units in a suffix array."""
         mark = MARK.encode()
@@ -223,9 +235,14 @@ class Model:
         new = list({u for units, f in zip(cut, found, strict=True) if None in f for u, ids in zip(units, f, strict=True) if ids is None})
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-        for i in range(0, len(new), chunk):
-            part = new[i : i + chunk]
-            self.known.update(zip(part, self._encode_units([u.decode().replace(" ", MARK) for u in part]), strict=True))
+            self.part_ids.clear()
+        parts = [self._parts(u.decode().replace(" ", MARK)) for u in new]
+        fresh = list({p for each in parts for p in each} - self.part_ids.keys())
+        for i in range(0, len(fresh), chunk):
+            some = fresh[i : i + chunk]
+            self.part_ids.update(zip(some, self._encode_units(some), strict=True))
+        of = self.part_ids.__getitem__
+        self.known.update((u, b"".join(map(of, each))) for u, each in zip(new, parts, strict=True))
         return [b"".join([get(u) if ids is None else ids for u, ids in zip(units, f, strict=True)] if None in f else f) for units, f in zip(cut, found, strict=True)]
 
     def decode(self, ids: bytes) -> str:
