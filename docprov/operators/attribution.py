@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprov.functions import bits
+from docprov.sources.files import written
 from docprov.sources.register import verdict
 
 RADIUS, WIDER, WIDEST = 12, 28, 34
+#: Up to this radius bands ask for some thousand values a leak; beyond it nearly any two hashes match.
+NARROW = 15
 _HASHES = ("p_hash", "d_hash", "a_hash")
 
 
@@ -20,10 +24,17 @@ def _shares(rows: DataFrame, most: int) -> bool:
 
 
 def nested(leaks: DataFrame, register: DataFrame, near: Column, most: int = 100_000) -> DataFrame:
-    """Pairs for which near holds: leaks, counted first, are broadcast; a larger side is refused."""
-    if not _shares(leaks, most):
-        raise ValueError("too many leaks for a nested loop: join them in bands")
-    return register.join(F.broadcast(leaks), near)
+    """Pairs for which near holds: leaks, counted first, are broadcast; a larger side is dealt in blocks."""
+    return register.join(F.broadcast(leaks), near) if _shares(leaks, most) else gridded(leaks, register, near)
+
+
+def gridded(leaks: DataFrame, register: DataFrame, near: Column, block_rows: int = 50_000, shard_rows: int = 500_000) -> DataFrame:
+    """Pairs for which near holds, of any number of leaks: each block of leaks meets each shard of the register in a join on
+    the two numbers, so that neither side is broadcast and no task holds more than one of each."""
+    blocks, shards = (max(1, math.ceil(rows.count() / most)) for rows, most in ((leaks, block_rows), (register, shard_rows)))
+    a = leaks.withColumn("_block", F.pmod(F.xxhash64("leak_id"), F.lit(blocks)).cast("int")).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    b = register.withColumn("_of_shard", F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("int")).withColumn("_of_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return b.join(a, (F.col("_block") == F.col("_of_block")) & (F.col("_shard") == F.col("_of_shard")) & near).drop("_block", "_shard", "_of_block", "_of_shard")
 
 
 def banded(leaks: DataFrame, register: DataFrame, hash_of_leak: str, hash_of_release: str, radius: int, bands: int = 4) -> DataFrame:
@@ -58,32 +69,45 @@ def as_leaks(leaks: DataFrame) -> DataFrame:
 
 
 def radius_join(leaks: DataFrame, register: DataFrame, radius: int = RADIUS, most: int = 100_000) -> DataFrame:
-    """leak_id, event_id, distance of pHashes within radius: a nested loop while leaks are few, bands beyond."""
+    """leak_id, event_id, distance of pHashes within radius: a nested loop while leaks are few; beyond, bands or (wide) blocks."""
     a = as_leaks(leaks).filter("leak_p_hash IS NOT NULL").select("leak_id", "leak_p_hash")
     b = register.filter("p_hash IS NOT NULL").select("event_id", "p_hash")
     far = bits.hamming(F.col("leak_p_hash"), F.col("p_hash"))
-    pairs = nested(a, b, far <= radius, most) if _shares(a, most) else banded(a, b, "leak_p_hash", "p_hash", radius)
+    pairs = nested(a, b, far <= radius, most) if radius > NARROW or _shares(a, most) else banded(a, b, "leak_p_hash", "p_hash", radius)
     return pairs.select("leak_id", "event_id", far.alias("distance"))
 
 
-def three_way(leaks: DataFrame, register: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Candidates that any hash has within radius; a distance outside it is null; best is the least."""
+def three_way(leaks: DataFrame, register: DataFrame, radius: int = RADIUS, most: int = 100_000) -> DataFrame:
+    """Candidates that any hash has within radius; a distance outside it is null; best is the least.
+
+    A nested loop while leaks are few. Beyond `most`, a narrow radius is joined in bands, hash by hash, a pair coming from the
+    first hash that is near; a wide one in blocks.
+    """
     far = {h: bits.hamming(F.col(f"leak_{h}"), F.col(h)) for h in _HASHES}
-    near = far["p_hash"].isNotNull() & (far["p_hash"] <= radius)
-    for h in _HASHES[1:]:
-        near = near | (far[h] <= radius)
-    pairs = nested(as_leaks(leaks), register, near)
+    near = {h: F.coalesce(far[h] <= radius, F.lit(False)) for h in _HASHES}
+    a, b = as_leaks(leaks).drop("read_bits"), register.select("event_id", *_HASHES)
+    if radius > NARROW or _shares(a, most):
+        pairs = nested(a, b, near["p_hash"] | near["d_hash"] | near["a_hash"], most)
+    else:
+        pairs, before = None, F.lit(False)
+        for h in _HASHES:
+            fresh = banded(a.filter(F.col(f"leak_{h}").isNotNull()), b.filter(F.col(h).isNotNull()), f"leak_{h}", h, radius).filter(~before)
+            pairs, before = fresh if pairs is None else pairs.unionByName(fresh), before | near[h]
     kept = [F.when(far[h] <= radius, far[h]).alias(n) for h, n in zip(_HASHES, ("p_dist", "d_dist", "a_dist"), strict=True)]
     return pairs.select("leak_id", "event_id", *kept).withColumn("best", F.least("p_dist", "d_dist", "a_dist"))
 
 
 def tiered(leaks: DataFrame, register: DataFrame, tiers: tuple[int, ...] = (RADIUS, WIDER, WIDEST)) -> DataFrame:
-    """three_way at the first tier that finds anything for a leak; a wider tier only sees the leaks still empty."""
+    """three_way at the first tier that finds anything for a leak; a wider tier only sees the leaks still empty.
+
+    The leaks left for the next tier are written, so that no tier is searched again for each wider one.
+    """
     out, rest = None, leaks
     for radius in tiers:
         found = three_way(rest, register, radius).withColumn("tier", F.lit(radius))
         out = found if out is None else out.unionByName(found)
-        rest = rest.join(found.select("leak_id"), "leak_id", "left_anti")
+        if radius != tiers[-1]:
+            rest = written(rest.join(found.select("leak_id"), "leak_id", "left_anti"), "rest")
     return out
 
 

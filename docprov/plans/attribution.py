@@ -43,6 +43,11 @@ def j4(s, d):
     return op.three_way(reg.leaks(s, d), reg.releases(s, d))
 
 
+@query("j4_banded_or_vote", _VOTE + " SELECT *, least(p_dist, d_dist, a_dist) AS best FROM c12")
+def j4_banded(s, d):
+    return op.three_way(reg.leaks(s, d), reg.releases(s, d), most=0)
+
+
 @query("u3_union_of_index_hits", _DIST + " SELECT leak_id, event_id FROM pairs WHERE p <= 12 UNION SELECT leak_id, event_id FROM pairs WHERE d <= 12 UNION SELECT leak_id, event_id FROM pairs WHERE a <= 12")
 def u3(s, d):
     return op.three_way(reg.leaks(s, d), reg.releases(s, d)).select("leak_id", "event_id")

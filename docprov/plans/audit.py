@@ -97,7 +97,7 @@ def f4(s, d):
 @query("f5_traceable_releases", "SELECT event_id, mime_type FROM releases JOIN assets USING (asset_id) WHERE mime_type LIKE 'image/%' OR mime_type = 'application/pdf'")
 def f5(s, d):
     mime = F.col("mime_type")
-    return reg.releases(s, d).join(F.broadcast(reg.assets(s, d)), "asset_id").filter(mime.startswith("image/") | (mime == "application/pdf")).select("event_id", "mime_type")
+    return reg.releases(s, d).join(reg.assets(s, d), "asset_id").filter(mime.startswith("image/") | (mime == "application/pdf")).select("event_id", "mime_type")
 
 
 @query("f7_degenerate_payload", """, x AS (SELECT leak_id, read_bits AS b FROM leaks UNION ALL SELECT event_id, payload & 127 FROM releases)
@@ -130,7 +130,7 @@ def f10(s, d):
 
 @query("f11_authorised_documents", "SELECT user_id, asset_id FROM users JOIN encapsulations USING (user_id) JOIN assets USING (asset_id)")
 def f11(s, d):
-    held = reg.encapsulations(s, d).join(F.broadcast(reg.assets(s, d).select("asset_id")), "asset_id", "left_semi")
+    held = reg.encapsulations(s, d).join(reg.assets(s, d).select("asset_id"), "asset_id", "left_semi")
     return held.join(reg.users(s, d).select("user_id"), "user_id", "left_semi").select("user_id", "asset_id")
 
 
@@ -179,11 +179,11 @@ def j1(s, d):
     return op.star(reg.releases(s, d), reg.users(s, d), reg.assets(s, d)).select("event_id", "name", "dept", "title", "classification")
 
 
-@query("j9_key_holder_choice", """, e AS (SELECT asset_id, e.user_id, row_number() OVER (PARTITION BY asset_id ORDER BY (e.user_id % 100 = asset_id) DESC, e.user_id) AS n FROM encapsulations e JOIN users u ON e.user_id = u.user_id WHERE has_kem)
+@query("j9_key_holder_choice", """, e AS (SELECT asset_id, e.user_id, row_number() OVER (PARTITION BY asset_id ORDER BY (e.user_id % 100 = asset_id % 100) DESC, e.user_id) AS n FROM encapsulations e JOIN users u ON e.user_id = u.user_id WHERE has_kem)
 SELECT asset_id, user_id FROM e WHERE n = 1""")
 def j9(s, d):
     e = reg.encapsulations(s, d).join(reg.users(s, d).filter("has_kem").select("user_id"), "user_id")
-    return op.latest(e, ["asset_id"], [F.desc(F.col("user_id") % 100 == F.col("asset_id")), F.asc("user_id")]).select("asset_id", "user_id")
+    return op.latest(e, ["asset_id"], [F.desc(F.col("user_id") % 100 == F.col("asset_id") % 100), F.asc("user_id")]).select("asset_id", "user_id")
 
 
 @query("j10_batch_dispatch_plan", """, q AS (SELECT asset_id, unnest([asset_id * 7 + 1, asset_id * 11 + 3, asset_id + 9000000]) AS user_id FROM assets),
@@ -216,9 +216,9 @@ def j12(s, d):
     return reg.investigations(s, d).join(r, F.col("top_receipt_id") == F.col("receipt_id"), "left").select("investigation_id", "event_id", "user_id")
 
 
-@query("j14_missing_encapsulation", "SELECT DISTINCT a.asset_id, u.user_id FROM assets a JOIN users u ON u.user_id % 100 = a.asset_id WHERE u.has_kem AND NOT EXISTS (SELECT 1 FROM encapsulations e WHERE e.asset_id = a.asset_id AND e.user_id = u.user_id)")
+@query("j14_missing_encapsulation", "SELECT DISTINCT a.asset_id, u.user_id FROM assets a JOIN users u ON u.user_id = a.asset_id WHERE u.has_kem AND NOT EXISTS (SELECT 1 FROM encapsulations e WHERE e.asset_id = a.asset_id AND e.user_id = u.user_id)")
 def j14(s, d):
-    wanted = reg.users(s, d).filter("has_kem").select((F.col("user_id") % 100).alias("asset_id"), "user_id").join(F.broadcast(reg.assets(s, d).select("asset_id")), "asset_id", "left_semi")
+    wanted = reg.users(s, d).filter("has_kem").select(F.col("user_id").alias("asset_id"), "user_id").join(reg.assets(s, d).select("asset_id"), "asset_id", "left_semi")
     return wanted.join(reg.encapsulations(s, d), ["asset_id", "user_id"], "left_anti").select("asset_id", "user_id")
 
 
@@ -349,7 +349,7 @@ def v2(s, d):
 
 @query("v3_unmeasured_fidelity", "SELECT event_id, asset_id FROM releases JOIN assets USING (asset_id) WHERE psnr_db <= 0 AND mime_type = 'application/pdf'")
 def v3(s, d):
-    return reg.releases(s, d).join(F.broadcast(reg.assets(s, d).filter("mime_type = 'application/pdf'").select("asset_id")), "asset_id", "left_semi").filter("psnr_db <= 0").select("event_id", "asset_id")
+    return reg.releases(s, d).join(reg.assets(s, d).filter("mime_type = 'application/pdf'").select("asset_id"), "asset_id", "left_semi").filter("psnr_db <= 0").select("event_id", "asset_id")
 
 
 @query("v4_uniqueness", "SELECT 'receipt_id' AS col, receipt_id AS value, count(*) AS n FROM ledger GROUP BY receipt_id HAVING count(*) > 1 UNION ALL SELECT 'short_id', CAST(short_id AS VARCHAR), count(*) FROM releases GROUP BY short_id HAVING count(*) > 1 UNION ALL SELECT 'pair', asset_id || '/' || user_id, count(*) FROM releases GROUP BY asset_id, user_id HAVING count(*) > 1 UNION ALL SELECT 'email', email, count(*) FROM users WHERE email IS NOT NULL GROUP BY email HAVING count(*) > 1")

@@ -28,6 +28,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder, and read from it: its lineage ends there."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def extension(mime: Column) -> Column:
     known = F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv))
     return F.coalesce(known[mime], F.lit(".png"))

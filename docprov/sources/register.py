@@ -40,7 +40,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter("p_partkey < 100").select(
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("asset_id"),
         F.col("p_name").alias("title"),
         pick(CLASSES, F.col("p_size") % 4).alias("classification"),
@@ -61,7 +61,7 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "orders").select(
         key.alias("event_id"),
         F.col("o_custkey").alias("user_id"),
-        (key % 100).alias("asset_id"),
+        F.floor(key / 8).alias("asset_id"),
         F.col("o_orderdate").alias("created_at"),
         F.sha2(F.concat(F.lit("receipt:"), key.cast("string")), 256).alias("receipt_id"),
         pick(DELTAS, key % 4).alias("delta_used"),
@@ -87,7 +87,7 @@ def _ones(n: Column) -> Column:
 
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth release has leaked; hashes and bits are worn by a rule."""
+    """The search's queries: every fiftieth release has leaked; hashes and bits are worn by a rule."""
     r, turn = releases(spark, sf_dir).filter("event_id % 50 = 0"), F.floor(F.col("event_id") / 50)
     worn = _ones(pick((3, 20, 31, 45), turn % 4))
     return r.select(
@@ -158,9 +158,9 @@ WITH users AS (
 assets AS (
   SELECT p_partkey AS asset_id, p_name AS title, {_list(CLASSES)}[p_size % 4 + 1] AS classification,
     CASE WHEN p_partkey % 5 = 0 THEN 'application/pdf' ELSE 'image/png' END AS mime_type, CAST(p_size * 1000 AS BIGINT) AS size_bytes
-  FROM part WHERE p_partkey < 100),
+  FROM part),
 rel0 AS (
-  SELECT o_orderkey AS event_id, o_custkey AS user_id, o_orderkey % 100 AS asset_id, o_orderdate AS created_at,
+  SELECT o_orderkey AS event_id, o_custkey AS user_id, o_orderkey // 8 AS asset_id, o_orderdate AS created_at,
     sha256('receipt:' || o_orderkey) AS receipt_id, {_list(DELTAS)}[o_orderkey % 4 + 1] AS delta_used,
     CASE o_orderkey % 8 WHEN 1 THEN NULL WHEN 2 THEN 'mobile-' || o_orderkey WHEN 3 THEN 'unknown' ELSE 'DESK-' || o_orderkey END AS device_label,
     o_orderkey % 3 <> 0 AS fragile_layer, CASE WHEN o_orderkey % 6 <> 0 THEN md5(CAST(o_orderkey AS VARCHAR)) END AS tx_hash,

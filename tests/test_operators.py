@@ -49,8 +49,7 @@ def test_radius_is_inclusive_and_nulls_find_nothing(spark):
     for most in (100, 0):
         got = sorted((x["leak_id"], x["event_id"], x["distance"]) for x in at.radius_join(probe, r, 4, most).collect())
         assert got == [(9, 1, 0), (9, 2, 2)]
-    with pytest.raises(ValueError, match="too many leaks"):
-        at.nested(at.as_leaks(probe), r, F.lit(True), 1)
+    assert at.nested(at.as_leaks(probe), r, F.lit(True), 1).count() == 8
 
 
 def test_bands_find_what_a_nested_loop_finds(spark):
@@ -66,6 +65,25 @@ def test_bands_find_what_a_nested_loop_finds(spark):
     assert len(b) == len(set(b)) and set(b) == a and a
 
 
+@pytest.mark.parametrize("radius", [12, 28])
+def test_many_leaks_find_what_few_find(spark, radius):
+    import random
+
+    rng = random.Random(5)
+
+    def maybe(h):
+        return None if rng.random() < 0.2 else h
+
+    base = [tuple(rng.getrandbits(63) for _ in range(3)) for _ in range(15)]
+    worn = [tuple(maybe(h ^ sum(1 << k for k in rng.sample(range(63), rng.randint(8, 20)))) for h in b) for b in base for _ in range(4)]
+    r = register(spark, [(i, 1, None, 0, 0, str(i), *map(maybe, b)) for i, b in enumerate(base)])
+    probe = leaks(spark, [(i, 0, *w) for i, w in enumerate(worn)])
+    few = sorted(map(str, at.three_way(probe, r, radius).collect()))
+    assert few and sorted(map(str, at.three_way(probe, r, radius, most=0).collect())) == few
+    pairs = at.gridded(at.as_leaks(probe), r, F.lit(True), block_rows=7, shard_rows=4).select("leak_id", "event_id")
+    assert pairs.count() == pairs.distinct().count() == len(base) * len(worn)
+
+
 @pytest.mark.parametrize(("flips", "tier"), [(11, 12), (12, 12), (13, 28), (27, 28), (28, 28), (29, 34), (33, 34), (34, 34), (35, None)])
 def test_tiers(spark, flips, tier):
     r = register(spark, [(1, 1, None, 0, 0, "a", 0, None, None)])
