@@ -133,3 +133,13 @@ def test_queries_over_whole_tables(spark):
     assert placed.agg(F.sum("length")).first()[0] == sum(len(ids_of(WORD_BPE, t)) + 1 for t in texts.values())
     fill = placed.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert fill.filter("n > 4096").count() == 0
+
+
+def test_units_encoded_as_lines_have_the_librarys_ids():
+    texts = ["", " ", "\n\n a  b", "a\n's 't don't\t\tx", "é  ñ!! \"q\"\r\n12ab", "a\x1cb \x1c", "日本 語\n\n\n", "<|endoftext|> a <|endoftext|>", "'s\n's 's", "\n", "x\x85y"]
+    encode = Encoder(BYTE_BPE, "byte")
+    for _ in range(2):  # units unknown, then known
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in encode([t.encode() for t in texts])]
+        assert got == [ids_of(BYTE_BPE, t) for t in texts]
+    many = [f"w{i}" if i % 3 else f" w{i}." for i in range(2500)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode._encode_lines([t.encode() for t in many], each=7)] == [ids_of(BYTE_BPE, t) for t in many]
