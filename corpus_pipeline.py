@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docprov.llm import exact_dedup, language_id, secret_scan, simhash
+from docprov.llm import exact_dedup, language_id, near_copies, secret_scan
 from docprov.llm.queries import packed
 from docprov.llm.shared import table, written
 
@@ -35,9 +35,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): the smallest doc_id."""
+    gone = near_copies.superfluous(docs).select(F.col("id").alias("_gone"))
+    return docs.join(gone, near_copies.row_key() == F.col("_gone"), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
