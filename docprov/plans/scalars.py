@@ -156,7 +156,9 @@ def r9(s, d):
     return _worn(s, d).select("event_id", m.alias("matches"), bits.half_up(m / 48, 6).alias("agreement"))
 
 
-@query("s3_file_source")
+@query("s3_file_source", r"""WITH p AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'pdf' WHEN page_id % 7 = 0 THEN 'exe' ELSE 'png' END AS kind, regexp_replace(coalesce(html, ''), '[\r\n]+', ' ', 'g') AS body FROM pages),
+f AS (SELECT kind, strlen(body) + CASE WHEN kind = 'pdf' THEN 5 ELSE 0 END AS n FROM p)
+SELECT kind, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_bytes FROM f WHERE kind <> 'exe' AND n <= 26214400 GROUP BY kind""")
 def s3(s, d):
     """The pages written as files and read as a file source: allowed types and sizes, with their leading bytes checked."""
     return files.accepted(files.stored(reg.table(s, d, "pages")))
