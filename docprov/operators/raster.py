@@ -127,6 +127,13 @@ def extract(image: DataFrame, delta: Column | int = 12, seed: str = "mark") -> D
     return known.groupBy(*keys).agg(number.alias("payload"), bits.half_up((F.sum(F.col("most") / F.col("n")) + (BITS - F.count("*")) * 0.5) / BITS, 6).alias("confidence"))
 
 
+def read_mark(image: DataFrame, delta: Column | int = 12, seed: str = "mark") -> DataFrame:
+    """extract(), with the flip that explains a wrong CRC undone; `corrected` where there was one."""
+    read = held(extract(image, delta, seed)).withColumn("_fixed", bits.repaired(F.col("payload")))
+    keys = [c for c in read.columns if c not in ("payload", "confidence", "_fixed")]
+    return held(read).select(*keys, F.col("_fixed").alias("payload"), "confidence", (F.col("_fixed") != F.col("payload")).alias("corrected"))
+
+
 def payload_for(image_id: Column) -> Column:
     return bits.build_payload(bits.short_id(F.sha2(F.concat(F.lit("image:"), image_id.cast("string")), 256)))
 
@@ -257,8 +264,8 @@ def turned(image: DataFrame) -> DataFrame:
 
 
 def best_turn(image: DataFrame, delta: int = 12) -> DataFrame:
-    """The reading of the orientation whose CRC holds, else of the highest confidence; unturned first on ties."""
-    read = extract(turned(image), delta).select(F.inline(F.array(F.struct("image_id", "turn", "payload", "confidence"))))
+    """The repaired reading of the orientation whose CRC holds (of several, the surest), else of the highest confidence; unturned first on ties."""
+    read = read_mark(turned(image), delta)
     read = read.withColumn("ok", bits.crc_ok(F.col("payload")))
     place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("ok"), F.desc("confidence"), "turn"))
     return read.withColumn("place", place).filter("place = 1").select("image_id", "turn", "payload", "confidence", "ok")

@@ -106,6 +106,39 @@ def r21(s, d):
     return read.select("image_id", m.alias("matching"), F.lit(48).alias("total"), bits.half_up(m / 48 * 100).cast("long").alias("pct"), (F.col("payload") == F.col("want")).alias("intact"))
 
 
+#: The repair behind ma: re has the payload with the first flip that explains its CRC undone.
+_FIX = f""", eff AS (SELECT q AS i, CASE WHEN q < 36 THEN CAST({reg.SQL_CRC.format(x='(CAST(1 AS BIGINT) << greatest(35 - q, 0))')} AS BIGINT) ELSE CAST(1 AS BIGINT) << (43 - q) END AS e, CAST(1 AS BIGINT) << (47 - q) AS m FROM (SELECT CAST(unnest(range(44)) AS INTEGER) AS q)),
+flips AS (SELECT i, -1 AS j, e, m FROM eff UNION ALL SELECT a.i, b.i, xor(a.e, b.e), a.m | b.m FROM eff a JOIN eff b ON a.i < b.i WHERE b.i < 36),
+firsts AS (SELECT e, m FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY j >= 0, i, j) AS n FROM flips) WHERE n = 1 AND e <> 0),
+syn AS (SELECT *, xor(CAST({reg.SQL_CRC.format(x='(payload >> 12)')} AS BIGINT), (payload >> 4) & 255) AS s FROM ma),
+re AS (SELECT syn.* EXCLUDE (payload, s), xor(payload, coalesce(m, 0)) AS payload, m IS NOT NULL AS corrected FROM syn LEFT JOIN firsts ON s = e)"""
+
+
+@query("m3_repaired_extract", _votes() + _FIX + " SELECT image_id, payload, confidence, corrected FROM re")
+def m3_repaired(s, d):
+    return op.read_mark(_images(s, d))
+
+
+@query("m4_repaired_extract", _votes("t % 32 BETWEEN 4 AND 20 AND t // 32 BETWEEN 3 AND 9") + _FIX + " SELECT image_id, payload, confidence, corrected FROM re")
+def m4_repaired(s, d):
+    inside = (F.col("t") % 32).between(4, 20) & F.floor(F.col("t") / 32).between(3, 9)
+    return op.read_mark(_images(s, d).filter(inside))
+
+
+@query("m6_repaired_sweep", _votes(delta="d") + _FIX + " SELECT image_id, delta, payload, confidence, corrected FROM re")
+def m6_repaired(s, d):
+    swept = _images(s, d).withColumn("delta", F.explode(F.array(*map(F.lit, (8, 12, 14, 16)))))
+    return op.read_mark(swept, F.col("delta").cast("double"))
+
+
+@query("r21_repaired_inspection", _votes() + _FIX + f""", w AS (SELECT *, CAST('0x' || substr(sha256('image:' || image_id), 1, 9) AS BIGINT) AS sid FROM re),
+x AS (SELECT image_id, payload, corrected, (sid << 12) | (CAST({reg.SQL_CRC.format(x='sid')} AS BIGINT) << 4) | 1 AS want FROM w)
+SELECT image_id, corrected, 48 - bit_count(xor(payload, want)) AS matching, payload = want AS intact FROM x""")
+def r21_repaired(s, d):
+    read = op.read_mark(_images(s, d)).withColumn("want", op.payload_for(F.col("image_id")))
+    return read.select("image_id", "corrected", bits.matching(F.col("payload"), F.col("want")).alias("matching"), (F.col("payload") == F.col("want")).alias("intact"))
+
+
 @query("m2_robust_embed")
 def m2(s, d):
     """Marks embedded and read back: bits recovered and PSNR of every image."""
