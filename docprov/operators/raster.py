@@ -284,6 +284,36 @@ def coarse(image: DataFrame, scale: int = 3) -> DataFrame:
     return means.groupBy("image_id", t.alias("t")).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("i"), "v"))), lambda x: x["v"]).alias("px"))
 
 
+def stretched(image: DataFrame, share: float = 1.0) -> DataFrame:
+    """image_id, t, px: the upper `share` of each image stretched over GRID by GRID tiles, the nearest value for each.
+
+    An image is as wide and as high as the tiles that it has. Its values go to all places that they fill, so that no
+    join is needed.
+    """
+    side = 8 * GRID
+    column, row = F.col("t") % GRID, F.floor(F.col("t") / GRID).cast("int")
+    size = image.groupBy("image_id").agg(((F.max(column) + 1) * 8).alias("w"), F.floor((F.max(row) + 1) * 8 * share + 0.5).cast("int").alias("h"))
+    spots = image.join(size, "image_id").select("image_id", "w", "h", column.alias("cx"), row.alias("cy"), F.posexplode("px").alias("i", "v"))
+    spots = spots.select("image_id", "w", "h", "v", (F.col("cx") * 8 + F.col("i") % 8).alias("x"), (F.col("cy") * 8 + F.floor(F.col("i") / 8)).cast("int").alias("y"))
+
+    def places(at: str, of: str) -> Column:
+        return F.sequence(F.ceil(F.col(at) * side / F.col(of)).cast("int"), F.ceil((F.col(at) + 1) * side / F.col(of)).cast("int"))  # the last is the next one's
+
+    wide = spots.filter("y < h").withColumn("gx", F.explode(places("x", "w"))).filter(F.floor(F.col("gx") * F.col("w") / side) == F.col("x"))
+    full = wide.withColumn("gy", F.explode(places("y", "h"))).filter(F.floor(F.col("gy") * F.col("h") / side) == F.col("y")).filter((F.col("gx") < side) & (F.col("gy") < side))
+    t = F.floor(F.col("gy") / 8).cast("int") * GRID + F.floor(F.col("gx") / 8).cast("int")
+    place = F.col("gy") % 8 * 8 + F.col("gx") % 8
+    return full.groupBy("image_id", t.alias("t")).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("i"), "v"))), lambda x: x["v"]).alias("px"))
+
+
+def passes(image: DataFrame, reference: int = 0) -> DataFrame:
+    """image_id, pass, t, px: as it came, stretched to full size, that with the reference's tones, and its upper 55 percent."""
+    scaled = stretched(image)
+    each = {"direct": image, "scaled": scaled, "tones": tone_match(scaled, reference), "topcrop": stretched(image, 0.55)}
+    out = [df.select("image_id", F.lit(k).alias("pass"), "t", "px") for k, df in each.items()]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
 def attacked(image: DataFrame) -> DataFrame:
     """image under attacks that are arithmetic on tiles: none, brighter, halved, blurred, cropped."""
 

@@ -18,3 +18,20 @@ def test_a_wrong_bit_is_repaired(spark):
     turned = raster.turned(worn).filter("turn = 1").select("image_id", "t", "px")
     found = raster.best_turn(turned).select("image_id", "ok", (F.col("payload") == want).alias("same"))
     assert sorted(map(tuple, found.collect())) == [(0, True, True), (1, True, True)]
+
+
+def test_each_pass_reads_what_the_others_cannot(spark):
+    """A mark in half the width and height is read by the scaled pass, one in the upper 55 percent by topcrop."""
+    marked = raster.embed(flat(spark, 1), raster.payload_for(F.col("image_id")), 16)
+    rows = {r["t"]: r["px"] for r in marked.collect()}
+
+    def value(x, y):
+        return rows[y // 8 * 32 + x // 8][y % 8 * 8 + x % 8]
+
+    half = [(0, ty * 32 + tx, [value(2 * (tx * 8 + i % 8), 2 * (ty * 8 + i // 8)) for i in range(64)]) for ty in range(16) for tx in range(16)]
+    upper = [(1, ty * 32 + tx, [value(tx * 8 + i % 8, min(255, -(-(ty * 8 + i // 8) * 256 // 141))) if ty * 8 + i // 8 < 141 else 7 for i in range(64)]) for ty in range(32) for tx in range(32)]
+    leak = spark.createDataFrame(half + upper, "image_id long, t int, px array<int>")
+    got = raster.read_mark(raster.passes(leak), 16).withColumn("m", bits.matching(F.col("payload"), raster.payload_for(F.lit(0))))
+    m = {(r["image_id"], r["pass"]): r["m"] for r in got.collect()}
+    assert m[0, "scaled"] == 48 and m[0, "direct"] < 40
+    assert m[1, "topcrop"] >= 44 and m[1, "direct"] < 40
