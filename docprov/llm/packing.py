@@ -70,11 +70,11 @@ def pack(docs: DataFrame, tokenizer: str, units: str, end_id: int, size: int = 4
     """The pieces of all documents with their sequence_id and the offset there; offsets are gapless from 0.
 
     docs needs doc_id and text; other columns are ignored. Null text is empty and gives end_id alone. A piece's group
-    is a hash of its ids, doc_id and start: about group_bytes of text fall to a group, whatever the lengths of
+    is a hash of its ids, doc_id and start: about group_bytes of text, 16 more counted for each row, fall to a group, whatever the lengths of
     documents, as no piece is longer than size. Rows that repeat another are packed like any other. An empty table gives
     no rows.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a token takes a byte of text at least
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0  # a token takes a byte of text at least; a row has one more
     groups = max(1, math.ceil(total / group_bytes))
 
     def run(t: pa.Table) -> pa.Table:
