@@ -170,7 +170,8 @@ def reference(kind: str, value: Column) -> Column:
 
 def search(rows: DataFrame, term: str) -> DataFrame:
     """Investigations whose number, verdict or date holds the term, case aside."""
-    number = F.concat(F.lit("inv-"), F.lpad(F.col("investigation_id").cast("string"), 5, "0"))
+    digits = F.col("investigation_id").cast("string")
+    number = F.concat(F.lit("inv-"), F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits))  # lpad cuts longer ones
     hay = (number, F.lower("verdict"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
     want = term.strip().lower()
     found = hay[0].contains(want) | hay[1].contains(want) | hay[2].contains(want)
