@@ -1,7 +1,8 @@
 """Packing token ids into sequences: first-fit decreasing in random groups of pieces.
 
-A document is cut every `size` ids; its pieces go to random groups of bounded size, each packed on its own by
-first-fit decreasing, with a tournament tree over the bins' free space to find the first that fits.
+A document is cut every `size` ids into pieces, which are written with their ids. What is packed are their lengths: pieces go
+to random groups of bounded size, each packed on its own by first-fit decreasing, with a tournament tree over the bins' free
+space to find the first that fits. Ids move only where sequences are built.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 from .token_ids import as_bytes, encoder, slices
 
-_PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
-_PACKED = _PIECES + ", sequence_id long, offset long"
+_PIECES = "piece_id long, doc_id long, start long, length long, doc_tokens long, ids binary"
+_PLACED = "piece_id long, doc_id long, start long, length long, doc_tokens long, ids_crc32 long"
 
 
 def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,10 +51,16 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
 
 
 def pieces(docs: DataFrame, tokenizer: str, units: str, end_id: int, size: int = 4096) -> DataFrame:
-    """doc_id, start, length, doc_tokens and ids (binary, little-endian unsigned 32-bit) of each document's pieces."""
+    """A written table of the pieces of all documents: piece_id (a number of its own), doc_id, start, length, doc_tokens, ids
+    (binary, little-endian unsigned 32-bit) and ids_crc32.
+
+    docs needs doc_id and text; other columns are ignored. Null text is empty and gives end_id alone. Rows that repeat another,
+    or a doc_id, have pieces of their own. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer, units), end_id.to_bytes(4, "little")
+        number = TaskContext.get().partitionId() << 36
         for b in slices(batches):
             rows = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
@@ -59,37 +68,37 @@ def pieces(docs: DataFrame, tokenizer: str, units: str, end_id: int, size: int =
                 n = len(ids) // 4
                 for start in range(0, n, size):
                     part = ids[4 * start : 4 * (start + size)]
-                    rows.append((doc_id, start, len(part) // 4, n, part))
+                    rows.append((number, doc_id, start, len(part) // 4, n, part))
+                    number += 1
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], names=["piece_id", "doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return as_bytes(docs).mapInArrow(run, _PIECES)
+    return written(as_bytes(docs).mapInArrow(run, _PIECES).withColumn("ids_crc32", F.crc32("ids")), "pieces")
 
 
-def pack(docs: DataFrame, tokenizer: str, units: str, end_id: int, size: int = 4096, group_bytes: int = 16 << 20, seed: int = 7) -> DataFrame:
-    """The pieces of all documents with their sequence_id and the offset there; offsets are gapless from 0.
+def pack(cut: DataFrame, size: int = 4096, group_rows: int = 20_000, seed: int = 7) -> DataFrame:
+    """pieces()'s rows, without ids, with their sequence_id and the offset there; offsets are gapless from 0.
 
-    docs needs doc_id and text; other columns are ignored. Null text is empty and gives end_id alone. A piece's group
-    is a hash of its ids, doc_id and start: about group_bytes of text, 16 more counted for each row, fall to a group, whatever the lengths of
-    documents, as no piece is longer than size. Rows that repeat another are packed like any other. An empty table gives
-    no rows.
+    A piece's group is a hash of its piece_id: about group_rows of them fall to a group, whatever they hold, repeated rows too.
+    An empty table gives no rows.
     """
-    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0  # a token takes a byte of text at least; a row has one more
-    groups = max(1, math.ceil(total / group_bytes))
+    groups = max(1, math.ceil(cut.count() / group_rows))
 
     def run(t: pa.Table) -> pa.Table:
-        order = t.sort_by([("doc_id", "ascending"), ("start", "ascending")])
+        order = t.sort_by("piece_id")
         bins, offsets = first_fit_decreasing(order.column("length").to_numpy(), size)
         first = order.column("grp")[0].as_py() << 32 if order.num_rows else 0
         return order.drop_columns(["grp"]).append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets))
 
-    dealt = pieces(docs, tokenizer, units, end_id, size).withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInArrow(run, _PACKED)
+    dealt = cut.drop("ids").withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "piece_id"), F.lit(groups)))
+    return dealt.groupBy("grp").applyInArrow(run, f"{_PLACED}, sequence_id long, offset long")
 
 
-def sequences(packed: DataFrame, size: int = 4096, pad: int = 0) -> DataFrame:
-    """sequence_id, length and ids (binary) of the packed sequences; a sequence at a power of two is not padded."""
-    joined = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
+def sequences(packed: DataFrame, cut: DataFrame, size: int = 4096, pad: int = 0) -> DataFrame:
+    """sequence_id, length and ids (binary) of the sequences of cut (pieces()) as packed (pack()); one at a power of two is not
+    padded."""
+    rows = packed.select("sequence_id", "offset", "piece_id").join(cut.select("piece_id", "ids"), "piece_id")
+    joined = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     whole = joined.select("sequence_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids")).withColumn("length", (F.octet_length("ids") / 4).cast("long"))
     filled = F.concat("ids", F.unhex(F.repeat(F.lit(pad.to_bytes(4, "little").hex()), (F.lit(size) - F.col("length")).cast("int"))))
     power = F.bit_count("length") == 1

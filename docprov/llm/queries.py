@@ -52,7 +52,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """The digest columns of op9 and of the pipeline's last stage."""
-    return packing.pack(docs, WORD_BPE, "word", end_id=2).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packing.pack(packing.pieces(docs, WORD_BPE, "word", end_id=2)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -19,96 +20,127 @@ from docprov.functions.workers import ship
 UNITS = {"word": re.compile(rb"[^\s]+"), "byte": re.compile(rb" ?[^\s]+|\s+(?!\S)|\s+")}
 #: White space outside ASCII, in UTF-8: a text that holds any is encoded whole where units hold white space.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_encoders: dict = {}
-
-
-#: ASCII punctuation that stands apart from letters and digits in both files; not the apostrophe, which contractions start with.
-_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: First bytes of combining characters that join ASCII letters: lower-casing before normalising could change those.
 _JOINS = re.compile(rb"[\xcc\xcd]")
+#: Other characters than those of ASCII that are seen and the letters that UTF-8 starts with 0xC3: units with any are left to
+#: the library's own normaliser and pre-tokenizer.
+_ODD = re.compile(rb"[\x00-\x1f\x7f\xc0-\xc2\xc4-\xff]|\xc3[\x97\xb7]")
+_LETTERS, _MARKS = rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+", rb"[!-/:-@\[-`{-~]+"
+_SHORT = rb"'(?:s|t|re|ve|m|ll|d)"
+#: What other units, a line each, are cut into: as the files' own pre-tokenizers cut them.
+_CUTS = {
+    "word": re.compile(rb"\n|" + _SHORT + b"|" + _LETTERS + b"|[0-9]|" + _MARKS),
+    "byte": re.compile(rb"\n|" + _SHORT + b"| ?" + _LETTERS + b"| ?[0-9]+| ?" + _MARKS),
+}
+#: The pattern of the pre-tokenizer that "word" holds for.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in vocabularies of bytes: those that are seen for themselves, others from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTER_OF = _byte_letters()
+_LINE = _LETTER_OF.pop(10)  # line feeds stand between parts
+_encoders: dict = {}
 
 
-def _letter(c: bytes) -> bool:
-    """True for one ASCII letter or digit, or a letter of two bytes that start with 0xC3."""
-    return c.isalnum() or (c[:1] == b"\xc3" and c[1:] not in (b"\x97", b"\xb7"))
-
-
-def _parts(unit: bytes) -> list[bytes]:
-    """The unit, cut where marks meet letters, if it is marks around one word and has no apostrophe."""
-    core = unit.strip(_MARKS)
-    if len(core) == len(unit) or not core or b"'" in unit:
-        return [unit]
-    i, j = unit.index(core[:1]), len(unit.rstrip(_MARKS))
-    first, last = core[:2] if core[0] > 127 else core[:1], core[-2:] if core[-1] > 127 else core[-1:]
-    if (i and not _letter(first)) or (j < len(unit) and not _letter(last)):
-        return [unit]
-    return [p for p in (unit[:i], core, unit[j:]) if p]
+def fits(path: str, units: str) -> bool:
+    """True if the file's normaliser and pre-tokenizer are those that this kind of units was made for."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut, norm = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
+    if units == "byte":
+        return not norm and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    steps = [x["type"] for x in norm.get("normalizers", [])]
+    first, *rest = cut.get("pretokenizers", [{}])
+    whole = len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0].get("use_regex", True) and not rest[0].get("add_prefix_space")
+    return steps == ["NFC", "Replace", "Lowercase"] and whole and first.get("pattern") == {"Regex": _WORD_SPLIT} and bool(first.get("invert"))
 
 
 class Encoder:
     """ids of texts in UTF-8, as bytes of little-endian unsigned 32-bit ids; the library decides on every unit.
 
-    most: units remembered; beyond it all are forgotten, which costs time and changes nothing.
+    Units of up to `longest` bytes are remembered. most: bytes that these may take, about; at half of it those not met since
+    the last time are forgotten, which costs time and changes nothing.
     """
 
-    def __init__(self, path: str, units: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, units: str, most: int = 128 << 20, longest: int = 64) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their names in a text are ordinary text
-        self.units, self.spaced, self.most, self.known = UNITS[units], units == "byte", most, {}
-        self.feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.library, self.inner = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.library.encode_special_tokens = self.inner.encode_special_tokens = True  # their names in a text are ordinary text
+        self.inner.normalizer, self.inner.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.line = self.inner.encode(_LINE, add_special_tokens=False).ids
+        self.units, self.cut, self.spaced = UNITS[units], _CUTS[units].findall, units == "byte"
+        self.most, self.longest, self.known, self.older, self.size = most, longest, {}, {}, 0
+        self.whole = not fits(path, units) or len(self.line) != 1
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def _encode_lines(self, units: list[bytes], each: int = 1000) -> list[bytes]:
-        """As _encode, for units without white space but a leading space: many are lines of one text, whose line feeds have an id
-        of their own. A line feed never joins what stands beside it."""
+    def _encode_parts(self, parts: list[bytes], each: int = 500) -> list[bytes]:
+        """As _encode, for what _CUTS gives: normalised and cut already, many stand in one text with a line feed's id between."""
         out: list = []
-        for k in range(0, len(units), 64 * each):
-            texts = [b"\n".join((b"", *units[i : i + each], b"")).decode() for i in range(k, min(k + 64 * each, len(units)), each)]
-            for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
+        for k in range(0, len(parts), 16 * each):
+            texts = [b"\n".join((b"", *parts[i : i + each], b"")) for i in range(k, min(k + 16 * each, len(parts)), each)]
+            if not self.spaced:
+                texts = [t.decode().lower().encode() for t in texts]
+            texts = [t.decode("latin-1").translate(_LETTER_OF).replace("\n", f"\n{_LINE}\n") for t in texts]
+            for e in self.inner.encode_batch_fast(texts, add_special_tokens=False):
                 ids = np.array(e.ids, "<u4")
-                raw, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.feed[0])).tolist()
+                raw, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.line[0])).tolist()
                 out.extend(raw[a + 4 : b] for a, b in zip(at, at[1:], strict=False))
         return out
 
-    def _learn(self, units: set[bytes]) -> None:
-        known = self.known
-        if len(known) + len(units) > self.most:
-            known.clear()
-        if self.spaced and len(self.feed) == 1:
-            runs = [u for u in units if u[-1:].isspace()]
-            lines = list(units.difference(runs))
-            known.update(zip(runs, self._encode(runs), strict=True))
-            known.update(zip(lines, self._encode_lines(lines), strict=True))
-            return
-        parts = {u: p for u in units if len(p := _parts(u)) > 1}
-        new = list(({u for u in units if u not in parts} | {x for p in parts.values() for x in p}) - known.keys())
-        known.update(zip(new, self._encode(new), strict=True))
-        for u, p in parts.items():
-            known[u] = b"".join(map(known.__getitem__, p))
+    def _learn(self, units: set[bytes]) -> dict[bytes, bytes]:
+        """ids of units that aren't in known; what is short is put there."""
+        known, older, odd = self.known, self.older, _ODD.search
+        got = {u: older[u] for u in units if u in older}
+        plain, rest = [], []
+        for u in units:
+            if u not in got:
+                (rest if odd(u) or u.isspace() else plain).append(u)
+        got.update(zip(rest, self._encode(rest), strict=True))
+        parts = self.cut(b"\n".join((*plain, b""))) if plain else []
+        of = {p: known[p] if p in known else older.get(p) for p in set(parts)}
+        fresh = [p for p, ids in of.items() if ids is None and p != b"\n"]
+        of.update(zip(fresh, self._encode_parts(fresh), strict=True))
+        start = 0
+        for u in plain:
+            stop = parts.index(b"\n", start)
+            got[u] = of[parts[start]] if stop == start + 1 else b"".join(map(of.__getitem__, parts[start:stop]))
+            start = stop + 1
+        if self.size > self.most // 2:
+            self.older, self.known, self.size = known, {}, 0
+        self.known.update(got if max(map(len, got), default=0) <= self.longest else {u: ids for u, ids in got.items() if len(u) <= self.longest})
+        self.size += sum(map(len, got)) + sum(map(len, got.values())) + 180 * len(got)
+        return got
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if self.whole:
+            return self._encode(texts)
         out: list = []
         for t in texts:
-            if self.spaced and _WIDE_SPACE.search(t):
+            if not self.spaced:
+                out.append((t if _JOINS.search(t) else t.lower()).split())
+            elif _WIDE_SPACE.search(t):
                 out.append(self._encode([t])[0])
             else:
-                out.append(self.units.findall(t if self.spaced or _JOINS.search(t) else t.lower()))
-        get = self.known.get
-        found = [x if isinstance(x, bytes) else list(map(get, x)) for x in out]
-        new = {u for x, f in zip(out, found, strict=True) if not isinstance(x, bytes) and None in f for u, ids in zip(x, f, strict=True) if ids is None}
-        if new:
-            self._learn(new)
-        for i, (x, f) in enumerate(zip(out, found, strict=True)):
+                out.append(self.units.findall(t))
+        every: set = set()
+        for x in out:
             if not isinstance(x, bytes):
-                if None in f:
-                    f = [get(u) if ids is None else ids for u, ids in zip(x, f, strict=True)]
-                out[i] = b"".join(f)
-        return out
+                every.update(x)
+        known = self.known
+        ids = {u: known[u] for u in every if u in known}
+        ids.update(self._learn(every.difference(ids)))
+        of = ids.__getitem__
+        return [x if isinstance(x, bytes) else b"".join(map(of, x)) for x in out]
 
 
 def encoder(path: str, units: str) -> Encoder:

@@ -1,7 +1,7 @@
 """Packing and token-id files against the library applied to whole texts."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
@@ -94,16 +94,19 @@ def test_first_fit_decreasing_is_first_fit():
 
 
 def test_packing_places_every_id_once(spark):
-    rows = packing.pack(docs(spark), WORD_BPE, "word", end_id=2, size=64, group_bytes=20000).collect()
+    cut = packing.pieces(docs(spark), WORD_BPE, "word", end_id=2, size=64)
+    ids = {r["piece_id"]: bytes(r["ids"]) for r in cut.collect()}
+    rows = packing.pack(cut, size=64, group_rows=30).collect()
+    assert len(rows) == len(ids) and len({r["sequence_id"] >> 32 for r in rows}) > 1
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
         by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
-        assert len(r["ids"]) == 4 * r["length"]
+        assert len(ids[r["piece_id"]]) == 4 * r["length"] and zlib.crc32(ids[r["piece_id"]]) == r["ids_crc32"]
     for doc_id, text, _ in TEXTS:
         want = np.array([*ids_of(WORD_BPE, text), 2], "<u4").tobytes()
         parts = sorted(by_doc[doc_id], key=lambda r: r["start"])
-        assert b"".join(bytes(p["ids"]) for p in parts) == want
+        assert b"".join(ids[p["piece_id"]] for p in parts) == want
         assert {p["doc_tokens"] for p in parts} == {len(want) // 4}
     for parts in by_sequence.values():
         at = 0
@@ -111,10 +114,16 @@ def test_packing_places_every_id_once(spark):
             assert offset == at
             at += length
         assert at <= 64
-    packed = packing.pack(docs(spark), WORD_BPE, "word", end_id=2, size=64)
-    for r in packing.sequences(packed, size=64).collect():
+    for r in packing.sequences(packing.pack(cut, size=64), cut, size=64).collect():
         assert len(r["ids"]) // 4 == (r["length"] if r["length"].bit_count() == 1 else 64)
-    assert packing.pack(docs(spark).filter("false"), WORD_BPE, "word", 2).count() == 0
+    assert packing.pack(packing.pieces(docs(spark).filter("false"), WORD_BPE, "word", 2)).count() == 0
+
+
+def test_one_row_repeated_fills_many_groups(spark):
+    many = spark.range(20000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("the same row").alias("text"))
+    rows = packing.pack(packing.pieces(many, WORD_BPE, "word", end_id=2), group_rows=1000).collect()
+    sizes = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(rows) == 20000 and len(sizes) == 20 and max(sizes.values()) < 1300
 
 
 def test_queries_over_whole_tables(spark):
@@ -141,5 +150,5 @@ def test_units_encoded_as_lines_have_the_librarys_ids():
     for _ in range(2):  # units unknown, then known
         got = [np.frombuffer(ids, "<u4").tolist() for ids in encode([t.encode() for t in texts])]
         assert got == [ids_of(BYTE_BPE, t) for t in texts]
-    many = [f"w{i}" if i % 3 else f" w{i}." for i in range(2500)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encode._encode_lines([t.encode() for t in many], each=7)] == [ids_of(BYTE_BPE, t) for t in many]
+    many = [f"w{i}'s!?'d" if i % 3 else f" É{i}.÷" for i in range(2500)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in many])] == [ids_of(BYTE_BPE, t) for t in many]
