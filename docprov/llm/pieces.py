@@ -1,7 +1,7 @@
 """SentencePiece BPE encoding by suffix-array matching, and decoding.
 
-A batch's texts are cut before every run of the space mark, where no piece of the vocabulary can reach across, and the
-different units are put one behind another. A suffix array of that text is searched for every piece of the vocabulary;
+A batch's texts are cut before every run of the space mark, where no piece of the vocabulary can reach across, and between
+characters that stand side by side in no piece; what is new of these parts is put one behind another. A suffix array of that text is searched for every piece of the vocabulary;
 the ranges found are all edges (place, piece). Sorted by place, they are relaxed from left to right: the encoding of a
 prefix of BPE ends in exactly one piece, so an edge is taken if it may follow the piece that ends where it starts, that
 is, if no merge across their border comes before the merges that made both.
@@ -12,7 +12,7 @@ from __future__ import annotations
 import array
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from .token_ids import as_bytes, slices
 MARK = "▁"
 _NEVER = float("inf")
 _models: dict = {}
+_vocabularies: dict = {}
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -38,14 +39,19 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def ranges(codes: np.ndarray, order: np.ndarray, words: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """[low, high) of order for each of words: where the suffixes start with it. All are searched together, item by item."""
-    low, high = np.zeros(len(words), np.int64), np.full(len(words), len(order))
-    wide = int(codes.max(initial=0)) + 2
-    sizes = np.array([len(w) for w in words])
-    grid = np.full((len(words), max(sizes, default=0)), -1, np.int64)
+def grid_of(words: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes of words, their items padded by -1): what ranges() searches for."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    grid = np.full((len(words), int(sizes.max(initial=0))), -1, np.int32)
     for i, w in enumerate(words):
         grid[i, : len(w)] = w
+    return sizes, grid
+
+
+def ranges(codes: np.ndarray, order: np.ndarray, sizes: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[low, high) of order for each word: where the suffixes start with it. All are searched together, item by item."""
+    low, high = np.zeros(len(sizes), np.int64), np.full(len(sizes), len(order))
+    wide = int(codes.max(initial=0)) + 2
     group = np.zeros(len(order), np.int64)
     padded = np.concatenate([codes, np.full(grid.shape[1] + 1, -1)])
     for level in range(grid.shape[1]):
@@ -63,34 +69,63 @@ def ranges(codes: np.ndarray, order: np.ndarray, words: list[list[int]]) -> tupl
     return low, high
 
 
-class Model:
-    """Pieces and scores of a SentencePiece BPE file with byte fallback; the library only reads the file."""
+class Vocabulary:
+    """Pieces of a SentencePiece BPE file with byte fallback, and what each says; the library only reads the file."""
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.vocab_size()
-        self.most, self.known, self.fits, self.n_fits = most, {}, {}, 0
         self.byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(size) if sp.is_byte(i)}
         plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
-        self.rank = {sp.id_to_piece(i): -sp.get_score(i) for i in plain}
+        self.rank = {p: -sp.get_score(i) for p, i in self.ids.items()}
         self.bytes = [b""] * size
         for b, i in self.byte_ids.items():
             self.bytes[i] = bytes([b])
         for p, i in self.ids.items():
             self.bytes[i] = p.replace(MARK, " ").encode()
         self.bytes[sp.unk_id()] = " ⁇ ".encode()
+        # what Model takes for granted: texts are not normalised, and begin with a mark of their own
+        self.taken_as_is = sp.normalize("a  ﬁ é\n") == "▁a▁▁ﬁ▁é\n"
+
+    def decode(self, ids: bytes) -> str:
+        data = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return data[1:].decode(errors="replace") if data[:1] == b" " else data.decode(errors="replace")
+
+
+class Model(Vocabulary):
+    """Encodes. most: bytes that remembered units may take, about; beyond it all are forgotten, which changes nothing but time.
+    Units of more than `longest` bytes are not remembered."""
+
+    def __init__(self, path: str, most: int = 64 << 20, longest: int = 64, most_fits: int = 200_000) -> None:
+        super().__init__(path)
+        if not self.taken_as_is:
+            raise ValueError("this model normalises texts")
+        self.most, self.longest, self.known, self.size = most, longest, {}, 0
+        self.most_fits, self.fits, self.n_fits, self.spines = most_fits, {}, 0, {}
         self.pieces = sorted(self.ids)
-        self.codes = [[ord(c) for c in p] for p in self.pieces]
         self.sized = [(p, len(p)) for p in self.pieces]
-        self.longest = max(map(len, self.pieces))
+        self.longest_piece = max(map(len, self.pieces))
+        self.grid = grid_of([[ord(c) + 1 for c in p] for p in self.pieces])
         self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        self.part_ids: dict[str, bytes] = {}
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
         self.unit = re.compile(b"(?s).+" if crossing else b" *[^ ]+| +")
-        self.spines: dict = {}
+        # where runs of marks are merged behind all else, and greedily, they can be told apart from the word behind them
+        runs = {p for p in self.pieces if p.startswith(MARK * 2)}
+        self.runs = sorted((len(p) for p in runs if p == MARK * len(p)), reverse=True)
+        others = max((r for p, r in self.rank.items() if p not in runs and len(p) > 1), default=0)
+        apart = not crossing and len(runs) == len(self.runs) and all(self.rank[p] > others for p in runs)
+        self.greedy = apart and all(self.merged(MARK * n)[0] == self._run(n) for n in range(1, 5 * self.longest_piece))
+
+    def _run(self, n: int) -> list[str]:
+        """n marks by the longest pieces of marks."""
+        out = []
+        for size in self.runs:
+            out += [MARK * size] * (n // size)
+            n %= size
+        return out + [MARK] * n
 
     def merged(self, text: str) -> tuple[list[str], dict]:
         """BPE's pieces of text by merging, best score first and leftmost of equals; and the two parts of each merge."""
@@ -164,90 +199,150 @@ class Model:
                 out.append(i)
         return out.tobytes()
 
-    def _encode_units(self, units: list[str]) -> list[bytes]:
-        """ids of different units, none of them empty."""
-        codes = np.frombuffer("\0".join(units).encode("utf-32-le"), "<u4").astype(np.int64) + 1
-        sizes = np.array([len(u) for u in units])
-        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        codes[(starts + sizes)[:-1]] = 0  # between units, and in no piece
-        order = suffix_array(codes, self.longest)
-        low, high = ranges(codes, order, [[c + 1 for c in w] for w in self.codes])
+    def _edges(self, codes: np.ndarray) -> tuple[list[int], list[tuple[str, int]]]:
+        """(bounds, pieces): place k of codes has the edges pieces[bounds[k] : bounds[k + 1]]."""
+        order = suffix_array(codes, self.longest_piece)
+        low, high = ranges(codes, order, *self.grid)
         counts = high - low
-        piece = np.repeat(np.arange(len(self.pieces)), counts)
+        piece = np.repeat(np.arange(len(self.pieces), dtype=np.int32), counts)
         place = order[np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(len(piece))]
         by_place = np.argsort(place, kind="stable")
         bounds = np.searchsorted(place[by_place], np.arange(len(codes) + 1)).tolist()
-        if self.n_fits >= self.most // 2:
+        return bounds, list(map(self.sized.__getitem__, piece[by_place].tolist()))
+
+    def _encode_parts(self, parts: Iterable[str], chunk: int) -> Iterator[bytes]:
+        """ids of parts, none of them empty. About `chunk` characters stand in a suffix array: longer parts go through several,
+        that overlap by the longest piece."""
+        some, held = [], 0
+        for p in parts:
+            if some and held + len(p) > chunk:
+                yield from self._encode_some(some, chunk)
+                some, held = [], 0
+            some.append(p)
+            held += len(p) + 1
+        if some:
+            yield from self._encode_some(some, chunk)
+
+    def _encode_some(self, parts: list[str], chunk: int) -> Iterator[bytes]:
+        if self.n_fits > self.most_fits:
             self.fits.clear()
             self.n_fits = 0
-        piece = list(map(self.sized.__getitem__, piece[by_place].tolist()))
-        return [self._ids(self._relax(u, start, bounds, piece)) for u, start in zip(units, starts.tolist(), strict=True)]
-
-    def _relax(self, unit: str, start: int, bounds: list[int], piece: list[tuple[str, int]]) -> list[str]:
-        """The pieces of a unit; its place k has the edges piece[bounds[start + k] : bounds[start + k + 1]]."""
-        n, ids = len(unit), self.ids
-        if unit.startswith(MARK * 2):  # runs of marks have equal scores: their merges have no order but that of places
-            return self.merged(unit)[0]
+        if len(parts) == 1 and len(parts[0]) > chunk:
+            yield self._ids(self._relax(parts[0], self._windows(parts[0], chunk)))
+            return
+        sizes = np.array([len(p) for p in parts])
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        codes = np.frombuffer("\0".join(parts).encode("utf-32-le"), "<u4").astype(np.int64) + 1
+        codes[(starts + sizes)[:-1]] = 0  # between parts, and in no piece
+        bounds, piece = self._edges(codes)
+        for p, at in zip(parts, starts.tolist(), strict=True):
+            yield self._ids(self._relax(p, iter([(len(p), at, bounds, piece)])))
+
+    def _windows(self, part: str, chunk: int) -> Iterator[tuple]:
+        for lo in range(0, len(part), chunk):
+            text = part[lo : lo + chunk + self.longest_piece]
+            bounds, piece = self._edges(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64) + 1)
+            yield min(lo + chunk, len(part)), -lo, bounds, piece
+
+    def _relax(self, part: str, windows: Iterator[tuple]) -> list[str]:
+        """The pieces of a part. A window (until, at, bounds, piece) has the edges of places before `until`; those of place k are
+        piece[bounds[at + k] : bounds[at + k + 1]]."""
+        n, ids, here = len(part), self.ids, 0
         last: list[str | None] = [None] * (n + 1)
-        for here in range(n):
-            left, k, stop = last[here], bounds[start + here], bounds[start + here + 1]
-            if here == 0:
-                for p, size in piece[k:stop]:
-                    if self.spine(p) is not None:
-                        last[size] = p
-            elif left is None:
-                continue
-            else:
-                row = self.fits.get(left)
-                if row is None:
-                    row = self.fits[left] = {}
-                for p, size in piece[k:stop]:
-                    fits = row.get(p)
-                    if fits is None:
-                        fits = self._fit(row, left, p)
-                    if fits:
-                        last[here + size] = p
-            c = unit[here]
-            if c not in ids and (here == 0 or self.may_follow(left, c)):  # no piece: bytes stand for it
-                last[here + 1] = c
+        for until, at, bounds, piece in windows:
+            while here < until:
+                left, k, stop = last[here], bounds[at + here], bounds[at + here + 1]
+                if here == 0:
+                    for p, size in piece[k:stop]:
+                        if self.spine(p) is not None:
+                            last[size] = p
+                elif left is not None:
+                    row = self.fits.get(left)
+                    if row is None:
+                        row = self.fits[left] = {}
+                    for p, size in piece[k:stop]:
+                        fits = row.get(p)
+                        if fits is None:
+                            fits = self._fit(row, left, p)
+                        if fits:
+                            last[here + size] = p
+                c = part[here]
+                if c not in ids and (here == 0 or (left is not None and self.may_follow(left, c))):  # no piece: bytes stand for it
+                    last[here + 1] = c
+                here += 1
         out, at = [], n
         while at:
             out.append(last[at])
             at -= len(last[at])
         return out[::-1]
 
-    def _parts(self, unit: str) -> list[str]:
+    def _parts(self, unit: bytes) -> Iterator[str]:
         """The unit cut between characters that stand side by side in no piece: no merge can cross there."""
-        pairs, out, start = self.pairs, [], 0
-        for i in range(1, len(unit)):
-            if unit[i - 1 : i + 1] not in pairs:
-                out.append(unit[start:i])
+        text = unit.decode().replace(" ", MARK)
+        pairs, start = self.pairs, 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in pairs:
+                yield text[start:i]
                 start = i
-        out.append(unit[start:])
-        return out
-
-    def encode(self, texts: list[bytes], chunk: int = 40_000) -> list[bytes]:
-        """ids of each text (in UTF-8), as bytes of little-endian unsigned 32-bit ids. chunk: units in a suffix array."""
-        mark = MARK.encode()
+        yield text[start:]
+
+    def _learn(self, units: list[bytes], chunk: int) -> dict[bytes, bytes]:
+        """ids of units that aren't known; short ones are remembered, parts that stand for a unit of their own too."""
+        known, mark = self.known, MARK.encode()
+        parts, heads, got = {}, {}, {}
+        for u in units:
+            body = u.lstrip(b" ")
+            n = len(u) - len(body)
+            if not self.greedy and b"  " in u:
+                got[u] = self._ids(self.merged(u.decode().replace(" ", MARK))[0])
+                continue
+            if n > 1:  # the last mark of a run may belong to the word
+                heads[u] = n - 1 if body else n
+                u = b" " + body if body else b""
+            if len(u) > 4096:
+                ids = bytearray()  # parts of a long unit are not looked for elsewhere
+                for x in self._encode_parts(self._parts(u), chunk):
+                    ids += x
+                got[u] = bytes(ids)
+            elif u and u not in parts and u not in known:
+                parts[u] = [x.encode().replace(mark, b" ") for x in self._parts(u)]
+        fresh = list({p for each in parts.values() for p in each if p not in known})
+        got.update(zip(fresh, self._encode_parts([p.decode().replace(" ", MARK) for p in fresh], chunk), strict=True))
+        for u, each in parts.items():
+            if u not in got:
+                got[u] = b"".join([got[p] if p in got else known[p] for p in each])
+        lone = self._ids([MARK])
+        for u, n in heads.items():
+            body = u.lstrip(b" ")
+            ids = (got.get(b" " + body) or known[b" " + body]) if body else b""
+            if ids.startswith(lone):
+                n, ids = n + 1, ids[len(lone) :]
+            got[u] = self._ids(self._run(n)) + ids
+        short = {u: ids for u, ids in got.items() if len(u) <= self.longest}
+        self.size += sum(map(len, short)) + sum(map(len, short.values())) + 180 * len(short)
+        if self.size > self.most:
+            known.clear()
+            self.size = 0
+        known.update(short)
+        return got
+
+    def encode(self, texts: list[bytes], chunk: int = 100_000) -> list[bytes]:
+        """ids of each text (in UTF-8), as bytes of little-endian unsigned 32-bit ids. chunk: characters in a suffix array."""
+        mark, known = MARK.encode(), self.known
         cut = [self.unit.findall(b" " + t.replace(mark, b" ")) if t else [] for t in texts]
-        get = self.known.get
-        found = [list(map(get, units)) for units in cut]
-        new = list({u for units, f in zip(cut, found, strict=True) if None in f for u, ids in zip(units, f, strict=True) if ids is None})
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            self.part_ids.clear()
-        parts = [self._parts(u.decode().replace(" ", MARK)) for u in new]
-        fresh = list({p for each in parts for p in each} - self.part_ids.keys())
-        for i in range(0, len(fresh), chunk):
-            some = fresh[i : i + chunk]
-            self.part_ids.update(zip(some, self._encode_units(some), strict=True))
-        of = self.part_ids.__getitem__
-        self.known.update((u, b"".join(map(of, each))) for u, each in zip(new, parts, strict=True))
-        return [b"".join([get(u) if ids is None else ids for u, ids in zip(units, f, strict=True)] if None in f else f) for units, f in zip(cut, found, strict=True)]
+        every: set = set()
+        for units in cut:
+            every.update(units)
+        ids = {u: known[u] for u in every if u in known}
+        ids.update(self._learn([u for u in every if u not in ids], chunk))
+        return [b"".join(map(ids.__getitem__, units)) for units in cut]
 
-    def decode(self, ids: bytes) -> str:
-        data = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return data[1:].decode(errors="replace") if data[:1] == b" " else data.decode(errors="replace")
+
+def vocabulary(path: str) -> Vocabulary:
+    """This Python worker's vocabulary."""
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
 
 
 def model(path: str) -> Model:
@@ -265,7 +360,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, 2 << 20):
             ids = model(path).encode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -277,8 +372,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "text") + ", text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, name="ids"):
-            texts = [None if i is None else model(path).decode(i) for i in b.column("ids").to_pylist()]
+        for b in slices(batches, 2 << 20, "ids"):
+            texts = [None if i is None else vocabulary(path).decode(i) for i in b.column("ids").to_pylist()]
             keep = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import subprocess
+import sys
 from functools import cache
 
 import numpy as np
@@ -89,13 +91,30 @@ def test_encodes_words_and_runs_like_the_library():
     same(["".join(r.choice(names) for _ in range(r.randint(1, 12))) for _ in range(1500)])
 
 
+def test_long_units_take_little_memory():
+    code = """
+import random, resource, sys
+import numpy as np, sentencepiece
+from docprov.llm import pieces
+from docprov.llm.queries import PIECE_BPE
+model, r = pieces.Model(PIECE_BPE), random.Random(4)
+unit = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/") for _ in range(4_000_000))
+want = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE).encode(unit[:20000])
+assert np.frombuffer(model.encode([unit[:20000].encode()], chunk=700)[0], "<u4").tolist() == want
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert np.frombuffer(model.encode([unit.encode()])[0], "<u4")[: len(want) - 50].tolist() == want[:-50]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 300
+
+
 def test_ranges_find_every_occurrence():
     r = random.Random(2)
     text = "".join(r.choice("ab") for _ in range(400))
     codes = np.array([ord(c) for c in text], np.int64)
     order = pieces.suffix_array(codes, 8)
     words = ["a", "b", "ab", "abba", "bbbb", "abababab", "c", "ac", "z"]
-    low, high = pieces.ranges(codes, order, [[ord(c) for c in w] for w in words])
+    low, high = pieces.ranges(codes, order, *pieces.grid_of([[ord(c) for c in w] for w in words]))
     for w, a, b in zip(words, low, high, strict=True):
         assert sorted(order[a:b].tolist()) == [i for i in range(400) if text.startswith(w, i)]
 
