@@ -1,167 +1,172 @@
 """Language ID by words first, then by ever shorter character n-grams.
 
-A word of the model adds its log frequency in each language. Any other word is covered by character n-grams: at each
-of its places the longest n-gram of the model counts, from `longest` down to one character, and the word adds the mean.
+A word that the training texts hold adds its log frequency in each language. Any other word is covered by character n-grams:
+at each of its places the longest known n-gram counts, from `longest` down to one character, and the word adds their mean.
+Words and n-grams are tables and nothing is left out of them. Each different word of the corpus gets its logs once; the most
+frequent words are broadcast (a bounded number) and summed where the texts are read, all others are joined. Logs are whole
+numbers of 1 / UNIT, so that sums don't depend on their order nor on which words are broadcast.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .token_ids import slices
 
 UNKNOWN = "und"
-#: A word: a run of letters. Java and Python read it alike.
+#: A word: a run of letters.
 WORD = r"\p{L}+"
+UNIT = 1 << 20
 
 
 @dataclass(frozen=True)
 class Model:
-    """words, grams: rows of logs, which holds log frequencies by language; `longest` is the longest n-gram."""
+    """words, grams: tables of an item and its logs l0, l1, ... in languages; `longest` is the longest n-gram."""
 
     languages: tuple[str, ...]
-    words: dict[str, int]
-    word_logs: np.ndarray
-    grams: dict[str, int]
-    gram_logs: np.ndarray
+    words: DataFrame
+    grams: DataFrame
     longest: int
 
+    @property
+    def logs(self) -> list[str]:
+        return [f"l{i}" for i in range(len(self.languages))]
+
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _most_frequent(counts: DataFrame, item: str, most: int) -> DataFrame:
-    """Rows (item, lang, n) of the items with the largest totals: at most `most`, ties of the last share left out."""
-    totals = counts.groupBy(item).agg(F.sum("n").alias("total"))
-    shares = totals.groupBy(F.floor(F.log2("total") * 64).alias("share")).count().collect()  # 64 rows for each doubling
-    kept, floor = 0, 0
-    for share, n in sorted(((r["share"], r["count"]) for r in shares), reverse=True):
-        kept, floor = kept + n, share
-        if kept > most:
-            floor = share + 1
-            break
-    return counts.join(totals.filter(F.floor(F.log2("total") * 64) >= floor), item)
+def words_of(text: Column) -> Column:
+    """The lower-case words of a text; none of null."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """A written table of word, lang (null where docs has none) and n, over every word of every text."""
+    words = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
+    return written(words.groupBy("word", "lang").agg(F.count("*").alias("n")), "words")
+
 
+def _logs(counts: list[Column], sums: list[int], size: int) -> list[Column]:
+    """Smoothed log frequencies, in whole numbers."""
+    return [F.round((F.log(F.coalesce(c, F.lit(0)) + 0.5) - F.log(F.lit(s + 0.5 * size))) * UNIT).cast("long").alias(f"l{i}") for i, (c, s) in enumerate(zip(counts, sums, strict=True))]
 
-def _table(counts: DataFrame, item: str, most: int, languages: tuple[str, ...], sums: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
-    got = counts.transform(_most_frequent, item, most).groupBy(item).agg(F.collect_list(F.struct("lang", "n")).alias("of")).toArrow()
-    rows = {x: i for i, x in enumerate(got.column(item).to_pylist())}
-    each = got.column("of").combine_chunks()
-    flat = each.flatten()
-    at = {x: i for i, x in enumerate(languages)}
-    out = np.full((len(rows), len(languages)), 0.5, np.float32)
-    if len(rows):
-        where = np.array([at[x] for x in flat.field("lang").to_pylist()])
-        out[np.repeat(np.arange(len(rows)), each.value_lengths().to_numpy(zero_copy_only=False)), where] += flat.field("n").to_numpy(zero_copy_only=False)
-    return rows, np.log(out / np.array([sums[x] + 0.5 * len(rows) for x in languages], np.float32))
 
+def _grams(framed: Column, n: int) -> Column:
+    """The n-grams of a framed word, in order."""
+    return F.regexp_extract_all(framed, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
-def train(docs: DataFrame, most_words: int = 100_000, most_grams: int = 60_000, longest: int = 4) -> Model:
-    """A model of all rows of docs (text, lang) that hold both.
 
-    Frequencies cover every word of every such text. The model keeps at most most_words words and most_grams n-grams, the
-    most frequent ones: its size is bounded, whatever the corpus. n-grams see a word between ^ and $, and are
-    counted once for each different word of a language.
+def _framed(word: str) -> Column:
+    return F.concat(F.lit("^"), F.col(word), F.lit("$"))
+
+
+def train(counts: DataFrame, longest: int = 4) -> Model:
+    """A model of count_words()'s rows that have a language: every word, and every n-gram of up to `longest` characters.
+
+    n-grams see a word between ^ and $, and are counted for each different word of a language. Only one row per language is
+    collected.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    words = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
-    counts = written(words.groupBy("word", "lang").agg(F.count("*").alias("n")), "words")
-    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    known = counts.filter(F.col("lang").isNotNull())
+    sums = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = tuple(sorted(sums))
-    framed = counts.select("lang", F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
-    pattern = [F.regexp_extract_all("w", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, longest + 1)]
-    grams = written(framed.select("lang", F.explode(F.concat(*pattern)).alias("gram")).groupBy("gram", "lang").agg(F.count("*").alias("n")), "grams")
-    gram_sums = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    return Model(languages, *_table(counts, "word", most_words, languages, sums), *_table(grams, "gram", most_grams, languages, gram_sums), longest)
-
-
-class Scorer:
-    """Predicts with a model; scores of unseen words are kept, up to `most`."""
-
-    def __init__(self, model: Model, most: int = 300_000) -> None:
-        import regex
-
-        self.m, self.find, self.most = model, regex.compile(WORD).findall, most
-        self.unseen: dict[str, int] = {}
-        self.logs = model.word_logs
-
-    def _backoff(self, words: list[str]) -> np.ndarray:
-        grams, longest, rows, starts = self.m.grams, self.m.longest, [], []
-        for w in words:
-            w = f"^{w}$"
-            starts.append(len(rows))
-            for i in range(len(w)):
-                for n in range(min(longest, len(w) - i), 0, -1):
-                    k = grams.get(w[i : i + n])
-                    if k is not None:
-                        rows.append(k)
-                        break
-            if starts[-1] == len(rows):
-                rows.append(len(self.m.gram_logs))
-        logs = np.vstack([self.m.gram_logs, np.zeros((1, len(self.m.languages)), np.float32)])[rows]
-        counts = np.diff([*starts, len(rows)])
-        return np.add.reduceat(logs, starts, axis=0) / counts[:, None]
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        cut = [self.find(t.lower()) if t else [] for t in texts]
-        known, unseen = self.m.words, self.unseen
-        new = list({w for words in cut for w in words if w not in known and w not in unseen})
-        if len(unseen) + len(new) > self.most:
-            unseen.clear()
-            self.logs = self.m.word_logs
-            new = list({w for words in cut for w in words if w not in known})
-        if new:
-            unseen.update(zip(new, range(len(self.logs), len(self.logs) + len(new)), strict=True))
-            self.logs = np.vstack([self.logs, self._backoff(new).astype(np.float32)])
-        languages, scores = [], []
-        for words in cut:
-            if not words or not self.m.languages:
-                languages.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            rows = [known[w] if w in known else unseen[w] for w in words]
-            total = self.logs[rows].sum(axis=0, dtype=np.float64)
-            best = int(total.argmax())
-            languages.append(self.m.languages[best])
-            scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-        return languages, scores
-
-
-#: This Python worker's scorer, by the model's name.
-_scorers: dict = {}
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred and score (posterior under even priors, 0 for UNKNOWN) of every row of docs."""
-    held, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(held.value)
-        scorer = _scorers[name]
-        for b in slices(batches):
-            langs, scores = scorer([t.decode() for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
-
-
-def identify(docs: DataFrame, **how) -> DataFrame:
+    of = [F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"c{i}") for i, x in enumerate(languages)]
+    words = written(known.groupBy("word").agg(F.lit(1).alias("any"), *of), "word_counts")
+    each = [F.count(f"c{i}").alias(f"c{i}") for i in range(len(languages))]
+    every = F.explode(F.concat(*(_grams(_framed("word"), n) for n in range(1, longest + 1))))
+    grams = words.select(every.alias("gram"), *(c for c in words.columns if c not in ("word", "any")))
+    grams = written(grams.groupBy("gram").agg(F.lit(1).alias("any"), *each), "gram_counts")
+    total = grams.agg(F.lit(0), *(F.sum(f"c{i}") for i in range(len(languages)))).first()[1:]
+
+    def table(counted: DataFrame, item: str, sizes: list[int]) -> DataFrame:
+        return counted.select(item, *_logs([F.col(f"c{i}") for i in range(len(languages))], sizes, counted.count()))
+
+    return Model(languages, table(words, "word", [sums[x] for x in languages]), table(grams, "gram", [n or 0 for n in total]), longest)
+
+
+def backoff(words: DataFrame, model: Model, most: int = 500_000) -> DataFrame:
+    """word and its logs, from n-grams alone, for every row of words (word). A word without any known n-gram has logs of 0.
+
+    n-grams of one length are broadcast if they are at most `most`, else joined like any other table.
+    """
+    places = words.select("word", _framed("word").alias("w"))
+    places = places.select("word", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("at"))
+    sizes = range(model.longest, 0, -1)
+    cut = places.select("word", *(F.when(F.col("at") + n - 1 <= F.length("w"), F.substring("w", F.col("at"), F.lit(n))).alias(f"g{n}") for n in sizes))
+    grams = written(model.grams.withColumn("n", F.length("gram")), "grams")
+    count = {r["n"]: r["count"] for r in grams.groupBy("n").count().collect()}
+    for n in sizes:
+        own = grams.filter(F.col("n") == n).select(F.col("gram").alias(f"k{n}"), F.array(*model.logs).alias(f"a{n}"))
+        cut = cut.join(F.broadcast(own) if count.get(n, 0) <= most else own, F.col(f"g{n}") == F.col(f"k{n}"), "left")
+    found = cut.select("word", F.coalesce(*(F.col(f"a{n}") for n in sizes)).alias("a"))
+    means = [F.coalesce(F.round(F.sum(F.col("a")[i]) / F.count("a")), F.lit(0)).cast("long").alias(x) for i, x in enumerate(model.logs)]
+    return found.groupBy("word").agg(*means)
+
+
+def word_logs(counts: DataFrame, model: Model) -> DataFrame:
+    """A written table of every different word of counts: word, total and its logs, the model's or backoff()'s."""
+    totals = counts.groupBy("word").agg(F.sum("n").alias("total"))
+    known = written(totals.join(model.words, "word", "left"), "known")
+    unseen = known.filter(F.col(model.logs[0]).isNull())
+    logs = backoff(unseen.select("word"), model)
+    return written(known.filter(F.col(model.logs[0]).isNotNull()).unionByName(unseen.select("word", "total").join(logs, "word")), "word_logs")
+
+
+def most_frequent(totals: DataFrame, most: int) -> DataFrame:
+    """The rows of the largest totals, `most` at most; what ties in size with rows beyond is left out as well."""
+    share = F.floor(F.log2("total") * 64)  # 64 for each doubling
+    shares = totals.groupBy(share.alias("share")).count().collect()
+    kept, least = 0, 1 << 31
+    for at, n in sorted(((r["share"], r["count"]) for r in shares), reverse=True):
+        kept += n
+        if kept > most:
+            break
+        least = at
+    return totals.filter(share >= least)
+
+
+def predict(docs: DataFrame, model: Model, counts: DataFrame, most_broadcast: int = 300_000) -> DataFrame:
+    """doc_id, held_out, lang_pred and score (posterior under even priors, 0 for UNKNOWN) of every row of docs.
+
+    counts: count_words() of docs, whatever its languages. most_broadcast: words that are broadcast; any number gives the same
+    rows.
+    """
+    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), words_of(F.col("text")).alias("words"))
+    if not model.languages:
+        return base.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    logs = model.logs
+    every = word_logs(counts, model)
+    head = most_frequent(every, most_broadcast).select(F.col("word").alias("w"), *logs)
+    tokens = base.select("row", "doc_id", "held_out", F.explode(F.concat(F.array(F.lit("")), "words")).alias("word"))  # "": a row for each text
+    joined = tokens.join(F.broadcast(head), F.col("word") == F.col("w"), "left")
+    rest = F.when(F.col("w").isNull() & (F.col("word") != ""), F.col("word"))
+    own = [F.max(F.when(rest.isNull(), F.col(c))).alias(c) for c in ("doc_id", "held_out")]
+    parts = joined.groupBy("row", rest.alias("rest")).agg(*own, F.count("*").alias("n"), *(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in logs))
+    parts = written(parts, "parts")
+    tail = parts.filter(F.col("rest").isNotNull()).select("row", "rest", "n").join(every.select(F.col("word").alias("rest"), *logs), "rest")
+    none = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out")]
+    tail = tail.select("row", *none, "n", *((F.col("n") * F.col(x)).alias(x) for x in logs))
+    both = parts.filter(F.col("rest").isNull()).drop("rest").unionByName(tail)
+    sums = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), (F.sum("n") - 1).alias("n"), F.array(*(F.sum(x) for x in logs)).alias("sums"))
+    best = F.array_max("sums")
+    odds = F.aggregate("sums", F.lit(0.0), lambda acc, x: acc + F.exp(F.greatest((x - best) / F.lit(float(UNIT)), F.lit(-700.0))))
+    lang = F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("sums", best).cast("int"))
+    some = F.col("n") > 0
+    return sums.select("doc_id", "held_out", F.when(some, lang).otherwise(UNKNOWN).alias("lang_pred"), F.when(some, 1 / odds).otherwise(0.0).alias("score"))
+
+
+def identify(docs: DataFrame, longest: int = 4, most_broadcast: int = 300_000) -> DataFrame:
     """predict() with a model of those rows of docs that aren't held out.
 
     docs needs doc_id, text and lang; other columns are ignored. A row is held out if crc32 of its doc_id as text is 1
     modulo 3; a null doc_id is never held out. UNKNOWN with score 0 is given for null texts and texts without letters, and
-    for all if no row has a language. Ties go to the language that sorts first. An empty table gives no rows.
+    for all if no row has a language. Ties go to the language that sorts first. Rows that repeat another count and are
+    predicted each. An empty table gives no rows.
     """
-    return predict(docs, train(docs.filter(~held_out(F.col("doc_id"))), **how))
+    rows = docs.select("doc_id", "text", F.when(~held_out(F.col("doc_id")), F.col("lang")).alias("lang"))
+    counts = count_words(rows)
+    return predict(rows, train(counts, longest), counts, most_broadcast)

@@ -2,13 +2,17 @@
 
 import base64
 import hashlib
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from docprov.llm import components, language_id, simhash, warc
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 PAGES = [(1, "http://a/ b\r\nX: y", "<p>é</p>"), (2, None, None), (3, "u", ""), (4, "u%41", "<p>é</p>"), (5, "u", "long " * 90000), (6, "u", "<p>\r\n\r\n</p>"), (7, "u", "<p>é</p>"), (7, "u", "<p>é</p>")]
 
@@ -112,24 +116,104 @@ def test_components_of_chains_and_hubs(spark):
     assert components.components(df.filter("false")).count() == 0
 
 
+ODD_LANGUAGES = [(2, None, "en"), (3, " 12 !", None), (None, "the of and", "en"), (5, "der und das", "de"), (5, "der und das", "de"), (5, "xyz " * 9000 + "z" * 30000, None), (6, "ab ba", "b"), (7, "ab ba", "a"), (8, "ba ab qq ß日本", None), (9, "\U0001f600 naïve _x_", "en")]
+
+
+def brute_languages(rows, longest=4):
+    """(doc_id, held_out, lang, score) of rows (doc_id, text, lang), word by word."""
+    out = [i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in rows]
+    words = [regex.findall(r"\p{L}+", (t or "").lower()) for _, t, _ in rows]
+    counts = {}
+    for held, ws, (_, t, lang) in zip(out, words, rows, strict=True):
+        if not held and lang is not None:
+            for w in ws:
+                counts.setdefault(w, {}).setdefault(lang, 0)
+                counts[w][lang] += 1
+    languages = sorted({x for c in counts.values() for x in c})
+    grams = {}
+    for w, c in counts.items():
+        for n in range(1, longest + 1):
+            for i in range(len(w) + 3 - n):
+                for lang in c:
+                    of = grams.setdefault(f"^{w}$"[i : i + n], {})
+                    of[lang] = of.get(lang, 0) + 1
+
+    def logs(table):
+        sums = {x: sum(c.get(x, 0) for c in table.values()) for x in languages}
+        return {k: [round((math.log(c.get(x, 0) + 0.5) - math.log(sums[x] + 0.5 * len(table))) * 2**20) for x in languages] for k, c in table.items()}
+
+    word_logs, gram_logs = logs(counts), logs(grams)
+
+    def of(w):
+        if w in word_logs:
+            return word_logs[w]
+        framed, found = f"^{w}$", []
+        for i in range(len(framed)):
+            for n in range(longest, 0, -1):
+                if i + n <= len(framed) and framed[i : i + n] in gram_logs:
+                    found.append(gram_logs[framed[i : i + n]])
+                    break
+        return [math.floor(sum(x) / len(found) + 0.5) if sum(x) > 0 else math.ceil(sum(x) / len(found) - 0.5) for x in zip(*found)] if found else [0] * len(languages)
+
+    known, want = {}, []
+    for held, ws, (doc_id, _, _) in zip(out, words, rows, strict=True):
+        if not ws or not languages:
+            want.append((doc_id, held, "und", 0.0))
+            continue
+        total = [0] * len(languages)
+        for w in ws:
+            if w not in known:
+                known[w] = of(w)
+            total = [a + b for a, b in zip(total, known[w], strict=True)]
+        best = max(total)
+        want.append((doc_id, held, languages[total.index(best)], 1 / sum(math.exp(max((x - best) / 2**20, -700)) for x in total)))
+    return want
+
+
+def same_languages(got, want):
+    key = lambda r: tuple(map(str, r[:3]))
+    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-4, atol=1e-9)
+
+
 def test_language_id(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    rows = language_id.identify(docs).collect()
+    got = {r["doc_id"]: r for r in rows}
     langs = {r["doc_id"]: r["lang"] for r in docs.collect()}
     out = [k for k, r in got.items() if r["held_out"]]
     assert len(out) > 30 and np.mean([got[k]["lang_pred"] == langs[k] for k in out]) >= 0.97
-    odd = spark.createDataFrame([(2, None, "en"), (3, " 12 !", None), (None, "the of and", "en"), (5, "der und das", "de"), (5, "xyz" * 9000, None)], "doc_id long, text string, lang string").selectExpr("*", "1 AS n", "2 AS word")
-    rows = sorted(((r["doc_id"], r["lang_pred"]) for r in language_id.identify(odd).collect()), key=str)
-    assert [x for x in rows if x[0] in (2, 3)] == [(2, "und"), (3, "und")] and len(rows) == 5
+    same_languages(rows, brute_languages([(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]))
+
+
+def test_language_id_of_odd_rows(spark):
+    odd = spark.createDataFrame(ODD_LANGUAGES, "doc_id long, text string, lang string").selectExpr("*", "1 AS n", "2 AS word", "3 AS l0", "4 AS row", "5 AS held_out")
+    rows = [tuple(map(tuple, sorted(language_id.identify(odd, most_broadcast=n).collect(), key=str))) for n in (0, 3, 300_000)]
+    assert rows[0] == rows[1] == rows[2]
+    same_languages(rows[0], brute_languages(ODD_LANGUAGES))
     assert language_id.identify(odd.filter("false")).count() == 0
     assert {r["lang_pred"] for r in language_id.identify(odd.withColumn("lang", odd["lang"].substr(9, 0)).filter("lang is null")).collect()} <= {"und"}
 
 
-def test_backoff_takes_the_longest_ngram():
-    logs = np.array([[-1.0, -2.0], [-3.0, -1.0], [-5.0, -5.0]], np.float32)
-    model = language_id.Model(("a", "b"), {"known": 0}, logs[:1], {"^x": 0, "xy": 1, "y": 2}, logs, 3)
-    s = language_id.Scorer(model)
-    assert s(["known"])[0] == ["a"]
-    assert np.allclose(s._backoff(["xy"])[0], logs[[0, 1, 2]].mean(axis=0))
-    assert np.allclose(s._backoff(["q"])[0], 0)
+def test_no_word_is_dropped(spark):
+    """600 words of one count; which of them are broadcast is of no effect on what is known."""
+    rows = [(10, " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(600)), "a"), (9, "zzz", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = language_id.count_words(docs)
+    model = language_id.train(counts)
+    assert model.words.count() == 601
+    totals = counts.select("word", F.col("n").alias("total"))
+    assert [language_id.most_frequent(totals, n).count() for n in (601, 600)] == [601, 0]
+    for most in (601, 600):
+        same_languages(language_id.predict(docs, model, counts, most).collect(), brute_languages(rows))
+
+
+def test_backoff_takes_the_longest_ngram(spark):
+    words = spark.createDataFrame([("known", -1, -2)], "word string, l0 long, l1 long")
+    grams = spark.createDataFrame([("^x", -10, -20), ("xy", -30, -10), ("y", -50, -51)], "gram string, l0 long, l1 long")
+    model = language_id.Model(("a", "b"), words, grams, 3)
+    asked = spark.createDataFrame([("xy",), ("q",)], "word string")
+    for most in (0, 500_000):
+        assert sorted(map(tuple, language_id.backoff(asked, model, most).collect())) == [("q", 0, 0), ("xy", -30, -27)]
