@@ -52,8 +52,9 @@ def collisions(docs: DataFrame, identify, least: int = 1024, most: int = 8192) -
     )
 
 
-def recipes(docs: DataFrame, least: int = 1024, most: int = 8192) -> DataFrame:
-    """doc_id, n_points, text_sha256 and recipe (array of bigint) of every row; verified, then written.
+def recipes(docs: DataFrame, least: int = 1024, most: int = 8192, number: str | None = None) -> DataFrame:
+    """row (the column `number`, else null), doc_id, n_points, text_sha256 and recipe (array of bigint) of every row; verified,
+    then written.
 
     Identifiers of 128 bits are tried first. Should two chunks share one, identifiers of 256 bits are taken, verified
     in the same way.
@@ -63,9 +64,11 @@ def recipes(docs: DataFrame, least: int = 1024, most: int = 8192) -> DataFrame:
             break
     else:
         raise ValueError("two chunks share a SHA-256")
-    norm = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_points"), normalised(F.col("text")).alias("norm"))
+    row = (F.col(number) if number else F.lit(None)).cast("long").alias("row")
+    norm = docs.select(row, "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_points"), normalised(F.col("text")).alias("norm"))
     return written(
         norm.select(
+            "row",
             "doc_id",
             "n_points",
             F.sha2("norm", 256).alias("text_sha256"),
@@ -75,23 +78,25 @@ def recipes(docs: DataFrame, least: int = 1024, most: int = 8192) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, least: int = 1024, most: int = 8192) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, least: int = 1024, most: int = 8192, number: str | None = None) -> DataFrame:
+    """One row per row of docs: row, doc_id, keep_id, group_size, kept, text_sha256.
 
     docs needs doc_id and text; other columns are ignored, whatever their names. Texts are equal when identical without
     the characters of BLANK; null counts as empty, and all empty texts are equal. The row with the most code points
     in the original text stays, of those the smallest doc_id (null last). doc_id names a row: rows that repeat a doc_id
-    and the length of its text are counted in group_size and share one decision. An empty table gives no rows.
+    and the length of its text are counted in group_size and share one decision. number: a column of different longs, given as
+    row in the result; with it, only the smallest of those is kept. An empty table gives no rows.
     """
-    r = recipes(docs, least, most)
-    best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id")))
+    r = recipes(docs, least, most, number)
+    best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row")))
     groups = r.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = written(groups.select(F.col("recipe").alias("of"), F.col("best.keep_id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"), "group_size"), "groups")
+    groups = written(groups.select(F.col("recipe").alias("of"), "best.keep_id", "best.keep_row", (-F.col("best.less")).alias("keep_points"), "group_size"), "groups")
     return r.join(groups, r["recipe"] == groups["of"]).select(
+        "row",
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")) & F.col("row").eqNullSafe(F.col("keep_row"))).alias("kept"),
         "text_sha256",
     )
 

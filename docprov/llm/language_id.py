@@ -129,15 +129,16 @@ def most_frequent(totals: DataFrame, most: int) -> DataFrame:
     return totals.filter(share >= least)
 
 
-def predict(docs: DataFrame, model: Model, counts: DataFrame, most_broadcast: int = 300_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, counts: DataFrame, most_broadcast: int = 300_000, number: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score (posterior under even priors, 0 for UNKNOWN) of every row of docs.
 
     counts: count_words() of docs, whatever its languages. most_broadcast: words that are broadcast; any number gives the same
-    rows.
+    rows. number: a column of different longs that names the rows in the result, as row; without it row is any number.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), words_of(F.col("text")).alias("words"))
+    row = F.col(number) if number else F.monotonically_increasing_id()
+    base = docs.select(row.alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), words_of(F.col("text")).alias("words"))
     if not model.languages:
-        return base.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return base.select("row", "doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     logs = model.logs
     every = word_logs(counts, model)
     head = most_frequent(every, most_broadcast).select(F.col("word").alias("w"), *logs)
@@ -156,10 +157,10 @@ def predict(docs: DataFrame, model: Model, counts: DataFrame, most_broadcast: in
     odds = F.aggregate("sums", F.lit(0.0), lambda acc, x: acc + F.exp(F.greatest((x - best) / F.lit(float(UNIT)), F.lit(-700.0))))
     lang = F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("sums", best).cast("int"))
     some = F.col("n") > 0
-    return sums.select("doc_id", "held_out", F.when(some, lang).otherwise(UNKNOWN).alias("lang_pred"), F.when(some, 1 / odds).otherwise(0.0).alias("score"))
+    return sums.select("row", "doc_id", "held_out", F.when(some, lang).otherwise(UNKNOWN).alias("lang_pred"), F.when(some, 1 / odds).otherwise(0.0).alias("score"))
 
 
-def identify(docs: DataFrame, longest: int = 4, most_broadcast: int = 300_000) -> DataFrame:
+def identify(docs: DataFrame, longest: int = 4, most_broadcast: int = 300_000, number: str | None = None) -> DataFrame:
     """predict() with a model of those rows of docs that aren't held out.
 
     docs needs doc_id, text and lang; other columns are ignored. A row is held out if crc32 of its doc_id as text is 1
@@ -167,6 +168,6 @@ def identify(docs: DataFrame, longest: int = 4, most_broadcast: int = 300_000) -
     for all if no row has a language. Ties go to the language that sorts first. Rows that repeat another count and are
     predicted each. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", "text", F.when(~held_out(F.col("doc_id")), F.col("lang")).alias("lang"))
+    rows = docs.select("doc_id", "text", F.when(~held_out(F.col("doc_id")), F.col("lang")).alias("lang"), *([number] if number else []))
     counts = count_words(rows)
-    return predict(rows, train(counts, longest), counts, most_broadcast)
+    return predict(rows, train(counts, longest), counts, most_broadcast, number)

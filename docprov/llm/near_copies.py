@@ -1,6 +1,7 @@
 """Near copies by the exact Jaccard similarity of word shingles.
 
-MinHash bands name the candidates: a text's 60 least hashes are cut into 20 bands of 3, and texts that share a band meet
+SimHash names the first candidates: a row and the one that its fingerprints' links lead to. Three bits stand for a similarity of
+about 0.98, so MinHash bands name those between: a text's 60 least hashes are cut into 20 bands of 3, and texts that share a band meet
 in its bucket. A pair at similarity s shares none with probability (1 - s^3)^20, 6e-7 at 0.8. Every row is first held
 against one row of each of its buckets; after that only rows of a bucket that are not yet linked to each other meet,
 two by two, and pairs whose least hashes agree in under half of the places are left out (1e-8 at 0.8). What remains is
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import components
 from .shared import partitions, text_or_empty, written
 from .token_ids import slices
@@ -26,11 +28,6 @@ _MIX = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 _TIMES = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A number of a row's doc_id and text: rows that repeat a doc_id with another text have their own."""
-    return F.xxhash64(F.coalesce(F.col(doc_id), F.lit(0)), F.col(doc_id).isNull(), text_or_empty(text))
-
-
 def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
     """The different hashes of the shingles of `width` words, sorted; a shorter text is one shingle."""
     import xxhash
@@ -139,24 +136,28 @@ def candidates(rows: DataFrame, tile: int = 1024, agree: int = BANDS * ROWS // 2
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def superfluous(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """id (row_key) of every row but one of each group of near copies; the smallest doc_id (null last) stays.
+def superfluous(docs: DataFrame, number: str, least: float = 0.8, width: int = 5) -> DataFrame:
+    """id (of the column `number`) of every row but one of each group of near copies; the smallest doc_id (null last) stays, of
+    equal ones the smallest number.
 
-    docs needs doc_id and text. Rows whose shingles have a Jaccard similarity of `least` or more are linked, groups are
-    what links lead to. Rows without words are alike. Rows that repeat doc_id and text have the same id, and its fate.
+    docs needs doc_id, text and a column of different longs. Rows whose shingles have a Jaccard similarity of `least` or more
+    are linked, groups are what links lead to. Rows without words are alike.
     """
-    base = docs.select(row_key().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    nodes = written(signatures(base, width), "signatures").dropDuplicates(["id"])
+    base = docs.select(F.col(number).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
+    nodes = written(signatures(base, width), "signatures")
     spread = nodes.select("id", "sig", F.explode("keys").alias("key"))
     first = F.min(F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("leader")))
     buckets = spread.groupBy("key").agg(F.count("*").alias("n"), first.alias("f")).filter("n > 1")
     buckets = written(buckets.select(F.col("key").alias("of"), F.col("f.leader").alias("leader")), "buckets")
     met = written(spread.join(buckets, F.col("key") == F.col("of")).select("key", "id", "leader", "sig"), "met")
-    texts = base.join(met.select(F.col("id").alias("_met")).distinct(), F.col("id") == F.col("_met"), "left_semi")
-    texts = written(texts.select("id", "text").dropDuplicates(["id"]), "texts")
+    printed = simhash.near_duplicates(docs.select(F.col(number).alias("doc_id"), "text"), width=width)
+    printed = written(printed.filter("doc_id <> component_id").select("doc_id", "component_id"), "printed")
+    needed = met.select("id").union(printed.select("doc_id")).union(printed.select("component_id")).distinct().select(F.col("id").alias("_met"))
+    texts = written(base.join(needed, F.col("id") == F.col("_met"), "left_semi").select("id", "text"), "texts")
 
     others = met.filter("id <> leader")
-    edges = verified(others.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), texts, least, width)
+    pairs = others.select("id", "leader").union(printed)
+    edges = verified(pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), texts, least, width)
     linked = components(edges)
     rows = others.join(linked, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"), "sig")
     more = verified(candidates(written(rows, "apart")), texts, least, width)

@@ -1,20 +1,26 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
-Each rule's regular expression is turned into a Boolean query over trigrams that every match must contain. The index
-holds (trigram, document) postings for the trigrams that the rules ask for; intersecting the postings gives each
-rule's candidates, and only these are searched with the expression. A rule without mandatory trigrams searches every
-text.
+Each rule's regular expression is turned into a Boolean query over trigrams that every match must contain. The index is split
+by document: a row's postings, one bit for each trigram that the rules ask for, stay with the row, so that intersecting them
+moves no text. Rows where a rule's postings intersect are its candidates, and only these are searched with the
+expression. A rule without mandatory trigrams searches every text.
+
+Work grows with a text's length and its matches, not with their product: matches are found once, and their places are sums
+over pieces of the list of matches.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docprov.operators.raster import held
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -88,72 +94,98 @@ def grams(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({g for r in rules for clause in trigram_query(r.regex) or () for g in clause})
 
 
-def postings(docs: DataFrame, names: list[str]) -> DataFrame:
-    """The inverted index: (gram, doc_id), gram numbering names; each text is lower-cased first."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    return low.select("doc_id", F.explode(F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(names))))).alias("gram"))
+def _packed(names: list[str]) -> Column:
+    """The columns of these names as one: none of them can clash with a column of this module."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in names))
+
 
+def postings(text: Column, names: list[str]) -> Column:
+    """The bits of the trigrams (names) that the lower-cased text holds, as bigints of 62 bits."""
+    low = F.lower(text)
+    bits = [F.when(F.contains(low, F.lit(g)), F.lit(1 << i % 62)).otherwise(F.lit(0)).cast("bigint") for i, g in enumerate(names)]
+    return F.array(*(reduce(lambda a, b: a.bitwiseOR(b), bits[i : i + 62]) for i in range(0, len(bits), 62))).cast("array<bigint>")
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and rules (array of boolean, true for rules whose postings intersect there) of documents with any."""
-    names = grams(rules)
-    words = [names[i : i + 62] for i in range(0, len(names), 62)]
-    at = {g: (i // 62, i % 62) for i, g in enumerate(names)}
+
+def candidates(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """An array of boolean, true for each rule whose query holds of postings(), and for rules without a query."""
+    at = {g: i for i, g in enumerate(grams(rules))}
 
     def holds(clause: frozenset[str]) -> Column:
-        need = [0] * len(words)
-        for g in clause:
-            need[at[g][0]] |= 1 << at[g][1]
         every = F.lit(True)
-        for k, m in enumerate(need):
-            if m:
-                every = every & (F.col(f"m{k}").bitwiseAND(F.lit(m)) == F.lit(m))
+        for k in sorted({at[g] // 62 for g in clause}):
+            need = F.lit(sum(1 << at[g] % 62 for g in clause if at[g] // 62 == k)).cast("bigint")
+            every = every & (found[k].bitwiseAND(need) == need)
         return every
 
-    def asks(rule: Rule) -> Column:
-        out = F.lit(False)
-        for clause in sorted(trigram_query(rule.regex) or (), key=sorted):
-            out = out | holds(clause)
-        return out
+    def asks(query: frozenset[frozenset[str]] | None) -> Column:
+        return F.lit(True) if query is None else reduce(lambda a, b: a | b, map(holds, sorted(query, key=sorted)), F.lit(False))
+
+    return F.array(*(asks(trigram_query(r.regex)) for r in rules))
+
+
+_SPANS = "array<struct<start:int,kind:int,end:int,first:int,stop:int>>"
+_EACH = 256
+
+
+def _pieces(v: str) -> Column:
+    """The array column v in pieces of _EACH items."""
+    n = F.floor((F.size(v) - 1) / _EACH).cast("int")
+    return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), n), lambda j: F.slice(F.col(v), j * _EACH + 1, F.lit(_EACH))))
+
 
-    if not names:
-        return docs.select("doc_id", F.array(*(F.lit(False) for _ in rules)).alias("rules")).filter(F.lit(False))
-    bit = [F.bit_or(F.when(F.floor(F.col("gram") / 62) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("gram", F.lit(62)).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(f"m{k}") for k in range(len(words))]
-    found = postings(docs, names).groupBy("doc_id").agg(*bit).select("doc_id", F.array(*(asks(r) for r in rules)).alias("rules"))
-    return found.filter(F.exists("rules", lambda x: x))
+def _matches(text: Column, rule: Rule) -> Column:
+    """Of each leftmost match that doesn't overlap: the lengths of what is before it and of itself, in code points and in bytes,
+    and of its group in code points."""
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("size")))
 
+    def lengths(x: Column, gap: Column) -> Column:
+        return F.struct(F.length(gap).alias("gap"), F.octet_length(gap).alias("gap_bytes"), F.length(x["m"]).alias("n"), F.octet_length(x["m"]).alias("bytes"), x["size"].alias("size"))
 
-def spans(text: Column, rule: Rule, order: int) -> Column:
-    """Leftmost matches that do not overlap, as array of (start, order, end), in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    gaps = F.transform(F.split(text, rule.regex, -1), lambda x: F.length(x))
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)), lambda x: F.length(x))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,size:int>>")
+    return F.filter(F.zip_with(pairs, F.split(text, rule.regex, -1), lengths), lambda x: x["n"].isNotNull())  # one gap is behind the last
+
+
+def _placed(v: str, kind: int) -> Column:
+    """Of each piece of _matches() (the column v): the bytes and code points it covers, and its matches' places in it."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,first:int,stop:int,size:int>>")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["length"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), x["size"].alias("size")))).alias("out"))
+        start, first = acc["at"] + x["gap"], acc["byte"] + x["gap_bytes"]
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["n"]).alias("end"), first.alias("first"), (first + x["bytes"]).alias("stop"), x["size"].alias("size"))
+        return F.struct((start + x["n"]).alias("at"), (first + x["bytes"]).alias("byte"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), none.alias("out"))
+    return F.transform(_pieces(v), lambda piece: F.aggregate(piece, zero, step))
+
+
+def _spans(v: str, rule: Rule) -> Column:
+    """Places in the whole text of what _placed() gave (the column v), without matches whose group is too short."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), F.array().cast("array<struct<at:int,byte:int>>").alias("out"))
+    before = F.aggregate(F.col(v), zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), (acc["byte"] + x["byte"]).alias("byte"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), acc["byte"].alias("byte")))).alias("out")), lambda acc: acc["out"])
 
-    steps = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.struct(gaps[i].alias("gap"), F.length(found[i]).alias("length"), sizes[i].alias("size")))
-    all_ = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    kept = F.transform(F.filter(all_, lambda x: x["size"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return F.when(F.size(found) > 0, kept).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    def moved(x: Column, b: Column) -> Column:
+        return F.struct((x["start"] + b["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + b["at"]).alias("end"), (x["first"] + b["byte"]).alias("first"), (x["stop"] + b["byte"]).alias("stop"))
+
+    each = F.zip_with(F.col(v), before, lambda p, b: F.transform(F.filter(p["out"], lambda x: x["size"] >= rule.least), lambda x: moved(x, b)))
+    return F.coalesce(F.flatten(each), F.array().cast(_SPANS))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with a column secrets added: array of (start, kind, end) by start, then by rule; kind numbers rules.
+    """docs with a column secrets added: array of (start, kind, end, first, stop) by start, then by rule; kind numbers rules;
+    start and end count code points, first and stop bytes; end and stop are exclusive.
 
-    Whole texts are searched; null counts as empty. doc_id joins the index to the texts: rows that repeat a doc_id, or
-    hold null there, share their candidates and are each searched. A column named secrets in docs is replaced.
-    An empty table gives no rows.
+    Whole texts are searched; null counts as empty. Each row is searched on its own: rows that repeat another, or a doc_id, get
+    the same secrets for the same text. Other columns may have any name; one named secrets is replaced. An empty table gives
+    no rows.
     """
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    asked = candidates(docs, rules).select(F.col("doc_id").alias("_cand_id"), F.col("rules").alias("_cand"))
-    joined = docs.drop("secrets").join(asked, F.col("doc_id").eqNullSafe(F.col("_cand_id")), "left")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    each = [spans(text, r, i) if trigram_query(r.regex) is None else F.when(F.coalesce(F.col("_cand")[i], F.lit(False)), spans(text, r, i)).otherwise(none) for i, r in enumerate(rules)]
-    return joined.select(*(joined[c] for c in docs.columns if c != "secrets"), F.array_sort(F.flatten(F.array(*each))).alias("secrets"))
+    names, kept = grams(rules), [c for c in docs.columns if c != "secrets"]
+    text = F.coalesce(F.col("row").getField("text"), F.lit(""))
+    found = postings(text, names) if names else F.array().cast("array<bigint>")
+    rows = held(docs.select(_packed(kept).alias("row")).select("row", found.alias("found")))
+    rows = held(rows.select("row", candidates(F.col("found"), rules).alias("cand")))
+    rows = held(rows.select("row", *(F.when(F.col("cand")[i], _matches(text, r)).otherwise(F.array()).alias(f"m{i}") for i, r in enumerate(rules))))
+    rows = held(rows.select("row", *(_placed(f"m{i}", i).alias(f"p{i}") for i in range(len(rules)))))
+    secrets = F.array_sort(F.flatten(F.array(*(_spans(f"p{i}", r) for i, r in enumerate(rules)))))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in kept), secrets.alias("secrets"))
 
 
 def report(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -169,16 +201,31 @@ def report(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """What scan() gave, with each secret replaced by mask in text; overlapping secrets are replaced as one."""
-    text = F.col("text")
+    """What scan() gave, without secrets but with each of them replaced by mask in text; overlapping ones are replaced as one.
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        more = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
+    Null texts and those without secrets stay as they are. Other columns may have any name.
+    """
+    kept = [c for c in scanned.columns if c != "secrets"]
+    rows = scanned.select(_packed(kept).alias("row"), "secrets")
+    rows = held(rows.select("row", _pieces("secrets").alias("pieces"), F.when(F.size("secrets") > 0, F.col("row").getField("text").cast("binary")).alias("raw")))
+    # how far the secrets before each piece of the list reach
+    zero = F.struct(F.lit(0).alias("to"), F.array().cast("array<int>").alias("out"))
+    reach = F.aggregate("pieces", zero, lambda acc, p: F.struct(F.greatest(acc["to"], F.array_max(F.transform(p, lambda x: x["stop"]))).alias("to"), F.concat(acc["out"], F.array(acc["to"])).alias("out")))
+    rows = held(rows.select("row", "raw", "pieces", reach.alias("reach")))
 
-    masked = F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return scanned.withColumn("text", F.when(F.size("secrets") > 0, masked).otherwise(text)).drop("secrets")
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.struct(acc["to"].alias("a"), x["first"].alias("b"))
+        return F.struct(F.greatest(acc["to"], x["stop"]).alias("to"), F.concat(acc["out"], F.array(gap)).alias("out"))
+
+    def gaps(piece: Column, to: Column) -> Column:
+        zero = F.struct(to.alias("to"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+        return F.aggregate(piece, zero, step, lambda acc: F.filter(acc["out"], lambda g: g["b"] >= g["a"]))
+
+    last = F.array(F.struct(F.col("reach.to").alias("a"), F.octet_length("raw").alias("b")))
+    rows = held(rows.select("row", "raw", F.concat(F.flatten(F.zip_with("pieces", F.col("reach.out"), gaps)), last).alias("gaps")))
+    masked = F.array_join(F.transform("gaps", lambda g: F.substring(F.col("raw"), g["a"] + 1, g["b"] - g["a"]).cast("string")), mask)
+    text = F.when(F.col("raw").isNotNull(), masked).otherwise(F.col("row").getField("text"))
+    return rows.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in kept))
 
 
 ORACLE = r"""

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from docprov.llm import exact_dedup, secret_scan
@@ -84,6 +85,38 @@ def test_secret_scan(spark):
     assert hidden[14] == "[SECRET]' token:short [SECRET] [SECRET] [SECRET]\"" and hidden[9] == TEXTS[8][1] and hidden[4] is None
 
 
+def test_secrets_of_rows_with_clashing_columns(spark):
+    names = ["_cand", "_cand_id", "secrets", "row", "cand", "m0", "p0", "pieces", "raw", "reach", "gaps", "a.b"]
+    df = docs(spark).drop("secrets", "recipe").select("doc_id", "text", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    scanned = secret_scan.scan(df)
+    assert scanned.columns == [c for c in df.columns if c != "secrets"] + ["secrets"]
+    assert sorted(r["spans"] for r in secret_scan.report(scanned).collect()) == sorted(brute_spans(t) for _, t, _ in TEXTS)
+    rows = secret_scan.redact(scanned).collect()
+    assert len(rows) == len(TEXTS) and rows[0].asDict()["a.b"] == names.index("a.b") and rows[0]["_cand"] == 0
+
+
+def test_overlapping_secrets_are_masked_as_one(spark):
+    text = "é AKIA" + "A" * 12 + "0" * 32 + "abc, é token=" + "a" * 40 + "日"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(secret_scan.scan(df)).collect()}
+    assert got == {1: "é [SECRET], é [SECRET]日", 2: None, 3: ""}
+
+
+def test_a_text_of_very_many_secrets(spark):
+    """Time grows with the text: 100,000 secrets in one text, and 1,000 around the sizes that lists are cut at."""
+    many = "".join(f"ü token={i:08d}x, {i:032x} " for i in range(50_000))
+    sizes = {i: "".join(f"é {KEY} " for _ in range(i)) for i in (1, 255, 256, 257, 512, 513)}
+    rows = [(0, many), *sizes.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.time()
+    scanned = secret_scan.scan(df)
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.report(scanned).collect()}
+    assert all(got[i] == brute_spans(t) for i, t in rows)
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(scanned).collect()}
+    assert masked[0] == "ü [SECRET], [SECRET] " * 50_000 and all(masked[i] == "é [SECRET] " * i for i in sizes)
+    assert time.time() - start < 60
+
+
 def test_trigram_queries():
     q = secret_scan.trigram_query
     assert q("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}

@@ -8,7 +8,7 @@ from docprov.llm.shared import table, written
 from pyspark.sql import functions as F
 
 from .test_native import KEY, brute_spans
-from .test_python_ops import brute_components, brute_fingerprint
+from .test_near_copies import brute_kept
 from .test_tokens import WORD_BPE, ids_of
 
 SF = "/root/testdata/sf0.001"
@@ -44,11 +44,9 @@ def test_stages(spark):
     assert sorted((r["doc_id"] for r in kept), key=str) == sorted((min(g)[3] for g in groups.values()), key=str)
 
     out = written(cp.STAGES[2][1](spark, out, SF), "c")
-    order = [r for r in kept if r["doc_id"] is not None] + [r for r in kept if r["doc_id"] is None]
-    label = brute_components([brute_fingerprint(r["text"]) for r in order])
-    want = [order[i] for i, k in enumerate(label) if i == k]
+    want = brute_kept([(r["doc_id"], r["text"]) for r in kept])
     kept = rows_of(out)
-    assert sorted((r["doc_id"] for r in kept), key=str) == sorted((r["doc_id"] for r in want), key=str)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == want
     texts = {r["doc_id"]: r["text"] for r in before if r["doc_id"] is None or r["doc_id"] < 200000}
     assert all(r["text"] == texts[r["doc_id"]] for r in kept)
 
@@ -77,3 +75,35 @@ def test_stages_take_an_empty_table(spark):
         out = written(stage(spark, docs, SF), name)
         assert out.count() == 0
         docs = out if "text" in out.columns else docs
+
+
+NAMES = ["_row", "_kept", "_gone", "secrets", "_cand", "_cand_id", "row", "id", "word", "others", "recipe", "l0"]
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    """Rows that repeat whole, repeat a doc_id with another text, or tie; every stage's own names among the columns."""
+    long = " ".join(f"word{i} of the text" for i in range(200))
+    rows = [(1, long), (1, long), (1, long.replace("word7 ", "other ")), (1, "quite another text here and there"), (2, f"key {KEY} in the text"), (2, f"key  {KEY} in the text"), (3, f"key {KEY} in the text"), (None, long), (None, None), (4, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"), *(F.lit(i).alias(c) for i, c in enumerate(NAMES)))
+    want = {
+        "language_id": [r for r in rows if r[1]],
+        "exact_dedup": [(1, long), (1, rows[2][1]), (1, rows[3][1]), (2, rows[5][1])],
+        "near_dedup": [(1, long), (1, rows[3][1]), (2, rows[5][1])],
+        "secret_scan": [(1, long), (1, rows[3][1]), (2, "key  [SECRET] in the text")],
+    }
+    docs = df
+    for name, stage in cp.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), name)
+        assert docs.columns == df.columns
+        got = docs.collect()
+        assert [r.asDict()[c] for r in got for c in NAMES] == list(range(len(NAMES))) * len(got)
+        if name == "near_dedup":  # of equal doc_ids, either of the two may stay
+            assert sorted(len(r["text"]) // 100 for r in got) == sorted(len(t) // 100 for _, t in want[name])
+            docs = spark.createDataFrame(want[name], "doc_id long, text string").join(df.drop("doc_id", "text").limit(1)).select(df.columns)
+        else:
+            assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want[name], key=str)
+    whole = [r for r in cp.near(spark, df, SF).collect() if r["text"]]
+    assert sorted(len(r["text"]) // 100 for r in whole) == sorted(len(t) // 100 for _, t in [(1, long), (1, rows[3][1]), (2, rows[4][1])])
+    assert len(cp.near(spark, df, SF).collect()) == 4 and len(cp.exact(spark, df, SF).collect()) == 5
+    packed = cp.packing(spark, df, SF).collect()
+    assert len([r for r in packed if r["doc_tokens"] == 1]) == 3
