@@ -87,13 +87,13 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return r * 0.299 + g * 0.587 + b * 0.114
 
 
-def carriers(spark, seed: str = "mark", coefficients: int = 2 * GRID * GRID) -> DataFrame:
+def carriers(spark, seed: str = "mark", coefficients: int = 2 * GRID * GRID, votes: int = VOTES) -> DataFrame:
     """idx, bit: coefficient idx (2 t for HL, 2 t + 1 for LH) votes for bit. A seeded permutation of one image size: some
     thousand rows, whatever the input. Fewer coefficients than votes are refused."""
-    if coefficients < BITS * VOTES:
+    if coefficients < BITS * votes:
         raise ValueError("too few tiles for a mark")
     place = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("idx").cast("string")), 256))) - 1
-    return spark.range(coefficients).select(F.col("id").alias("idx")).withColumn("place", place).filter(F.col("place") < BITS * VOTES).select("idx", F.floor(F.col("place") / VOTES).cast("int").alias("bit"))
+    return spark.range(coefficients).select(F.col("id").alias("idx")).withColumn("place", place).filter(F.col("place") < BITS * votes).select("idx", F.floor(F.col("place") / votes).cast("int").alias("bit"))
 
 
 def coefficients(image: DataFrame) -> DataFrame:
@@ -114,14 +114,14 @@ def qim_read(c: Column, delta: Column) -> Column:
     return F.when(share < 0.5, 0).otherwise(1)
 
 
-def extract(image: DataFrame, delta: Column | int = 12, seed: str = "mark") -> DataFrame:
+def extract(image: DataFrame, delta: Column | int = 12, seed: str = "mark", own: DataFrame | None = None) -> DataFrame:
     """Per image (and any further keys) the 48 bits by majority, as number and text, and the mean agreement.
 
-    Votes come from the tiles that are there: a bit without votes is 0 with agreement one half.
+    Votes come from the tiles that are there: a bit without votes is 0 with agreement one half. own: other carriers.
     """
     keys = [c for c in image.columns if c not in ("t", "px")]
     step = F.lit(delta).cast("double") if isinstance(delta, int) else delta
-    votes = coefficients(image).join(F.broadcast(carriers(image.sparkSession, seed)), "idx").groupBy(*keys, "bit").agg(F.sum(qim_read(F.col("c"), step)).alias("ones"), F.count("*").alias("n"))
+    votes = coefficients(image).join(F.broadcast(own if own is not None else carriers(image.sparkSession, seed)), "idx").groupBy(*keys, "bit").agg(F.sum(qim_read(F.col("c"), step)).alias("ones"), F.count("*").alias("n"))
     known = votes.select(*keys, "bit", (F.col("ones") * 2 > F.col("n")).cast("int").alias("v"), F.greatest("ones", F.col("n") - F.col("ones")).alias("most"), "n")
     number = F.sum(F.call_function("shiftleft", F.col("v").cast("bigint"), F.lit(BITS - 1) - F.col("bit")))
     return known.groupBy(*keys).agg(number.alias("payload"), bits.half_up((F.sum(F.col("most") / F.col("n")) + (BITS - F.count("*")) * 0.5) / BITS, 6).alias("confidence"))
@@ -138,18 +138,18 @@ def payload_for(image_id: Column) -> Column:
     return bits.build_payload(bits.short_id(F.sha2(F.concat(F.lit("image:"), image_id.cast("string")), 256)))
 
 
-def embed(image: DataFrame, payload: Column, delta: Column | int = 12, seed: str = "mark") -> DataFrame:
-    """image with each carrier moved to read as its bit of payload; values are rounded and clipped."""
+def embed(image: DataFrame, payload: Column, delta: Column | int = 12, seed: str = "mark", own: DataFrame | None = None) -> DataFrame:
+    """image with each carrier moved to read as its bit of payload; values are rounded and clipped. own: other carriers."""
     keys = [c for c in image.columns if c != "px"]
     step = F.lit(delta).cast("double") if isinstance(delta, int) else delta
-    own = carriers(image.sparkSession, seed).select(F.floor(F.col("idx") / 2).cast("int").alias("t"), (F.col("idx") % 2).alias("kind"), "bit")
+    own = (own if own is not None else carriers(image.sparkSession, seed)).select(F.floor(F.col("idx") / 2).cast("int").alias("t"), (F.col("idx") % 2).alias("kind"), "bit")
     both = own.groupBy("t").agg(F.max(F.when(F.col("kind") == 0, F.col("bit"))).alias("b_hl"), F.max(F.when(F.col("kind") == 1, F.col("bit"))).alias("b_lh"))
     hl, lh = haar(F.col("px"))
     known = image.join(F.broadcast(both), "t", "left").withColumns({"_p": payload, "_hl": hl, "_lh": lh})
 
     def move(c: str, b: str) -> Column:
         bit = F.call_function("shiftright", F.col("_p"), F.lit(BITS - 1) - F.col(b)).bitwiseAND(F.lit(1))
-        return F.coalesce(qim(F.col(c), step, bit) - F.col(c), F.lit(0.0))
+        return F.when(F.col(b).isNotNull(), qim(F.col(c), step, bit) - F.col(c)).otherwise(0.0)  # others than carriers stay
 
     known = held(known)
     moved = known.withColumns({"_x": move("_hl", "b_hl"), "_y": move("_lh", "b_lh")})
@@ -284,6 +284,47 @@ def coarse(image: DataFrame, scale: int = 3) -> DataFrame:
     return means.groupBy("image_id", t.alias("t")).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("i"), "v"))), lambda x: x["v"]).alias("px"))
 
 
+def coarse_carriers(spark, seed: str = "page", scale: int = 3) -> DataFrame:
+    """Carriers of an image at 1/scale of its size: as many votes for each bit as its tiles have."""
+    coefficients = 2 * (GRID // scale) ** 2
+    return carriers(spark, seed, coefficients, coefficients // BITS)
+
+
+def embed_coarse(image: DataFrame, payload: Column, delta: int = 8, scale: int = 3, seed: str = "page") -> DataFrame:
+    """image with a mark in its copy at 1/scale of the size: what the mark adds to a value there is added to all the scale by
+    scale values that it is the mean of. Values outside whole tiles of the copy stay."""
+    small = GRID // scale
+    before = coarse(image, scale)
+    after = embed(before, payload, delta, own=coarse_carriers(image.sparkSession, seed, scale))
+    added = before.join(after.select("image_id", "t", F.col("px").alias("to")), ["image_id", "t"]).select("image_id", F.col("t").alias("small"), F.zip_with("to", "px", lambda a, b: a - b).alias("added"))
+    bx, by = (F.col("t") % GRID) * 8, F.floor(F.col("t") / GRID).cast("int") * 8
+    spots = image.select("image_id", "t", F.posexplode("px").alias("i", "v"))
+    gx, gy = F.floor((bx + F.col("i") % 8) / scale).cast("int"), F.floor((by + F.floor(F.col("i") / 8)) / scale).cast("int")
+    spots = spots.select("image_id", "t", "i", "v", gx.alias("gx"), gy.alias("gy"))
+    inside = (F.col("gx") < small * 8) & (F.col("gy") < small * 8)
+    tile = F.when(inside, F.floor(F.col("gy") / 8).cast("int") * small + F.floor(F.col("gx") / 8).cast("int"))
+    spots = spots.select("image_id", "t", "i", "v", tile.alias("small"), (F.col("gy") % 8 * 8 + F.col("gx") % 8).alias("k"))
+    new = F.col("v") + F.coalesce(F.get("added", F.col("k")), F.lit(0))
+    new = F.greatest(F.lit(0), F.least(F.lit(255), new)).cast("int")
+    moved = spots.join(added, ["image_id", "small"], "left").select("image_id", "t", F.struct("i", new.alias("v")).alias("x"))
+    return moved.groupBy("image_id", "t").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("px"))
+
+
+def extract_coarse(image: DataFrame, delta: int = 8, scale: int = 3, seed: str = "page") -> DataFrame:
+    """extract() of embed_coarse()'s mark."""
+    return extract(coarse(image, scale), delta, own=coarse_carriers(image.sparkSession, seed, scale))
+
+
+def pooled_psnr(errors: DataFrame, has: DataFrame) -> DataFrame:
+    """doc, pages and psnr over all pages of a document, from errors (doc, sse, n of a page) and has (doc, has: its pages).
+
+    Null where a page has no partner; equal pages have the figure of one level of error in all of the document.
+    """
+    sums = errors.groupBy("doc").agg(F.count("*").alias("pages"), F.sum("sse").alias("sse"), F.sum("n").alias("n"))
+    figure = F.log10(F.lit(65025.0) * F.col("n").cast("double") / F.greatest(F.col("sse").cast("double"), F.lit(1.0))) * 10
+    return has.join(sums, "doc", "left").select("doc", F.coalesce("pages", F.lit(0)).alias("pages"), F.when(F.col("pages") == F.col("has"), bits.half_up(figure, 6)).alias("psnr"))
+
+
 def stretched(image: DataFrame, share: float = 1.0) -> DataFrame:
     """image_id, t, px: the upper `share` of each image stretched over GRID by GRID tiles, the nearest value for each.
 

@@ -249,7 +249,30 @@ def _attribute(s, d):
     return op.attribute(reg.leaks(s, d), reg.releases(s, d), reg.users(s, d), reg.ledger(s, d))
 
 
-@query("attribute_leaks")
+_ATTRIBUTE = _DIST + f""", b AS (SELECT leak_id, min(least(p, d, a)) AS m FROM pairs GROUP BY leak_id), t AS (SELECT leak_id, CASE WHEN m <= 12 THEN 12 WHEN m <= 28 THEN 28 WHEN m <= 34 THEN 34 END AS tier FROM b),
+c AS (SELECT leak_id, event_id, CASE WHEN p <= tier THEN p END AS p_dist, CASE WHEN d <= tier THEN d END AS d_dist, CASE WHEN a <= tier THEN a END AS a_dist FROM pairs JOIN t USING (leak_id) WHERE p <= tier OR d <= tier OR a <= tier),
+recent AS (SELECT event_id FROM releases ORDER BY created_at DESC, event_id DESC LIMIT 50),
+pool AS (SELECT i.leak_id, r.event_id, user_id, created_at, 48 - bit_count(xor(l.read_bits, r.payload)) AS matches
+  FROM (SELECT leak_id, event_id FROM c UNION SELECT leak_id, event_id FROM leaks, recent) i JOIN leaks l ON l.leak_id = i.leak_id JOIN releases r ON r.event_id = i.event_id),
+tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY leak_id ORDER BY matches DESC, created_at DESC, event_id DESC) AS place FROM pool) WHERE place = 1),
+us AS (SELECT leak_id, user_id, max(matches) AS m FROM pool GROUP BY leak_id, user_id),
+rv AS (SELECT t.leak_id, max(u.m) AS rival FROM tops t JOIN us u ON u.leak_id = t.leak_id AND u.user_id <> t.user_id GROUP BY t.leak_id),
+ma AS (SELECT leak_id, read_bits AS payload FROM leaks)""" + reg.SQL_REPAIR + f""",
+ex AS (SELECT leak_id, event_id AS exact_id FROM (SELECT leak_id, payload AS read_bits FROM re) JOIN releases ON read_bits >> 12 = short_id WHERE CAST({_CRC} AS BIGINT) = ((read_bits >> 4) & 255) AND NOT {_BAD}),
+ch AS (SELECT l.*, coalesce(exact_id, CASE WHEN NOT {_BAD} AND matches >= CASE WHEN matches - coalesce(rival, 0) >= 2 THEN 30 ELSE 32 END AND matches - coalesce(rival, 0) >= 1 AND (matches >= 36 OR coalesce(p_dist <= 12, false)) THEN t.event_id END) AS event_id
+  FROM leaks l LEFT JOIN tops t ON t.leak_id = l.leak_id LEFT JOIN rv ON rv.leak_id = l.leak_id LEFT JOIN ex ON ex.leak_id = l.leak_id LEFT JOIN c ON c.leak_id = t.leak_id AND c.event_id = t.event_id),
+z AS (SELECT ch.leak_id, ch.event_id, r.user_id, coalesce((48 - bit_count(xor(ch.read_bits, r.payload))) / CAST(48 AS DOUBLE), 0) AS b, coalesce(p_dist, bit_count(xor(ch.p_hash, r.p_hash)), 64) AS p, coalesce(d_dist, bit_count(xor(ch.d_hash, r.d_hash)), 64) AS d, coalesce(a_dist, bit_count(xor(ch.a_hash, r.a_hash)), 64) AS a,
+  CASE WHEN ch.event_id IS NOT NULL THEN k.receipt_id IS NOT NULL END AS verified, CASE WHEN ch.event_id IS NOT NULL AND k.receipt_id IS NOT NULL THEN 1.0 ELSE 0.0 END AS c
+  FROM ch LEFT JOIN releases r ON r.event_id = ch.event_id LEFT JOIN c ON c.leak_id = ch.leak_id AND c.event_id = ch.event_id LEFT JOIN (SELECT DISTINCT receipt_id FROM ledger) k ON k.receipt_id = r.receipt_id),
+sc AS (SELECT *, CASE WHEN (p > 16 OR d > 16) AND b >= 0.6 THEN CAST(0.72 AS DOUBLE) * b + CAST(0.13 AS DOUBLE) * (1 - least(p, d) / CAST(64 AS DOUBLE)) + CAST(0.15 AS DOUBLE) * c
+  ELSE CAST(0.45 AS DOUBLE) * b + CAST(0.25 AS DOUBLE) * (1 - p / CAST(64 AS DOUBLE)) + CAST(0.15 AS DOUBLE) * (1 - d / CAST(64 AS DOUBLE)) + CAST(0.1 AS DOUBLE) * (1 - a / CAST(64 AS DOUBLE)) + CAST(0.05 AS DOUBLE) * c END AS s FROM z),
+vd AS (SELECT *, CASE WHEN s >= 0.85 THEN 'ATTRIBUTED' WHEN s >= 0.6 THEN 'PROBABLE' WHEN s >= 0.3 THEN 'SUSPICION' ELSE 'INCONCLUSIVE' END AS verdict FROM sc)
+SELECT leak_id, floor(s * 1000000 + 0.5) / 1000000 AS score, verdict, verified, CASE WHEN verdict IN ('ATTRIBUTED', 'PROBABLE') THEN event_id END AS event_id,
+  CASE WHEN verdict IN ('ATTRIBUTED', 'PROBABLE') AND event_id IS NOT NULL THEN name END AS name, CASE WHEN verdict IN ('ATTRIBUTED', 'PROBABLE') AND event_id IS NOT NULL THEN dept END AS dept
+FROM vd LEFT JOIN users USING (user_id)"""
+
+
+@query("attribute_leaks", _ATTRIBUTE)
 def attribute_leaks(s, d):
     return _attribute(s, d)
 

@@ -9,6 +9,7 @@ from docprov.functions import bits
 from docprov.operators import raster as op
 from docprov.plans.registry import query
 from docprov.sources import register as reg
+from docprov.sources.files import written
 
 #: The tile table as SQL: images of 1024 tiles, half-tile differences, carriers and votes.
 _IMG = """, cnt AS (SELECT count(*) AS n FROM tiles), img AS (
@@ -39,15 +40,20 @@ def x20(s, d):
     return reg.tiles(s, d).select("tile_id", op.d_hash(F.col("px")).alias("h"))
 
 
-@query("x21_p_hash")
+@query("x21_p_hash", _IMG + """, basis AS (SELECT CAST(u * 8 + v AS INTEGER) AS k, y * 32 + x AS t, cos((2 * y + 1) * u * pi() / 64) * cos((2 * x + 1) * v * pi() / 64) AS w
+  FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(8)) AS v), (SELECT unnest(range(32)) AS y), (SELECT unnest(range(32)) AS x) WHERE u + v > 0),
+cf AS (SELECT image_id, k, sum(list_sum(px) * w) AS c FROM img JOIN basis USING (t) GROUP BY image_id, k),
+md AS (SELECT image_id, c AS m FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY c) AS n FROM cf) WHERE n = 32)
+SELECT image_id, CAST(sum(CASE WHEN c > m THEN CAST(1 AS BIGINT) << (k - 1) ELSE 0 END) AS BIGINT) AS p_hash FROM cf JOIN md USING (image_id) GROUP BY image_id""")
 def x21(s, d):
     return op.p_hash(_images(s, d))
 
 
-@query("x22_luma", "SELECT tile_id, floor((px[1] * CAST(0.299 AS DOUBLE) + px[22] * CAST(0.587 AS DOUBLE) + px[43] * CAST(0.114 AS DOUBLE)) * 1000000 + 0.5) / 1000000 AS y FROM tiles")
+@query("x22_luma", ", " + reg.SQL_PLANES + " SELECT tile_id, CAST(list_sum(list_transform(range(64), lambda i: floor((r[i + 1] * CAST(0.299 AS DOUBLE) + g[i + 1] * CAST(0.587 AS DOUBLE) + b[i + 1] * CAST(0.114 AS DOUBLE)) * 1000 + 0.5) * (i + 1))) AS BIGINT) AS digest FROM planes")
 def x22(s, d):
-    px = F.col("px")
-    return reg.tiles(s, d).select("tile_id", bits.half_up(op.luma(px[0], px[21], px[42]), 6).alias("y"))
+    """The luma of every value of three planes, as a sum weighted by place."""
+    y = F.transform("r", lambda v, i: bits.half_up(op.luma(v, F.col("g")[i], F.col("b")[i]) * 1000) * (i + 1))
+    return reg.planes(s, d).select("tile_id", F.aggregate(y, F.lit(0.0), lambda acc, x: acc + x).cast("long").alias("digest"))
 
 
 @query("x23_haar_level_3", _COEF + " SELECT image_id, t, hl, lh FROM hv")
@@ -99,19 +105,14 @@ def m6(s, d):
 
 @query("r21_release_inspection", _votes() + f""", w AS (SELECT *, CAST('0x' || substr(sha256('image:' || image_id), 1, 9) AS BIGINT) AS sid FROM ma),
 x AS (SELECT image_id, payload, (sid << 12) | (CAST({reg.SQL_CRC.format(x='sid')} AS BIGINT) << 4) | 1 AS want FROM w)
-SELECT image_id, 48 - bit_count(xor(payload, want)) AS matching, 48 AS total, CAST(floor((48 - bit_count(xor(payload, want))) / CAST(48 AS DOUBLE) * 100 + 0.5) AS BIGINT) AS pct, payload = want AS intact FROM x""")
+SELECT image_id, CAST({reg.SQL_CRC.format(x='(payload >> 12)')} AS BIGINT) = ((payload >> 4) & 255) AND bit_count(payload) BETWEEN 7 AND 41 AND (payload >> 12) NOT IN (0, 68719476735) AS crc_ok, 48 - bit_count(xor(payload, want)) AS matching, 48 AS total, CAST(floor((48 - bit_count(xor(payload, want))) / CAST(48 AS DOUBLE) * 100 + 0.5) AS BIGINT) AS pct, payload = want AS intact FROM x""")
 def r21(s, d):
-    read = op.extract(_images(s, d)).select("image_id", "payload", op.payload_for(F.col("image_id")).alias("want"))
+    read = op.held(op.extract(_images(s, d)).select("image_id", "payload", op.payload_for(F.col("image_id")).alias("want")))
     m = bits.matching(F.col("payload"), F.col("want"))
-    return read.select("image_id", m.alias("matching"), F.lit(48).alias("total"), bits.half_up(m / 48 * 100).cast("long").alias("pct"), (F.col("payload") == F.col("want")).alias("intact"))
+    return read.select("image_id", bits.crc_ok(F.col("payload")).alias("crc_ok"), m.alias("matching"), F.lit(48).alias("total"), bits.half_up(m / 48 * 100).cast("long").alias("pct"), (F.col("payload") == F.col("want")).alias("intact"))
 
 
-#: The repair behind ma: re has the payload with the first flip that explains its CRC undone.
-_FIX = f""", eff AS (SELECT q AS i, CASE WHEN q < 36 THEN CAST({reg.SQL_CRC.format(x='(CAST(1 AS BIGINT) << greatest(35 - q, 0))')} AS BIGINT) ELSE CAST(1 AS BIGINT) << (43 - q) END AS e, CAST(1 AS BIGINT) << (47 - q) AS m FROM (SELECT CAST(unnest(range(44)) AS INTEGER) AS q)),
-flips AS (SELECT i, -1 AS j, e, m FROM eff UNION ALL SELECT a.i, b.i, xor(a.e, b.e), a.m | b.m FROM eff a JOIN eff b ON a.i < b.i WHERE b.i < 36),
-firsts AS (SELECT e, m FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY j >= 0, i, j) AS n FROM flips) WHERE n = 1 AND e <> 0),
-syn AS (SELECT *, xor(CAST({reg.SQL_CRC.format(x='(payload >> 12)')} AS BIGINT), (payload >> 4) & 255) AS s FROM ma),
-re AS (SELECT syn.* EXCLUDE (payload, s), xor(payload, coalesce(m, 0)) AS payload, m IS NOT NULL AS corrected FROM syn LEFT JOIN firsts ON s = e)"""
+_FIX = reg.SQL_REPAIR
 
 
 @query("m3_repaired_extract", _votes() + _FIX + " SELECT image_id, payload, confidence, corrected FROM re")
@@ -160,7 +161,25 @@ def r21_repaired(s, d):
     return read.select("image_id", "corrected", bits.matching(F.col("payload"), F.col("want")).alias("matching"), (F.col("payload") == F.col("want")).alias("intact"))
 
 
-@query("m2_robust_embed")
+def _sql_reading(table: str) -> str:
+    """ma2: payload of each image of a table (image_id, t, px) at strength 12."""
+    return f""", hv2 AS (SELECT image_id, t, list_sum(list_transform(range(64), lambda i: CASE WHEN i % 8 < 4 THEN px[i + 1] ELSE -px[i + 1] END)) / CAST(64 AS DOUBLE) AS hl,
+  list_sum(list_transform(range(64), lambda i: CASE WHEN i < 32 THEN px[i + 1] ELSE -px[i + 1] END)) / CAST(64 AS DOUBLE) AS lh FROM {table}),
+co2 AS (SELECT image_id, 2 * t AS idx, hl AS c FROM hv2 UNION ALL SELECT image_id, 2 * t + 1, lh FROM hv2),
+vo2 AS (SELECT image_id, bit, sum(CASE WHEN c / 12 - floor(c / 12) < 0.5 THEN 0 ELSE 1 END) AS ones, count(*) AS n FROM co2 JOIN car USING (idx) GROUP BY ALL),
+ma2 AS (SELECT image_id, CAST(sum(CASE WHEN 2 * ones > n THEN CAST(1 AS BIGINT) << CAST(47 - bit AS BIGINT) ELSE 0 END) AS BIGINT) AS payload FROM vo2 GROUP BY image_id)"""
+
+
+_EMBED = _COEF + f""", sid AS (SELECT image_id, CAST('0x' || substr(sha256('image:' || image_id), 1, 9) AS BIGINT) AS sid FROM (SELECT DISTINCT image_id FROM img)),
+wa AS (SELECT image_id, (sid << 12) | (CAST({reg.SQL_CRC.format(x='sid')} AS BIGINT) << 4) | 1 AS want FROM sid),
+off0 AS (SELECT image_id, t, px, hl, lh, CASE WHEN (want >> CAST(47 - a.bit AS BIGINT)) & 1 = 1 THEN 0.75 ELSE 0.25 END AS oa, a.bit IS NULL AS na, CASE WHEN (want >> CAST(47 - b.bit AS BIGINT)) & 1 = 1 THEN 0.75 ELSE 0.25 END AS ob, b.bit IS NULL AS nb
+  FROM img JOIN hv USING (image_id, t) JOIN wa USING (image_id) LEFT JOIN car a ON a.idx = 2 * t LEFT JOIN car b ON b.idx = 2 * t + 1),
+mv AS (SELECT image_id, t, px, CASE WHEN na THEN 0 ELSE 12 * (floor(hl / 12 - CAST(oa AS DOUBLE) + 0.5) + CAST(oa AS DOUBLE)) - hl END AS x, CASE WHEN nb THEN 0 ELSE 12 * (floor(lh / 12 - CAST(ob AS DOUBLE) + 0.5) + CAST(ob AS DOUBLE)) - lh END AS y FROM off0),
+mk AS (SELECT image_id, t, px AS old, list_transform(range(64), lambda i: CAST(greatest(0, least(255, floor(px[i + 1] + CASE WHEN i % 8 < 4 THEN x ELSE -x END + CASE WHEN i < 32 THEN y ELSE -y END + 0.5))) AS BIGINT)) AS px FROM mv)"""
+
+
+@query("m2_robust_embed", _EMBED + _sql_reading("mk") + """, e AS (SELECT image_id, sum(list_sum(list_transform(range(64), lambda i: (px[i + 1] - old[i + 1]) * (px[i + 1] - old[i + 1])))) AS sse, count(*) * 64 AS n FROM mk GROUP BY image_id)
+SELECT image_id, 48 - bit_count(xor(payload, want)) AS recovered, floor(10 * log10(CAST(65025 AS DOUBLE) / (sse / CAST(n AS DOUBLE))) * 100 + 0.5) / 100 AS psnr FROM ma2 JOIN wa USING (image_id) JOIN e USING (image_id)""")
 def m2(s, d):
     """Marks embedded and read back: bits recovered and PSNR of every image."""
     image = _images(s, d)
@@ -180,8 +199,13 @@ def m5(s, d):
 
 @query("m7_coarse_page_mark")
 def m7(s, d):
-    """The mark read at a third of the size, where few tiles are left to vote."""
-    return op.extract(op.coarse(_images(s, d)), 8)
+    """Page marks embedded at a third of the size and read there: bits recovered from the marked page, from the unmarked one, and
+    the page's PSNR."""
+    image, want = _images(s, d), op.payload_for(F.col("image_id"))
+    marked = written(op.embed_coarse(image, want), "pages")
+    error = op.squared_error(image, marked, ["image_id"])
+    found = [op.extract_coarse(i).select("image_id", bits.matching(F.col("payload"), want).alias(n)) for i, n in ((marked, "recovered"), (image, "unmarked"))]
+    return found[0].join(found[1], "image_id").join(error, "image_id").select("image_id", "recovered", "unmarked", bits.half_up(op.psnr(F.col("sse"), F.col("n")), 2).alias("psnr"))
 
 
 @query("m1_fingerprint_table", _IMG + """, cell AS (SELECT image_id, t // 32 // 4 * 8 + t % 32 // 4 AS cell, sum(list_sum(px)) AS v FROM img GROUP BY ALL), tot AS (SELECT image_id, sum(v) AS s FROM cell GROUP BY image_id),
@@ -206,10 +230,22 @@ def r10(s, d):
     return _next_error(s, d).select("image_id", bits.half_up(op.psnr(F.col("sse"), F.col("n")), 6).alias("psnr"))
 
 
-@query("r11_pooled_psnr", _ERR + " SELECT image_id // 3 AS doc, count(*) AS pages, floor(10 * log10(CAST(65025 AS DOUBLE) / (sum(sse) / CAST(sum(n) AS DOUBLE))) * 1000000 + 0.5) / 1000000 AS psnr FROM er GROUP BY ALL")
+#: Documents of three pages against their next ones: the last document's have a page less to compare.
+_POOLED = _ERR + """, pg AS (SELECT image_id // 3 AS doc, count(*) AS has FROM (SELECT DISTINCT image_id FROM img) GROUP BY ALL),
+po AS (SELECT image_id // 3 AS doc, count(*) AS pages, sum(sse) AS sse, sum(n) AS n FROM er GROUP BY ALL),
+pl AS (SELECT doc, coalesce(pages, 0) AS pages, CASE WHEN pages = has THEN floor(10 * log10(CAST(65025 AS DOUBLE) * CAST(n AS DOUBLE) / greatest(CAST(sse AS DOUBLE), 1)) * 1000000 + 0.5) / 1000000 END AS psnr FROM pg LEFT JOIN po USING (doc))"""
+
+
+def pooled(s, d):
+    """doc, pages and psnr of all documents: null where a page has no partner."""
+    image = _images(s, d)
+    has = image.select(F.floor(F.col("image_id") / 3).alias("doc"), "image_id").distinct().groupBy("doc").agg(F.count("*").alias("has"))
+    return op.pooled_psnr(_next_error(s, d).withColumn("doc", F.floor(F.col("image_id") / 3)), has)
+
+
+@query("r11_pooled_psnr", _POOLED + " SELECT doc, pages, psnr FROM pl")
 def r11(s, d):
-    pooled = _next_error(s, d).groupBy(F.floor(F.col("image_id") / 3).alias("doc")).agg(F.count("*").alias("pages"), F.sum("sse").alias("sse"), F.sum("n").alias("n"))
-    return pooled.select("doc", "pages", bits.half_up(op.psnr(F.col("sse"), F.col("n")), 6).alias("psnr"))
+    return pooled(s, d)
 
 
 _HIST = _IMG + """, cn AS (SELECT image_id, v, count(*) AS n FROM (SELECT image_id, unnest(px) AS v FROM img) GROUP BY ALL),
@@ -255,24 +291,38 @@ def m8(s, d):
     return out.select("image_id", "t", F.aggregate(F.transform("px", lambda v, i: (v * (i + 1)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("digest"))
 
 
-@query("r16_tamper_verdict")
+_WORN_TILES = _IMG + """, dg AS (SELECT image_id, t, px, sha256('key|' || image_id || '|' || t || '|' || array_to_string(list_transform(px, lambda v: v - v % 2), ',')) AS h FROM img),
+mk AS (SELECT image_id, t, list_transform(range(64), lambda i: px[i + 1] - px[i + 1] % 2 + ((CAST('0x' || substr(h, CAST(i // 4 + 1 AS BIGINT), 1) AS BIGINT) >> (3 - i % 4)) & 1)) AS px FROM dg),
+wn AS (SELECT image_id, t, CASE WHEN image_id % 3 = 1 AND (t % 32 BETWEEN 3 AND 6 AND t // 32 BETWEEN 8 AND 9 OR t % 97 = 0) THEN list_transform(px, lambda v: 255 - v) ELSE px END AS px FROM mk),
+ck AS (SELECT image_id, t, px, sha256('key|' || image_id || '|' || t || '|' || array_to_string(list_transform(px, lambda v: v - v % 2), ',')) AS h FROM wn),
+bd AS (SELECT image_id, t, 4 * list_sum(list_transform(range(64), lambda i: CASE WHEN px[i + 1] % 2 <> ((CAST('0x' || substr(h, CAST(i // 4 + 1 AS BIGINT), 1) AS BIGINT) >> (3 - i % 4)) & 1) THEN 1 ELSE 0 END)) > 64 AS failed FROM ck),
+tv AS (SELECT image_id, count(*) AS n, count(*) FILTER (failed) AS failed FROM bd GROUP BY image_id),
+tw AS (SELECT image_id, CASE WHEN n <> 1024 THEN 'unassessable' WHEN failed = 0 THEN 'intact' WHEN failed > n * 0.6 THEN 'unassessable' ELSE 'tampered' END AS status, failed, floor(failed / CAST(n AS DOUBLE) * 100 * 10 + 0.5) / 10 AS pct FROM tv)"""
+_BOXES = "RECURSIVE" + _WORN_TILES + """, f AS (SELECT image_id, t FROM bd WHERE failed),
+reach AS (SELECT image_id, t AS root, t FROM f UNION SELECT r.image_id, r.root, f.t FROM reach r JOIN f ON f.image_id = r.image_id AND (abs(f.t - r.t) = 32 OR abs(f.t - r.t) = 1 AND f.t // 32 = r.t // 32)),
+cp AS (SELECT image_id, t, min(root) AS c FROM reach GROUP BY image_id, t),
+bx AS (SELECT image_id, 8 * min(t % 32) AS x, 8 * min(t // 32) AS y, 8 * (max(t % 32) - min(t % 32) + 1) AS w, 8 * (max(t // 32) - min(t // 32) + 1) AS h FROM cp GROUP BY image_id, c),
+rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY w * h DESC, x, y, w, h) AS place FROM bx)"""
+
+
+@query("r16_tamper_verdict", _WORN_TILES + " SELECT * FROM tw")
 def r16(s, d):
     return op.tamper_verdict(op.fragile_check(_tampered(s, d)))
 
 
-@query("r17_tamper_regions")
+@query("r17_tamper_regions", _BOXES + " SELECT image_id, place, x, y, w, h FROM rk WHERE place <= 20")
 def r17(s, d):
     return op.regions(op.fragile_check(_tampered(s, d)))
 
 
-@query("o5_top_regions")
+@query("o5_top_regions", _BOXES + " SELECT image_id, place AS by_area, x, y, w, h FROM rk WHERE place <= 20")
 def o5(s, d):
     rows = op.regions(op.fragile_check(_tampered(s, d)))
     place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc(F.col("w") * F.col("h")), "x", "y"))
     return rows.withColumn("by_area", place).filter("by_area <= 20").select("image_id", "by_area", "x", "y", "w", "h")
 
 
-@query("m9_fragile_verify")
+@query("m9_fragile_verify", _BOXES + " SELECT tw.*, (SELECT count(*) FROM rk WHERE rk.image_id = tw.image_id AND place <= 20) AS regions FROM tw")
 def m9(s, d):
     checked = op.fragile_check(_tampered(s, d))
     return op.tamper_verdict(checked).join(op.regions(checked).groupBy("image_id").agg(F.count("*").alias("regions")), "image_id", "left").withColumn("regions", F.coalesce("regions", F.lit(0)))

@@ -17,11 +17,13 @@ _MODULES = ("docprov.plans.audit", "docprov.plans.attribution", "docprov.plans.s
 
 def query(name: str, sql: str | None = None):
     """Registers a function of (spark, sf_dir); sql goes behind the derived tables of FIXTURE_SQL, or stands alone if it starts
-    with WITH."""
+    with WITH. One that starts with RECURSIVE has a table that asks for itself."""
 
     def add(f):
         _QUERIES[name] = f
-        if sql:
+        if sql and sql.startswith("RECURSIVE"):
+            _SQL[name] = FIXTURE_SQL.replace("WITH", "WITH RECURSIVE", 1) + sql.removeprefix("RECURSIVE")
+        elif sql:
             _SQL[name] = sql if sql.lstrip().startswith("WITH") else FIXTURE_SQL + sql.lstrip().removeprefix("AND")
         return f
 

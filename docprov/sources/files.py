@@ -80,8 +80,13 @@ def read_metrics(spark: SparkSession, path: str | None) -> DataFrame:
     return a.union(c)
 
 
-def append_investigations(rows: DataFrame) -> DataFrame:
-    """rows appended to a table partitioned by date, and the table."""
-    path = shared_path(rows.sparkSession, "investigations")
+def append_investigations(rows: DataFrame, path: str) -> None:
+    """Appends rows to the table at path, partitioned by date; what is there stays."""
     rows.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy("created_date").parquet(path)
-    return rows.sparkSession.read.parquet(path)
+
+
+def upserted(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """A new version of table, written: rows, and what table has of other keys. A key comes once in rows; null keys are equal."""
+    fresh = written(rows, "fresh")
+    kept = table.join(fresh.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    return written(kept.unionByName(fresh), "version")

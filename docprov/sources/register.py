@@ -57,8 +57,13 @@ def _hash(kind: str, turn: int | None) -> Column:
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return releases_of(table(spark, sf_dir, "orders"))
+
+
+def releases_of(orders: DataFrame) -> DataFrame:
+    """The releases that orders stand for, of a table or of a stream."""
     key = F.col("o_orderkey")
-    base = table(spark, sf_dir, "orders").select(
+    base = orders.select(
         key.alias("event_id"),
         F.col("o_custkey").alias("user_id"),
         F.floor(key / 8).alias("asset_id"),
@@ -133,6 +138,16 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("tile_id"), F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 400 * v.cast("double") + 0.5).cast("int")))).alias("px"))
 
 
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tile_id and r, g, b: a tile and the two behind it as the planes of one."""
+    t = tiles(spark, sf_dir)
+    n = t.count()
+    out = t.withColumnRenamed("px", "r")
+    for k, name in ((n - 1, "g"), (n - 2, "b")):
+        out = out.join(t.select(((F.col("tile_id") + k) % n).alias("tile_id"), F.col("px").alias(name)), "tile_id")
+    return out
+
+
 def marked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, every tenth with the payload of the release of its number, the next with its receipt."""
     d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
@@ -199,3 +214,11 @@ marked_text AS (
   SELECT doc_id, text || CASE WHEN doc_id % 10 = 0 THEN ' payload:' || right(bin((sid << 12) | (CAST({SQL_CRC.format(x="sid")} AS BIGINT) << 4) | 1 | (CAST(1 AS BIGINT) << 50)), 48)
     WHEN doc_id % 10 = 1 THEN ' 0x' || receipt ELSE '' END AS text FROM mt1)
 """
+#: Repair of `payload` in a table ma: re has it with the first flip that explains its CRC undone, and `corrected`.
+SQL_REPAIR = f""", eff AS (SELECT q AS i, CASE WHEN q < 36 THEN CAST({SQL_CRC.format(x="(CAST(1 AS BIGINT) << greatest(35 - q, 0))")} AS BIGINT) ELSE CAST(1 AS BIGINT) << (43 - q) END AS e, CAST(1 AS BIGINT) << (47 - q) AS m FROM (SELECT CAST(unnest(range(44)) AS INTEGER) AS q)),
+flips AS (SELECT i, -1 AS j, e, m FROM eff UNION ALL SELECT a.i, b.i, xor(a.e, b.e), a.m | b.m FROM eff a JOIN eff b ON a.i < b.i WHERE b.i < 36),
+firsts AS (SELECT e, m FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY j >= 0, i, j) AS n FROM flips) WHERE n = 1 AND e <> 0),
+syn AS (SELECT *, xor(CAST({SQL_CRC.format(x="(payload >> 12)")} AS BIGINT), (payload >> 4) & 255) AS s FROM ma),
+re AS (SELECT syn.* EXCLUDE (payload, s), xor(payload, coalesce(m, 0)) AS payload, m IS NOT NULL AS corrected FROM syn LEFT JOIN firsts ON s = e)"""
+#: 8 by 8 pages of three planes of colour: a tile and the two behind it.
+SQL_PLANES = "planes AS (SELECT a.tile_id, a.px AS r, b.px AS g, c.px AS b FROM tiles a JOIN tiles b ON b.tile_id = (a.tile_id + 1) % (SELECT count(*) FROM tiles) JOIN tiles c ON c.tile_id = (a.tile_id + 2) % (SELECT count(*) FROM tiles))"

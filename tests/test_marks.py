@@ -1,5 +1,7 @@
 """Marks whose reading has wrong bits."""
 
+import math
+
 from docprov.functions import bits
 from docprov.operators import raster
 from pyspark.sql import functions as F
@@ -35,3 +37,38 @@ def test_each_pass_reads_what_the_others_cannot(spark):
     m = {(r["image_id"], r["pass"]): r["m"] for r in got.collect()}
     assert m[0, "scaled"] == 48 and m[0, "direct"] < 40
     assert m[1, "topcrop"] >= 44 and m[1, "direct"] < 40
+
+
+def test_the_published_figures_of_strength_and_attacks(spark):
+    """Published figures of a flat page of 4,096 tiles. Ours has 1,024 with as many carriers: four
+    times the error for each value."""
+    published = {4: 54.22, 8: 48.20, 12: 44.68, 16: 42.18, 24: 38.66}
+    image = flat(spark, 2)
+    got = {(r["attack"], r["delta"]): r for r in raster.robustness(image).collect()}
+    for delta, psnr in published.items():
+        r = got["none", delta]
+        assert r["bits"] == 48 and r["survived"] and abs(r["psnr"] + 10 * math.log10(4) - psnr) < 0.011
+    want = raster.payload_for(F.col("image_id"))
+    ones = [r[0] for r in image.select("image_id").distinct().select(F.bit_count(want)).collect()]
+    assert all(14 <= n <= 34 for n in ones)  # a balanced payload: reading zeros only gives no good figure
+    assert got["crop 20%", 12]["bits"] >= 40 and got["brighter", 12]["bits"] == 48
+    for name in {k for k, _ in got}:
+        assert got[name, 12]["target"] == 40
+
+
+def test_a_page_mark_is_read_at_a_third_of_the_size(spark):
+    image, want = flat(spark, 2), raster.payload_for(F.col("image_id"))
+    marked = raster.embed_coarse(image, want)
+    got = raster.extract_coarse(marked).select(bits.matching(F.col("payload"), want).alias("m"), bits.crc_ok(F.col("payload")).alias("ok")).collect()
+    assert [(r["m"], r["ok"]) for r in got] == [(48, True)] * 2
+    none = raster.extract_coarse(image).select(bits.matching(F.col("payload"), want).alias("m")).collect()
+    assert all(14 <= r["m"] <= 34 for r in none)
+    same = raster.squared_error(image, marked, ["image_id"]).filter("sse > 0 AND n = 65536").count()
+    assert same == 2
+
+
+def test_pooled_figures_have_a_ceiling_and_gaps(spark):
+    errors = spark.createDataFrame([(1, 0, 64), (1, 0, 64), (2, 5, 64), (3, 64, 64)], "doc long, sse long, n long")
+    has = spark.createDataFrame([(1, 2), (2, 2), (3, 1), (4, 1)], "doc long, has long")
+    got = {r["doc"]: (r["pages"], r["psnr"]) for r in raster.pooled_psnr(errors, has).collect()}
+    assert got == {1: (2, round(10 * math.log10(65025 * 128), 6)), 2: (1, None), 3: (1, round(10 * math.log10(65025), 6)), 4: (0, None)}
