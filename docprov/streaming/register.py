@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docprov.sources.files import shared_path
 
@@ -36,11 +37,29 @@ def each_batch(rows: DataFrame, name: str, make, mode: str = "append") -> DataFr
     return spark.read.parquet(path)
 
 
-def first_receipts(receipts: DataFrame, within: str | None = None) -> DataFrame:
-    """Receipts but zero ids and repeats, the first staying. within: keep only so much state, which lets later repeats
-    through (the rows then need a watermark)."""
-    good = receipts.filter(F.col("receipt_id") != ZERO)
-    return good.dropDuplicatesWithinWatermark(["receipt_id"]) if within else good.dropDuplicates(["receipt_id"])
+def first_receipts(receipts: DataFrame, name: str) -> DataFrame:
+    """Receipts but zero ids and repeats, the first staying, as a written table; run through the stream until it is drained.
+
+    What was written is the state: a batch is held against the receipts of the batches before it, so the stream itself keeps
+    none, and a batch that runs again finds the same.
+    """
+    spark, path = receipts.sparkSession, shared_path(receipts.sparkSession, name)
+    schema = receipts.schema
+
+    def run(batch: DataFrame, number: int) -> None:
+        fresh = batch.filter(F.col("receipt_id") != ZERO).dropDuplicates(["receipt_id"])
+        if number:
+            known = spark.read.schema(_with_batch(schema)).parquet(path)
+            fresh = fresh.join(known.filter(F.col("batch") < number).select("receipt_id"), "receipt_id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = receipts.writeStream.option("checkpointLocation", path + "-state").trigger(availableNow=True).foreachBatch(run).start()
+    q.awaitTermination()
+    return spark.read.schema(_with_batch(schema)).parquet(path).drop("batch")
+
+
+def _with_batch(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("batch", LongType())])
 
 
 def receipt_events(receipts: DataFrame) -> DataFrame:
@@ -50,10 +69,13 @@ def receipt_events(receipts: DataFrame) -> DataFrame:
 
 
 def answered(challenges: DataFrame, responses: DataFrame, ttl: str = "2 minutes", late: str = "1 hour") -> DataFrame:
-    """Challenges that a response of their user met in time; each counts once, the first to arrive.
+    """Challenges that a response of their user to their asset met in time; each counts once.
 
-    challenges: challenge_id, user_id, ch_ts. responses: user, resp_ts.
+    challenges: challenge_id, asset_id, user_id, ch_ts. responses: for_challenge, asset, user, resp_ts. A response names its
+    challenge, so it uses up no other; repeats of it, and others that name the same challenge, are dropped. State goes with the
+    watermark: pairs are at most `ttl` apart, and an answer is remembered for as long as rows may be late.
     """
     c, r = challenges.withWatermark("ch_ts", late), responses.withWatermark("resp_ts", late)
-    met = (F.col("user_id") == F.col("user")) & (F.col("resp_ts") >= F.col("ch_ts")) & (F.col("resp_ts") < F.col("ch_ts") + F.expr(f"INTERVAL {ttl}"))
-    return c.join(r, met).select("challenge_id", "user_id").dropDuplicates(["challenge_id"])
+    bound = (F.col("challenge_id") == F.col("for_challenge")) & (F.col("asset_id") == F.col("asset")) & (F.col("user_id") == F.col("user"))
+    met = bound & (F.col("resp_ts") >= F.col("ch_ts")) & (F.col("resp_ts") < F.col("ch_ts") + F.expr(f"INTERVAL {ttl}"))
+    return c.join(r, met).select("challenge_id", "asset_id", "user_id", "ch_ts").dropDuplicatesWithinWatermark(["challenge_id"]).drop("ch_ts")
