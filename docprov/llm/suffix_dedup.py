@@ -23,15 +23,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partitions, written
 from .token_ids import as_bytes, slices
 
-_BLOCK = "block long, doc_ids binary, sizes binary, data binary"
+_BLOCK = "block long, n_bytes long, doc_ids binary, nulls binary, sizes binary, data binary"
 _NOTE = "block long, kind int, bucket int, payload binary"
-_LAST = np.iinfo(np.int64).max  # stands for a null doc_id, which is behind all others
+_DEALT = "block long, n int, bucket int, payload binary"
+_MATCHED = "block long, n int, payload binary, o int, string binary, id long, start long"
 _POS_BITS = 31
 
 
@@ -107,6 +108,7 @@ class Block:
     """A block's texts and its anchors."""
 
     ids: np.ndarray
+    nulls: np.ndarray  # 1 for a null doc_id, which is behind all others
     sizes: np.ndarray
     data: np.ndarray
     shape: Shape
@@ -135,7 +137,7 @@ class Block:
         """(bytes, representative anchors, for each of chosen its row): equal ones are one, the earliest."""
         s, place = self.shape, self.place[chosen]
         begin, end = self.starts[self.doc[chosen]], (self.starts + self.sizes)[self.doc[chosen]]
-        order = np.lexsort((chosen, place - begin, self.ids[self.doc[chosen]]))
+        order = np.lexsort((chosen, place - begin, self.ids[self.doc[chosen]], self.nulls[self.doc[chosen]]))
         chosen, place, begin, end = chosen[order], place[order], begin[order], end[order]
         at = place[:, None] + np.concatenate([np.arange(s.length), -1 - np.arange(s.back)])
         out = self.data[np.clip(at, 0, max(0, len(self.data) - 1))]
@@ -217,10 +219,11 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         for k, b in enumerate(x for whole in batches for x in slices(iter([whole]), block_bytes)):
             texts = b.column("text").to_pylist()
-            ids = np.array([_LAST if i is None else i for i in b.column("doc_id").to_pylist()], np.int64)
+            given = b.column("doc_id").to_pylist()
+            ids, nulls = np.array([i or 0 for i in given], np.int64), np.array([i is None for i in given], np.uint8)
             sizes = np.array([len(t) for t in texts], np.int64)
             data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            yield pa.RecordBatch.from_pydict({"block": [(part << 24) + k], "doc_ids": [ids.tobytes()], "sizes": [sizes.tobytes()], "data": [data]})
+            yield pa.RecordBatch.from_pydict({"block": [(part << 24) + k], "n_bytes": [int(sizes.sum())], "doc_ids": [ids.tobytes()], "nulls": [nulls.tobytes()], "sizes": [sizes.tobytes()], "data": [data]})
 
     return written(as_bytes(docs).mapInArrow(run, _BLOCK), "blocks")
 
@@ -229,7 +232,7 @@ def _opened(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[tuple[i
     for b in batches:
         for r in b.to_pylist():
             data = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.uint8)
-            yield r["block"], Block(np.frombuffer(r["doc_ids"], np.int64), np.frombuffer(r["sizes"], np.int64), data, shape), r.get("notes") or []
+            yield r["block"], Block(np.frombuffer(r["doc_ids"], np.int64), np.frombuffer(r["nulls"], np.uint8), np.frombuffer(r["sizes"], np.int64), data, shape), r.get("notes") or []
 
 
 def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
@@ -239,22 +242,60 @@ def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[f for f, _ in fields])
 
 
+def _buckets(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("bucket",)) -> Iterator[list[dict]]:
+    """The rows of each bucket, of batches sorted by keys: no more than one bucket's are held."""
+    rows: list[dict] = []
+    for b in batches:
+        for r in b.to_pylist():
+            if rows and any(r[k] != rows[0][k] for k in keys):
+                yield rows
+                rows = []
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _joined(rows: list[dict], columns: tuple) -> tuple[np.ndarray, ...]:
+    """The suffixes of rows and their blocks, in order of their places in the corpus."""
+    parts = [_unpack(r["payload"], r["n"], *columns) for r in rows]
+    text, ids, nulls, place, index, low, high = (np.concatenate(c) for c in zip(*parts, strict=True))
+    block = np.repeat(np.array([r["block"] for r in rows]), [r["n"] for r in rows])
+    order = np.lexsort((block, place, ids, nulls))
+    return tuple(x[order] for x in (text, ids, nulls, place, index, low, high, block))
+
+
+def _flagged(block: np.ndarray, index: np.ndarray, flags: np.ndarray) -> list[tuple]:
+    """Rows of _MATCHED: per block the suffixes that have flags."""
+    out, by_block = [], np.argsort(block, kind="stable")
+    bounds = np.flatnonzero(np.concatenate([[True], np.diff(block[by_block]) != 0, [True]])) if len(block) else []
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        own = by_block[lo:hi]
+        own = own[flags[own].any(axis=1)]
+        if len(own):
+            out.append((int(block[by_block[lo]]), len(own), _pack(index[own], np.packbits(flags[own], axis=1)), None, None, None, None))
+    return out
+
+
 def _with_notes(blocks: DataFrame, notes: DataFrame) -> DataFrame:
     of = notes.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("kind", "bucket", "payload")).alias("notes"))
     return blocks.join(of, F.col("block") == F.col("of"), "left").drop("of")
 
 
-def repeats(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int = 2 << 20, samples: int = 40) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int = 2 << 20, samples: int = 40, bucket_bytes: int = 32 << 20, most: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, stop: the maximal removed runs, in bytes) and kept (binary), a row per row of docs.
 
     docs needs doc_id and text; other columns are ignored. Texts are taken as UTF-8, null as empty; texts shorter than
     `length` are kept whole. A null doc_id is behind all others; rows that repeat a doc_id count as one document in which
     strings at equal places are ordered by where they are stored. What is kept is bytes: a run may end within a
-    character. An empty table gives no rows. gram must be a power of two.
+    character. An empty table gives no rows. gram must be a power of two. There is a bucket for each bucket_bytes of text, and
+    a task holds one at a time. A bucket of more than `most` suffixes, such as those of a passage that all blocks hold, is first
+    dealt in parts, which leave one of equal suffixes each.
     """
     spark, shape = docs.sparkSession, Shape(length, gram)
-    n_buckets = partitions(spark)
     blocks = _blocks(docs, block_bytes)
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    n_tasks = partitions(spark)
+    n_buckets = max(n_tasks, -(-total // bucket_bytes))
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, t, _ in _opened(batches, shape):
@@ -262,15 +303,14 @@ def repeats(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int
             yield _batch([(block, 0, k, t.unique[order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a], _NOTE)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        if rows:
+        for rows in _buckets(batches):
             each = [np.frombuffer(r["payload"], np.uint64) for r in rows]
             values, inverse, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
             more = np.split(counts[inverse.reshape(-1)] > 1, np.cumsum([len(x) for x in each])[:-1])
             yield _batch([(r["block"], 0, r["bucket"], np.packbits(m).tobytes()) for r, m in zip(rows, more, strict=True) if m.any()], _NOTE)
 
-    told = written(blocks.mapInArrow(announce, _NOTE).repartition(n_buckets, "bucket").mapInArrow(answer, _NOTE), "answers")
-    columns = (("u1", length + shape.back), ("i8", 1), ("i8", 1), ("u4", 1), ("u1", 1), ("u1", 1))
+    told = written(blocks.mapInArrow(announce, _NOTE).repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _NOTE), "answers")
+    columns = (("u1", length + shape.back), ("i8", 1), ("u1", 1), ("i8", 1), ("u4", 1), ("u1", 1), ("u1", 1))
 
     def collapse(t: Block, notes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         chosen = t.repeated([(x["bucket"], x["payload"]) for x in notes if x["kind"] == 0], n_buckets)
@@ -282,7 +322,7 @@ def repeats(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int
             if len(text):
                 doc = t.doc[anchor]
                 pick = text[np.argsort(t.hash[anchor] * np.uint64(0x9E3779B97F4A7C15))[:samples]]
-                payload = _pack(text, t.ids[doc], t.place[anchor] - t.starts[doc], np.arange(len(anchor), dtype=np.uint32), t.low[anchor].astype(np.uint8), t.high[anchor].astype(np.uint8))
+                payload = _pack(text, t.ids[doc], t.nulls[doc], t.place[anchor] - t.starts[doc], np.arange(len(anchor), dtype=np.uint32), t.low[anchor].astype(np.uint8), t.high[anchor].astype(np.uint8))
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "n": pa.array([len(text)], pa.int32()), "payload": [payload], "sample": [[x.tobytes() for x in pick]]})
 
     suffixes = written(_with_notes(blocks, told).mapInArrow(gather, "block long, n int, payload binary, sample array<binary>"), "suffixes")
@@ -300,42 +340,55 @@ def repeats(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int
                 order = np.argsort(bucket, kind="stable")
                 bounds = np.searchsorted(bucket[order], np.arange(len(held.value) + 2))
                 rows = [(r["block"], int(hi - lo), k, _pack(*(c[order[lo:hi]] for c in cols))) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if hi > lo]
-                yield _batch(rows, "block long, n int, bucket int, payload binary")
+                yield _batch(rows, _DEALT)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One of equal suffixes stays (bucket is set), the earliest; the others are repeats at all their places (o is -1)."""
+        for rows in _buckets(batches, ("bucket", "part")):
+            text, ids, nulls, place, index, low, high, block = _joined(rows, columns)
+            full = np.ascontiguousarray(np.concatenate([text, low[:, None], high[:, None]], axis=1))
+            first = np.unique(full.view(f"V{full.shape[1]}").reshape(-1), return_index=True)[1]
+            again = np.ones(len(text), bool)
+            again[first] = False
+            offsets = np.arange(shape.back + 1)
+            flags = again[:, None] & (offsets >= low[:, None]) & (offsets <= high[:, None])
+            out = [(b, n, None, payload, -1) for b, n, payload, *_ in _flagged(block, index, flags)]
+            for b in np.unique(block[first]):
+                own = first[block[first] == b]
+                out.append((int(b), len(own), rows[0]["bucket"], _pack(*(c[own] for c in (text, ids, nulls, place, index, low, high))), 0))
+            yield _batch(out, f"{_DEALT}, o int")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list] = {}
-        for b in batches:
-            for r in b.to_pylist():
-                by_bucket.setdefault(r["bucket"], []).append(r)
-        for bucket, rows in by_bucket.items():
-            parts = [_unpack(r["payload"], r["n"], *columns) for r in rows]
-            text, ids, place, index, low, high = (np.concatenate(c) for c in zip(*parts, strict=True))
-            block = np.repeat(np.array([r["block"] for r in rows]), [r["n"] for r in rows])
-            order = np.lexsort((block, place, ids))
-            text, ids, place, index, low, high, block = (x[order] for x in (text, ids, place, index, low, high, block))
+        for rows in _buckets(batches):
+            bucket = rows[0]["bucket"]
+            text, ids, nulls, place, index, low, high, block = _joined(rows, columns)
             borders = [held.value[k] if 0 <= k < len(held.value) else None for k in (bucket - 1, bucket)]
             flags, undecided = compare(text, low, high, borders, shape)
-            by_block = np.argsort(block, kind="stable")
-            bounds = np.flatnonzero(np.concatenate([[True], np.diff(block[by_block]) != 0, [True]]))
-            out = []
-            for lo, hi in zip(bounds, bounds[1:], strict=False):
-                own = by_block[lo:hi]
-                own = own[flags[own].any(axis=1)]
-                if len(own):
-                    out.append((int(block[by_block[lo]]), len(own), _pack(index[own], np.packbits(flags[own], axis=1)), None, None, None, None))
+            out = _flagged(block, index, flags)
             for i, o in undecided:
                 string = text[i, length : length + o][::-1].tobytes() + text[i, : length - o].tobytes()
-                out.append((int(block[i]), int(index[i]), None, o, string, int(ids[i]), int(place[i]) - o))
-            yield _batch(out, "block long, n int, payload binary, o int, string binary, id long, start long")
-
-    matched = written(
-        suffixes.select("block", "n", "payload").mapInArrow(deal, "block long, n int, bucket int, payload binary").repartition(n_buckets, "bucket").mapInArrow(match, "block long, n int, payload binary, o int, string binary, id long, start long"),
-        "matched",
-    )
-    earlier = F.row_number().over(Window.partitionBy("string").orderBy("id", "start", "block", "n"))
-    across = matched.filter(F.col("string").isNotNull()).withColumn("rank", earlier).filter("rank > 1")
+                out.append((int(block[i]), int(index[i]), None, o, string, None if nulls[i] else int(ids[i]), int(place[i]) - o))
+            yield _batch(out, _MATCHED)
+
+    dealt = written(suffixes.select("block", "n", "payload").mapInArrow(deal, _DEALT), "dealt")
+    sizes = dealt.groupBy("bucket").agg(F.sum("n").alias("of")).filter(F.col("of") > most)
+    hot = written(sizes.select(F.col("bucket").alias("hot"), F.ceil(F.col("of") / most).cast("int").alias("parts")), "hot")
+    repeated = None
+    if not hot.isEmpty():
+        split = dealt.join(hot, F.col("bucket") == F.col("hot")).withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"))
+        split = split.select("block", "n", "bucket", "payload", "part").repartition(n_tasks, "bucket", "part").sortWithinPartitions("bucket", "part")
+        reduced = written(split.mapInArrow(reduce, f"{_DEALT}, o int"), "reduced")
+        repeated = reduced.filter("o < 0").select("block", "n", "payload")
+        cool = dealt.join(hot, F.col("bucket") == F.col("hot"), "left_anti")
+        dealt = cool.unionByName(reduced.filter("o = 0").drop("o"))
+    matched = written(dealt.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(match, _MATCHED), "matched")
+    # of a string that stands at borders of buckets, all but the earliest are repeats
+    open_ = matched.filter(F.col("string").isNotNull()).select("string", F.struct(F.col("id").isNull().alias("last"), "id", "start", "block", "n", "o").alias("at"))
+    first = written(open_.groupBy("string").agg(F.min("at").alias("first")), "firsts")
+    across = open_.join(first, "string").filter(F.col("at") > F.col("first")).select("at.block", "at.n", "at.o")
     pairs = across.groupBy("block").agg(F.collect_list(F.struct("n", "o")).alias("p")).select("block", F.lit(2).alias("kind"), F.lit(0).alias("bucket"), F.to_json("p").cast("binary").alias("payload"))
-    inner = matched.filter(F.col("payload").isNotNull()).select("block", F.lit(1).alias("kind"), F.col("n").alias("bucket"), "payload")
+    flagged = matched.filter(F.col("payload").isNotNull()).select("block", "n", "payload")
+    inner = (flagged if repeated is None else flagged.unionByName(repeated)).select("block", F.lit(1).alias("kind"), F.col("n").alias("bucket"), "payload")
     notes = written(told.select("block", "kind", "bucket", "payload").unionByName(inner).unionByName(pairs), "notes")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,10 +418,10 @@ def repeats(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int
             np.add.at(cover, begin + shape.length, -1)
             removed = np.cumsum(cover[:n]) > 0
             ids, n_bytes, spans, kept = [], [], [], []
-            for doc_id, lo, hi in zip(t.ids.tolist(), t.starts.tolist(), (t.starts + t.sizes).tolist(), strict=True):
+            for doc_id, null, lo, hi in zip(t.ids.tolist(), t.nulls.tolist(), t.starts.tolist(), (t.starts + t.sizes).tolist(), strict=True):
                 mask = removed[lo:hi]
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                ids.append(None if doc_id == _LAST else doc_id)
+                ids.append(None if null else doc_id)
                 n_bytes.append(hi - lo)
                 spans.append([{"start": a, "stop": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
                 kept.append(t.data[lo:hi][~mask].tobytes())

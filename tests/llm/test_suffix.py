@@ -35,22 +35,36 @@ def corpus(seed, n):
     ids = list(range(len(texts)))
     r.shuffle(ids)
     rows = list(zip(ids, texts, strict=True))
-    rows[-1] = (None, rows[-1][1])
+    rows[-1], rows[-2], rows[-3] = (None, rows[-1][1]), (2**63 - 1, rows[-2][1]), (-(2**63), rows[-3][1])
     return rows
 
 
-@pytest.mark.parametrize(("seed", "length", "gram", "block", "samples"), [(1, 20, 8, 1 << 20, 40), (2, 24, 4, 300, 40), (3, 16, 16, 200, 1), (4, 33, 8, 500, 3)])
-def test_same_as_brute_force(spark, seed, length, gram, block, samples):
+@pytest.mark.parametrize(
+    ("seed", "length", "gram", "block", "samples", "bucket", "most"),
+    [(1, 20, 8, 1 << 20, 40, 1 << 20, 1000), (2, 24, 4, 300, 40, 400, 1000), (3, 16, 16, 200, 1, 1 << 20, 20), (4, 33, 8, 500, 3, 700, 10), (5, 20, 8, 250, 2, 500, 3)],
+)
+def test_same_as_brute_force(spark, seed, length, gram, block, samples, bucket, most):
     rows = corpus(seed, 60)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, block int").repartition(3)
     want = brute(rows, length)
-    got = suffix_dedup.repeats(df, length, gram, block, samples).collect()
+    got = suffix_dedup.repeats(df, length, gram, block, samples, bucket, most).collect()
     assert len(got) == len(rows)
     for r in got:
         assert ([tuple(s) for s in r["spans"]], bytes(r["kept"])) == want[r["doc_id"]]
         assert r["n_bytes"] == len((dict(rows)[r["doc_id"]] or "").encode())
 
 
+def test_a_passage_in_every_block(spark):
+    """Blocks of one document each, all with the same passage: buckets that are too large are dealt in parts first."""
+    passage = "the same passage stands in every one of these documents and is longer than any window of the strings asked for "
+    rows = [(i, f"{passage}{passage} own{i * 7919 % 1000:04d}") for i in range(60)]
+    want = brute(rows, 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (5, 1000):
+        got = suffix_dedup.repeats(df, 20, 8, 100, most=most).collect()
+        assert {r["doc_id"]: ([tuple(s) for s in r["spans"]], bytes(r["kept"])) for r in got} == want
+
+
 def test_empty_table(spark):
     assert suffix_dedup.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
