@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,17 @@ MOST_BYTES = 25 * 1024 * 1024
 METRICS = "source string, generatedAt string, attacks array<struct<name:string,survived:boolean,bitsRecovered:int,psnrDb:double,target:int>>, psnrCurve array<struct<delta:int,psnrDb:double,bitsRecovered:int>>"
 
 _own: list[str] = []
+_made: list[str] = []
+
+
+def _at(spark: SparkSession, path: str):
+    """(file system, path) of the session's Hadoop configuration: a bare path is on its default file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a local session that sets none gets a folder of its own."""
+    """A new path (a URI) below spark.checkpoint.dir; a local session that sets none gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -25,7 +33,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
         base = _own[0]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+    if "://" not in base:
+        store, at = _at(spark, base)
+        base = re.sub("^file:/+", "file:///", store.makeQualified(at).toString())
+    _made.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return f"{_made[-1]}/{name}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables made so far: for callers that have read what they asked for."""
+    while _made:
+        store, at = _at(spark, _made.pop())
+        store.delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

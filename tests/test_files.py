@@ -1,5 +1,7 @@
 """The file source judges pages one by one."""
 
+import pathlib
+
 from docprov.sources import files
 from pyspark.sql import functions as F
 
@@ -25,3 +27,32 @@ def test_the_limits_of_a_page(spark):
 def test_empty_and_null_pages_and_line_feeds(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "a\r\n\nb\u00e9"), (5, "c"), (7, "d"), (None, "e")], "page_id long, html string")
     assert found(files.accepted(files.stored(pages))) == {"png": (4, 6), "pdf": (1, 6)}
+
+
+def test_intermediate_tables_have_full_paths_and_are_cleared(spark, tmp_path, monkeypatch):
+    """A bare path is on the default file system, here that of the machine."""
+    monkeypatch.setattr(files, "_made", [])
+    monkeypatch.setattr(files, "_own", [str(tmp_path)])
+    table = files.written(spark.range(3), "kept")
+    (made,) = files._made
+    base = spark.conf.get("spark.checkpoint.dir", None) or str(tmp_path)
+    assert made.startswith("file:///") and made.removeprefix("file://").startswith(base.removeprefix("file://").rstrip("/"))
+    place = pathlib.Path(made.removeprefix("file://"))
+    assert table.count() == 3 and (place / "kept").is_dir()
+    files.clear(spark)
+    assert not place.exists() and not files._made
+
+
+def test_upserts_replace_by_key(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k long, v string")
+    new = spark.createDataFrame([(2, "B"), (3, "C"), (None, "N")], "k long, v string")
+    assert sorted(map(tuple, files.upserted(old, new, "k").collect()), key=str) == sorted([(1, "a"), (2, "B"), (3, "C"), (None, "N")], key=str)
+    assert files.upserted(old, new.filter("false"), "k").count() == 3
+
+
+def test_investigations_are_appended(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00")], "investigation_id long, t string").selectExpr("investigation_id", "cast(t as timestamp_ntz) created_at")
+    path = files.shared_path(spark, "inv")
+    for k in (1, 2, 2):
+        files.append_investigations(rows.filter(F.col("investigation_id") <= k), path)
+    assert spark.read.parquet(path).count() == 5 and spark.read.parquet(path).filter("created_date = '2024-01-02'").count() == 2
