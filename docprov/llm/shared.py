@@ -1,16 +1,14 @@
-"""Reading tables and cutting lineage through the folder that driver and executors share."""
+"""Reading tables, and cutting lineage through the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprov.functions.workers import ship
+from docprov.sources import files
 
-_own: list[str] = []
+shared_dir = files.shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,26 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the cluster's spark.checkpoint.dir. A local session that sets none gets one of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _own:
-            _own.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
-        base = _own[0]
-    if "://" not in base and base.startswith("/"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder, and read from it: its lineage ends there."""
     ship(df.sparkSession)
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return files.written(df, name)
 
 
 def partitions(spark: SparkSession) -> int:
