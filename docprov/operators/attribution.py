@@ -23,6 +23,11 @@ def _shares(rows: DataFrame, most: int) -> bool:
     return rows.limit(most + 1).count() <= most
 
 
+def _loops(leaks: DataFrame, register: DataFrame, most: int, most_pairs: int = 20_000_000_000) -> bool:
+    """True if a nested loop is cheap: leaks few enough to broadcast, and so few pairs that comparing all costs less than bands."""
+    return _shares(leaks, most) and leaks.count() * register.count() <= most_pairs
+
+
 def nested(leaks: DataFrame, register: DataFrame, near: Column, most: int = 100_000) -> DataFrame:
     """Pairs for which near holds: leaks, counted first, are broadcast; a larger side is dealt in blocks."""
     return register.join(F.broadcast(leaks), near) if _shares(leaks, most) else gridded(leaks, register, near)
@@ -37,19 +42,23 @@ def gridded(leaks: DataFrame, register: DataFrame, near: Column, block_rows: int
     return b.join(a, (F.col("_block") == F.col("_of_block")) & (F.col("_shard") == F.col("_of_shard")) & near).drop("_block", "_shard", "_of_block", "_of_shard")
 
 
-def banded(leaks: DataFrame, register: DataFrame, hash_of_leak: str, hash_of_release: str, radius: int, bands: int = 4) -> DataFrame:
+def banded(leaks: DataFrame, register: DataFrame, hash_of_leak: str, hash_of_release: str, radius: int, bands: int = 5) -> DataFrame:
     """Pairs within radius by equality of bands: of `bands` bands one differs in radius // bands bits at most.
 
     A leak asks for every value near each of its bands; Spark joins by (band, value), and pairs are told apart by
-    the first band that finds them, so that each comes once.
+    the first band that finds them, so that each comes once. At radius 12 five bands ask for some 460 values a leak, of which a
+    twentieth of the register is a candidate; four would ask for 2,788 and find little less.
     """
-    width, each = 64 // bands, radius // bands
-    flips = [0] + [sum(1 << i for i in c) for k in range(1, each + 1) for c in combinations(range(width), k)]
+    edges, each = [64 * b // bands for b in range(bands + 1)], radius // bands
+
+    def flips(b: int) -> list[int]:
+        width = edges[b + 1] - edges[b]
+        return [0] + [sum(1 << i for i in c) for k in range(1, each + 1) for c in combinations(range(width), k)]
 
     def part(h: str, b: int) -> Column:
-        return F.shiftrightunsigned(F.col(h), b * width).bitwiseAND(F.lit((1 << width) - 1))
+        return F.shiftrightunsigned(F.col(h), edges[b]).bitwiseAND(F.lit((1 << edges[b + 1] - edges[b]) - 1))
 
-    asked = F.explode(F.flatten(F.array(*(_near_values(part(hash_of_leak, b), b, flips) for b in range(bands)))))
+    asked = F.explode(F.flatten(F.array(*(_near_values(part(hash_of_leak, b), b, flips(b)) for b in range(bands)))))
     probes = leaks.select("*", asked.alias("probe"))
     stored = register.select("*", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), part(hash_of_release, b).alias("value")) for b in range(bands)))).alias("slot"))
     pairs = probes.join(stored, (F.col("probe.band") == F.col("slot.band")) & (F.col("probe.value") == F.col("slot.value")))
@@ -73,20 +82,22 @@ def radius_join(leaks: DataFrame, register: DataFrame, radius: int = RADIUS, mos
     a = as_leaks(leaks).filter("leak_p_hash IS NOT NULL").select("leak_id", "leak_p_hash")
     b = register.filter("p_hash IS NOT NULL").select("event_id", "p_hash")
     far = bits.hamming(F.col("leak_p_hash"), F.col("p_hash"))
-    pairs = nested(a, b, far <= radius, most) if radius > NARROW or _shares(a, most) else banded(a, b, "leak_p_hash", "p_hash", radius)
+    pairs = nested(a, b, far <= radius, most) if radius > NARROW or _loops(a, b, most) else banded(a, b, "leak_p_hash", "p_hash", radius)
     return pairs.select("leak_id", "event_id", far.alias("distance"))
 
 
-def three_way(leaks: DataFrame, register: DataFrame, radius: int = RADIUS, most: int = 100_000) -> DataFrame:
+def three_way(leaks: DataFrame, register: DataFrame, radius: int = RADIUS, most: int = 100_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Candidates that any hash has within radius; a distance outside it is null; best is the least.
 
-    A nested loop while leaks are few. Beyond `most`, a narrow radius is joined in bands, hash by hash, a pair coming from the
-    first hash that is near; a wide one in blocks.
+    A nested loop while leaks and pairs are few. Beyond, a narrow radius is joined in bands, hash by hash, a pair coming from the
+    first hash that is near; a wide one in blocks. carry: columns of the register that come along, with the leak's read_bits.
     """
     far = {h: bits.hamming(F.col(f"leak_{h}"), F.col(h)) for h in _HASHES}
     near = {h: F.coalesce(far[h] <= radius, F.lit(False)) for h in _HASHES}
-    a, b = as_leaks(leaks).drop("read_bits"), register.select("event_id", *_HASHES)
-    if radius > NARROW or _shares(a, most):
+    a, b = as_leaks(leaks), register.select("event_id", *_HASHES, *carry)
+    along = [*carry, "read_bits"] if carry else []
+    a = a if carry else a.drop("read_bits")
+    if radius > NARROW or _loops(a, b, most):
         pairs = nested(a, b, near["p_hash"] | near["d_hash"] | near["a_hash"], most)
     else:
         pairs, before = None, F.lit(False)
@@ -94,7 +105,7 @@ def three_way(leaks: DataFrame, register: DataFrame, radius: int = RADIUS, most:
             fresh = banded(a.filter(F.col(f"leak_{h}").isNotNull()), b.filter(F.col(h).isNotNull()), f"leak_{h}", h, radius).filter(~before)
             pairs, before = fresh if pairs is None else pairs.unionByName(fresh), before | near[h]
     kept = [F.when(far[h] <= radius, far[h]).alias(n) for h, n in zip(_HASHES, ("p_dist", "d_dist", "a_dist"), strict=True)]
-    return pairs.select("leak_id", "event_id", *kept).withColumn("best", F.least("p_dist", "d_dist", "a_dist"))
+    return pairs.select("leak_id", "event_id", *kept, *along).withColumn("best", F.least("p_dist", "d_dist", "a_dist"))
 
 
 def tiered(leaks: DataFrame, register: DataFrame, tiers: tuple[int, ...] = (RADIUS, WIDER, WIDEST)) -> DataFrame:
@@ -107,7 +118,7 @@ def tiered(leaks: DataFrame, register: DataFrame, tiers: tuple[int, ...] = (RADI
         found = three_way(rest, register, radius).withColumn("tier", F.lit(radius))
         out = found if out is None else out.unionByName(found)
         if radius != tiers[-1]:
-            rest = written(rest.join(found.select("leak_id"), "leak_id", "left_anti"), "rest")
+            rest = written(rest.join(found.select("leak_id").distinct(), "leak_id", "left_anti"), "rest")
     return out
 
 
@@ -142,13 +153,42 @@ def suspects(pooled: DataFrame, n: int = 5) -> DataFrame:
     return pooled.withColumn("place", place).filter(F.col("place") <= n).select("leak_id", "place", "event_id", "user_id", "matches", pct.alias("pct"), level.alias("level"))
 
 
+def best_of_users(leaks: DataFrame, register: DataFrame, tiers: tuple[int, ...] = (RADIUS,), newest: int = 50) -> DataFrame:
+    """leak_id, user_id and b: of each user's candidates (at the first tier that finds any) and newest releases the one with the
+    most agreeing bits, as (matches, created_at, event_id, p_dist).
+
+    Releases' columns come along with the pairs, so that pairs are reduced in the task that finds them: what moves is a row per
+    leak and user, however many candidates a wide tier has.
+    """
+    columns = ("user_id", "created_at", "payload")
+    row = F.max(F.struct(bits.matching(F.col("read_bits"), F.col("payload")).alias("matches"), "created_at", "event_id", "p_dist")).alias("b")
+    recent = register.orderBy(F.desc("created_at"), F.desc("event_id")).limit(newest).select("event_id", *columns)
+    late = leaks.select("leak_id", "read_bits").join(F.broadcast(recent))  # newest is a constant: so many rows for each leak
+    out, rest = late.withColumn("p_dist", F.lit(None).cast("int")).groupBy("leak_id", "user_id").agg(row), leaks
+    for radius in tiers:
+        found = three_way(rest, register, radius, carry=columns).groupBy("leak_id", "user_id").agg(row)
+        if radius != tiers[-1]:
+            found = written(found, "best")
+            rest = written(rest.join(found.select("leak_id").distinct(), "leak_id", "left_anti"), "rest")
+        out = out.unionByName(found)
+    return out.groupBy("leak_id", "user_id").agg(F.max("b").alias("b"))
+
+
 def top_and_rival(pooled: DataFrame) -> DataFrame:
-    """Per leak the best row, and the most bits that another user's has; users are reduced before they are ranked."""
-    best = F.max(F.struct("matches", "created_at", "event_id")).alias("b")
-    per_user = pooled.groupBy("leak_id", "user_id").agg(best)
-    w = Window.partitionBy("leak_id").orderBy(F.desc("b"))
-    ranked = per_user.select("leak_id", "user_id", "b", F.row_number().over(w).alias("place"), F.count("*").over(Window.partitionBy("leak_id")).alias("officers"), F.lead("b.matches").over(w).alias("rival"), F.lead("user_id").over(w).alias("rival_user"))
-    return ranked.filter("place = 1").select("leak_id", F.col("b.event_id").alias("event_id"), "user_id", F.col("b.matches").alias("matches"), "rival", "rival_user", "officers")
+    """Per leak the best row, and the most bits that another user's has; users are reduced before they are compared."""
+    return ranked_users(pooled.groupBy("leak_id", "user_id").agg(F.max(F.struct("matches", "created_at", "event_id")).alias("b")))
+
+
+def ranked_users(per_user: DataFrame) -> DataFrame:
+    """The best of rows (leak_id, user_id, b) per leak, the next user's, and how many users there are; by maxima, without a sort."""
+    rows = written(per_user, "users")
+    tops = rows.groupBy("leak_id").agg(F.max(F.struct("b", "user_id")).alias("top"), F.count("*").alias("officers"))
+    tops = written(tops, "tops")
+    others = rows.join(tops.select("leak_id", F.col("top.user_id").alias("best")), "leak_id").filter(~F.col("user_id").eqNullSafe(F.col("best")))
+    second = others.groupBy("leak_id").agg(F.max(F.struct("b", "user_id")).alias("next"))
+    both = tops.join(second, "leak_id", "left")
+    more = [F.col("top.b.p_dist").alias("p_dist")] if "p_dist" in per_user.schema["b"].dataType.names else []
+    return both.select("leak_id", F.col("top.b.event_id").alias("event_id"), F.col("top.user_id").alias("user_id"), F.col("top.b.matches").alias("matches"), F.col("next.b.matches").alias("rival"), F.col("next.user_id").alias("rival_user"), "officers", *more)
 
 
 def accepted(read_bits: Column, matches: Column, rival: Column, p_dist: Column) -> Column:
@@ -186,18 +226,16 @@ def reasons(agreement: Column, p: Column, d: Column, chain: Column) -> Column:
 
 def attribute(leaks: DataFrame, register: DataFrame, users: DataFrame, ledger: DataFrame, tiers: tuple[int, ...] = (RADIUS, WIDER, WIDEST)) -> DataFrame:
     """A row per leak: the accepted release, its signals, score and verdict; the person only where evidence allows."""
-    found = tiered(leaks, register, tiers)
-    listed = found.select("leak_id", "event_id", "p_dist", "d_dist", "a_dist")
     exact = named_exactly(leaks, register, repair=True).filter("event_id IS NOT NULL").select("leak_id", F.col("event_id").alias("exact_id"))
-    best = top_and_rival(pool(leaks, register, found, once=False))
-    joined = leaks.join(best, "leak_id", "left").join(exact, "leak_id", "left").join(listed.select("leak_id", "event_id", F.col("p_dist").alias("top_p")), ["leak_id", "event_id"], "left")
-    ok = accepted(F.col("read_bits"), F.col("matches"), F.col("rival"), F.col("top_p"))
-    chosen = joined.select("leak_id", "read_bits", *(F.col(h).alias(f"leak_{h}") for h in _HASHES), F.coalesce("exact_id", F.when(ok, F.col("event_id"))).alias("event_id"), F.col("matches").alias("top_matches"), "rival")
+    best = ranked_users(best_of_users(leaks, register, tiers))
+    joined = leaks.join(best, "leak_id", "left").join(exact, "leak_id", "left")
+    ok = accepted(F.col("read_bits"), F.col("matches"), F.col("rival"), F.col("p_dist"))
+    chosen = joined.select("leak_id", "read_bits", *(F.col(h).alias(f"leak_{h}") for h in _HASHES), F.coalesce("exact_id", F.when(ok, F.col("event_id"))).alias("event_id"))
     r = register.select("event_id", "user_id", "receipt_id", "payload", *_HASHES)
-    with_release = chosen.join(r, "event_id", "left").join(listed, ["leak_id", "event_id"], "left")
     on_chain = ledger.select(F.col("receipt_id").alias("on_ledger")).distinct()
-    checked = with_release.join(on_chain, F.col("receipt_id") == F.col("on_ledger"), "left")
-    filled = [F.coalesce(n, bits.hamming(F.col(f"leak_{h}"), F.col(h)), F.lit(64)).alias(n) for h, n in zip(_HASHES, ("p_dist", "d_dist", "a_dist"), strict=True)]
+    checked = chosen.join(r, "event_id", "left").join(on_chain, F.col("receipt_id") == F.col("on_ledger"), "left")
+    # a distance within the radius is the distance: what candidates left out is filled in by the same
+    filled = [F.coalesce(bits.hamming(F.col(f"leak_{h}"), F.col(h)), F.lit(64)).alias(n) for h, n in zip(_HASHES, ("p_dist", "d_dist", "a_dist"), strict=True)]
     chain = F.when(F.col("event_id").isNotNull(), F.col("on_ledger").isNotNull())
     share = F.when(F.col("event_id").isNotNull(), bits.matching(F.col("read_bits"), F.col("payload")) / 48)
     signals = checked.select("leak_id", "event_id", "user_id", share.alias("agreement"), *filled, chain.alias("chain"))

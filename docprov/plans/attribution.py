@@ -112,8 +112,7 @@ def w1(s, d):
 FROM rivals JOIN leaks USING (leak_id) LEFT JOIN c12 USING (leak_id, event_id)""")
 def w2(s, d):
     leaks, register = reg.leaks(s, d), reg.releases(s, d)
-    found = op.three_way(leaks, register)
-    best = op.top_and_rival(op.pool(leaks, register, found)).join(leaks.select("leak_id", "read_bits"), "leak_id").join(found.select("leak_id", "event_id", "p_dist"), ["leak_id", "event_id"], "left")
+    best = op.ranked_users(op.best_of_users(leaks, register)).join(leaks.select("leak_id", "read_bits"), "leak_id")
     return best.select("leak_id", "event_id", "matches", "rival", op.accepted(F.col("read_bits"), F.col("matches"), F.col("rival"), F.col("p_dist")).alias("accepted"))
 
 
