@@ -6,18 +6,22 @@ add nothing or less (bound 0). With a threshold that k vectors have reached, the
 sum stays below the threshold, are non-essential: a vector that is in none of the essential postings can't be among the
 best. Essential postings are traversed; what was found is probed in the other terms, by falling bounds, while it can still
 reach the threshold. Shards of vectors meet blocks of queries, and the shards' best are merged.
+
+A query's first threshold holds for all shards: the k-th best of the champions, the few vectors that are strongest in some
+term. Shards whose bounds don't reach it are left at once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import partitions, written
 
 
 class Shard:
@@ -37,19 +41,24 @@ class Shard:
                 self.most[d, sign] = int(weights.max()) if len(at) else 0
                 self.strong[d, sign] = at[np.argsort(-weights, kind="stable")[:32]]
 
-    def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best vectors of another id, by score, then by smaller id."""
+    def top(self, own: int, q: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best vectors of another id, by score, then by smaller id; those below floor are left out."""
         n = len(self.ids)
         mine = self.ids == own
         terms = sorted(((abs(int(w)) * self.most[d, s], d, s, abs(int(w))) for d, w in enumerate(q) if w for s in (1 if w > 0 else -1,)), reverse=True)
+        if floor is not None and floor > 0 and sum(t[0] for t in terms) < floor:
+            return self.ids[:0], self.ids[:0]
         # the threshold: the k-th best of vectors that are strong where the query is
         seed = np.unique(np.concatenate([self.strong[d, s] for _, d, s, _ in terms[:4]] or [np.zeros(0, np.int64)]))
         seed = seed[~mine[seed]]
         first = np.sort(self.values[seed] @ q)[::-1] if len(seed) else np.zeros(0, np.int64)
         least = int(first[k - 1]) if len(first) >= k else None
+        least = floor if least is None or (floor is not None and floor > least) else least
         if least is None or least <= 0:  # nothing, or a vector without common terms, may be among the best
             found = np.flatnonzero(~mine)
             scores = self.values[found] @ q
+            if floor is not None:
+                found, scores = found[scores >= floor], scores[scores >= floor]
         else:
             rest, cut = 0, len(terms)
             while cut and rest + terms[cut - 1][0] < least:
@@ -96,7 +105,70 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, shard_rows: int = 16384, block_rows: int = 4096) -> DataFrame:
+def _strongest(ids: np.ndarray, values: np.ndarray, each: int) -> np.ndarray:
+    """Rows that are among the `each` strongest of some term."""
+    picked = [np.zeros(0, np.int64)]
+    for d in range(values.shape[1]):
+        for sign in (1, -1):
+            w = values[:, d] * sign
+            at = np.flatnonzero(w > 0)
+            picked.append(at if len(at) <= each else at[np.argpartition(-w[at], each)[:each]])
+    return np.unique(np.concatenate(picked))
+
+
+def champions(rows: DataFrame, each: int = 32) -> DataFrame:
+    """vec_id and v of the vectors that are strongest in some term: `each` for each, so that their number is bounded by the
+    dimensions. Every task reduces its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def reduced() -> tuple[np.ndarray, np.ndarray]:
+            dims = max((v.shape[1] for _, v in held), default=0)
+            ids = np.concatenate([i for i, _ in held])
+            values = np.concatenate([np.pad(v, ((0, 0), (0, dims - v.shape[1]))) for _, v in held])
+            stay = _strongest(ids, values, each)
+            return ids[stay], values[stay]
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            lists = t.column("v").combine_chunks()
+            if t.num_rows:
+                held.append((t.column("vec_id").to_numpy(), _matrix(t.column("v"), int(lists.value_lengths().to_numpy(zero_copy_only=False).max()))))
+                held = [reduced()]
+        if held:
+            yield pa.RecordBatch.from_pydict({"vec_id": pa.array(held[0][0]), "v": pa.array(held[0][1].tolist(), pa.list_(pa.int64()))})
+
+    some = rows.mapInArrow(run, "vec_id long, v array<long>").distinct()
+    terms = some.select("vec_id", "v", F.posexplode("v").alias("d", "w")).filter("w <> 0")
+    place = F.row_number().over(Window.partitionBy("d", F.col("w") > 0).orderBy(F.desc(F.abs("w")), "vec_id"))
+    return terms.withColumn("place", place).filter(F.col("place") <= each).select("vec_id", "v").distinct()
+
+
+def with_floors(queries: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """queries with floor: the k-th best score of the champions of another id, null if there are fewer."""
+    t = best.toArrow()  # at most each * 2 * dimensions rows
+    dims = int(t.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max()) if t.num_rows else 0
+    held = queries.sparkSession.sparkContext.broadcast((t.column("vec_id").to_numpy(), _matrix(t.column("v"), dims) if t.num_rows else np.zeros((0, 0), np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, values = held.value
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            floors: list = [None] * t.num_rows
+            if len(ids) >= k and t.num_rows:
+                longest = int(t.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max())
+                q = _matrix(t.column("v"), max(longest, values.shape[1]))[:, : values.shape[1]]
+                for i, own in enumerate(t.column("vec_id").to_pylist()):
+                    scores = (values @ q[i])[ids != own]
+                    if len(scores) >= k:
+                        floors[i] = int(np.partition(scores, len(scores) - k)[len(scores) - k])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(floors, pa.int64())], names=["vec_id", "v", "floor"])
+
+    return queries.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<long>, floor long")
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, shard_rows: int = 65536, block_rows: int = 32768) -> DataFrame:
     """query_id, rank (int, from 1), vec_id, score (long) of the k best vectors for each query.
 
     vectors needs vec_id and embedding; other columns are ignored. Queries are the rows whose vec_id is divisible by
@@ -104,14 +176,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
     and rows whose vec_id is null, take no part. Vectors of unequal length meet as if zeros followed the shorter. Rows that
     repeat a vec_id are candidates each; as queries, those that repeat the vector too are one. Ties go to the smaller
     vec_id. Scores must fit 64 bits. An empty table gives no rows. A task holds a shard and a block of queries; the work is
-    queries times vectors, as the question is, and no larger set is built.
+    queries times vectors, as the question is, and what moves is that divided by the size of a shard or block.
     """
     rows = written(quantised(vectors, scale), "vectors")
     queries = rows.filter(F.col("vec_id") % every == 0).distinct()
     n, n_queries = rows.count(), queries.count()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n_queries / block_rows))
+    blocks = max(1, math.ceil(n_queries / block_rows))
+    shards = max(1, math.ceil(n / shard_rows), min(partitions(vectors.sparkSession) // blocks, math.ceil(n / 4096)))  # few rows: for all cores
     key = F.xxhash64("vec_id", "v")
-    asked = queries.withColumn("query", key).withColumn("block", F.pmod("query", F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = with_floors(queries, written(champions(rows), "champions"), k).withColumn("query", key).withColumn("block", F.pmod("query", F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     held = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "vec_id", "v"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
@@ -119,8 +192,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
         if q.num_rows and v.num_rows:
             dims = max(int(t.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max()) for t in (q, v))
             shard = Shard(v.column("vec_id").to_numpy(), _matrix(v.column("v"), dims))
-            for own, query, vector in zip(q.column("vec_id").to_pylist(), q.column("query").to_pylist(), _matrix(q.column("v"), dims), strict=True):
-                ids, scores = shard.top(own, vector, k)
+            asking = (q.column(c).to_pylist() for c in ("vec_id", "query", "floor"))
+            for own, query, floor, vector in zip(*asking, _matrix(q.column("v"), dims), strict=True):
+                ids, scores = shard.top(own, vector, k, floor)
                 for c, x in zip(out, ([query] * len(ids), [own] * len(ids), ids.tolist(), scores.tolist()), strict=True):
                     c.extend(x)
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query", "query_id", "vec_id", "score"), out, strict=True)})

@@ -56,6 +56,26 @@ def test_terms_are_skipped_without_loss():
         best = np.lexsort((ids[other], -scores[other]))[:5]
         got = shard.top(int(ids[i]), values[i], 5)
         assert (got[0] == ids[other][best]).all() and (got[1] == scores[other][best]).all()
+        floor = int(scores[other][best[2]])
+        got = shard.top(int(ids[i]), values[i], 5, floor)
+        stay = scores[other][best] >= floor
+        assert (got[0] == ids[other][best][stay]).all() and (got[1] == scores[other][best][stay]).all()
+        assert not len(shard.top(int(ids[i]), values[i], 5, 10**9)[0])
+
+
+def test_champions_bound_the_first_threshold(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.integers(-9, 10, 6).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(4)
+    best = max_score.champions(df, 3)
+    assert 0 < best.count() <= 3 * 2 * 6
+    top = {(d, sign): sorted((-v[d] * sign for _, v in rows))[2] for d in range(6) for sign in (1, -1)}
+    for r in best.collect():
+        assert any(-r["v"][d] * sign <= top[d, sign] for d in range(6) for sign in (1, -1))
+    for r in max_score.with_floors(df.filter("vec_id % 50 = 0"), best, 5).collect():
+        scores = sorted((sum(a * b for a, b in zip(r["v"], v)) for i, v in rows if i != r["vec_id"]), reverse=True)
+        assert r["floor"] <= scores[4]
+    assert {r["floor"] for r in max_score.with_floors(df, best.limit(2), 5).collect()} == {None}
 
 
 @cache
