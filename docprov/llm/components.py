@@ -26,19 +26,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first())
+    """Count and two independent sums of hashes, 128 bits in all: rounds that change anything change it."""
+    sums = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "b", "a"))
+    return tuple(edges.agg(F.count("*"), *sums).first())
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (a, b: long) that is not its component's smallest node."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of edges (a, b: long) that is not its component's smallest node.
+
+    Rounds go on until one changes nothing; their number grows with the logarithm of the longest chain.
+    """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "edges")
-    before = _state(edges)
-    for _ in range(rounds):
+    before, after = None, _state(edges)
+    while after != before:
         large = written(_large_star(edges).distinct(), "large")
         edges = written(_small_star(large), "small")
-        after = _state(edges)
-        if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = after
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        before, after = after, _state(edges)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
