@@ -127,17 +127,22 @@ class Reader:
             self.at.append(self.at[-1] + packed)
         f.seek(self.at[n - 1] + 8)
         self.index = json.loads(zstandard.ZstdDecompressor().decompress(f.read(sizes[-1][0] - 8)))
+        self.places: dict = {}
+        for name, *place in self.index:
+            self.places.setdefault(name, []).append(place)
 
     def frame(self, k: int) -> bytes:
         self.f.seek(self.at[k])
         return zstandard.ZstdDecompressor().decompress(self.f.read(self.at[k + 1] - self.at[k]))
 
     def get(self, name: str) -> bytes | None:
-        """The record of that identifier, from its frame alone."""
-        for n, k, start, length in self.index:
-            if n == name:
-                return self.frame(k)[start : start + length]
-        return None
+        """The record of that identifier, from its frame alone; of several the first."""
+        return next(self.get_all(name), None)
+
+    def get_all(self, name: str) -> Iterator[bytes]:
+        """The records of that identifier: pages that repeat a page_id share theirs."""
+        for k, start, length in self.places.get(name, ()):
+            yield self.frame(k)[start : start + length]
 
     def records(self) -> Iterator[bytes]:
         now, data = -1, b""
