@@ -1,5 +1,6 @@
 """The file source judges pages one by one."""
 
+import json
 import pathlib
 
 from docprov.sources import files
@@ -56,3 +57,18 @@ def test_investigations_are_appended(spark):
     for k in (1, 2, 2):
         files.append_investigations(rows.filter(F.col("investigation_id") <= k), path)
     assert spark.read.parquet(path).count() == 5 and spark.read.parquet(path).filter("created_date = '2024-01-02'").count() == 2
+
+
+def test_suite_metrics_are_written_as_one_record_and_read_back(spark):
+    rows = spark.createDataFrame([("none", 8, True, 48, 48.2, 40), ("none", 4, True, 48, 54.22, 40), ("blur", 12, False, 39, 44.68, 40)], "attack string, delta int, survived boolean, bits int, psnr double, target int")
+    path = files.write_metrics(rows)
+    (line,) = [r["value"] for r in spark.read.text(path).collect()]
+    assert json.loads(line) == {
+        "source": "suite",
+        "generatedAt": "1970-01-01",
+        "attacks": [{"name": "blur 12", "survived": False, "bitsRecovered": 39, "psnrDb": 44.68, "target": 40}],
+        "psnrCurve": [{"delta": 4, "psnrDb": 54.22, "bitsRecovered": 48}, {"delta": 8, "psnrDb": 48.2, "bitsRecovered": 48}],
+    }
+    got = sorted(map(tuple, files.read_metrics(spark, path).collect()), key=str)
+    assert got == sorted([("suite", "attack", "blur 12", 39, 44.68), ("suite", "curve", "4", 48, 54.22), ("suite", "curve", "8", 48, 48.2)], key=str)
+    assert [r["source"] for r in files.read_metrics(spark, None).collect()] == ["not-run"]
