@@ -109,9 +109,11 @@ def read_docs(f) -> Iterator[tuple[int | None, bytes]]:
         held = held[n:]
 
 
-def write_corpus(docs: DataFrame, tokenizer: str, units: str, end_id: int, block: int = 1 << 16, bits: bool = False, level: int = 3) -> DataFrame:
+def write_corpus(docs: DataFrame, tokenizer: str, units: str, end_id: int, block: int = 1 << 16, bits: bool = False, level: int = 3, file_ids: int = 1 << 27, file_docs: int = 1 << 20) -> DataFrame:
     """Files of the ids of every text, each text followed by end_id, in order of doc_id; returns part, path, n_docs, n_ids.
 
+    A file ends behind the document that brings it to file_ids ids or file_docs documents, which bounds the index that is held.
+
     docs needs doc_id and text; other columns are ignored. Null text is empty (end_id alone). Rows are dealt by ranges
     of doc_id, null first; rows that repeat a doc_id follow one another in order of their text. An empty table makes
     no file. A file gets its name from the task attempt that wrote it: only the files returned count.
@@ -122,21 +124,28 @@ def write_corpus(docs: DataFrame, tokenizer: str, units: str, end_id: int, block
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer, units), end_id.to_bytes(4, "little")
         store, root = fs.FileSystem.from_uri(folder)
-        task = TaskContext.get()
-        path = f"{root}/{task.partitionId():08d}-{task.taskAttemptId()}.ids"
-        out = to = None
+        task, number = TaskContext.get(), 0
+        out = to = path = None
+
+        def ended() -> pa.RecordBatch:
+            out.close()
+            to.close()
+            name = f"{folder}/{path.rpartition('/')[2]}"
+            return pa.RecordBatch.from_pydict({"part": [(task.partitionId() << 24) + number], "path": [name], "n_docs": [len(out.docs)], "n_ids": [out.n_ids]})
+
         for b in slices(batches):
-            if to is None:
-                store.create_dir(root)
-                to = store.open_output_stream(path)
-                out = Writer(to, block, bits, level)
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
+                if out is None:
+                    store.create_dir(root)
+                    path = f"{root}/{task.partitionId():08d}-{number:06d}-{task.taskAttemptId()}.ids"
+                    to = store.open_output_stream(path)
+                    out = Writer(to, block, bits, level)
                 out.add(doc_id, ids + end)
+                if out.n_ids >= file_ids or len(out.docs) >= file_docs:
+                    yield ended()
+                    out, number = None, number + 1
         if out is not None:
-            out.close()
-            to.close()
-            name = f"{folder}/{path.rpartition('/')[2]}"
-            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [name], "n_docs": [len(out.docs)], "n_ids": [out.n_ids]})
+            yield ended()
 
     ordered = as_bytes(docs).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(run, _FILES), "id_files")

@@ -57,8 +57,9 @@ def test_units_give_the_librarys_ids(texts):
 
 
 def test_files_round_trip(spark):
-    for bits in (False, True):
-        files = planes.write_corpus(docs(spark), BYTE_BPE, "byte", end_id=0, block=64, bits=bits)
+    for bits, most in ((False, 1 << 27), (True, 1 << 27), (False, 5)):
+        files = planes.write_corpus(docs(spark), BYTE_BPE, "byte", end_id=0, block=64, bits=bits, file_ids=most)
+        assert files.count() <= 4 if most > 5 else files.count() > 4
         got = {r["doc_id"]: r for r in planes.read_corpus(spark, files).collect()}
         start = 0
         for doc_id, text, _ in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0)):
