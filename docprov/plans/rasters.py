@@ -161,13 +161,23 @@ def r21_repaired(s, d):
     return read.select("image_id", "corrected", bits.matching(F.col("payload"), F.col("want")).alias("matching"), (F.col("payload") == F.col("want")).alias("intact"))
 
 
-def _sql_reading(table: str) -> str:
-    """ma2: payload of each image of a table (image_id, t, px) at strength 12."""
-    return f""", hv2 AS (SELECT image_id, t, list_sum(list_transform(range(64), lambda i: CASE WHEN i % 8 < 4 THEN px[i + 1] ELSE -px[i + 1] END)) / CAST(64 AS DOUBLE) AS hl,
+def _sql_reading(table: str, keys: str = "image_id") -> str:
+    """ma2: payload and confidence for each of the keys of a table (keys, t, px), at strength 12."""
+    return f""", hv2 AS (SELECT {keys}, t, list_sum(list_transform(range(64), lambda i: CASE WHEN i % 8 < 4 THEN px[i + 1] ELSE -px[i + 1] END)) / CAST(64 AS DOUBLE) AS hl,
   list_sum(list_transform(range(64), lambda i: CASE WHEN i < 32 THEN px[i + 1] ELSE -px[i + 1] END)) / CAST(64 AS DOUBLE) AS lh FROM {table}),
-co2 AS (SELECT image_id, 2 * t AS idx, hl AS c FROM hv2 UNION ALL SELECT image_id, 2 * t + 1, lh FROM hv2),
-vo2 AS (SELECT image_id, bit, sum(CASE WHEN c / 12 - floor(c / 12) < 0.5 THEN 0 ELSE 1 END) AS ones, count(*) AS n FROM co2 JOIN car USING (idx) GROUP BY ALL),
-ma2 AS (SELECT image_id, CAST(sum(CASE WHEN 2 * ones > n THEN CAST(1 AS BIGINT) << CAST(47 - bit AS BIGINT) ELSE 0 END) AS BIGINT) AS payload FROM vo2 GROUP BY image_id)"""
+co2 AS (SELECT {keys}, 2 * t AS idx, hl AS c FROM hv2 UNION ALL SELECT {keys}, 2 * t + 1, lh FROM hv2),
+vo2 AS (SELECT {keys}, bit, sum(CASE WHEN c / 12 - floor(c / 12) < 0.5 THEN 0 ELSE 1 END) AS ones, count(*) AS n FROM co2 JOIN car USING (idx) GROUP BY ALL),
+ma2 AS (SELECT {keys}, CAST(sum(CASE WHEN 2 * ones > n THEN CAST(1 AS BIGINT) << CAST(47 - bit AS BIGINT) ELSE 0 END) AS BIGINT) AS payload, floor((sum(greatest(ones, n - ones) / CAST(n AS DOUBLE)) + (48 - count(*)) * 0.5) / 48 * 1000000 + 0.5) / 1000000 AS confidence FROM vo2 GROUP BY {keys})"""
+
+
+def _sql_turned(table: str) -> str:
+    """Rows (image_id, turn, t, px) of a table of those, turned by so many quarters."""
+
+    def quarter(i: str, side: int, turn: str) -> str:
+        m = side - 1
+        return f"CASE {turn} WHEN 0 THEN {i} WHEN 1 THEN ({m} - {i} % {side}) * {side} + {i} // {side} WHEN 2 THEN ({m} - {i} // {side}) * {side} + {m} - {i} % {side} ELSE {i} % {side} * {side} + {m} - {i} // {side} END"
+
+    return f"SELECT image_id, turn, {quarter('t', 32, '(4 - turn) % 4')} AS t, list_transform(range(64), lambda i: px[CAST({quarter('i', 8, 'turn')} AS BIGINT) + 1]) AS px FROM {table}"
 
 
 _EMBED = _COEF + f""", sid AS (SELECT image_id, CAST('0x' || substr(sha256('image:' || image_id), 1, 9) AS BIGINT) AS sid FROM (SELECT DISTINCT image_id FROM img)),
@@ -189,7 +199,11 @@ def m2(s, d):
     return read.join(error, "image_id").select("image_id", bits.matching(F.col("payload"), op.payload_for(F.col("image_id"))).alias("recovered"), bits.half_up(op.psnr(F.col("sse"), F.col("n")), 2).alias("psnr"))
 
 
-@query("m5_four_orientations")
+@query("m5_four_orientations", _EMBED + f""", once AS ({_sql_turned("(SELECT *, image_id % 4 AS turn FROM mk)")}),
+four AS ({_sql_turned("(SELECT image_id, t, px, k.turn FROM once, (SELECT unnest(range(4)) AS turn) k)")})""" + _sql_reading("four", "image_id, turn") + ", ma AS (SELECT * FROM ma2)" + _FIX + f""",
+rd AS (SELECT *, CAST({reg.SQL_CRC.format(x="(payload >> 12)")} AS BIGINT) = ((payload >> 4) & 255) AND bit_count(payload) BETWEEN 7 AND 41 AND (payload >> 12) NOT IN (0, 68719476735) AS ok FROM re),
+pk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY ok DESC, confidence DESC, turn) AS place FROM rd)
+SELECT image_id, turn, ok, 48 - bit_count(xor(payload, want)) AS recovered FROM pk JOIN wa USING (image_id) WHERE place = 1""")
 def m5(s, d):
     """Marked images turned by image_id quarters, and read in all four orientations."""
     marked = op.embed(_images(s, d), op.payload_for(F.col("image_id")))
