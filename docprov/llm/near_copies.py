@@ -3,9 +3,10 @@
 SimHash names the first candidates: a row and the one that its fingerprints' links lead to. Three bits stand for a similarity of
 about 0.98, so MinHash bands name those between: a text's 60 least hashes are cut into 20 bands of 3, and texts that share a band meet
 in its bucket. A pair at similarity s shares none with probability (1 - s^3)^20, 6e-7 at 0.8. Every row is first held
-against one row of each of its buckets; after that only rows of a bucket that are not yet linked to each other meet,
-two by two, and pairs whose least hashes agree in under half of the places are left out (1e-8 at 0.8). What remains is
-verified on the shingles themselves.
+against one row of each of its buckets; after that only rows of a bucket that are not yet linked to each other are compared,
+in the task that holds the bucket with their shingles: pairs whose least hashes agree in under half of the places are left
+out (1e-8 at 0.8), each pair is taken in its first common bucket only, and a task returns links that join groups, never all
+pairs. What links is always verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -95,45 +96,77 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> Da
     return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
 
 
-def candidates(rows: DataFrame, tile: int = 1024, agree: int = BANDS * ROWS // 2) -> DataFrame:
-    """Pairs (a, b) of rows (key, id, comp, sig) that share a key, of different comp, alike in `agree` least hashes.
+def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:
+    """id and set (the sorted hashes of the shingles, as bytes) of every row of texts (id, text as bytes)."""
 
-    A bucket above `tile` rows is cut into parts that meet two by two in different tasks.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingles(t, width).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    return texts.mapInArrow(run, "id long, set binary")
+
+
+def _linked(nums: np.ndarray, sig: np.ndarray, keys: np.ndarray, sets: list[bytes], least: float, agree: int) -> tuple[list, list]:
+    """Links among the rows of one tile, of x, y, side, band, id, comp: one for each two groups that a pair joins."""
+    x, y, side, band, ids, comp = nums.T
+    label, a, b, known = comp.copy(), [], [], {}
+
+    def of(i: int) -> np.ndarray:
+        if i not in known:
+            known[i] = np.frombuffer(sets[i], np.uint64)
+        return known[i]
+
+    sizes = np.array([len(s) for s in sets], np.int64)
+    for i in range(len(nums) - 1):
+        fit = np.flatnonzero((label[i + 1 :] != label[i]) & ((side[i + 1 :] != side[i]) | (x[i] == y[i]))) + i + 1
+        fit = fit[np.minimum(sizes[fit], sizes[i]) >= least * np.maximum(sizes[fit], sizes[i])]
+        fit = fit[(sig[fit] == sig[i]).sum(axis=1) >= agree]
+        fit = fit[np.argmax(keys[fit] == keys[i], axis=1) == band[i]]
+        for j in fit.tolist():
+            if label[j] != label[i] and jaccard(of(i), of(j)) >= least:
+                a.append(int(ids[i]))
+                b.append(int(ids[j]))
+                label[label == label[j]] = label[i]
+    return a, b
+
+
+def open_links(rows: DataFrame, sets: DataFrame, least: float, tile: int = 512, agree: int = BANDS * ROWS // 2) -> DataFrame:
+    """Verified links (a, b) among rows (key, band, id, comp, sig, keys) that share a key and are of different comp; sets: id, set.
+
+    What they lead to is what all such pairs would. A bucket above `tile` rows is cut into parts that meet two by two in
+    different tasks.
     """
     spread = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     open_ = written(spread.select(F.col("key").alias("of"), F.ceil(F.col("n") / tile).cast("int").alias("parts")), "open")
-    cut = rows.join(open_, F.col("key") == F.col("of"))
+    cut = written(rows.join(open_, F.col("key") == F.col("of")).drop("of"), "cut")
+    full = cut.join(sets.select(F.col("id").alias("of"), "set"), F.col("id") == F.col("of"))
     own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y"), (own > o).cast("int").alias("side")))
-    dealt = cut.select("key", "id", "comp", "sig", F.explode(meets).alias("t")).select("key", "t.x", "t.y", "t.side", "id", "comp", "sig")
+    dealt = full.select("key", "band", "id", "comp", "sig", "keys", "set", F.explode(meets).alias("t")).select("key", "t.x", "t.y", "t.side", "band", "id", "comp", "sig", "keys", "set")
     dealt = dealt.repartition(partitions(rows.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(nums: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            edges = np.flatnonzero((nums[1:, :3] != nums[:-1, :3]).any(axis=1)) + 1 if len(nums) else []
-            for lo, hi in zip([0, *edges], [*edges, len(nums)], strict=True):
-                x, y, side, ids, comp = nums[lo:hi, 1:].T
-                for i in range(hi - lo - 1):
-                    fit = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((side[i + 1 :] != side[i]) | (x[i] == y[i]))) + i + 1
-                    fit = fit[(sig[lo + fit] == sig[lo + i]).sum(axis=1) >= agree]
-                    a.append(np.full(len(fit), ids[i]))
-                    b.append(ids[fit])
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        nums, sig = np.zeros((0, 6), np.int64), np.zeros((0, BANDS * ROWS), np.uint8)
-        for batch in batches:
-            nums = np.concatenate([nums, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6)], axis=1)])
-            sig = np.concatenate([sig, np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)])
-            last = np.flatnonzero((nums[:, :3] != nums[-1:, :3]).any(axis=1)) if len(nums) else []
-            if len(last):  # rows before the last group
-                whole = int(last[-1]) + 1
-                yield found(nums[:whole], sig[:whole])
-                nums, sig = nums[whole:], sig[whole:]
-        yield found(nums, sig)
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        nums, sig, keys, sets = np.zeros((0, 7), np.int64), np.zeros((0, BANDS * ROWS), np.uint8), np.zeros((0, BANDS), np.int64), []
+
+        def found(lo: int, hi: int) -> pa.RecordBatch:
+            a, b = _linked(nums[lo:hi, 1:], sig[lo:hi], keys[lo:hi], sets[lo:hi], least, agree)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for whole in batches:
+            for batch in slices(iter([whole]), name="set"):
+                nums = np.concatenate([nums, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)], axis=1)])
+                sig = np.concatenate([sig, np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)])
+                keys = np.concatenate([keys, batch.column(8).flatten().to_numpy().reshape(-1, BANDS)])
+                sets += batch.column(9).to_pylist()
+                edges = [0, *(np.flatnonzero((nums[1:, :3] != nums[:-1, :3]).any(axis=1)) + 1).tolist()]
+                for lo, hi in zip(edges, edges[1:], strict=False):  # all tiles but the last are whole
+                    yield found(lo, hi)
+                nums, sig, keys, sets = nums[edges[-1] :], sig[edges[-1] :], keys[edges[-1] :], sets[edges[-1] :]
+        if len(nums):
+            yield found(0, len(nums))
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def superfluous(docs: DataFrame, number: str, least: float = 0.8, width: int = 5) -> DataFrame:
@@ -145,11 +178,11 @@ def superfluous(docs: DataFrame, number: str, least: float = 0.8, width: int = 5
     """
     base = docs.select(F.col(number).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
     nodes = written(signatures(base, width), "signatures")
-    spread = nodes.select("id", "sig", F.explode("keys").alias("key"))
+    spread = nodes.select("id", "sig", "keys", F.posexplode("keys").alias("band", "key"))
     first = F.min(F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("leader")))
     buckets = spread.groupBy("key").agg(F.count("*").alias("n"), first.alias("f")).filter("n > 1")
     buckets = written(buckets.select(F.col("key").alias("of"), F.col("f.leader").alias("leader")), "buckets")
-    met = written(spread.join(buckets, F.col("key") == F.col("of")).select("key", "id", "leader", "sig"), "met")
+    met = written(spread.join(buckets, F.col("key") == F.col("of")).select("key", "band", "id", "leader", "sig", "keys"), "met")
     printed = simhash.near_duplicates(docs.select(F.col(number).alias("doc_id"), "text"), width=width)
     printed = written(printed.filter("doc_id <> component_id").select("doc_id", "component_id"), "printed")
     needed = met.select("id").union(printed.select("doc_id")).union(printed.select("component_id")).distinct().select(F.col("id").alias("_met"))
@@ -159,8 +192,8 @@ def superfluous(docs: DataFrame, number: str, least: float = 0.8, width: int = 5
     pairs = others.select("id", "leader").union(printed)
     edges = verified(pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), texts, least, width)
     linked = components(edges)
-    rows = others.join(linked, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"), "sig")
-    more = verified(candidates(written(rows, "apart")), texts, least, width)
+    rows = others.join(linked, F.col("id") == F.col("node"), "left").select("key", "band", "id", F.coalesce("component", "id").alias("comp"), "sig", "keys")
+    more = open_links(written(rows, "apart"), written(shingle_sets(texts, width), "sets"), least)
     linked = components(more.union(linked.select("node", "component")))
 
     own = linked.select("component").distinct().select(F.col("component").alias("node"), "component")

@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline as cp
-from docprov.llm import near_copies
+import numpy as np
+from docprov.llm import components, near_copies
 from docprov.llm.shared import table
 from pyspark.sql import functions as F
 
@@ -80,8 +81,23 @@ def test_documents(spark):
 
 
 def test_buckets_in_parts(spark):
-    """Cut buckets lose no pair."""
-    rows = [(1, i, i, bytearray(60)) for i in range(40)]
-    df = spark.createDataFrame(rows, "key long, id long, comp long, sig binary")
-    assert near_copies.candidates(df, tile=7).count() == 40 * 39 // 2
-    assert near_copies.candidates(df.withColumn("comp", F.lit(3)), tile=7).count() == 0
+    """Cut buckets lose no link, and all links of one group come to no more than its rows need in each pair of parts."""
+    rng = random.Random(8)
+    sets = [sorted(rng.sample(range(1000 * (i % 4), 1000 * (i % 4) + 60), 56)) for i in range(40)]
+    rows = [(1, 3, i, i, bytearray(60), [i * 100 + k if k < 3 else 7 for k in range(20)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "key long, band int, id long, comp long, sig binary, keys array<long>")
+    own = spark.createDataFrame([(i, bytearray(np.array(s, np.uint64).tobytes())) for i, s in enumerate(sets)], "id long, set binary")
+    want = {i: i for i in range(40)}
+    for i in range(40):
+        for j in range(i):
+            if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j])):
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    assert 1 < len(set(want.values())) < 40
+    for tile in (7, 40, 512):
+        links = near_copies.open_links(df, own, 0.8, tile)
+        assert links.count() < 40 * -(-40 // tile)
+        got = {r["node"]: r["component"] for r in components.components(links).collect()}
+        assert {i: got.get(i, i) for i in range(40)} == want
+    assert near_copies.open_links(df.withColumn("comp", F.lit(3).cast("long")), own, 0.8, 7).count() == 0
+    assert near_copies.open_links(df.withColumn("band", F.lit(4)), own, 0.8, 7).count() == 0  # taken in the first common one
