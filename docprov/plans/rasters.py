@@ -211,7 +211,27 @@ def m5(s, d):
     return op.best_turn(worn).select("image_id", "turn", "ok", bits.matching(F.col("payload"), op.payload_for(F.col("image_id"))).alias("recovered"))
 
 
-@query("m7_coarse_page_mark")
+def _sql_coarse(name: str, values: str) -> str:
+    """Tables {name}_c, the image at a third of the size from values (image_id, x, y, v), and {name}_p, the payload read there."""
+    return f""", {name}_c AS (SELECT image_id, gx, gy, CAST(floor(avg(v) + 0.5) AS INTEGER) AS v FROM (SELECT image_id, x // 3 AS gx, y // 3 AS gy, v FROM {values}) WHERE gx < 80 AND gy < 80 GROUP BY image_id, gx, gy),
+{name}_h AS (SELECT image_id, gy // 8 * 10 + gx // 8 AS t, sum(CASE WHEN gx % 8 < 4 THEN v ELSE -v END) / CAST(64 AS DOUBLE) AS hl, sum(CASE WHEN gy % 8 < 4 THEN v ELSE -v END) / CAST(64 AS DOUBLE) AS lh FROM {name}_c GROUP BY ALL),
+{name}_v AS (SELECT image_id, bit, sum(CASE WHEN c / 8 - floor(c / 8) < 0.5 THEN 0 ELSE 1 END) AS ones, count(*) AS n FROM (SELECT image_id, 2 * t AS idx, hl AS c FROM {name}_h UNION ALL SELECT image_id, 2 * t + 1, lh FROM {name}_h) JOIN pc USING (idx) GROUP BY image_id, bit),
+{name}_p AS (SELECT image_id, CAST(sum(CASE WHEN 2 * ones > n THEN CAST(1 AS BIGINT) << CAST(47 - bit AS BIGINT) ELSE 0 END) AS BIGINT) AS payload FROM {name}_v GROUP BY image_id)"""
+
+
+_PAGE = _IMG + f""", pc AS (SELECT idx, place // 4 AS bit FROM (SELECT idx, row_number() OVER (ORDER BY sha256('page:' || idx)) - 1 AS place FROM (SELECT unnest(range(200)) AS idx)) WHERE place < 192),
+sid AS (SELECT image_id, CAST('0x' || substr(sha256('image:' || image_id), 1, 9) AS BIGINT) AS sid FROM (SELECT DISTINCT image_id FROM img)),
+wa AS (SELECT image_id, (sid << 12) | (CAST({reg.SQL_CRC.format(x='sid')} AS BIGINT) << 4) | 1 AS want FROM sid),
+vx AS (SELECT image_id, t % 32 * 8 + i % 8 AS x, t // 32 * 8 + i // 8 AS y, v FROM (SELECT image_id, t, unnest(px) AS v, unnest(range(64)) AS i FROM img))""" + _sql_coarse("a", "vx") + """,
+off0 AS (SELECT image_id, t, hl, lh, CAST(CASE WHEN (want >> CAST(47 - k.bit AS BIGINT)) & 1 = 1 THEN 0.75 ELSE 0.25 END AS DOUBLE) AS ok, k.bit IS NULL AS nk, CAST(CASE WHEN (want >> CAST(47 - m.bit AS BIGINT)) & 1 = 1 THEN 0.75 ELSE 0.25 END AS DOUBLE) AS om, m.bit IS NULL AS nm
+  FROM a_h JOIN wa USING (image_id) LEFT JOIN pc k ON k.idx = 2 * t LEFT JOIN pc m ON m.idx = 2 * t + 1),
+mv AS (SELECT image_id, t, CASE WHEN nk THEN 0 ELSE 8 * (floor(hl / 8 - ok + 0.5) + ok) - hl END AS p, CASE WHEN nm THEN 0 ELSE 8 * (floor(lh / 8 - om + 0.5) + om) - lh END AS q FROM off0),
+ad AS (SELECT image_id, gx, gy, greatest(0, least(255, floor(v + CASE WHEN gx % 8 < 4 THEN p ELSE -p END + CASE WHEN gy % 8 < 4 THEN q ELSE -q END + 0.5))) - v AS added FROM a_c JOIN mv USING (image_id) WHERE mv.t = gy // 8 * 10 + gx // 8),
+vy AS (SELECT vx.image_id, x, y, vx.v AS old, CAST(greatest(0, least(255, vx.v + coalesce(added, 0))) AS INTEGER) AS v FROM vx LEFT JOIN ad ON ad.image_id = vx.image_id AND gx = x // 3 AND gy = y // 3)""" + _sql_coarse("b", "vy") + """,
+e AS (SELECT image_id, sum((v - old) * (v - old)) AS sse, count(*) AS n FROM vy GROUP BY image_id)"""
+
+
+@query("m7_coarse_page_mark", _PAGE + " SELECT image_id, 48 - bit_count(xor(b_p.payload, want)) AS recovered, 48 - bit_count(xor(a_p.payload, want)) AS unmarked, floor(10 * log10(CAST(65025 AS DOUBLE) / (sse / CAST(n AS DOUBLE))) * 100 + 0.5) / 100 AS psnr FROM a_p JOIN b_p USING (image_id) JOIN wa USING (image_id) JOIN e USING (image_id)")
 def m7(s, d):
     """Page marks embedded at a third of the size and read there: bits recovered from the marked page, from the unmarked one, and
     the page's PSNR."""
