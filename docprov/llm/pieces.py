@@ -99,7 +99,7 @@ class Model(Vocabulary):
     """Encodes. most: bytes that remembered units may take, about; beyond it all are forgotten, which changes nothing but time.
     Units of more than `longest` bytes are not remembered."""
 
-    def __init__(self, path: str, most: int = 64 << 20, longest: int = 64, most_fits: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 128 << 20, longest: int = 64, most_fits: int = 200_000) -> None:
         super().__init__(path)
         if not self.taken_as_is:
             raise ValueError("this model normalises texts")
@@ -360,7 +360,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2 << 20):
+        for b in slices(batches):
             ids = model(path).encode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
