@@ -17,7 +17,11 @@ from docprov.functions.workers import ship
 
 #: Per file kind: what may be encoded apart from the rest. Tokens of the first never hold white space; those of the
 #: second hold it as a leading space or a run of its own.
-UNITS = {"word": re.compile(rb"[^\s]+"), "byte": re.compile(rb" ?[^\s]+|\s+(?!\S)|\s+")}
+UNITS = {
+    "word": re.compile(rb"[^\s]+"),
+    # runs of letters, digits or marks of ASCII and Latin-1 that no other character follows stand for themselves
+    "byte": re.compile(rb"'(?:s|t|re|ve|m|ll|d)| ?(?:(?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++|[0-9]++|[!-/:-@\[-`{-~]++)(?![\x80-\xff])| ?[^\s]+|\s+(?!\S)|\s+"),
+}
 #: White space outside ASCII, in UTF-8: a text that holds any is encoded whole where units hold white space.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: First bytes of combining characters that join ASCII letters: lower-casing before normalising could change those.
