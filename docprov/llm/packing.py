@@ -95,11 +95,21 @@ def pack(cut: DataFrame, size: int = 4096, group_rows: int = 20_000, seed: int =
 
 
 def sequences(packed: DataFrame, cut: DataFrame, size: int = 4096, pad: int = 0) -> DataFrame:
-    """sequence_id, length and ids (binary) of the sequences of cut (pieces()) as packed (pack()); one at a power of two is not
-    padded."""
-    rows = packed.select("sequence_id", "offset", "piece_id").join(cut.select("piece_id", "ids"), "piece_id")
-    joined = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
-    whole = joined.select("sequence_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids")).withColumn("length", (F.octet_length("ids") / 4).cast("long"))
+    """The sequences of cut (pieces()) as packed (pack()): sequence_id, length (without padding), ids (binary, padded to size, but
+    for a length that is a power of two) and pieces (array of offset, piece_id, doc_id, start, length, doc_tokens, by offset).
+
+    A sequence holds `size` ids at most, however often rows repeat. An empty table gives no rows.
+    """
+    own = ["offset", "piece_id", "doc_id", "start", "length", "doc_tokens"]
+    rows = packed.select("sequence_id", *own).join(cut.select("piece_id", "ids"), "piece_id")
+    joined = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct(*own, "ids"))).alias("p"))
+    whole = joined.select("sequence_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.transform("p", lambda x: x.dropFields("ids")).alias("pieces")).withColumn("length", (F.octet_length("ids") / 4).cast("long"))
     filled = F.concat("ids", F.unhex(F.repeat(F.lit(pad.to_bytes(4, "little").hex()), (F.lit(size) - F.col("length")).cast("int"))))
     power = F.bit_count("length") == 1
-    return whole.select("sequence_id", "length", F.when(power, F.col("ids")).otherwise(filled).alias("ids"))
+    return whole.select("sequence_id", "length", F.when(power, F.col("ids")).otherwise(filled).alias("ids"), "pieces")
+
+
+def placed(built: DataFrame) -> DataFrame:
+    """A row for each piece of sequences(), with the crc32 of its ids as they stand there: ids_crc32 (long)."""
+    each = F.transform("pieces", lambda x: x.withField("ids_crc32", F.crc32(F.substring(F.col("ids"), (x["offset"] * 4 + 1).cast("int"), (x["length"] * 4).cast("int")))))
+    return built.select("sequence_id", F.inline(each))

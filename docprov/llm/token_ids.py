@@ -77,7 +77,8 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library, self.inner = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.library.encode_special_tokens = self.inner.encode_special_tokens = True  # their names in a text are ordinary text
+        names = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.named = re.compile(b"|".join(map(re.escape, names)), re.IGNORECASE).search if names else lambda _: None
         self.inner.normalizer, self.inner.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.line = self.inner.encode(_LINE, add_special_tokens=False).ids
         self.units, self.cut, self.spaced = UNITS[units], _CUTS[units].findall, units == "byte"
@@ -130,8 +131,10 @@ class Encoder:
             return self._encode(texts)
         out: list = []
         for t in texts:
-            if not self.spaced:
-                out.append((t if _JOINS.search(t) else t.lower()).split())
+            if self.named(t):  # an added token, such as <|endoftext|>: the library finds it in the text as it stands
+                out.append(self._encode([t])[0])
+            elif not self.spaced:
+                out.append([u if _ODD.search(u) else u.lower() for u in t.split()] if _JOINS.search(t) else t.lower().split())
             elif _WIDE_SPACE.search(t):
                 out.append(self._encode([t])[0])
             else:

@@ -1,5 +1,6 @@
 """Packing and token-id files against the library applied to whole texts."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
@@ -27,9 +28,7 @@ TEXTS = [
 
 @cache
 def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 @cache
@@ -56,6 +55,20 @@ def test_units_give_the_librarys_ids(texts):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(path, t) for t in texts]
 
 
+ITEMS = ["'S", "'re", "'VE", "'M", "'ll", "'D", "IT'S", "WE'LL", "don't", "\u0301", "e\u0301", "A\u030a", "\u0345", "\u0360", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", " ", "  ", "\u3000", "\x85", "\xa0", "\n", "\t", "\u212a", "\u0130", "\xdf", "\xc9", "a", "Bc", "12", "!?", "\u65e5", "\x1c", "\U0001f600"]
+
+
+def test_ten_thousand_texts_have_the_plain_calls_ids():
+    """Combining marks, contractions in either case, added tokens' names and odd spaces; no switch of the library is set."""
+    r = random.Random(11)
+    texts = ["".join(r.choice(ITEMS) for _ in range(r.randint(0, 14))) for _ in range(10_000)]
+    for path, units in ((BYTE_BPE, "byte"), (WORD_BPE, "word")):
+        encode = Encoder(path, units, most=1 << 16)
+        got = [np.frombuffer(g, "<u4").tolist() for k in range(0, len(texts), 500) for g in encode([t.encode() for t in texts[k : k + 500]])]
+        assert got == [e.ids for e in library(path).encode_batch(texts, add_special_tokens=False)]
+    assert ids_of(BYTE_BPE, "a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 def test_files_round_trip(spark):
     for bits, most in ((False, 1 << 27), (True, 1 << 27), (False, 5)):
         files = planes.write_corpus(docs(spark), BYTE_BPE, "byte", end_id=0, block=64, bits=bits, file_ids=most)
@@ -115,8 +128,11 @@ def test_packing_places_every_id_once(spark):
             assert offset == at
             at += length
         assert at <= 64
-    for r in packing.sequences(packing.pack(cut, size=64), cut, size=64).collect():
+    built = packing.sequences(packing.pack(cut, size=64), cut, size=64)
+    for r in built.collect():
         assert len(r["ids"]) // 4 == (r["length"] if r["length"].bit_count() == 1 else 64)
+        assert bytes(r["ids"]) == b"".join(ids[p["piece_id"]] for p in r["pieces"]).ljust(len(r["ids"]), b"\0")
+    assert sorted((r["piece_id"], r["ids_crc32"]) for r in packing.placed(built).collect()) == sorted((k, zlib.crc32(x)) for k, x in ids.items())
     assert packing.pack(packing.pieces(docs(spark).filter("false"), WORD_BPE, "word", 2)).count() == 0
 
 
