@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, max_score, packing, pieces, planes, secret_scan, simhash, suffix_dedup, warc
+from . import ball_tree, exact_dedup, infill, language_id, max_score, packing, pieces, planes, quality, secret_scan, simhash, suffix_dedup, warc
 from .shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +66,18 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_corpus(spark, files).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -78,6 +90,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_packing": op9_packing,
         "op10_token_planes": op10_token_planes,
+        "op11_ball_tree": op11_ball_tree,
+        "op12_infill": op12_infill,
+        "op13_quality": op13_quality,
     }
 
 
@@ -87,4 +102,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": warc.ORACLE,
         "op3_max_score": max_score.ORACLE,
         "op4_secret_scan": secret_scan.ORACLE,
+        "op11_ball_tree": ball_tree.ORACLE,
+        "op12_infill": infill.ORACLE,
     }
