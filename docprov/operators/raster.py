@@ -1,4 +1,4 @@
-"""Rasters as tile tables: fingerprints, robust and fragile marks, fidelity, tone matching, robustness.
+"""Rasters as tile tables: fingerprints, robust and fragile marks, fidelity, tone matching.
 
 An image is GRID by GRID tiles of 8 by 8 values (image_id, t, px); tile t stands at column t % GRID, row t // GRID.
 """
@@ -53,23 +53,6 @@ def a_hash(px: Column) -> Column:
     return F.aggregate(every, F.lit(0).cast("bigint"), lambda acc, i: F.when(px[i] * F.size(px) > total(px), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))).otherwise(acc))
 
 
-def d_hash(px: Column, width: int = 8, height: int = 8) -> Column:
-    """Bit y (width - 1) + x is 1 where a value exceeds the one to its right."""
-    spots = F.sequence(F.lit(0), F.lit((width - 1) * height - 1))
-
-    def at(i: Column) -> Column:
-        return F.floor(i / (width - 1)).cast("int") * width + i % (width - 1)
-
-    return F.aggregate(spots, F.lit(0).cast("bigint"), lambda acc, i: F.when(px[at(i)] > px[at(i) + 1], acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))).otherwise(acc))
-
-
-def shrunk(image: DataFrame, side: int = 8) -> DataFrame:
-    """Each image as side by side sums of equal areas."""
-    cell = F.floor(F.col("t") / GRID / (GRID // side)).cast("int") * side + F.floor(F.col("t") % GRID / (GRID // side)).cast("int")
-    cells = image.groupBy("image_id", cell.alias("cell")).agg(F.sum(total(F.col("px"))).alias("v"))
-    return cells.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "v"))), lambda x: x["v"]).alias("px"))
-
-
 def p_hash(image: DataFrame) -> DataFrame:
     """image_id, p_hash: low 8 by 8 of a 32 by 32 DCT without its first, against their upper median."""
     spark = image.sparkSession
@@ -353,32 +336,3 @@ def passes(image: DataFrame, reference: int = 0) -> DataFrame:
     each = {"direct": image, "scaled": scaled, "tones": tone_match(scaled, reference), "topcrop": stretched(image, 0.55)}
     out = [df.select("image_id", F.lit(k).alias("pass"), "t", "px") for k, df in each.items()]
     return out[0].union(out[1]).union(out[2]).union(out[3])
-
-
-def attacked(image: DataFrame) -> DataFrame:
-    """image under attacks that are arithmetic on tiles: none, brighter, halved, blurred, cropped."""
-
-    def halved(i: Column) -> Column:
-        a = F.floor(i / 16).cast("int") * 16 + F.floor(i % 8 / 2).cast("int") * 2
-        return F.floor((F.col("px")[a] + F.col("px")[a + 1] + F.col("px")[a + 8] + F.col("px")[a + 9]) / 4 + 0.5).cast("int")
-
-    def blurred(i: Column) -> Column:
-        x = i % 8
-        return F.floor((F.col("px")[F.when(x > 0, i - 1).otherwise(i)] + F.col("px")[i] * 2 + F.col("px")[F.when(x < 7, i + 1).otherwise(i)]) / 4 + 0.5).cast("int")
-
-    every, keys = F.sequence(F.lit(0), F.lit(63)), [c for c in image.columns if c != "px"]
-    kinds = {"none": F.col("px"), "brighter": F.transform("px", lambda v: F.least(F.lit(255), v + 10)), "resize 50%": F.transform(every, halved), "blur": F.transform(every, blurred), "crop 20%": F.col("px")}
-    all_ = image.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("attack"), px.alias("px")) for k, px in kinds.items()))).alias("x")).select(*keys, "x.attack", "x.px")
-    edge = GRID // 10
-    inside = (F.col("t") % GRID).between(edge, GRID - 1 - edge) & F.floor(F.col("t") / GRID).between(edge, GRID - 1 - edge)
-    return all_.filter((F.col("attack") != "crop 20%") | inside)
-
-
-def robustness(image: DataFrame, deltas: tuple[int, ...] = (4, 8, 12, 16, 24), target: int = 40) -> DataFrame:
-    """attack, delta: fewest bits recovered over all images, whether that reaches target, and the mark's PSNR."""
-    grid = image.withColumn("delta", F.explode(F.array(*map(F.lit, deltas))))
-    marked = embed(grid, payload_for(F.col("image_id")), F.col("delta").cast("double"))
-    error = squared_error(grid.select("image_id", "delta", "t", "px"), marked, ["image_id", "delta"]).groupBy("delta").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"))
-    read = extract(attacked(marked), F.col("delta").cast("double"))
-    got = read.groupBy("attack", "delta").agg(F.min(bits.matching(F.col("payload"), payload_for(F.col("image_id")))).alias("bits"))
-    return got.join(F.broadcast(error), "delta").select("attack", "delta", "bits", (F.col("bits") >= target).alias("survived"), bits.half_up(psnr(F.col("sse"), F.col("n")), 2).alias("psnr"), F.lit(target).alias("target"))

@@ -35,11 +35,6 @@ def x19(s, d):
     return reg.tiles(s, d).select("tile_id", h.alias("h")).select("tile_id", F.col("h").bitwiseAND(F.lit(2**63 - 1)).alias("low63"), (F.col("h") < 0).alias("top"))
 
 
-@query("x20_d_hash", "SELECT tile_id, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(56), lambda i: CASE WHEN px[CAST(i // 7 * 8 + i % 7 + 1 AS BIGINT)] > px[CAST(i // 7 * 8 + i % 7 + 2 AS BIGINT)] THEN CAST(1 AS BIGINT) << i ELSE 0 END)), lambda a, b: a | b) AS BIGINT) AS h FROM tiles")
-def x20(s, d):
-    return reg.tiles(s, d).select("tile_id", op.d_hash(F.col("px")).alias("h"))
-
-
 @query("x21_p_hash", _IMG + """, basis AS (SELECT CAST(u * 8 + v AS INTEGER) AS k, y * 32 + x AS t, cos((2 * y + 1) * u * pi() / 64) * cos((2 * x + 1) * v * pi() / 64) AS w
   FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(8)) AS v), (SELECT unnest(range(32)) AS y), (SELECT unnest(range(32)) AS x) WHERE u + v > 0),
 cf AS (SELECT image_id, k, sum(list_sum(px) * w) AS c FROM img JOIN basis USING (t) GROUP BY image_id, k),
@@ -242,15 +237,6 @@ def m7(s, d):
     return found[0].join(found[1], "image_id").join(error, "image_id").select("image_id", "recovered", "unmarked", bits.half_up(op.psnr(F.col("sse"), F.col("n")), 2).alias("psnr"))
 
 
-@query("m1_fingerprint_table", _IMG + """, cell AS (SELECT image_id, t // 32 // 4 * 8 + t % 32 // 4 AS cell, sum(list_sum(px)) AS v FROM img GROUP BY ALL), tot AS (SELECT image_id, sum(v) AS s FROM cell GROUP BY image_id),
-l AS (SELECT image_id, list(v ORDER BY cell) AS px FROM cell GROUP BY image_id)
-SELECT image_id, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(63), lambda i: CASE WHEN px[i + 1] * 64 > s THEN CAST(1 AS BIGINT) << i ELSE 0 END)), lambda a, b: a | b) AS BIGINT) AS a_low,
-CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(56), lambda i: CASE WHEN px[CAST(i // 7 * 8 + i % 7 + 1 AS BIGINT)] > px[CAST(i // 7 * 8 + i % 7 + 2 AS BIGINT)] THEN CAST(1 AS BIGINT) << i ELSE 0 END)), lambda a, b: a | b) AS BIGINT) AS d_hash FROM l JOIN tot USING (image_id)""")
-def m1(s, d):
-    small = op.shrunk(_images(s, d)).select(F.inline(F.array(F.struct("image_id", "px"))))
-    return small.select("image_id", op.a_hash(F.col("px")).bitwiseAND(F.lit(2**63 - 1)).alias("a_low"), op.d_hash(F.col("px")).alias("d_hash"))
-
-
 _ERR = _IMG + ", er AS (SELECT a.image_id, sum(list_sum(list_transform(range(64), lambda i: (a.px[i + 1] - b.px[i + 1]) * (a.px[i + 1] - b.px[i + 1])))) AS sse, count(*) * 64 AS n FROM img a JOIN img b ON b.image_id = a.image_id + 1 AND b.t = a.t GROUP BY a.image_id)"
 
 
@@ -360,13 +346,3 @@ def o5(s, d):
 def m9(s, d):
     checked = op.fragile_check(_tampered(s, d))
     return op.tamper_verdict(checked).join(op.regions(checked).groupBy("image_id").agg(F.count("*").alias("regions")), "image_id", "left").withColumn("regions", F.coalesce("regions", F.lit(0)))
-
-
-@query("r13_robustness_table")
-def r13(s, d):
-    return op.robustness(_images(s, d))
-
-
-@query("m11_robustness_sweep")
-def m11(s, d):
-    return op.robustness(_images(s, d), (4, 8, 12, 16, 24), 44)

@@ -12,7 +12,7 @@ from docprov.sources.register import FIXTURE_SQL
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries.
-_MODULES = ("docprov.plans.audit", "docprov.plans.attribution", "docprov.plans.scalars", "docprov.plans.rasters", "docprov.plans.streams")
+_MODULES = ("docprov.plans.audit", "docprov.plans.attribution", "docprov.plans.scalars", "docprov.plans.rasters", "docprov.plans.suite", "docprov.plans.streams")
 
 
 def query(name: str, sql: str | None = None):

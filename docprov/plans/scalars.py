@@ -164,16 +164,6 @@ def s3(s, d):
     return files.accepted(files.stored(reg.table(s, d, "pages")))
 
 
-@query("s6_suite_metrics_source")
-def s6(s, d):
-    return files.read_metrics(s, files.write_metrics(_suite(s, d)))
-
-
-@query("s7_suite_metrics_sink")
-def s7(s, d):
-    return s.read.text(files.write_metrics(_suite(s, d)))
-
-
 @query("s9_investigation_append", " SELECT CAST(created_at AS DATE) AS created_date, count(*) AS n, sum(investigation_id) AS ids FROM investigations GROUP BY 1")
 def s9(s, d):
     """Investigations appended in two goes to one table."""
@@ -181,9 +171,3 @@ def s9(s, d):
     for rest in (0, 1):
         files.append_investigations(rows.filter(F.col("investigation_id") % 2 == rest), path)
     return s.read.parquet(path).groupBy("created_date").agg(F.count("*").alias("n"), F.sum("investigation_id").alias("ids"))
-
-
-def _suite(s, d):
-    from docprov.operators import raster
-
-    return raster.robustness(raster.images(reg.tiles(s, d)))

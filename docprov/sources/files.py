@@ -80,9 +80,9 @@ def accepted(files: DataFrame) -> DataFrame:
 
 
 def write_metrics(rows: DataFrame) -> str:
-    """One JSON record of a robustness table (attack, delta, survived, bits, psnr, target); returns its path."""
-    attacks = F.sort_array(F.collect_list(F.when(F.col("attack") != "none", F.struct(F.concat_ws(" ", "attack", F.col("delta").cast("string")).alias("name"), "survived", F.col("bits").alias("bitsRecovered"), F.col("psnr").alias("psnrDb"), "target"))))
-    curve = F.sort_array(F.collect_list(F.when(F.col("attack") == "none", F.struct("delta", F.col("psnr").alias("psnrDb"), F.col("bits").alias("bitsRecovered")))))
+    """One JSON record of a robustness table (kind, name, delta, bits, psnr, target, survived); returns its path."""
+    attacks = F.sort_array(F.collect_list(F.when(F.col("kind") == "attack", F.struct("name", "survived", F.col("bits").alias("bitsRecovered"), F.col("psnr").alias("psnrDb"), "target"))))
+    curve = F.sort_array(F.collect_list(F.when(F.col("kind") == "curve", F.struct("delta", F.col("psnr").alias("psnrDb"), F.col("bits").alias("bitsRecovered")))))
     path = shared_path(rows.sparkSession, "metrics")
     rows.agg(attacks.alias("attacks"), curve.alias("psnrCurve")).select(F.lit("suite").alias("source"), F.lit("1970-01-01").alias("generatedAt"), "attacks", "psnrCurve").write.json(path)
     return path

@@ -60,7 +60,7 @@ def test_investigations_are_appended(spark):
 
 
 def test_suite_metrics_are_written_as_one_record_and_read_back(spark):
-    rows = spark.createDataFrame([("none", 8, True, 48, 48.2, 40), ("none", 4, True, 48, 54.22, 40), ("blur", 12, False, 39, 44.68, 40)], "attack string, delta int, survived boolean, bits int, psnr double, target int")
+    rows = spark.createDataFrame([("curve", "8", 8, None, 48, 48.2, None), ("curve", "4", 4, None, 48, 54.22, None), ("attack", "blur 12", 12, False, 39, 44.68, 40)], "kind string, name string, delta int, survived boolean, bits int, psnr double, target int")
     path = files.write_metrics(rows)
     (line,) = [r["value"] for r in spark.read.text(path).collect()]
     assert json.loads(line) == {

@@ -8,8 +8,8 @@ from docprov.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Rows only, and slow: covered by tests of their operators.
-_SLOW = {"r13_robustness_table", "m11_robustness_sweep", "s7_suite_metrics_sink"}
+#: Slow, and the table of another query's rows.
+_SLOW = {"s6_suite_metrics_source"}
 
 
 @pytest.fixture(scope="module")
