@@ -79,6 +79,15 @@ def carriers(spark, seed: str = "mark", coefficients: int = 2 * GRID * GRID, vot
     return spark.range(coefficients).select(F.col("id").alias("idx")).withColumn("place", place).filter(F.col("place") < BITS * votes).select("idx", F.floor(F.col("place") / votes).cast("int").alias("bit"))
 
 
+def carriers_by_size(sizes: DataFrame, seed: str = "mark") -> DataFrame:
+    """n, idx, bit: carriers() of rasters of n coefficients, for every n of sizes: a permutation of its own for each, with as many
+    votes a bit as n has room for, VOTES at most. Sizes below BITS have none."""
+    votes = F.least(F.lit(VOTES), F.floor(F.col("n") / BITS))
+    every = sizes.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"))
+    place = F.row_number().over(Window.partitionBy("n").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("idx").cast("string")), 256))) - 1
+    return every.withColumn("place", place).filter(F.col("place") < BITS * votes).select("n", "idx", F.floor(F.col("place") / votes).cast("int").alias("bit"))
+
+
 def coefficients(image: DataFrame) -> DataFrame:
     hl, lh = haar(F.col("px"))
     both = F.explode(F.array(F.struct((F.col("t") * 2).cast("bigint").alias("idx"), hl.alias("c")), F.struct((F.col("t") * 2 + 1).cast("bigint").alias("idx"), lh.alias("c"))))
@@ -100,19 +109,25 @@ def qim_read(c: Column, delta: Column) -> Column:
 def extract(image: DataFrame, delta: Column | int = 12, seed: str = "mark", own: DataFrame | None = None) -> DataFrame:
     """Per image (and any further keys) the 48 bits by majority, as number and text, and the mean agreement.
 
-    Votes come from the tiles that are there: a bit without votes is 0 with agreement one half. own: other carriers.
+    Votes come from the tiles that are there: a bit without votes is 0 with agreement one half. own: other carriers; those of
+    several sizes (carriers_by_size()) meet the image's column n.
     """
     keys = [c for c in image.columns if c not in ("t", "px")]
     step = F.lit(delta).cast("double") if isinstance(delta, int) else delta
-    votes = coefficients(image).join(F.broadcast(own if own is not None else carriers(image.sparkSession, seed)), "idx").groupBy(*keys, "bit").agg(F.sum(qim_read(F.col("c"), step)).alias("ones"), F.count("*").alias("n"))
+    if own is not None and "n" in own.columns:
+        met = coefficients(image).join(own, ["n", "idx"])
+    else:
+        met = coefficients(image).join(F.broadcast(own if own is not None else carriers(image.sparkSession, seed)), "idx")
+    keys = [k for k in keys if k != "n"]
+    votes = met.groupBy(*keys, "bit").agg(F.sum(qim_read(F.col("c"), step)).alias("ones"), F.count("*").alias("n"))
     known = votes.select(*keys, "bit", (F.col("ones") * 2 > F.col("n")).cast("int").alias("v"), F.greatest("ones", F.col("n") - F.col("ones")).alias("most"), "n")
     number = F.sum(F.call_function("shiftleft", F.col("v").cast("bigint"), F.lit(BITS - 1) - F.col("bit")))
     return known.groupBy(*keys).agg(number.alias("payload"), bits.half_up((F.sum(F.col("most") / F.col("n")) + (BITS - F.count("*")) * 0.5) / BITS, 6).alias("confidence"))
 
 
-def read_mark(image: DataFrame, delta: Column | int = 12, seed: str = "mark") -> DataFrame:
+def read_mark(image: DataFrame, delta: Column | int = 12, seed: str = "mark", own: DataFrame | None = None) -> DataFrame:
     """extract(), with the flip that explains a wrong CRC undone; `corrected` where there was one."""
-    read = held(extract(image, delta, seed)).withColumn("_fixed", bits.repaired(F.col("payload")))
+    read = held(extract(image, delta, seed, own)).withColumn("_fixed", bits.repaired(F.col("payload")))
     keys = [c for c in read.columns if c not in ("payload", "confidence", "_fixed")]
     return held(read).select(*keys, F.col("_fixed").alias("payload"), "confidence", (F.col("_fixed") != F.col("payload")).alias("corrected"))
 
@@ -221,6 +236,13 @@ def histogram(image: DataFrame) -> DataFrame:
     return every.join(counts, ["image_id", "v"], "left").select("image_id", "v", F.coalesce("n", F.lit(0)).alias("n")).withColumn("upto", F.sum("n").over(w))
 
 
+def tones_of(hist: DataFrame, released: DataFrame) -> DataFrame:
+    """tone_table(), each image with the image of its number in released (histograms, too) for its reference."""
+    ref = released.select("image_id", F.col("v").alias("to"), F.col("upto").alias("ref_upto"))
+    pairs = hist.join(ref, "image_id").filter(F.col("ref_upto") >= F.col("upto"))  # 256 rows against 256 of each image
+    return pairs.groupBy("image_id", "v").agg(F.least(F.min("to"), F.lit(255)).alias("to"))
+
+
 def tone_table(hist: DataFrame, reference: int = 0) -> DataFrame:
     """image_id, v, to: the least value of the reference whose share of smaller ones reaches v's; 255 at most."""
     ref = hist.filter(F.col("image_id") == reference).select(F.col("v").alias("to"), F.col("upto").alias("ref_upto"))
@@ -229,7 +251,12 @@ def tone_table(hist: DataFrame, reference: int = 0) -> DataFrame:
 
 
 def tone_match(image: DataFrame, reference: int = 0) -> DataFrame:
-    luts = tone_table(histogram(image), reference).groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "to"))), lambda x: x["to"]).alias("lut"))
+    return toned(image, tone_table(histogram(image), reference))
+
+
+def toned(image: DataFrame, table: DataFrame) -> DataFrame:
+    """image_id, t, px of image, its values looked up in tone_table()'s rows."""
+    luts = table.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "to"))), lambda x: x["to"]).alias("lut"))
     return image.join(luts, "image_id").select("image_id", "t", F.transform("px", lambda v: F.col("lut")[v]).alias("px"))
 
 
@@ -306,33 +333,3 @@ def pooled_psnr(errors: DataFrame, has: DataFrame) -> DataFrame:
     sums = errors.groupBy("doc").agg(F.count("*").alias("pages"), F.sum("sse").alias("sse"), F.sum("n").alias("n"))
     figure = F.log10(F.lit(65025.0) * F.col("n").cast("double") / F.greatest(F.col("sse").cast("double"), F.lit(1.0))) * 10
     return has.join(sums, "doc", "left").select("doc", F.coalesce("pages", F.lit(0)).alias("pages"), F.when(F.col("pages") == F.col("has"), bits.half_up(figure, 6)).alias("psnr"))
-
-
-def stretched(image: DataFrame, share: float = 1.0) -> DataFrame:
-    """image_id, t, px: the upper `share` of each image stretched over GRID by GRID tiles, the nearest value for each.
-
-    An image is as wide and as high as the tiles that it has. Its values go to all places that they fill, so that no
-    join is needed.
-    """
-    side = 8 * GRID
-    column, row = F.col("t") % GRID, F.floor(F.col("t") / GRID).cast("int")
-    size = image.groupBy("image_id").agg(((F.max(column) + 1) * 8).alias("w"), F.floor((F.max(row) + 1) * 8 * share + 0.5).cast("int").alias("h"))
-    spots = image.join(size, "image_id").select("image_id", "w", "h", column.alias("cx"), row.alias("cy"), F.posexplode("px").alias("i", "v"))
-    spots = spots.select("image_id", "w", "h", "v", (F.col("cx") * 8 + F.col("i") % 8).alias("x"), (F.col("cy") * 8 + F.floor(F.col("i") / 8)).cast("int").alias("y"))
-
-    def places(at: str, of: str) -> Column:
-        return F.sequence(F.ceil(F.col(at) * side / F.col(of)).cast("int"), F.ceil((F.col(at) + 1) * side / F.col(of)).cast("int"))  # the last is the next one's
-
-    wide = spots.filter("y < h").withColumn("gx", F.explode(places("x", "w"))).filter(F.floor(F.col("gx") * F.col("w") / side) == F.col("x"))
-    full = wide.withColumn("gy", F.explode(places("y", "h"))).filter(F.floor(F.col("gy") * F.col("h") / side) == F.col("y")).filter((F.col("gx") < side) & (F.col("gy") < side))
-    t = F.floor(F.col("gy") / 8).cast("int") * GRID + F.floor(F.col("gx") / 8).cast("int")
-    place = F.col("gy") % 8 * 8 + F.col("gx") % 8
-    return full.groupBy("image_id", t.alias("t")).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("i"), "v"))), lambda x: x["v"]).alias("px"))
-
-
-def passes(image: DataFrame, reference: int = 0) -> DataFrame:
-    """image_id, pass, t, px: as it came, stretched to full size, that with the reference's tones, and its upper 55 percent."""
-    scaled = stretched(image)
-    each = {"direct": image, "scaled": scaled, "tones": tone_match(scaled, reference), "topcrop": stretched(image, 0.55)}
-    out = [df.select("image_id", F.lit(k).alias("pass"), "t", "px") for k, df in each.items()]
-    return out[0].union(out[1]).union(out[2]).union(out[3])

@@ -119,6 +119,15 @@ def resized(rasters: DataFrame, keys: list[str], w: str, h: str) -> DataFrame:
     return start.select(*keys, "w", "h", "t", F.col("px").cast("array<int>").alias("px"))
 
 
+def fitted(rasters: DataFrame, keys: list[str], w: tuple[int, Callable], h: tuple[int, Callable]) -> DataFrame:
+    """filtered(), the axes each with its new size and a rule of (the row's keys, the old size, the new one)."""
+    px = F.col("px").cast("array<long>").alias("px")
+    start = rasters.select(*keys, F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), F.lit(1).cast("long").alias("d"), F.col("t").cast("int").alias("t"), px)
+    first = _along(start, keys, "x", lambda row, n: w[1](row, n, w[0]), False)
+    both = _along(first, keys, "y", lambda row, n: h[1](row, n, h[0]), True)
+    return both.select(*keys, "w", "h", "t", F.col("px").cast("array<int>").alias("px"))
+
+
 def sized(image: DataFrame, w: int, h: int) -> DataFrame:
     """A tile table of rasters of one size with that size."""
     return image.select("*", F.lit(w).alias("w"), F.lit(h).alias("h"))

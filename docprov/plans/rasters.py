@@ -127,27 +127,6 @@ def m6_repaired(s, d):
     return op.read_mark(swept, F.col("delta").cast("double"))
 
 
-_PASSES = _IMG + """, cn AS (SELECT image_id, v, count(*) AS n FROM (SELECT image_id, unnest(px) AS v FROM img) GROUP BY ALL),
-hi AS (SELECT image_id, CAST(v AS INTEGER) AS v, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY image_id ORDER BY v) AS BIGINT) AS upto FROM (SELECT DISTINCT image_id FROM img) CROSS JOIN (SELECT unnest(range(256)) AS v) LEFT JOIN cn USING (image_id, v)),
-lu AS (SELECT h.image_id, h.v, least(min(r.v), 255) AS w FROM hi h JOIN hi r ON r.image_id = 0 AND r.upto >= h.upto GROUP BY ALL),
-vx AS (SELECT image_id, t, i, v, t % 32 * 8 + i % 8 AS x, t // 32 * 8 + i // 8 AS y FROM (SELECT image_id, t, unnest(px) AS v, unnest(range(64)) AS i FROM img)),
-grid AS (SELECT q % 256 AS gx, q // 256 AS gy, (q // 256 * 141) // 256 AS sy FROM (SELECT unnest(range(65536)) AS q)),
-pv AS (SELECT image_id, 'direct' AS pass, t, i, v FROM vx UNION ALL SELECT image_id, 'scaled', t, i, v FROM vx UNION ALL SELECT image_id, 'tones', t, i, w FROM vx JOIN lu USING (image_id, v)
-  UNION ALL SELECT image_id, 'topcrop', gy // 8 * 32 + gx // 8, gy % 8 * 8 + gx % 8, v FROM grid JOIN vx ON x = gx AND y = sy),
-hv AS (SELECT image_id, pass, t, sum(CASE WHEN i % 8 < 4 THEN v ELSE -v END) / CAST(64 AS DOUBLE) AS hl, sum(CASE WHEN i < 32 THEN v ELSE -v END) / CAST(64 AS DOUBLE) AS lh FROM pv GROUP BY ALL),
-co AS (SELECT image_id, pass, 2 * t AS idx, hl AS c FROM hv UNION ALL SELECT image_id, pass, 2 * t + 1, lh FROM hv),
-car AS (SELECT idx, place // 21 AS bit FROM (SELECT idx, row_number() OVER (ORDER BY sha256('mark:' || idx)) - 1 AS place FROM (SELECT unnest(range(2048)) AS idx)) WHERE place < 1008),
-vo AS (SELECT image_id, pass, d AS delta, bit, sum(CASE WHEN c / d - floor(c / d) < 0.5 THEN 0 ELSE 1 END) AS ones, count(*) AS n FROM co JOIN car USING (idx), (SELECT unnest([8, 12, 14, 16]) AS d) GROUP BY ALL),
-ma AS (SELECT image_id, pass, delta, CAST(sum(CASE WHEN 2 * ones > n THEN CAST(1 AS BIGINT) << CAST(47 - bit AS BIGINT) ELSE 0 END) AS BIGINT) AS payload, floor((sum(greatest(ones, n - ones) / CAST(n AS DOUBLE)) + (48 - count(*)) * 0.5) / 48 * 1000000 + 0.5) / 1000000 AS confidence FROM vo GROUP BY image_id, pass, delta)"""
-
-
-@query("m6_strength_passes", _PASSES + _FIX + " SELECT image_id, pass, delta, payload, confidence, corrected FROM re")
-def m6_passes(s, d):
-    """All four reading passes at all four strengths, repaired."""
-    swept = op.passes(_images(s, d)).withColumn("delta", F.explode(F.array(*map(F.lit, (8, 12, 14, 16)))))
-    return op.read_mark(swept, F.col("delta").cast("double"))
-
-
 @query("r21_repaired_inspection", _votes() + _FIX + f""", w AS (SELECT *, CAST('0x' || substr(sha256('image:' || image_id), 1, 9) AS BIGINT) AS sid FROM re),
 x AS (SELECT image_id, payload, corrected, (sid << 12) | (CAST({reg.SQL_CRC.format(x='sid')} AS BIGINT) << 4) | 1 AS want FROM w)
 SELECT image_id, corrected, 48 - bit_count(xor(payload, want)) AS matching, payload = want AS intact FROM x""")

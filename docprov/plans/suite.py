@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docprov.operators import raster, resample
+from docprov.operators import passes, raster, resample
 from docprov.operators import suite as op
 from docprov.plans.rasters import _COEF, _IMG
 from docprov.plans.registry import query
@@ -28,11 +28,11 @@ mv AS (SELECT image_id, t, px, d, CASE WHEN na THEN 0 ELSE d * (floor(hl / d - o
 mk AS (SELECT image_id, CAST(d AS INTEGER) AS delta, t, px AS old, list_transform(range(64), lambda i: CAST(greatest(0, least(255, floor(px[i + 1] + CASE WHEN i % 8 < 4 THEN x ELSE -x END + CASE WHEN i < 32 THEN y ELSE -y END + 0.5))) AS BIGINT)) AS px FROM mv)"""
 
 
-def sql_filtered(name: str, values: str, taps: str, total: str) -> str:
-    """{name}: image_id, delta, attack, x, y, v of values (the same) along both axes by taps (attack, g, x, wt); total: attack's sum
-    of weights of both axes."""
+def sql_filtered(name: str, values: str, taps: str, total: str, taps_y: str | None = None) -> str:
+    """{name}: image_id, delta, attack, x, y, v of values (the same) along both axes by taps (attack, g, x, wt; taps_y: those along
+    y, of equal sums); total: attack's sum of weights of an axis."""
     return f""", {name}_h AS (SELECT a.image_id, a.delta, a.attack, a.y, t.g AS x, sum(a.v * t.wt) AS v FROM {values} a JOIN {taps} t ON t.attack = a.attack AND t.x = a.x GROUP BY ALL),
-{name}_v AS (SELECT a.image_id, a.delta, a.attack, a.x, t.g AS y, CAST(sum(a.v * t.wt) AS BIGINT) AS v, any_value(s.n * s.n) AS d FROM {name}_h a JOIN {taps} t ON t.attack = a.attack AND t.x = a.y JOIN {total} s ON s.attack = a.attack GROUP BY ALL),
+{name}_v AS (SELECT a.image_id, a.delta, a.attack, a.x, t.g AS y, CAST(sum(a.v * t.wt) AS BIGINT) AS v, any_value(s.n * s.n) AS d FROM {name}_h a JOIN {taps_y or taps} t ON t.attack = a.attack AND t.x = a.y JOIN {total} s ON s.attack = a.attack GROUP BY ALL),
 {name} AS (SELECT image_id, delta, attack, x, y, CAST(greatest(0, least(255, (2 * v + d) // (2 * d))) AS BIGINT) AS v FROM {name}_v)"""
 
 
@@ -103,6 +103,58 @@ def s7(s, d):
     return s.read.text(files.write_metrics(op.table(_images(s, d))))
 
 
+#: Marked images as they leak, by image_id % 3: whole; at half the size; at 208 of 256 values a side, and darker by a quarter.
+_WORN_SIDES = (_SIDE, _SIDE // 2, 208)
+
+
+def _sql_sides(taps) -> str:
+    return " UNION ALL ".join(f"SELECT 'k{k}' AS attack, * FROM ({taps(n)})" for k, n in enumerate(_WORN_SIDES))
+
+
+_PASSES = sql_marked((op.USUAL,)) + f""", w1 AS ({_sql_sides(lambda n: resample.sql_area(str(_SIDE), str(n)))}), n1 AS (SELECT attack, sum(wt) AS n FROM w1 WHERE g = 0 GROUP BY attack),
+w2 AS ({_sql_sides(lambda n: resample.sql_linear(str(_SIDE), "0", str(n)))}), n2 AS (SELECT attack, sum(wt) AS n FROM w2 WHERE g = 0 GROUP BY attack),
+w3 AS ({_sql_sides(lambda n: resample.sql_linear(str(_SIDE), "0", str((n * 55 + 50) // 100)))}),
+vx AS (SELECT image_id, delta, 'k' || image_id % 3 AS attack, t % {raster.GRID} * 8 + i % 8 AS x, t // {raster.GRID} * 8 + i // 8 AS y, v FROM (SELECT image_id, delta, t, unnest(px) AS v, unnest(range(64)) AS i FROM mk))""" + sql_filtered("w0", "vx", "w1", "n1") + """,
+lk AS (SELECT image_id, delta, attack, x, y, CASE WHEN attack = 'k2' THEN v * 3 // 4 ELSE v END AS v FROM w0)""" + sql_filtered("sc", "lk", "w2", "n2") + sql_filtered("tc", "lk", "w2", "n2", "w3") + f""",
+""" + "".join(f"""{n}c AS (SELECT image_id, v, count(*) AS n FROM {t} GROUP BY ALL), {n}h AS (SELECT image_id, CAST(v AS BIGINT) AS v, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY image_id ORDER BY v) AS BIGINT) AS upto FROM (SELECT DISTINCT image_id FROM img) CROSS JOIN (SELECT unnest(range(256)) AS v) LEFT JOIN {n}c USING (image_id, v)),
+""" for n, t in (("a", "sc"), ("b", "vx"))) + f"""lu AS (SELECT a.image_id, a.v, least(min(b.v), 255) AS u FROM ah a JOIN bh b ON b.image_id = a.image_id AND b.upto >= a.upto GROUP BY ALL),
+pv AS (SELECT image_id, 'direct' AS pass, 2 * (s // 8) * (s // 8) AS n, y // 8 * (s // 8) + x // 8 AS t, x, y, v FROM lk JOIN (VALUES {", ".join(f"('k{k}', {n})" for k, n in enumerate(_WORN_SIDES))}) z(attack, s) USING (attack)
+  UNION ALL SELECT image_id, 'scaled', 2048, y // 8 * 32 + x // 8, x, y, v FROM sc UNION ALL SELECT image_id, 'tones', 2048, y // 8 * 32 + x // 8, x, y, u FROM sc JOIN lu USING (image_id, v)
+  UNION ALL SELECT image_id, 'topcrop', 2048, y // 8 * 32 + x // 8, x, y, v FROM tc),
+ph AS (SELECT image_id, pass, n, t, sum(CASE WHEN x % 8 < 4 THEN v ELSE -v END) / CAST(64 AS DOUBLE) AS hl, sum(CASE WHEN y % 8 < 4 THEN v ELSE -v END) / CAST(64 AS DOUBLE) AS lh FROM pv GROUP BY ALL),
+pc AS (SELECT image_id, pass, n, 2 * t AS idx, hl AS c FROM ph UNION ALL SELECT image_id, pass, n, 2 * t + 1, lh FROM ph),
+cz AS (SELECT n, idx, place // least(21, n // 48) AS bit FROM (SELECT n, idx, row_number() OVER (PARTITION BY n ORDER BY sha256('mark:' || idx)) - 1 AS place FROM (SELECT n, unnest(range(n)) AS idx FROM (SELECT DISTINCT n FROM pv))) WHERE place < 48 * least(21, n // 48)),
+vo AS (SELECT image_id, pass, d AS delta, bit, sum(CASE WHEN c / d - floor(c / d) < 0.5 THEN 0 ELSE 1 END) AS ones, count(*) AS n FROM pc JOIN cz USING (n, idx), (SELECT unnest([8, 12, 14, 16]) AS d) GROUP BY ALL),
+ma AS (SELECT image_id, pass, delta, CAST(sum(CASE WHEN 2 * ones > n THEN CAST(1 AS BIGINT) << CAST(47 - bit AS BIGINT) ELSE 0 END) AS BIGINT) AS payload, floor((sum(greatest(ones, n - ones) / CAST(n AS DOUBLE)) + (48 - count(*)) * 0.5) / 48 * 1000000 + 0.5) / 1000000 AS confidence FROM vo GROUP BY image_id, pass, delta)"""
+
+
+def _leaked(s, d):
+    """(leaks, released): see _WORN_SIDES."""
+    marked = files.written(raster.embed(_images(s, d), raster.payload_for(F.col("image_id")), op.USUAL), "released")
+    rows = resample.sized(marked, _SIDE, _SIDE)
+
+    def smaller(row: dict, n: int) -> resample.Taps:
+        return resample.area(n, _WORN_SIDES[row["image_id"] % 3])
+
+    worn = resample.filtered(rows, ["image_id"], smaller)
+    darker = F.when(F.col("image_id") % 3 == 2, F.transform("px", lambda v: F.floor(v * 3 / 4).cast("int"))).otherwise(F.col("px"))
+    return files.written(worn.withColumn("px", darker), "leaks"), marked
+
+
+@query("m6_strength_passes", _PASSES + reg.SQL_REPAIR + " SELECT image_id, pass, delta, payload, confidence, corrected FROM re")
+def m6_passes(s, d):
+    """Leaks of three sizes, one of them darkened, read in all four passes at all four strengths, repaired."""
+    return passes.read(*_leaked(s, d))
+
+
+@query("w7_permutation_by_size", """, sz AS (SELECT tile_id % 97 + 24 AS n, count(*) AS rasters FROM tiles GROUP BY 1)
+SELECT n, idx, place // least(21, n // 48) AS bit, rasters FROM (SELECT n, rasters, idx, row_number() OVER (PARTITION BY n ORDER BY sha256('mark:' || idx)) - 1 AS place FROM (SELECT n, rasters, unnest(range(n)) AS idx FROM sz)) WHERE n >= 48 AND place < 48 * least(21, n // 48)""")
+def w7_sizes(s, d):
+    """Carriers of rasters of many sizes, a permutation for each number of coefficients."""
+    sizes = reg.tiles(s, d).groupBy((F.col("tile_id") % 97 + 24).alias("n")).agg(F.count("*").alias("rasters"))
+    return raster.carriers_by_size(sizes).join(sizes, "n").select("n", "idx", "bit", "rasters")
+
+
 #: Rasters of the tile table's images cut to 24 to 32 tiles a side, by their number: few of these sides divide.
 _CUT = _IMG + """, sz AS (SELECT image_id, 8 * (32 - image_id % 9) AS w, 8 * (24 + image_id * 5 % 9) AS h FROM (SELECT DISTINCT image_id FROM img)),
 cv AS (SELECT image_id, w, h, x, y, v FROM (SELECT image_id, t % 32 * 8 + i % 8 AS x, t // 32 * 8 + i // 8 AS y, v FROM (SELECT image_id, t, unnest(px) AS v, unnest(range(64)) AS i FROM img)) JOIN sz USING (image_id) WHERE x < w AND y < h)"""
