@@ -52,8 +52,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """The digest columns of op9 and of the pipeline's last stage, from the padded sequences."""
-    cut = packing.pieces(docs, WORD_BPE, "word", end_id=2)
-    built = packing.sequences(packing.pack(cut), cut)
+    built = packing.pack(packing.pieces(docs, WORD_BPE, "word", end_id=2), packing.groups_for(docs))
     return packing.placed(built).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -81,6 +81,7 @@ class Encoder:
         self.named = re.compile(b"|".join(map(re.escape, names)), re.IGNORECASE).search if names else lambda _: None
         self.inner.normalizer, self.inner.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.line = self.inner.encode(_LINE, add_special_tokens=False).ids
+        self.largest = max(self.library.get_vocab(with_added_tokens=True).values())
         self.units, self.cut, self.spaced = UNITS[units], _CUTS[units].findall, units == "byte"
         self.most, self.longest, self.known, self.older, self.size = most, longest, {}, {}, 0
         self.whole = not fits(path, units) or len(self.line) != 1

@@ -108,39 +108,39 @@ def test_first_fit_decreasing_is_first_fit():
 
 
 def test_packing_places_every_id_once(spark):
-    cut = packing.pieces(docs(spark), WORD_BPE, "word", end_id=2, size=64)
-    ids = {r["piece_id"]: bytes(r["ids"]) for r in cut.collect()}
-    rows = packing.pack(cut, size=64, group_rows=30).collect()
-    assert len(rows) == len(ids) and len({r["sequence_id"] >> 32 for r in rows}) > 1
-    by_doc, by_sequence = defaultdict(list), defaultdict(list)
-    for r in rows:
-        by_doc[r["doc_id"]].append(r)
-        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
-        assert len(ids[r["piece_id"]]) == 4 * r["length"] and zlib.crc32(ids[r["piece_id"]]) == r["ids_crc32"]
-    for doc_id, text, _ in TEXTS:
-        want = np.array([*ids_of(WORD_BPE, text), 2], "<u4").tobytes()
-        parts = sorted(by_doc[doc_id], key=lambda r: r["start"])
-        assert b"".join(ids[p["piece_id"]] for p in parts) == want
-        assert {p["doc_tokens"] for p in parts} == {len(want) // 4}
-    for parts in by_sequence.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 64
-    built = packing.sequences(packing.pack(cut, size=64), cut, size=64)
-    for r in built.collect():
-        assert len(r["ids"]) // 4 == (r["length"] if r["length"].bit_count() == 1 else 64)
-        assert bytes(r["ids"]) == b"".join(ids[p["piece_id"]] for p in r["pieces"]).ljust(len(r["ids"]), b"\0")
-    assert sorted((r["piece_id"], r["ids_crc32"]) for r in packing.placed(built).collect()) == sorted((k, zlib.crc32(x)) for k, x in ids.items())
-    assert packing.pack(packing.pieces(docs(spark).filter("false"), WORD_BPE, "word", 2)).count() == 0
+    for width, end in ((2, 2), (4, 70_000)):
+        cut = packing.pieces(docs(spark), WORD_BPE, "word", end_id=end, size=64)
+        assert {r["width"] for r in cut.collect()} == {width}
+        built = packing.pack(cut, 5, size=64).collect()
+        assert len({r["sequence_id"] >> 32 for r in built}) > 1 and len({r["sequence_id"] for r in built}) == len(built)
+        by_doc, seen = defaultdict(list), set()
+        for r in built:
+            at = 0
+            for p in r["pieces"]:
+                assert p["offset"] == at and p["piece_id"] not in seen
+                seen.add(p["piece_id"])
+                by_doc[p["doc_id"]].append((p["start"], bytes(r["ids"])[4 * at : 4 * (at + p["length"])], p["doc_tokens"]))
+                at += p["length"]
+            assert at == r["length"] <= 64 and len(r["ids"]) // 4 == (at if at.bit_count() == 1 else 64)
+            assert not any(bytes(r["ids"])[4 * at :])
+        for doc_id, text, _ in TEXTS:
+            want = np.array([*ids_of(WORD_BPE, text), end], "<u4").tobytes()
+            parts = sorted(by_doc[doc_id])
+            assert b"".join(p for _, p, _ in parts) == want and {n for *_, n in parts} == {len(want) // 4}
+            assert [a for a, *_ in parts] == list(range(0, len(want) // 4, 64))
+        rows = packing.placed(packing.pack(cut, 5, size=64)).collect()
+        crc = sorted((r["doc_id"] or 0, r["start"], r["ids_crc32"]) for r in rows)
+        assert crc == sorted((i or 0, a, zlib.crc32(p)) for i, parts in by_doc.items() for a, p, _ in parts)
+    none = docs(spark).filter("false")
+    assert packing.pack(packing.pieces(none, WORD_BPE, "word", 2), packing.groups_for(none)).count() == 0
 
 
 def test_one_row_repeated_fills_many_groups(spark):
     many = spark.range(20000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("the same row").alias("text"))
-    rows = packing.pack(packing.pieces(many, WORD_BPE, "word", end_id=2), group_rows=1000).collect()
+    groups = packing.groups_for(many, group_rows=1000)
+    rows = packing.placed(packing.pack(packing.pieces(many, WORD_BPE, "word", end_id=2), groups)).collect()
     sizes = Counter(r["sequence_id"] >> 32 for r in rows)
-    assert len(rows) == 20000 and len(sizes) == 20 and max(sizes.values()) < 1300
+    assert len(rows) == 20000 and len(sizes) == groups and 20 <= groups <= 22 and max(sizes.values()) < 1300
 
 
 def test_queries_over_whole_tables(spark):
