@@ -77,14 +77,14 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library, self.inner = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        names = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.named = re.compile(b"|".join(map(re.escape, names)), re.IGNORECASE).search if names else lambda _: None
+        added = self.library.get_added_tokens_decoder().values()
+        self.names = [t.content.encode() for t in added]
         self.inner.normalizer, self.inner.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.line = self.inner.encode(_LINE, add_special_tokens=False).ids
         self.largest = max(self.library.get_vocab(with_added_tokens=True).values())
         self.units, self.cut, self.spaced = UNITS[units], _CUTS[units].findall, units == "byte"
         self.most, self.longest, self.known, self.older, self.size = most, longest, {}, {}, 0
-        self.whole = not fits(path, units) or len(self.line) != 1
+        self.whole = not fits(path, units) or len(self.line) != 1 or any(t.normalized for t in added)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
@@ -132,7 +132,7 @@ class Encoder:
             return self._encode(texts)
         out: list = []
         for t in texts:
-            if self.named(t):  # an added token, such as <|endoftext|>: the library finds it in the text as it stands
+            if any(n in t for n in self.names):  # an added token, such as <|endoftext|>: the library finds it in the text as it stands
                 out.append(self._encode([t])[0])
             elif not self.spaced:
                 out.append([u if _ODD.search(u) else u.lower() for u in t.split()] if _JOINS.search(t) else t.lower().split())
