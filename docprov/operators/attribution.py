@@ -153,42 +153,69 @@ def suspects(pooled: DataFrame, n: int = 5) -> DataFrame:
     return pooled.withColumn("place", place).filter(F.col("place") <= n).select("leak_id", "place", "event_id", "user_id", "matches", pct.alias("pct"), level.alias("level"))
 
 
-def best_of_users(leaks: DataFrame, register: DataFrame, tiers: tuple[int, ...] = (RADIUS,), newest: int = 50) -> DataFrame:
+_TIME_BITS = 57
+
+
+def packed(matches: Column, created_at: Column, event_id: Column) -> Column:
+    """(matches, created_at, event_id) as one number of the same order, decimal(38,0): maxima of it stay in hash aggregates. Times are
+    microseconds from 1970 on, null and earlier ones counting as its start; ids are not negative."""
+    micros = F.coalesce(F.unix_micros(created_at.cast("timestamp")), F.lit(0))
+    high = matches.cast("long") * (1 << _TIME_BITS) + F.greatest(F.lit(0), F.least(F.lit((1 << _TIME_BITS) - 1), micros))
+    return (high.cast("decimal(19,0)") * F.expr("CAST('10000000000000000000' AS DECIMAL(20,0))")).cast("decimal(38,0)") + event_id.cast("decimal(19,0)")
+
+
+def matches_of(best: str) -> Column:
+    return F.shiftright(F.expr(f"{best} div 10000000000000000000"), _TIME_BITS).cast("int")
+
+
+def event_of(best: str) -> Column:
+    return F.expr(f"CAST({best} % 10000000000000000000 AS BIGINT)")
+
+
+def best_of_users(leaks: DataFrame, register: DataFrame, tiers: tuple[int, ...] = (RADIUS,), newest: int = 50, least: int = 0) -> DataFrame:
     """leak_id, user_id and b: of each user's candidates (at the first tier that finds any) and newest releases the one with the
-    most agreeing bits, as (matches, created_at, event_id, p_dist).
+    most agreeing bits, as packed().
 
-    Releases' columns come along with the pairs, so that pairs are reduced in the task that finds them: what moves is a row per
-    leak and user, however many candidates a wide tier has.
+    Releases' columns come along with the pairs, so that pairs are reduced in the task that finds them, by hash: what moves is a row
+    per leak and user, however many candidates a wide tier has. least: candidates of fewer bits only tell that their tier found
+    something; with 29, whatever the margin rule decides is decided alike, as it takes no top below 30 and a rival of 28 or
+    fewer leaves such a top its margin.
     """
     columns = ("user_id", "created_at", "payload")
-    row = F.max(F.struct(bits.matching(F.col("read_bits"), F.col("payload")).alias("matches"), "created_at", "event_id", "p_dist")).alias("b")
+    # both are written: how they are derived would make the loop's code too long to be compiled, and tiers read them again
+    register, leaks = written(register.select("event_id", *columns, *_HASHES), "register"), written(leaks.select("leak_id", "read_bits", *_HASHES), "leaks")
+    matching = bits.matching(F.col("read_bits"), F.col("payload"))
+    some, b = (matching >= least).alias("some"), packed(matching, F.col("created_at"), F.col("event_id"))
+    own = F.when(matching >= least, F.col("user_id")).alias("user_id")
     recent = register.orderBy(F.desc("created_at"), F.desc("event_id")).limit(newest).select("event_id", *columns)
     late = leaks.select("leak_id", "read_bits").join(F.broadcast(recent))  # newest is a constant: so many rows for each leak
-    out, rest = late.withColumn("p_dist", F.lit(None).cast("int")).groupBy("leak_id", "user_id").agg(row), leaks
+    out, rest = late.filter(matching >= least).groupBy("leak_id", "user_id").agg(F.max(b).alias("b")), leaks
     for radius in tiers:
-        found = three_way(rest, register, radius, carry=columns).groupBy("leak_id", "user_id").agg(row)
+        pairs = three_way(rest, register, radius, carry=columns)
+        found = pairs.select("leak_id", some, own, F.when(matching >= least, b).alias("b")).groupBy("leak_id", "some", "user_id").agg(F.max("b").alias("b"))
         if radius != tiers[-1]:
             found = written(found, "best")
             rest = written(rest.join(found.select("leak_id").distinct(), "leak_id", "left_anti"), "rest")
-        out = out.unionByName(found)
+        out = out.unionByName(found.filter("some").drop("some"))
     return out.groupBy("leak_id", "user_id").agg(F.max("b").alias("b"))
 
 
 def top_and_rival(pooled: DataFrame) -> DataFrame:
     """Per leak the best row, and the most bits that another user's has; users are reduced before they are compared."""
-    return ranked_users(pooled.groupBy("leak_id", "user_id").agg(F.max(F.struct("matches", "created_at", "event_id")).alias("b")))
+    best = packed(F.col("matches"), F.col("created_at"), F.col("event_id"))
+    return ranked_users(pooled.groupBy("leak_id", "user_id").agg(F.max(best).alias("b")))
 
 
 def ranked_users(per_user: DataFrame) -> DataFrame:
-    """The best of rows (leak_id, user_id, b) per leak, the next user's, and how many users there are; by maxima, without a sort."""
+    """The best of rows (leak_id, user_id, b: packed()) per leak, the next user's, and how many users there are; by maxima, without a
+    sort. A b holds its event, so that no two users tie."""
     rows = written(per_user, "users")
-    tops = rows.groupBy("leak_id").agg(F.max(F.struct("b", "user_id")).alias("top"), F.count("*").alias("officers"))
+    tops = rows.groupBy("leak_id").agg(F.max("b").alias("top"), F.max_by("user_id", "b").alias("user_id"), F.count("*").alias("officers"))
     tops = written(tops, "tops")
-    others = rows.join(tops.select("leak_id", F.col("top.user_id").alias("best")), "leak_id").filter(~F.col("user_id").eqNullSafe(F.col("best")))
-    second = others.groupBy("leak_id").agg(F.max(F.struct("b", "user_id")).alias("next"))
+    others = rows.join(tops.select("leak_id", F.col("user_id").alias("best")), "leak_id").filter(~F.col("user_id").eqNullSafe(F.col("best")))
+    second = others.groupBy("leak_id").agg(F.max("b").alias("next"), F.max_by("user_id", "b").alias("rival_user"))
     both = tops.join(second, "leak_id", "left")
-    more = [F.col("top.b.p_dist").alias("p_dist")] if "p_dist" in per_user.schema["b"].dataType.names else []
-    return both.select("leak_id", F.col("top.b.event_id").alias("event_id"), F.col("top.user_id").alias("user_id"), F.col("top.b.matches").alias("matches"), F.col("next.b.matches").alias("rival"), F.col("next.user_id").alias("rival_user"), "officers", *more)
+    return both.select("leak_id", event_of("top").alias("event_id"), "user_id", matches_of("top").alias("matches"), matches_of("next").alias("rival"), "rival_user", "officers")
 
 
 def accepted(read_bits: Column, matches: Column, rival: Column, p_dist: Column) -> Column:
@@ -227,9 +254,10 @@ def reasons(agreement: Column, p: Column, d: Column, chain: Column) -> Column:
 def attribute(leaks: DataFrame, register: DataFrame, users: DataFrame, ledger: DataFrame, tiers: tuple[int, ...] = (RADIUS, WIDER, WIDEST)) -> DataFrame:
     """A row per leak: the accepted release, its signals, score and verdict; the person only where evidence allows."""
     exact = named_exactly(leaks, register, repair=True).filter("event_id IS NOT NULL").select("leak_id", F.col("event_id").alias("exact_id"))
-    best = ranked_users(best_of_users(leaks, register, tiers))
-    joined = leaks.join(best, "leak_id", "left").join(exact, "leak_id", "left")
-    ok = accepted(F.col("read_bits"), F.col("matches"), F.col("rival"), F.col("p_dist"))
+    best = ranked_users(best_of_users(leaks, register, tiers, least=29))
+    near = register.select("event_id", F.col("p_hash").alias("own_p_hash"))
+    joined = leaks.join(best.join(near, "event_id", "left"), "leak_id", "left").join(exact, "leak_id", "left")
+    ok = accepted(F.col("read_bits"), F.col("matches"), F.col("rival"), bits.hamming(F.col("p_hash"), F.col("own_p_hash")))
     chosen = joined.select("leak_id", "read_bits", *(F.col(h).alias(f"leak_{h}") for h in _HASHES), F.coalesce("exact_id", F.when(ok, F.col("event_id"))).alias("event_id"))
     r = register.select("event_id", "user_id", "receipt_id", "payload", *_HASHES)
     on_chain = ledger.select(F.col("receipt_id").alias("on_ledger")).distinct()

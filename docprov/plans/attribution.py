@@ -112,8 +112,10 @@ def w1(s, d):
 FROM rivals JOIN leaks USING (leak_id) LEFT JOIN c12 USING (leak_id, event_id)""")
 def w2(s, d):
     leaks, register = reg.leaks(s, d), reg.releases(s, d)
-    best = op.ranked_users(op.best_of_users(leaks, register)).join(leaks.select("leak_id", "read_bits"), "leak_id")
-    return best.select("leak_id", "event_id", "matches", "rival", op.accepted(F.col("read_bits"), F.col("matches"), F.col("rival"), F.col("p_dist")).alias("accepted"))
+    best = op.ranked_users(op.best_of_users(leaks, register)).join(leaks.select("leak_id", "read_bits", "p_hash"), "leak_id")
+    best = best.join(register.select("event_id", F.col("p_hash").alias("own_p_hash")), "event_id")
+    p_dist = bits.hamming(F.col("p_hash"), F.col("own_p_hash"))  # a distance within the radius is the candidate's
+    return best.select("leak_id", "event_id", "matches", "rival", op.accepted(F.col("read_bits"), F.col("matches"), F.col("rival"), p_dist).alias("accepted"))
 
 
 @query("j13_reading_identifies", f""", recent AS (SELECT payload FROM releases ORDER BY created_at DESC, event_id DESC LIMIT 50)
