@@ -127,10 +127,23 @@ _SPANS = "array<struct<start:int,kind:int,end:int,first:int,stop:int>>"
 _EACH = 256
 
 
-def _pieces(v: str) -> Column:
-    """The array column v in pieces of _EACH items."""
-    n = F.floor((F.size(v) - 1) / _EACH).cast("int")
-    return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), n), lambda j: F.slice(F.col(v), j * _EACH + 1, F.lit(_EACH))))
+def _pieces(v: str | Column, each: int = _EACH) -> Column:
+    """The array v (a column, or its name) in pieces of `each` items."""
+    v = F.col(v) if isinstance(v, str) else v
+    n = F.floor((F.size(v) - 1) / each).cast("int")
+    return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), n), lambda j: F.slice(v, j * each + 1, F.lit(each))))
+
+
+def _parts(gaps: Column, raw: Column, base: Column, each: int) -> Column:
+    """gaps in pieces, each with the part of raw (which starts at byte `base` of the text) that it lies in: what cuts a piece's gaps
+    then copies that part, not all of raw."""
+
+    def one(p: Column) -> Column:
+        first = p[0]["a"]
+        part = F.substring(raw, (first - base + 1).cast("int"), (F.element_at(p, -1)["b"] - first).cast("int"))
+        return F.struct(p.alias("gaps"), part.alias("part"), first.alias("base"))
+
+    return F.transform(_pieces(gaps, each), one)
 
 
 def _matches(text: Column, rule: Rule) -> Column:
@@ -203,7 +216,8 @@ def report(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """What scan() gave, without secrets but with each of them replaced by mask in text; overlapping ones are replaced as one.
 
-    Null texts and those without secrets stay as they are. Other columns may have any name.
+    Null texts and those without secrets stay as they are; an empty table gives no rows. Other columns may have any name. A long text
+    is cut in two steps, so that time grows with its length and its secrets, not with their product.
     """
     kept = [c for c in scanned.columns if c != "secrets"]
     rows = scanned.select(_packed(kept).alias("row"), "secrets")
@@ -223,8 +237,14 @@ def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     last = F.array(F.struct(F.col("reach.to").alias("a"), F.octet_length("raw").alias("b")))
     rows = held(rows.select("row", "raw", F.concat(F.flatten(F.zip_with("pieces", F.col("reach.out"), gaps)), last).alias("gaps")))
-    masked = F.array_join(F.transform("gaps", lambda g: F.substring(F.col("raw"), g["a"] + 1, g["b"] - g["a"]).cast("string")), mask)
-    text = F.when(F.col("raw").isNotNull(), masked).otherwise(F.col("row").getField("text"))
+    rows = held(rows.select("row", "raw", _parts(F.col("gaps"), F.col("raw"), F.lit(0), _EACH * _EACH).alias("wide")))
+    rows = held(rows.select("row", F.col("raw").isNotNull().alias("some"), F.flatten(F.transform("wide", lambda x: _parts(x["gaps"], x["part"], x["base"], _EACH))).alias("near")))
+
+    def joined(x: Column) -> Column:
+        return F.array_join(F.transform(x["gaps"], lambda g: F.substring(x["part"], g["a"] - x["base"] + 1, g["b"] - g["a"]).cast("string")), mask)
+
+    masked = F.array_join(F.transform("near", joined), mask)
+    text = F.when(F.col("some"), masked).otherwise(F.col("row").getField("text"))
     return rows.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in kept))
 
 
