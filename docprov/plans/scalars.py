@@ -156,12 +156,33 @@ def r9(s, d):
     return _worn(s, d).select("event_id", m.alias("matches"), bits.half_up(m / 48, 6).alias("agreement"))
 
 
-@query("s3_file_source", r"""WITH p AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'pdf' WHEN page_id % 7 = 0 THEN 'exe' ELSE 'png' END AS kind, regexp_replace(coalesce(html, ''), '[\r\n]+', ' ', 'g') AS body FROM pages),
-f AS (SELECT kind, strlen(body) + CASE WHEN kind = 'pdf' THEN 5 ELSE 0 END AS n FROM p)
-SELECT kind, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_bytes FROM f WHERE kind <> 'exe' AND n <= 26214400 GROUP BY kind""")
+#: By page_id % 10: extension, what the page's bytes start with (hex), and the type of those.
+_UPLOADS = (
+    ("png", "89504E470D0A1A0A", "image/png"),
+    ("pdf", "255044462D312E37", "application/pdf"),
+    ("jpg", "FFD8FFE0", "image/jpeg"),
+    ("jpeg", "FFD8FFE1", "image/jpeg"),
+    ("webp", "524946460000000057454250", "image/webp"),
+    ("bmp", "424D", "image/bmp"),
+    ("tiff", "4D4D002A", "image/tiff"),
+    ("exe", "4D5A", None),
+    ("png", "255044462D312E37", "application/pdf"),  # a PDF under another name
+    ("pdf", "", None),  # the page alone
+)
+_DECLARED = {"png": "image/png", "pdf": "application/pdf", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "bmp": "image/bmp", "tiff": "image/tiff"}
+
+
+@query("s3_file_source", "WITH u AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{e}', {len(h) // 2}, {repr(_DECLARED[e]) if e in _DECLARED else 'NULL'}, {repr(t) if t else 'NULL'})" for i, (e, h, t) in enumerate(_UPLOADS)) + """) v(i, ext, n, declared, found))
+SELECT page_id, declared, found, strlen(coalesce(html, '')) + n AS n_bytes, coalesce(declared = found, false) AS accepted FROM pages JOIN u ON page_id % 10 = i WHERE ext <> 'exe' AND strlen(coalesce(html, '')) + n > 0""")
 def s3(s, d):
-    """The pages written as files and read as a file source: allowed types and sizes, with their leading bytes checked."""
-    return files.accepted(files.stored(reg.table(s, d, "pages")))
+    """The pages written as files of all types, and a file source over them: each file judged by its name, its length and its bytes."""
+    kind = F.col("page_id") % 10
+    of = lambda k: reg.pick(tuple(u[k] for u in _UPLOADS), kind)
+    body = F.concat(F.unhex(of(1)), F.coalesce("html", F.lit("")).cast("binary"))
+    folder = files.shared_path(s, "uploads")
+    rows = reg.table(s, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit("."), of(0)).alias("name"), body.alias("content"))
+    files.put_files(rows, folder)
+    return files.uploads(s, folder).select(F.regexp_extract("path", r"page-(\d+)\.", 1).cast("long").alias("page_id"), "declared", "found", "n_bytes", "accepted")
 
 
 @query("s9_investigation_append", " SELECT CAST(created_at AS DATE) AS created_date, count(*) AS n, sum(investigation_id) AS ids FROM investigations GROUP BY 1")

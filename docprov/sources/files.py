@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docprov.functions.workers import ship
+
 #: Accepted types and their extensions, the largest upload.
 EXTENSIONS = {"application/pdf": ".pdf", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/webp": ".webp", "image/bmp": ".bmp", "image/tiff": ".tiff", "image/png": ".png"}
 MOST_BYTES = 25 * 1024 * 1024
@@ -59,24 +64,65 @@ def extension(mime: Column) -> Column:
     return F.coalesce(known[mime], F.lit(".png"))
 
 
-def stored(pages: DataFrame) -> DataFrame:
-    """pages as text files, a folder for each type and a line for each page, read back as kind and content of every page.
+def magic(content: Column) -> Column:
+    """The accepted type that a file's first bytes are those of; null for others. All names of a type count as one."""
+    first = F.hex(F.substring(content, 1, 12))
+
+    def starts(*heads: str) -> Column:
+        found = F.lit(False)
+        for h in heads:
+            found = found | first.startswith(h)
+        return found
+
+    # fixed values: the formats' signatures
+    return (
+        F.when(starts("89504E470D0A1A0A"), "image/png")
+        .when(starts("FFD8FF"), "image/jpeg")
+        .when(starts("25504446"), "application/pdf")
+        .when(starts("424D"), "image/bmp")
+        .when(starts("49492A00", "4D4D002A"), "image/tiff")
+        .when(starts("52494646") & (F.substring(first, 17, 8) == "57454250"), "image/webp")
+    )
+
+
+def put_files(rows: DataFrame, folder: str) -> int:
+    """Writes content (binary; null: empty) of rows as a file each, named name, below folder (shared_path()); returns how many.
 
-    How many pages share a file depends on the tasks that write, so nothing is judged by file.
+    Tasks write on their own; a task that runs again writes the same files anew. An empty table writes none.
     """
-    spark = pages.sparkSession
-    path = shared_path(spark, "files")
-    kind = F.when(F.col("page_id") % 5 == 0, "pdf").when(F.col("page_id") % 7 == 0, "exe").otherwise("png")
-    body = F.concat(F.when(kind == "pdf", "%PDF-").otherwise(""), F.regexp_replace(F.coalesce("html", F.lit("")), "[\\r\\n]+", " "))
-    pages.select(kind.alias("kind"), body.alias("value")).write.partitionBy("kind").text(path)
-    return spark.read.schema("value string, kind string").text(path).select("kind", F.col("value").alias("content"))
+    ship(rows.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/{name}") as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
 
-def accepted(files: DataFrame) -> DataFrame:
-    """kind, n_files and n_bytes of files (kind, content) of an accepted type and size; a PDF must start like one."""
-    kind, length = F.col("kind"), F.octet_length("content")
-    good = kind.isin("pdf", "png") & (length <= MOST_BYTES) & ((kind != "pdf") | F.col("content").startswith("%PDF"))
-    return files.filter(good).groupBy("kind").agg(F.count("*").alias("n_files"), F.sum(length).alias("n_bytes"))
+    return rows.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def uploads(spark: SparkSession, folder: str, most: int = MOST_BYTES) -> DataFrame:
+    """path, declared (the type of the file's extension), found (magic()), n_bytes and accepted of the files below folder.
+
+    Only files with an accepted extension are listed; of those above `most` bytes no content is read (the length is in the
+    listing), and found is null. Empty files aren't listed at all. A file is accepted if its bytes are of the type that it declares.
+    """
+    glob = "*.{" + ",".join(sorted({e[1:] for e in (*EXTENSIONS.values(), ".jpeg")})) + "}"
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    declared = declared_type(F.regexp_extract("path", r"\.(\w+)$", 1))
+    small = listed.filter(F.col("length") <= most).select("path", declared.alias("declared"), magic(F.col("content")).alias("found"), F.col("length").alias("n_bytes"))
+    large = listed.filter(F.col("length") > most).select("path", declared.alias("declared"), F.lit(None).cast("string").alias("found"), F.col("length").alias("n_bytes"))
+    return small.unionByName(large).withColumn("accepted", F.coalesce(F.col("found") == F.col("declared"), F.lit(False)))
+
+
+def declared_type(extension_: Column) -> Column:
+    """The accepted type of a file name's extension, in either case; null for others."""
+    types = {"jpeg": "image/jpeg"} | {e[1:]: m for m, e in EXTENSIONS.items() if m != "image/jpg"}
+    known = F.create_map(*(F.lit(x) for kv in types.items() for x in kv))
+    return known[F.lower(extension_)]
 
 
 def write_metrics(rows: DataFrame) -> str:
@@ -104,8 +150,27 @@ def append_investigations(rows: DataFrame, path: str) -> None:
     rows.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy("created_date").parquet(path)
 
 
-def upserted(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """A new version of table, written: rows, and what table has of other keys. A key comes once in rows; null keys are equal."""
-    fresh = written(rows, "fresh")
-    kept = table.join(fresh.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
-    return written(kept.unionByName(fresh), "version")
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def put_table(rows: DataFrame, key: str, path: str, buckets: int = 64) -> None:
+    """A table at path for upsert(): rows in folders by the bucket of their key."""
+    rows.withColumn("_bucket", _bucket(key, buckets)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+
+
+def upsert(rows: DataFrame, key: str, path: str, buckets: int = 64) -> None:
+    """Puts rows into put_table()'s table under their keys; null keys are equal, and a key comes once in rows.
+
+    Only the buckets of rows' keys are read and written, by dynamic partition overwrite; others keep their files. Doing the same
+    again changes nothing, so a batch may be retried. New buckets are written aside first, as they are made of what they replace.
+    """
+    spark = rows.sparkSession
+    fresh = written(rows.withColumn("_bucket", _bucket(key, buckets)), "fresh")
+    touched = [r["_bucket"] for r in fresh.select("_bucket").distinct().collect()]  # `buckets` at most
+    if not touched:
+        return
+    old = spark.read.schema(fresh.schema).parquet(path).filter(F.col("_bucket").isin(touched))
+    kept = old.join(fresh.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    whole = written(kept.unionByName(fresh), "buckets")
+    whole.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)

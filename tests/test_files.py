@@ -7,27 +7,28 @@ from docprov.sources import files
 from pyspark.sql import functions as F
 
 
-def found(df):
-    return {r["kind"]: (r["n_files"], r["n_bytes"]) for r in df.collect()}
+HEADS = {"a.png": b"\x89PNG\r\n\x1a\n", "b.PNG": b"\x89PNG\r\n\x1a\n", "c.jpg": b"\xff\xd8\xff", "d.jpeg": b"\xff\xd8\xff", "e.webp": b"RIFF\0\0\0\0WEBP", "f.webp": b"RIFF\0\0\0\0WAVE", "g.bmp": b"BM", "h.tiff": b"II*\0", "i.tiff": b"MM\0*", "j.pdf": b"%PDF-1", "k.pdf": b" %PDF-1", "l.png": b"%PDF-1", "m.exe": b"MZ", "n.png": b"", "o.png": None, "p.png": b"\x89PN"}
 
 
-def test_pages_of_one_task_may_exceed_one_upload(spark):
-    mb = 1 << 20
-    pages = spark.range(1, 33, numPartitions=1).withColumn("page_id", F.lit(1)).withColumn("html", F.repeat(F.lit("ab"), F.lit(mb // 2)))
-    assert found(files.accepted(files.stored(pages.select("page_id", "html")))) == {"png": (32, 32 * mb)}
+def test_files_are_judged_by_their_own_bytes(spark):
+    folder = files.shared_path(spark, "up")
+    rows = spark.createDataFrame(list(HEADS.items()), "name string, content binary").withColumn("other", F.lit(1)).repartition(3)
+    assert files.put_files(rows, folder) == len(HEADS) == files.put_files(rows, folder)
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.uploads(spark, folder).collect()}
+    assert set(got) == set(HEADS) - {"m.exe", "b.PNG", "n.png", "o.png"}  # the glob is of one case, as are the extensions given out
+    assert {n for n, r in got.items() if r["accepted"]} == {"a.png", "c.jpg", "d.jpeg", "e.webp", "g.bmp", "h.tiff", "i.tiff", "j.pdf"}
+    assert (got["l.png"]["declared"], got["l.png"]["found"]) == ("image/png", "application/pdf")
+    assert files.put_files(rows.filter("false"), files.shared_path(spark, "none")) == 0
 
 
-def test_the_limits_of_a_page(spark):
-    most = files.MOST_BYTES
-    rows = [("png", 1), ("png", most), ("png", most + 1), ("exe", 9), ("pdf", 9)]
-    df = spark.createDataFrame(rows, "kind string, n int").select("kind", F.repeat(F.lit("x"), F.col("n")).alias("content"))
-    good = spark.createDataFrame([("pdf", "%PDF-1"), ("pdf", " %PDF-1")], "kind string, content string")
-    assert found(files.accepted(df.union(good))) == {"png": (2, most + 1), "pdf": (1, 6)}
-
-
-def test_empty_and_null_pages_and_line_feeds(spark):
-    pages = spark.createDataFrame([(1, None), (2, ""), (3, "a\r\n\nb\u00e9"), (5, "c"), (7, "d"), (None, "e")], "page_id long, html string")
-    assert found(files.accepted(files.stored(pages))) == {"png": (4, 6), "pdf": (1, 6)}
+def test_the_largest_upload(spark):
+    most, folder = files.MOST_BYTES, files.shared_path(spark, "large")
+    rows = spark.createDataFrame([("at.bmp", most), ("over.bmp", most + 1)], "name string, n int")
+    files.put_files(rows.select("name", F.concat(F.lit("BM"), F.repeat(F.lit("x"), F.col("n") - 2)).cast("binary").alias("content")), folder)
+    got = {r["path"].rsplit("/", 1)[1]: (r["n_bytes"], r["found"], r["accepted"]) for r in files.uploads(spark, folder).collect()}
+    assert got == {"at.bmp": (most, "image/bmp", True), "over.bmp": (most + 1, None, False)}
+    plan = files.uploads(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [LessThanOrEqual(length" in plan or "LessThanOrEqual(length" in plan
 
 
 def test_intermediate_tables_have_full_paths_and_are_cleared(spark, tmp_path, monkeypatch):
@@ -44,11 +45,23 @@ def test_intermediate_tables_have_full_paths_and_are_cleared(spark, tmp_path, mo
     assert not place.exists() and not files._made
 
 
-def test_upserts_replace_by_key(spark):
-    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k long, v string")
-    new = spark.createDataFrame([(2, "B"), (3, "C"), (None, "N")], "k long, v string")
-    assert sorted(map(tuple, files.upserted(old, new, "k").collect()), key=str) == sorted([(1, "a"), (2, "B"), (3, "C"), (None, "N")], key=str)
-    assert files.upserted(old, new.filter("false"), "k").count() == 3
+def test_upserts_replace_by_key_and_leave_other_buckets(spark):
+    old = spark.createDataFrame([(i, "a") for i in range(200)] + [(None, "n")], "k long, v string")
+    new = spark.createDataFrame([(2, "B"), (300, "C"), (None, "N")], "k long, v string")
+    path = files.shared_path(spark, "keyed")
+    place = pathlib.Path(path.removeprefix("file://"))
+    files.put_table(old, "k", path, 16)
+    names = lambda: {str(p.relative_to(place)) for p in place.rglob("*.parquet")}
+    before, want = names(), {i: "a" for i in range(200)} | {2: "B", 300: "C", None: "N"}
+    for _ in range(2):  # the same batch again changes nothing
+        files.upsert(new, "k", path, 16)
+        rows = spark.read.schema(old.schema).parquet(path).select("k", "v").collect()
+        assert len(rows) == len(want) and dict(map(tuple, rows)) == want
+    touched = {r[0] for r in new.select(files._bucket("k", 16)).collect()}
+    assert {n.split("/")[0] for n in before - names()} == {f"_bucket={b}" for b in touched} and len(touched) < 4
+    after = names()
+    files.upsert(new.filter("false"), "k", path, 16)
+    assert names() == after
 
 
 def test_investigations_are_appended(spark):
