@@ -49,22 +49,43 @@ def banded(leaks: DataFrame, register: DataFrame, hash_of_leak: str, hash_of_rel
     the first band that finds them, so that each comes once. At radius 12 five bands ask for some 460 values a leak, of which a
     twentieth of the register is a candidate; four would ask for 2,788 and find little less.
     """
-    edges, each = [64 * b // bands for b in range(bands + 1)], radius // bands
+    probes, stored = band_probes(leaks, hash_of_leak, radius, bands), band_slots(register, hash_of_release, bands)
+    return band_pairs(probes, stored, hash_of_leak, hash_of_release, radius, bands)
+
+
+def _edges(bands: int) -> list[int]:
+    return [64 * b // bands for b in range(bands + 1)]
+
+
+def _part(h: str, b: int, bands: int) -> Column:
+    edges = _edges(bands)
+    return F.shiftrightunsigned(F.col(h), edges[b]).bitwiseAND(F.lit((1 << edges[b + 1] - edges[b]) - 1))
+
+
+def band_probes(leaks: DataFrame, hash_of_leak: str, radius: int, bands: int = 5) -> DataFrame:
+    """leaks with a row and a column probe (band, value) for every value near each of their bands."""
+    edges, each = _edges(bands), radius // bands
 
     def flips(b: int) -> list[int]:
         width = edges[b + 1] - edges[b]
         return [0] + [sum(1 << i for i in c) for k in range(1, each + 1) for c in combinations(range(width), k)]
 
-    def part(h: str, b: int) -> Column:
-        return F.shiftrightunsigned(F.col(h), edges[b]).bitwiseAND(F.lit((1 << edges[b + 1] - edges[b]) - 1))
+    asked = F.explode(F.flatten(F.array(*(_near_values(_part(hash_of_leak, b, bands), b, flips(b)) for b in range(bands)))))
+    return leaks.select("*", asked.alias("probe"))
+
+
+def band_slots(register: DataFrame, hash_of_release: str, bands: int = 5) -> DataFrame:
+    """register with a row and a column slot (band, value) for each of its bands."""
+    return register.select("*", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), _part(hash_of_release, b, bands).alias("value")) for b in range(bands)))).alias("slot"))
+
 
-    asked = F.explode(F.flatten(F.array(*(_near_values(part(hash_of_leak, b), b, flips(b)) for b in range(bands)))))
-    probes = leaks.select("*", asked.alias("probe"))
-    stored = register.select("*", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), part(hash_of_release, b).alias("value")) for b in range(bands)))).alias("slot"))
+def band_pairs(probes: DataFrame, stored: DataFrame, hash_of_leak: str, hash_of_release: str, radius: int, bands: int = 5) -> DataFrame:
+    """Pairs within radius of band_probes() and band_slots(), each once."""
+    each = radius // bands
     pairs = probes.join(stored, (F.col("probe.band") == F.col("slot.band")) & (F.col("probe.value") == F.col("slot.value")))
     first = F.lit(bands)
     for b in reversed(range(bands)):
-        first = F.when(F.bit_count(part(hash_of_leak, b).bitwiseXOR(part(hash_of_release, b))) <= each, b).otherwise(first)
+        first = F.when(F.bit_count(_part(hash_of_leak, b, bands).bitwiseXOR(_part(hash_of_release, b, bands))) <= each, b).otherwise(first)
     return pairs.filter((bits.hamming(F.col(hash_of_leak), F.col(hash_of_release)) <= radius) & (first == F.col("slot.band"))).drop("probe", "slot")
 
 

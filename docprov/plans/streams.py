@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docprov.functions import bits
-from docprov.operators import attribution
+from docprov.functions.workers import ship
 from docprov.plans import rasters
 from docprov.plans.registry import query
 from docprov.sources import files
@@ -26,13 +26,20 @@ def _receipts(s, d):
 _REC = "WITH rec AS (SELECT CASE WHEN o_orderkey % 1009 = 0 THEN repeat('0', 64) ELSE sha256('receipt:' || (o_orderkey // 2)) END AS receipt_id, o_orderkey % 100 AS asset_id, CASE WHEN o_orderkey % 3 <> 0 THEN md5(CAST(o_orderkey AS VARCHAR)) END AS signature_commit FROM orders)"
 
 
-@query("t1_hot_register", """, h AS (SELECT event_id, p_hash FROM releases) SELECT l.event_id AS leak_id, count(*) AS n, min(r.event_id) AS least FROM (SELECT event_id, p_hash FROM releases WHERE event_id % 50 = 0) l JOIN h r ON bit_count(xor(l.p_hash, r.p_hash)) <= 12 GROUP BY l.event_id""")
+@query("t1_hot_register", """, h AS (SELECT event_id, p_hash FROM releases) SELECT l.event_id AS leak_id, count(*) AS n, min(r.event_id) AS least, max(r.event_id) AS latest FROM (SELECT event_id, p_hash FROM releases WHERE event_id % 50 = 0) l JOIN h r ON r.event_id <= l.event_id AND bit_count(xor(l.p_hash, r.p_hash)) <= 12 GROUP BY l.event_id""")
 def t1(s, d):
-    """Releases stream in and are searched by the leaks at once."""
-    leaks = reg.releases(s, d).filter("event_id % 50 = 0").select(F.col("event_id").alias("leak_id"), F.lit(0).cast("bigint").alias("read_bits"), "p_hash", "d_hash", "a_hash")
-    arriving = reg.releases_of(st.stream(s, d, "orders")).select("event_id", "p_hash", "d_hash", "a_hash")
-    rows = st.each_batch(arriving, "hot", lambda batch: attribution.radius_join(leaks, batch))
-    return rows.groupBy("leak_id").agg(F.count("*").alias("n"), F.min("event_id").alias("least"))
+    """Releases arrive in the order of their numbers, in four goes, every fiftieth followed by a leak of it: a leak finds what arrived
+    before it, and what is released later stays unfound."""
+    orders, path = reg.table(s, d, "orders"), files.shared_path(s, "arrivals")
+    least, most = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    for k in range(4):  # files of rising times: the stream reads them in this order
+        part = orders.filter(F.floor((F.col("o_orderkey") - least) * 4 / (most - least + 1)) == k)
+        part.coalesce(1).write.mode("append").parquet(path)
+    arriving = reg.releases_of(s.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(path)).select("event_id", "p_hash")
+    kinds = F.when(F.col("event_id") % 50 == 0, F.array(F.lit("release"), F.lit("leak"))).otherwise(F.array(F.lit("release")))
+    rows = arriving.select(F.explode(kinds).alias("kind"), F.col("event_id").alias("id"), "p_hash")
+    rows = rows.select("kind", (F.col("id") * 2 + (F.col("kind") == "leak").cast("long")).alias("seq"), "id", "p_hash")
+    return st.hot_register(rows, "hot").groupBy("leak_id").agg(F.count("*").alias("n"), F.min("event_id").alias("least"), F.max("event_id").alias("latest"))
 
 
 @query("t2_challenge_response", """WITH c AS (SELECT event_id, event_id % 3 AS asset_id, user_id, ts FROM events WHERE event_type = 'view'),
@@ -50,7 +57,9 @@ def t2(s, d):
         (F.col("ts") + wait).alias("resp_ts"),
         F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"),
     ).drop("copy")
-    return st.drained(st.answered(asked, given, "2 minutes", "60 days"), "answered")
+    ship(s)
+    with st.stateful(s):
+        return st.drained(st.answered(asked, given), "answered")
 
 
 @query("t3_first_receipts", _REC + " SELECT DISTINCT receipt_id FROM rec WHERE receipt_id <> repeat('0', 64)")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from docprov.sources.files import shared_path
+from docprov.functions import bits
+from docprov.operators import attribution
+from docprov.sources.files import shared_path, written
 
 ZERO = "0" * 64
 
@@ -37,29 +44,66 @@ def each_batch(rows: DataFrame, name: str, make, mode: str = "append") -> DataFr
     return spark.read.parquet(path)
 
 
-def first_receipts(receipts: DataFrame, name: str) -> DataFrame:
+def first_receipts(receipts: DataFrame, name: str, buckets: int = 64) -> DataFrame:
     """Receipts but zero ids and repeats, the first staying, as a written table; run through the stream until it is drained.
 
-    What was written is the state: a batch is held against the receipts of the batches before it, so the stream itself keeps
-    none, and a batch that runs again finds the same.
+    The table is the state: folders by a hash of receipt_id, a file each. A batch reads and rewrites the folders that its receipts
+    fall into and no others, so that the files it reads don't grow with history; what a folder holds does, and `buckets` is to be
+    chosen by it. Rows carry their batch's number: a batch that runs again sees what was there before it, and leaves the same.
     """
     spark, path = receipts.sparkSession, shared_path(receipts.sparkSession, name)
-    schema = receipts.schema
+    put = StructType([*receipts.schema.fields, StructField("_batch", LongType()), StructField("_bucket", IntegerType())])
 
     def run(batch: DataFrame, number: int) -> None:
-        fresh = batch.filter(F.col("receipt_id") != ZERO).dropDuplicates(["receipt_id"])
-        if number:
-            known = spark.read.schema(_with_batch(schema)).parquet(path)
-            fresh = fresh.join(known.filter(F.col("batch") < number).select("receipt_id"), "receipt_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        store_receipts(batch, number, path, put, buckets)
 
     q = receipts.writeStream.option("checkpointLocation", path + "-state").trigger(availableNow=True).foreachBatch(run).start()
     q.awaitTermination()
-    return spark.read.schema(_with_batch(schema)).parquet(path).drop("batch")
-
+    return spark.read.schema(put).parquet(path).drop("_batch", "_bucket")
+
+
+def store_receipts(batch: DataFrame, number: int, path: str, put: StructType, buckets: int) -> None:
+    """Adds a batch's receipts to first_receipts()'s table."""
+    spark = batch.sparkSession
+    named = batch.filter(F.col("receipt_id") != ZERO).dropDuplicates(["receipt_id"])
+    fresh = written(named.withColumns({"_batch": F.lit(number).cast("long"), "_bucket": F.pmod(F.xxhash64("receipt_id"), F.lit(buckets)).cast("int")}), "fresh")
+    touched = [r["_bucket"] for r in fresh.select("_bucket").distinct().collect()]  # `buckets` at most
+    if not touched and number:
+        return
+    if number:
+        known = spark.read.schema(put).parquet(path).filter(F.col("_bucket").isin(touched) & (F.col("_batch") < number))
+        fresh = written(known.unionByName(fresh.join(known.select("receipt_id"), "receipt_id", "left_anti")), "folders")
+    fresh.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+
+
+def hot_register(rows: DataFrame, name: str, radius: int = attribution.RADIUS, bands: int = 5) -> DataFrame:
+    """leak_id, event_id and distance of every leak and the releases within radius that arrived before it; run through the stream
+    until it is drained.
+
+    rows: kind (release or leak), seq, id and p_hash, batches in the order of seq. A batch appends its releases to a table of bands
+    (band, value, event_id, seq, p_hash), by batch and band, and its leaks then probe the table as it stands, by equality of bands;
+    of its own batch a leak sees what has a smaller seq. So a release is searchable as soon as its batch is written, and no leak
+    finds what came later. A batch that runs again writes its own folders anew. Null hashes find nothing and aren't found.
+    """
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, name)
+    put = "value long, event_id long, at long, p_hash long, batch long, band int"
 
-def _with_batch(schema: StructType) -> StructType:
-    return StructType([*schema.fields, StructField("batch", LongType())])
+    def run(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        releases = batch.filter("kind = 'release' AND p_hash IS NOT NULL").select(F.col("id").alias("event_id"), F.col("seq").alias("at"), "p_hash")
+        slots = attribution.band_slots(releases, "p_hash", bands).select("slot.value", "event_id", "at", "p_hash", "slot.band")
+        slots.write.mode("overwrite").partitionBy("band").parquet(f"{path}/bands/batch={number}")
+        leaks = batch.filter("kind = 'leak' AND p_hash IS NOT NULL").select(F.col("id").alias("leak_id"), "seq", F.col("p_hash").alias("leak_p_hash"))
+        stored = spark.read.schema(put).parquet(f"{path}/bands").filter(F.col("batch") <= number)
+        stored = stored.select("event_id", "at", "p_hash", F.struct("band", "value").alias("slot"))
+        found = attribution.band_pairs(attribution.band_probes(leaks, "leak_p_hash", radius, bands), stored, "leak_p_hash", "p_hash", radius, bands)
+        found = found.filter(F.col("at") < F.col("seq")).select("leak_id", "event_id", bits.hamming(F.col("leak_p_hash"), F.col("p_hash")).alias("distance"))
+        found.write.mode("overwrite").parquet(f"{path}/found/batch={number}")
+        batch.unpersist()
+
+    q = rows.writeStream.option("checkpointLocation", path + "-state").trigger(availableNow=True).foreachBatch(run).start()
+    q.awaitTermination()
+    return spark.read.schema("leak_id long, event_id long, distance int, batch long").parquet(f"{path}/found").drop("batch")
 
 
 def receipt_events(receipts: DataFrame) -> DataFrame:
@@ -68,14 +112,87 @@ def receipt_events(receipts: DataFrame) -> DataFrame:
     return receipts.select("receipt_id", F.explode(kinds).alias("event_name"))
 
 
-def answered(challenges: DataFrame, responses: DataFrame, ttl: str = "2 minutes", late: str = "1 hour") -> DataFrame:
-    """Challenges that a response of their user to their asset met in time; each counts once.
+ANSWERS = "challenge_id long, asset_id long, user_id long"
+_SIDE_ROW = "at timestamp, asset_id long, user_id long"
+
+
+class OneAnswer(StatefulProcessor):
+    """The state of one challenge: what it asks for and until when, whether it was answered, and responses that came before it. A timer
+    ends all of it: `ttl` after the challenge, or after a response whose challenge hasn't come."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl = ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.asked = handle.getValueState("asked", f"{_SIDE_ROW}, used boolean")
+        self.early = handle.getListState("early", _SIDE_ROW)
+
+    def _ms(self, at) -> int:
+        return int(pd.Timestamp(at).value // 1_000_000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows), ignore_index=True).sort_values(["at", "kind"], kind="stable")
+        asked = self.asked.get() if self.asked.exists() else None
+        fresh = [tuple(r) for r in rows[rows.kind == "r"][["at", "asset_id", "user_id"]].itertuples(index=False)]
+        if asked is None and (rows.kind == "c").any():
+            c = rows[rows.kind == "c"].iloc[0]
+            asked = (c["at"], c["asset_id"], c["user_id"], False)
+            fresh = [*map(tuple, self.early.get()), *fresh] if self.early.exists() else fresh
+            self.early.clear()
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(self._ms(asked[0]) + self.ttl)
+        elif asked is None:
+            for r in fresh:
+                self.early.appendValue(_plain(r))
+                self.handle.registerTimer(self._ms(r[0]) + self.ttl)
+            return
+        at, asset, user, used = asked
+        for r_at, r_asset, r_user in sorted(fresh, key=lambda r: pd.Timestamp(r[0])):
+            if not used and (r_asset, r_user) == (asset, user) and 0 <= self._ms(r_at) - self._ms(at) < self.ttl:
+                used = True
+                yield pd.DataFrame({"challenge_id": [key[0]], "asset_id": [asset], "user_id": [user]})
+        self.asked.update((*_plain(asked[:3]), bool(used)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.asked.clear()
+        self.early.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(row: tuple) -> tuple:
+    return (pd.Timestamp(row[0]).to_pydatetime(), int(row[1]), int(row[2]))
+
+
+def answered(challenges: DataFrame, responses: DataFrame, ttl_seconds: int = 120, late: str = "10 minutes") -> DataFrame:
+    """Challenges that a response of their user to their asset met in time; each counts once, a second response is refused.
 
     challenges: challenge_id, asset_id, user_id, ch_ts. responses: for_challenge, asset, user, resp_ts. A response names its
-    challenge, so it uses up no other; repeats of it, and others that name the same challenge, are dropped. State goes with the
-    watermark: pairs are at most `ttl` apart, and an answer is remembered for as long as rows may be late.
+    challenge, so it uses up no other. Rows that null any of these take no part. State is kept by challenge and ends by a timer, `ttl_seconds`
+    after it as the watermark goes (`late` behind the newest row); what comes later than that is dropped. Needs the RocksDB
+    state store, see stateful().
     """
-    c, r = challenges.withWatermark("ch_ts", late), responses.withWatermark("resp_ts", late)
-    bound = (F.col("challenge_id") == F.col("for_challenge")) & (F.col("asset_id") == F.col("asset")) & (F.col("user_id") == F.col("user"))
-    met = bound & (F.col("resp_ts") >= F.col("ch_ts")) & (F.col("resp_ts") < F.col("ch_ts") + F.expr(f"INTERVAL {ttl}"))
-    return c.join(r, met).select("challenge_id", "asset_id", "user_id", "ch_ts").dropDuplicatesWithinWatermark(["challenge_id"]).drop("ch_ts")
+    c = challenges.select("challenge_id", F.lit("c").alias("kind"), F.col("ch_ts").alias("at"), "asset_id", "user_id")
+    r = responses.select(F.col("for_challenge").alias("challenge_id"), F.lit("r").alias("kind"), F.col("resp_ts").alias("at"), F.col("asset").alias("asset_id"), F.col("user").alias("user_id"))
+    rows = c.unionByName(r).dropna().withWatermark("at", late)
+    rows = rows.select(F.col("challenge_id").cast("long"), "kind", "at", F.col("asset_id").cast("long"), F.col("user_id").cast("long"))
+    return rows.groupBy("challenge_id").transformWithStateInPandas(OneAnswer(ttl_seconds * 1000), ANSWERS, "Append", "EventTime")
+
+
+@contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
