@@ -7,12 +7,11 @@ from __future__ import annotations
 
 import math
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprov.functions import bits
-from docprov.functions.workers import ship
+from docprov.sources.files import written
 
 GRID, VOTES, BITS = 32, 21, 48
 _LEFT = [1 if i % 8 < 4 else -1 for i in range(64)]
@@ -198,34 +197,46 @@ def tamper_verdict(checked: DataFrame, tiles: int = GRID * GRID) -> DataFrame:
     return n.select("image_id", status.alias("status"), "failed", bits.half_up(F.col("failed") / F.col("n") * 100, 1).alias("pct"))
 
 
-def regions(checked: DataFrame, most: int = 20) -> DataFrame:
-    """image_id, place, x, y, w, h (in values): boxes of failed tiles that touch at a side, the largest boxes first.
+def runs(failed: DataFrame, width: int = GRID) -> DataFrame:
+    """image_id, y, x0, x1: the failed tiles (image_id, t) as runs along rows of `width` tiles."""
+    x, y = (F.col("t") % width).cast("int"), F.floor(F.col("t") / width).cast("int")
+    spots = failed.select("image_id", x.alias("x"), y.alias("y")).distinct()
+    own = F.col("x") - F.row_number().over(Window.partitionBy("image_id", "y").orderBy("x"))  # the same for all of a run
+    return spots.withColumn("own", own).groupBy("image_id", "y", "own").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("own")
 
-    A group is an image: GRID * GRID tiles at most.
-    """
 
-    def run(t: pa.Table) -> pa.Table:
-        left, boxes = set(t.column("t").to_pylist()), []
-        while left:
-            todo, seen = [left.pop()], []
-            while todo:
-                at = todo.pop()
-                seen.append(at)
-                x = at % GRID
-                near = [at - GRID, at + GRID] + ([at - 1] if x else []) + ([at + 1] if x < GRID - 1 else [])
-                for k in near:
-                    if k in left:
-                        left.discard(k)
-                        todo.append(k)
-            xs, ys = [s % GRID for s in seen], [s // GRID for s in seen]
-            boxes.append((8 * min(xs), 8 * min(ys), 8 * (max(xs) - min(xs) + 1), 8 * (max(ys) - min(ys) + 1)))
-        boxes = sorted(boxes, key=lambda b: (-b[2] * b[3], b))[:most]
-        image = t.column("image_id")[0].as_py() if t.num_rows else None
-        cols = list(zip(*boxes, strict=True)) or [()] * 4
-        return pa.table({"image_id": pa.array([image] * len(boxes), pa.int64()), "place": pa.array(range(1, len(boxes) + 1), pa.int32()), **{n: pa.array(c, pa.int32()) for n, c in zip("xywh", cols, strict=True)}})
-
-    ship(checked.sparkSession)
-    return checked.filter("failed").select("image_id", "t").groupBy("image_id").applyInArrow(run, "image_id long, place int, x int, y int, w int, h int")
+def labelled(rows: DataFrame, width: int = GRID) -> DataFrame:
+    """runs() with label, the same for all runs that touch, one below another, over any number of steps: the least first tile.
+
+    Runs of a row are joined to those of the next; then labels spread along these links, each round taking the least of a run's
+    neighbours and then the label's own label, until a round changes nothing: rounds grow with the logarithm of the longest
+    way. An image may have any number of tiles; its runs are spread over tasks.
+    """
+    nodes = written(rows.select("*", (F.col("y") * width + F.col("x0")).cast("long").alias("run")), "runs")
+    below = nodes.select("image_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("other"))
+    down = nodes.join(below, ["image_id", "y"]).filter("x0 <= b1 AND b0 <= x1").select("image_id", "run", "other")
+    links = written(down.union(down.select("image_id", F.col("other").alias("run"), F.col("run").alias("other"))), "links")
+    labels, changed = written(nodes.select("image_id", "run", F.col("run").alias("label")), "labels"), True
+    while changed:
+        near = links.join(labels.select("image_id", F.col("run").alias("other"), "label"), ["image_id", "other"]).select("image_id", "run", "label")
+        least = near.union(labels).groupBy("image_id", "run").agg(F.min("label").alias("label"))
+        own = labels.select("image_id", F.col("run").alias("label"), F.col("label").alias("further"))
+        after = least.join(own, ["image_id", "label"]).select("image_id", "run", F.least("label", "further").alias("label"))
+        after = written(after, "labels")
+        changed = after.agg(F.sum("label")).first() != labels.agg(F.sum("label")).first()
+        labels = after
+    return nodes.join(labels, ["image_id", "run"]).drop("run")
+
+
+def regions(checked: DataFrame, most: int = 20, width: int = GRID) -> DataFrame:
+    """image_id, place, x, y, w, h (in values): boxes of failed tiles that touch at a side, the `most` largest boxes of an image first.
+
+    Equal areas go by x, then y, w and h. Images without a failed tile have no rows.
+    """
+    each = labelled(runs(checked.filter("failed").select("image_id", "t"), width), width).groupBy("image_id", "label").agg(F.min("x0").alias("a"), F.max("x1").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
+    boxes = each.select("image_id", (F.col("a") * 8).alias("x"), (F.col("c") * 8).alias("y"), ((F.col("b") - F.col("a") + 1) * 8).alias("w"), ((F.col("d") - F.col("c") + 1) * 8).alias("h"))
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc(F.col("w") * F.col("h")), "x", "y", "w", "h"))
+    return boxes.withColumn("place", place).filter(F.col("place") <= most).select("image_id", "place", "x", "y", "w", "h")
 
 
 def histogram(image: DataFrame) -> DataFrame:

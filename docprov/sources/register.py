@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprov.functions import bits
+from docprov.sources.files import shared_path
 
 #: Roles, their aliases, who holds which capability, classifications, strengths.
 ROLES = ("CRYPTO_CUSTODIAN", "TACTICAL_OFFICER", "FORENSIC_ANALYST", "NAVAL_AUDITOR", "ADMIN", "OFFICER", "INVESTIGATOR")
@@ -87,6 +90,26 @@ def releases_of(orders: DataFrame) -> DataFrame:
     return known.withColumn("payload", bits.build_payload(F.col("short_id")))
 
 
+BUCKETS = 8
+
+
+def stored(rows: DataFrame, key: str, created_at: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """rows written once as a table bucketed by key, in folders by the year of created_at if that is given (column created_year), and
+    read from it: joins on key of tables with as many buckets move nothing, filters on created_year leave other folders unread."""
+    spark = rows.sparkSession
+    name, path = f"stored_{uuid.uuid4().hex}", shared_path(spark, "stored")
+    rows = rows.withColumn("created_year", F.year(created_at)) if created_at else rows
+    out = rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path)
+    (out.partitionBy("created_year") if created_at else out).saveAsTable(name)
+    return spark.table(name)
+
+
+def of_years(register: DataFrame, first: str, last: str) -> DataFrame:
+    """The rows of a stored() register created from the day first to the day last; the years' folders are chosen before reading."""
+    days = F.to_date("created_at").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    return register.filter(F.col("created_year").between(int(first[:4]), int(last[:4])) & days)
+
+
 def _ones(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int")) - 1
 
