@@ -145,9 +145,17 @@ def champions(rows: DataFrame, each: int = 32) -> DataFrame:
     return terms.withColumn("place", place).filter(F.col("place") <= each).select("vec_id", "v").distinct()
 
 
+def champions_each(n: int, dims: int, most_bytes: int = 64 << 20) -> int:
+    """How many champions a term has: 32, but all of them no more than a sixteenth of n vectors (one for each term at least) and no
+    more than most_bytes, as they go through the driver; 0 where dims are too many for that."""
+    if not dims or 2 * dims * dims * 8 > most_bytes:
+        return 0
+    return min(32, max(1, n // (32 * dims)), most_bytes // (2 * dims * dims * 8))
+
+
 def with_floors(queries: DataFrame, best: DataFrame, k: int) -> DataFrame:
     """queries with floor: the k-th best score of the champions of another id, null if there are fewer."""
-    t = best.toArrow()  # at most each * 2 * dimensions rows
+    t = best.toArrow()  # at most champions_each() * 2 * dimensions rows, of bounded bytes
     dims = int(t.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max()) if t.num_rows else 0
     held = queries.sparkSession.sparkContext.broadcast((t.column("vec_id").to_numpy(), _matrix(t.column("v"), dims) if t.num_rows else np.zeros((0, 0), np.int64)))
 
@@ -180,11 +188,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
     """
     rows = written(quantised(vectors, scale), "vectors")
     queries = rows.filter(F.col("vec_id") % every == 0).distinct()
-    n, n_queries = rows.count(), queries.count()
+    n, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    n_queries, each = queries.count(), champions_each(n, dims)
     blocks = max(1, math.ceil(n_queries / block_rows))
     shards = max(1, math.ceil(n / shard_rows), min(partitions(vectors.sparkSession) // blocks, math.ceil(n / 4096)))  # few rows: for all cores
     key = F.xxhash64("vec_id", "v")
-    asked = with_floors(queries, written(champions(rows), "champions"), k).withColumn("query", key).withColumn("block", F.pmod("query", F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = with_floors(queries, written(champions(rows, each), "champions") if each else rows.limit(0), k).withColumn("query", key).withColumn("block", F.pmod("query", F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     held = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "vec_id", "v"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:

@@ -158,3 +158,16 @@ def test_query_over_a_whole_table(spark):
     for r in rows:
         assert r["n_tokens"] == len(library().encode(texts[r["doc_id"]]))
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_champions_are_few(spark):
+    """A sixteenth of the vectors and 64 MB at most; on the given table that is far fewer dense products than vectors."""
+    for n, dims in ((2000, 64), (100_000, 64), (10**9, 64), (10**6, 1024), (10**6, 4096), (0, 0), (10, 3)):
+        each = max_score.champions_each(n, dims)
+        assert 2 * dims * each * dims * 8 <= 64 << 20 and each <= 32
+        assert 2 * dims * each <= max(n // 16, 2 * dims)
+    from docprov.llm.max_score import quantised
+
+    rows = quantised(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    n = rows.count()
+    assert max_score.champions(rows, max_score.champions_each(n, 64)).count() <= n / 15
