@@ -20,6 +20,13 @@ UNKNOWN = "und"
 #: A word: a run of letters.
 WORD = r"\p{L}+"
 UNIT = 1 << 20
+#: Bytes that one broadcast of words or n-grams may take: fewer rows go the more languages there are.
+MOST_BYTES = 48 << 20
+
+
+def _fitting(rows: int, languages: int) -> int:
+    """`rows`, or as many of an item (about 64 bytes) and a log for each language as MOST_BYTES hold."""
+    return min(rows, MOST_BYTES // (64 + 8 * languages))
 
 
 @dataclass(frozen=True)
@@ -91,8 +98,9 @@ def train(counts: DataFrame, longest: int = 4) -> Model:
 def backoff(words: DataFrame, model: Model, most: int = 500_000) -> DataFrame:
     """word and its logs, from n-grams alone, for every row of words (word). A word without any known n-gram has logs of 0.
 
-    n-grams of one length are broadcast if they are at most `most`, else joined like any other table.
+    n-grams of one length are broadcast if they are at most `most` and MOST_BYTES, else joined like any other table.
     """
+    most = _fitting(most, len(model.languages))
     places = words.select("word", _framed("word").alias("w"))
     places = places.select("word", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("at"))
     sizes = range(model.longest, 0, -1)
@@ -132,8 +140,8 @@ def most_frequent(totals: DataFrame, most: int) -> DataFrame:
 def predict(docs: DataFrame, model: Model, counts: DataFrame, most_broadcast: int = 300_000, number: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score (posterior under even priors, 0 for UNKNOWN) of every row of docs.
 
-    counts: count_words() of docs, whatever its languages. most_broadcast: words that are broadcast; any number gives the same
-    rows. number: a column of different longs that names the rows in the result, as row; without it row is any number.
+    counts: count_words() of docs, whatever its languages. most_broadcast: words that are broadcast (MOST_BYTES at most); any number
+    gives the same rows. number: a column of different longs that names the rows in the result, as row; without it row is any number.
     """
     row = F.col(number) if number else F.monotonically_increasing_id()
     base = docs.select(row.alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), words_of(F.col("text")).alias("words"))
@@ -141,7 +149,7 @@ def predict(docs: DataFrame, model: Model, counts: DataFrame, most_broadcast: in
         return base.select("row", "doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     logs = model.logs
     every = word_logs(counts, model)
-    head = most_frequent(every, most_broadcast).select(F.col("word").alias("w"), *logs)
+    head = most_frequent(every, _fitting(most_broadcast, len(model.languages))).select(F.col("word").alias("w"), *logs)
     tokens = base.select("row", "doc_id", "held_out", F.explode(F.concat(F.array(F.lit("")), "words")).alias("word"))  # "": a row for each text
     joined = tokens.join(F.broadcast(head), F.col("word") == F.col("w"), "left")
     rest = F.when(F.col("w").isNull() & (F.col("word") != ""), F.col("word"))

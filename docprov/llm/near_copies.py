@@ -174,7 +174,9 @@ def superfluous(docs: DataFrame, number: str, least: float = 0.8, width: int = 5
     equal ones the smallest number.
 
     docs needs doc_id, text and a column of different longs. Rows whose shingles have a Jaccard similarity of `least` or more
-    are linked, groups are what links lead to. Rows without words are alike.
+    are linked, groups are what links lead to. Rows without words, null and empty texts among them, are alike. Rows that repeat others
+    are a group; other columns are ignored. A long text is held whole by one task, with 8 bytes for each of its shingles. An empty
+    table gives no rows.
     """
     base = docs.select(F.col(number).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
     nodes = written(signatures(base, width), "signatures")

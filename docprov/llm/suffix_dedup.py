@@ -287,7 +287,8 @@ def repeats(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int
     docs needs doc_id and text; other columns are ignored. Texts are taken as UTF-8, null as empty; texts shorter than
     `length` are kept whole. A null doc_id is behind all others; rows that repeat a doc_id count as one document in which
     strings at equal places are ordered by where they are stored. What is kept is bytes: a run may end within a
-    character. An empty table gives no rows. gram must be a power of two. There is a bucket for each bucket_bytes of text, and
+    character. A document is in one block, whose arrays take some 80 bytes for each byte that repeats others; texts have less than
+    2 GB. An empty table gives no rows. gram must be a power of two. There is a bucket for each bucket_bytes of text, and
     a task holds one at a time. A bucket of more than `most` suffixes, such as those of a passage that all blocks hold, is first
     dealt in parts, which leave one of equal suffixes each.
     """

@@ -211,6 +211,14 @@ def test_no_word_is_dropped(spark):
         same_languages(language_id.predict(docs, model, counts, most).collect(), brute_languages(rows))
 
 
+def test_broadcasts_are_bounded_by_bytes():
+    for languages in (1, 4, 100, 10_000):
+        for rows in (300_000, 500_000):
+            fit = language_id._fitting(rows, languages)
+            assert fit <= rows and fit * (64 + 8 * languages) <= 48 << 20
+    assert language_id._fitting(300_000, 4) == 300_000 and language_id._fitting(500_000, 4) == 500_000
+
+
 def test_backoff_takes_the_longest_ngram(spark):
     words = spark.createDataFrame([("known", -1, -2)], "word string, l0 long, l1 long")
     grams = spark.createDataFrame([("^x", -10, -20), ("xy", -30, -10), ("y", -50, -51)], "gram string, l0 long, l1 long")
