@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,6 +23,7 @@ METRICS = "source string, generatedAt string, attacks array<struct<name:string,s
 
 _own: list[str] = []
 _made: list[str] = []
+_scoped: ContextVar[list[str] | None] = ContextVar("_scoped", default=None)
 
 
 def _at(spark: SparkSession, path: str):
@@ -41,12 +44,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if "://" not in base:
         store, at = _at(spark, base)
         base = re.sub("^file:/+", "file:///", store.makeQualified(at).toString())
-    _made.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
-    return f"{_made[-1]}/{name}"
+    made, scoped = f"{base.rstrip('/')}/{uuid.uuid4().hex}", _scoped.get()
+    (_made if scoped is None else scoped).append(made)
+    return f"{made}/{name}"
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables made inside, by this thread, at the end: for a caller that by then has read, or written
+    elsewhere, what it asked for. Those of other queries and threads stay."""
+    own: list[str] = []
+    before = _scoped.set(own)
+    try:
+        yield
+    finally:
+        _scoped.reset(before)
+        for path in own:
+            store, at = _at(spark, path)
+            store.delete(at, True)
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all intermediate tables made so far: for callers that have read what they asked for."""
+    """Deletes all intermediate tables that no scope() has: for a session that is done with all its queries."""
     while _made:
         store, at = _at(spark, _made.pop())
         store.delete(at, True)

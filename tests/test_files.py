@@ -45,6 +45,17 @@ def test_intermediate_tables_have_full_paths_and_are_cleared(spark, tmp_path, mo
     assert not place.exists() and not files._made
 
 
+def test_a_scope_deletes_what_was_made_inside(spark):
+    kept = files.written(spark.range(3), "kept")
+    with files.scope(spark):
+        inner = files.written(spark.range(4), "inner")
+        place = pathlib.Path(inner.inputFiles()[0].removeprefix("file://")).parents[1]
+        with files.scope(spark):
+            files.written(spark.range(5), "innermost")
+        assert inner.count() == 4 and place.exists()
+    assert not place.exists() and kept.count() == 3
+
+
 def test_upserts_replace_by_key_and_leave_other_buckets(spark):
     old = spark.createDataFrame([(i, "a") for i in range(200)] + [(None, "n")], "k long, v string")
     new = spark.createDataFrame([(2, "B"), (300, "C"), (None, "N")], "k long, v string")
