@@ -4,13 +4,15 @@ A byte is removed if a string of `length` bytes that covers it also starts earli
 document). Of all suffixes, only those at anchors are sorted: the anchor of a string is the place of its least hash among
 its `gram`-byte substrings, so equal strings have their anchors at equal places and no string is without one.
 
-1. Texts are stored in blocks; a block's different anchor hashes go to buckets, which answer with those that another
-   block (or another place) has too. Other anchors can't be part of a repeat.
+1. Texts are stored in blocks, a long text in several: each has the strings that start in its part, and so ends `length` - 1
+   bytes later. A block's different anchor hashes go to buckets, which answer with those that another block (or another
+   place) has too. Other anchors can't be part of a repeat.
 2. Each remaining anchor becomes one suffix: the bytes from it on, then the bytes before it, backwards. Equal suffixes of
    a block are one. Splitters sampled from the suffixes deal them out by ranges.
 3. A bucket sorts its suffixes by multikey quicksort, forwards and backwards, and common prefixes of neighbours say
    which strings are equal. Where a bucket's border cuts a run of equal prefixes, its first strings are compared with
    those of the other buckets.
+4. Each block marks its bytes; the parts of a long text meet again by their row.
 """
 
 from __future__ import annotations
@@ -29,7 +31,11 @@ from pyspark.sql import functions as F
 from .shared import partitions, written
 from .token_ids import as_bytes, slices
 
-_BLOCK = "block long, n_bytes long, doc_ids binary, nulls binary, sizes binary, data binary"
+#: Blocks below zero are part of one text: that of row `row`, from byte `base` on.
+_BLOCK = "block long, n_bytes long, row long, base long, doc_ids binary, nulls binary, sizes binary, data binary"
+_KEPT = "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
+_PARTS = "row long, base long, doc_id long, spans array<struct<start:long,stop:long>>, own binary"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _NOTE = "block long, kind int, bucket int, payload binary"
 _DEALT = "block long, n int, bucket int, payload binary"
 _MATCHED = "block long, n int, payload binary, o int, string binary, id long, start long"
@@ -103,33 +109,48 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shape: Shap
     return place, place - at[last], place - at[first], h[place], doc[first]
 
 
+def grouped(key: np.ndarray) -> dict[int, np.ndarray]:
+    """Places of each value that key has, in ascending order."""
+    if not len(key):
+        return {}
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.diff(key[order])) + 1
+    return {int(key[own[0]]): own for own in np.split(order, edges)}
+
+
+def marked(mask: np.ndarray) -> list[dict]:
+    """The maximal runs of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    return [{"start": a, "stop": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+
+
 @dataclass
 class Block:
-    """A block's texts and its anchors."""
+    """A block's texts and its anchors; a part of a text begins at byte `base` of it."""
 
     ids: np.ndarray
     nulls: np.ndarray  # 1 for a null doc_id, which is behind all others
     sizes: np.ndarray
     data: np.ndarray
     shape: Shape
+    base: int = 0
+    row: int | None = None
 
     def __post_init__(self) -> None:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.place, self.low, self.high, self.hash, self.doc = anchors(self.data, self.starts, self.sizes, self.shape)
         self.unique, self.inverse, self.counts = np.unique(self.hash, return_inverse=True, return_counts=True)
 
-    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(order, bounds) of unique hashes by bucket."""
-        bucket = (self.unique % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return order, np.searchsorted(bucket[order], np.arange(n + 1))
+    def buckets(self, n: int) -> dict[int, np.ndarray]:
+        """Places of the unique hashes of each bucket that has some."""
+        return grouped((self.unique % np.uint64(n)).astype(np.int64))
 
     def repeated(self, notes: list, n: int) -> np.ndarray:
         """Anchors whose hash is elsewhere too, given the buckets' answers (bucket, bits)."""
         twice = self.counts > 1
-        order, bounds = self.buckets(n)
+        places = self.buckets(n) if notes else {}
         for bucket, payload in notes:
-            own = order[bounds[bucket] : bounds[bucket + 1]]
+            own = places[bucket]
             twice[own] |= np.unpackbits(np.frombuffer(payload, np.uint8))[: len(own)].astype(bool)
         return np.flatnonzero(twice[self.inverse])
 
@@ -214,16 +235,26 @@ def compare(text: np.ndarray, low: np.ndarray, high: np.ndarray, borders: list[b
     return flags, undecided
 
 
-def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+def _blocks(docs: DataFrame, block_bytes: int, length: int) -> DataFrame:
+    def block(number: int, given: list, texts: list[bytes], row: int | None = None, base: int | None = None) -> pa.RecordBatch:
+        ids, nulls = np.array([i or 0 for i in given], np.int64), np.array([i is None for i in given], np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        return _batch([(number, int(sizes.sum()), row, base, ids.tobytes(), nulls.tobytes(), sizes.tobytes(), data)], _BLOCK)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for k, b in enumerate(x for whole in batches for x in slices(iter([whole]), block_bytes)):
-            texts = b.column("text").to_pylist()
-            given = b.column("doc_id").to_pylist()
-            ids, nulls = np.array([i or 0 for i in given], np.int64), np.array([i is None for i in given], np.uint8)
-            sizes = np.array([len(t) for t in texts], np.int64)
-            data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            yield pa.RecordBatch.from_pydict({"block": [(part << 24) + k], "n_bytes": [int(sizes.sum())], "doc_ids": [ids.tobytes()], "nulls": [nulls.tobytes()], "sizes": [sizes.tobytes()], "data": [data]})
+        k = TaskContext.get().partitionId() << 24
+        for b in (x for whole in batches for x in slices(iter([whole]), block_bytes)):
+            rows = list(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True))
+            short = [r for r in rows if len(r[1]) <= block_bytes]
+            if short:
+                k += 1
+                yield block(k, *zip(*short, strict=True))
+            for i, t in (r for r in rows if len(r[1]) > block_bytes):
+                row = k + 1
+                for at in range(0, len(t), block_bytes):
+                    k += 1
+                    yield block(-k, [i], [t[at : at + block_bytes + length - 1]], row, at)
 
     return written(as_bytes(docs).mapInArrow(run, _BLOCK), "blocks")
 
@@ -232,7 +263,8 @@ def _opened(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[tuple[i
     for b in batches:
         for r in b.to_pylist():
             data = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.uint8)
-            yield r["block"], Block(np.frombuffer(r["doc_ids"], np.int64), np.frombuffer(r["nulls"], np.uint8), np.frombuffer(r["sizes"], np.int64), data, shape), r.get("notes") or []
+            ids, nulls, sizes = (np.frombuffer(r[c], kind) for c, kind in (("doc_ids", np.int64), ("nulls", np.uint8), ("sizes", np.int64)))
+            yield r["block"], Block(ids, nulls, sizes, data, shape, r["base"] or 0, r["row"]), r.get("notes") or []
 
 
 def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
@@ -287,21 +319,21 @@ def repeats(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int
     docs needs doc_id and text; other columns are ignored. Texts are taken as UTF-8, null as empty; texts shorter than
     `length` are kept whole. A null doc_id is behind all others; rows that repeat a doc_id count as one document in which
     strings at equal places are ordered by where they are stored. What is kept is bytes: a run may end within a
-    character. A document is in one block, whose arrays take some 80 bytes for each byte that repeats others; texts have less than
+    character. A block's arrays take some 80 bytes for each byte that repeats others; a text of more than block_bytes is cut
+    into blocks, and put together again it takes about four bytes a byte, as any row of a text does; such a row has less than
     2 GB. An empty table gives no rows. gram must be a power of two. There is a bucket for each bucket_bytes of text, and
     a task holds one at a time. A bucket of more than `most` suffixes, such as those of a passage that all blocks hold, is first
     dealt in parts, which leave one of equal suffixes each.
     """
     spark, shape = docs.sparkSession, Shape(length, gram)
-    blocks = _blocks(docs, block_bytes)
+    blocks = _blocks(docs, block_bytes, length)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n_tasks = partitions(spark)
     n_buckets = max(n_tasks, -(-total // bucket_bytes))
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, t, _ in _opened(batches, shape):
-            order, bounds = t.buckets(n_buckets)
-            yield _batch([(block, 0, k, t.unique[order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a], _NOTE)
+            yield _batch([(block, 0, k, t.unique[own].tobytes()) for k, own in t.buckets(n_buckets).items()], _NOTE)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _buckets(batches):
@@ -323,7 +355,7 @@ def repeats(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int
             if len(text):
                 doc = t.doc[anchor]
                 pick = text[np.argsort(t.hash[anchor] * np.uint64(0x9E3779B97F4A7C15))[:samples]]
-                payload = _pack(text, t.ids[doc], t.nulls[doc], t.place[anchor] - t.starts[doc], np.arange(len(anchor), dtype=np.uint32), t.low[anchor].astype(np.uint8), t.high[anchor].astype(np.uint8))
+                payload = _pack(text, t.ids[doc], t.nulls[doc], t.place[anchor] - t.starts[doc] + t.base, np.arange(len(anchor), dtype=np.uint32), t.low[anchor].astype(np.uint8), t.high[anchor].astype(np.uint8))
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "n": pa.array([len(text)], pa.int32()), "payload": [payload], "sample": [[x.tobytes() for x in pick]]})
 
     suffixes = written(_with_notes(blocks, told).mapInArrow(gather, "block long, n int, payload binary, sample array<binary>"), "suffixes")
@@ -338,10 +370,7 @@ def repeats(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int
             for r in b.to_pylist():
                 cols = _unpack(r["payload"], r["n"], *columns)
                 bucket = np.array([bisect_right(held.value, x.tobytes()) for x in cols[0]])
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(len(held.value) + 2))
-                rows = [(r["block"], int(hi - lo), k, _pack(*(c[order[lo:hi]] for c in cols))) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if hi > lo]
-                yield _batch(rows, _DEALT)
+                yield _batch([(r["block"], len(own), k, _pack(*(c[own] for c in cols))) for k, own in grouped(bucket).items()], _DEALT)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One of equal suffixes stays (bucket is set), the earliest; the others are repeats at all their places (o is -1)."""
@@ -392,44 +421,65 @@ def repeats(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int
     inner = (flagged if repeated is None else flagged.unionByName(repeated)).select("block", F.lit(1).alias("kind"), F.col("n").alias("bucket"), "payload")
     notes = written(told.select("block", "kind", "bucket", "payload").unionByName(inner).unionByName(pairs), "notes")
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def removed(t: Block, notes: list) -> np.ndarray:
+        """True for each byte of the block that goes."""
         import json
 
+        chosen, _, anchor, row = collapse(t, notes)
+        flags = np.zeros((len(anchor), shape.back + 1), bool)
+        for x in notes:
+            if x["kind"] == 1:
+                index, bits = _unpack(x["payload"], x["bucket"], ("u4", 1), ("u1", -(-(shape.back + 1) // 8)))
+                flags[index] |= np.unpackbits(bits.reshape(len(index), -1), axis=1)[:, : shape.back + 1].astype(bool)
+            elif x["kind"] == 2:
+                for p in json.loads(x["payload"]):
+                    flags[p["n"], p["o"]] = True
+        copy = np.ones(len(chosen), bool)
+        at = np.searchsorted(chosen, anchor)
+        copy[at] = False
+        offsets = np.arange(shape.back + 1)
+        inside = (offsets >= t.low[chosen][:, None]) & (offsets <= t.high[chosen][:, None])
+        gone = np.where(copy[:, None], inside, flags[row])
+        i, o = np.nonzero(gone)
+        begin = t.place[chosen[i]] - offsets[o]
+        n = len(t.data)
+        cover = np.zeros(n + 1, np.int32)
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, begin + shape.length, -1)
+        return np.cumsum(cover[:n]) > 0
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t, notes in _opened(batches, shape):
-            chosen, _, anchor, row = collapse(t, notes)
-            flags = np.zeros((len(anchor), shape.back + 1), bool)
-            for x in notes:
-                if x["kind"] == 1:
-                    index, bits = _unpack(x["payload"], x["bucket"], ("u4", 1), ("u1", -(-(shape.back + 1) // 8)))
-                    flags[index] |= np.unpackbits(bits.reshape(len(index), -1), axis=1)[:, : shape.back + 1].astype(bool)
-                elif x["kind"] == 2:
-                    for p in json.loads(x["payload"]):
-                        flags[p["n"], p["o"]] = True
-            copy = np.ones(len(chosen), bool)
-            at = np.searchsorted(chosen, anchor)
-            copy[at] = False
-            offsets = np.arange(shape.back + 1)
-            inside = (offsets >= t.low[chosen][:, None]) & (offsets <= t.high[chosen][:, None])
-            gone = np.where(copy[:, None], inside, flags[row])
-            i, o = np.nonzero(gone)
-            begin = t.place[chosen[i]] - offsets[o]
-            n = len(t.data)
-            cover = np.zeros(n + 1, np.int32)
-            np.add.at(cover, begin, 1)
-            np.add.at(cover, begin + shape.length, -1)
-            removed = np.cumsum(cover[:n]) > 0
+            gone = removed(t, notes)
             ids, n_bytes, spans, kept = [], [], [], []
             for doc_id, null, lo, hi in zip(t.ids.tolist(), t.nulls.tolist(), t.starts.tolist(), (t.starts + t.sizes).tolist(), strict=True):
-                mask = removed[lo:hi]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
                 ids.append(None if null else doc_id)
                 n_bytes.append(hi - lo)
-                spans.append([{"start": a, "stop": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
-                kept.append(t.data[lo:hi][~mask].tobytes())
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                spans.append(marked(gone[lo:hi]))
+                kept.append(t.data[lo:hi][~gone[lo:hi]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return _with_notes(blocks, notes).mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t, notes in _opened(batches, shape):
+            own = t.data[:block_bytes].tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t.row], pa.int64()), pa.array([t.base], pa.int64()), pa.array([None if t.nulls[0] else int(t.ids[0])], pa.int64()), pa.array([marked(removed(t, notes))], _SPANS), pa.array([own], pa.binary())],
+                names=["row", "base", "doc_id", "spans", "own"],
+            )
+
+    def whole(group: pa.Table) -> pa.Table:
+        """One row of the parts of a text."""
+        group = group.sort_by("base")
+        data = np.frombuffer(b"".join(group.column("own").to_pylist()), np.uint8)
+        gone = np.zeros(len(data), bool)
+        for base, spans in zip(group.column("base").to_pylist(), group.column("spans").to_pylist(), strict=True):
+            for s in spans:
+                gone[base + s["start"] : base + s["stop"]] = True
+        kept = pa.array([data[~gone].tobytes()], pa.binary())
+        return pa.Table.from_arrays([group.column("doc_id")[:1].combine_chunks(), pa.array([len(data)], pa.int64()), pa.array([marked(gone)], _SPANS), kept], names=["doc_id", "n_bytes", "spans", "kept"])
+
+    short, long = (_with_notes(blocks.filter(side), notes.filter(side)) for side in ("block >= 0", "block < 0"))
+    return short.mapInArrow(texts, _KEPT).unionByName(long.mapInArrow(parts, _PARTS).groupBy("row").applyInArrow(whole, _KEPT))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -87,3 +87,17 @@ def test_query_over_a_whole_table(spark):
     for r in queries()["op8_suffix_dedup"](spark, sf).collect():
         spans, kept = want[r["doc_id"]]
         assert (r["n_spans"], r["n_removed"], r["n_bytes"] - r["n_removed"]) == (len(spans), sum(b - a for a, b in spans), len(kept))
+
+
+def test_a_long_text_is_cut_into_blocks(spark):
+    """Strings over borders of a text's blocks, a block that ends the text in less than a string, one text that others repeat."""
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefgh") for _ in range(3007))
+    rows = [(7, long + long[400:900]), (3, long[95:140] + "-" + long[295:330]), (None, "x" + long[1000:2900]), (9, "z" * 1000), (8, long[:101]), (5, None)]
+    want = brute(rows, 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for block in (100, 101, 1000):
+        got = suffix_dedup.repeats(df, 20, 8, block, 3, 700, 10).collect()
+        assert {g["doc_id"]: ([tuple(s) for s in g["spans"]], bytes(g["kept"])) for g in got} == want
+        assert {g["doc_id"]: g["n_bytes"] for g in got} == {i: len((t or "").encode()) for i, t in rows}
+        assert len(got) == len(rows)
