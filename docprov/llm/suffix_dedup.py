@@ -40,6 +40,7 @@ _NOTE = "block long, kind int, bucket int, payload binary"
 _DEALT = "block long, n int, bucket int, payload binary"
 _MATCHED = "block long, n int, payload binary, o int, string binary, id long, start long"
 _POS_BITS = 31
+_TILE = 1 << 15
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -85,28 +86,34 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     """(place, low, high, hash, document) of each anchor; it stands `low` to `high` bytes behind its strings' starts."""
     n, none = len(data), (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    if n < shape.length:
+    docs = np.flatnonzero(sizes >= shape.length)
+    if not len(docs):
         return none
-    h = gram_hashes(data, shape.gram)
-    low_bits = np.uint64((1 << _POS_BITS) - 1)
-    key = (h & ~low_bits) | np.arange(len(h), dtype=np.uint64)
-    width, have = shape.back + 1, 1
-    while 2 * have <= width:
-        key = np.minimum(key[:-have], key[have:])
-        have *= 2
-    if have < width:
-        key = np.minimum(key[: len(key) - (width - have)], key[width - have :])
-    rooms = np.maximum(sizes - shape.length + 1, 0)
-    total = int(rooms.sum())
-    if not total:
-        return none
-    doc = np.repeat(np.arange(len(sizes)), rooms)
-    at = np.arange(total) - np.repeat(np.cumsum(rooms) - rooms, rooms) + starts[doc]
-    place = (key[at] & low_bits).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
-    last = np.concatenate([first[1:], [total]]) - 1
+    low_bits, width = np.uint64((1 << _POS_BITS) - 1), shape.back + 1
+    place, h = np.empty(n - shape.length + 1, np.int64), np.empty(n - shape.gram + 1, np.uint64)
+    for lo in range(0, len(place), _TILE):  # of string starts; arrays of a tile stay in the processor's cache
+        hi = min(lo + _TILE, len(place))
+        own = gram_hashes(data[lo : hi + shape.length - 1], shape.gram)
+        h[lo : lo + len(own)] = own
+        key, have = (own & ~low_bits) | np.arange(lo, lo + len(own), dtype=np.uint64), 1
+        while 2 * have <= width:
+            key = np.minimum(key[:-have], key[have:])
+            have *= 2
+        if have < width:
+            key = np.minimum(key[: len(key) - (width - have)], key[width - have :])
+        place[lo:hi] = key & low_bits
+    begin = starts[docs]
+    end = begin + sizes[docs] - shape.length + 1
+    new = np.concatenate([[True], place[1:] != place[:-1]])
+    new[begin] = True
+    inside = np.zeros(len(place) + 1, np.int8)
+    inside[begin] += 1
+    inside[end] -= 1
+    first = np.flatnonzero(new & (np.cumsum(inside[:-1], dtype=np.int8) > 0))
+    of = np.searchsorted(begin, first, "right") - 1
+    last = np.minimum(np.concatenate([first[1:], [len(place)]]), end[of]) - 1
     place = place[first]
-    return place, place - at[last], place - at[first], h[place], doc[first]
+    return place, place - last, place - first, h[place], docs[of]
 
 
 def grouped(key: np.ndarray) -> dict[int, np.ndarray]:
@@ -160,9 +167,11 @@ class Block:
         begin, end = self.starts[self.doc[chosen]], (self.starts + self.sizes)[self.doc[chosen]]
         order = np.lexsort((chosen, place - begin, self.ids[self.doc[chosen]], self.nulls[self.doc[chosen]]))
         chosen, place, begin, end = chosen[order], place[order], begin[order], end[order]
-        at = place[:, None] + np.concatenate([np.arange(s.length), -1 - np.arange(s.back)])
-        out = self.data[np.clip(at, 0, max(0, len(self.data) - 1))]
-        out[(at < begin[:, None]) | (at >= end[:, None])] = 0
+        around = np.lib.stride_tricks.sliding_window_view(np.pad(self.data, (s.back, s.length)), s.back + s.length)[place]
+        out = np.concatenate([around[:, s.back :], around[:, : s.back][:, ::-1]], axis=1)
+        rest = np.flatnonzero((end - place < s.length) | (place - begin < s.back))  # those at an end of their text
+        beyond = np.concatenate([np.arange(s.length) >= (end - place)[rest, None], np.arange(s.back) >= (place - begin)[rest, None]], axis=1)
+        out[rest] = np.where(beyond, np.uint8(0), out[rest])
         full = np.concatenate([out, self.low[chosen].astype(np.uint8)[:, None], self.high[chosen].astype(np.uint8)[:, None]], axis=1)
         _, first, row = np.unique(np.ascontiguousarray(full).view(f"V{full.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
         rank = np.argsort(np.argsort(first))  # rows in the order of their first ones
@@ -443,9 +452,7 @@ def repeats(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int
         i, o = np.nonzero(gone)
         begin = t.place[chosen[i]] - offsets[o]
         n = len(t.data)
-        cover = np.zeros(n + 1, np.int32)
-        np.add.at(cover, begin, 1)
-        np.add.at(cover, begin + shape.length, -1)
+        cover = np.bincount(begin, minlength=n + 1) - np.bincount(begin + shape.length, minlength=n + 1)
         return np.cumsum(cover[:n]) > 0
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
