@@ -188,16 +188,16 @@ def multikey_order(text: np.ndarray) -> np.ndarray:
     wide = -(-text.shape[1] // 8) * 8
     padded = np.zeros((n, wide), np.uint8)
     padded[:, : text.shape[1]] = text
-    words = padded.view(">u8").astype(np.uint64)
+    words = padded.view(">u8")
     order, group = np.arange(n), np.zeros(n, np.int64)  # group by position in order: where its group starts
     open_ = np.arange(n)
     for c in range(words.shape[1]):
         if len(open_) < 2:
             break
         rows, of = order[open_], group[open_]
-        by = np.lexsort((words[rows, c], of))
-        rows, of = rows[by], of[by]
-        value = words[rows, c]
+        value = words[rows, c].astype(np.uint64)
+        by = np.lexsort((value, of))
+        rows, of, value = rows[by], of[by], value[by]
         new = np.concatenate([[True], (of[1:] != of[:-1]) | (value[1:] != value[:-1])])
         order[open_] = rows
         starts = open_[np.flatnonzero(new)]
@@ -215,6 +215,15 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), same.shape[1], np.argmin(same, axis=1))
 
 
+def shared_with_next(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row, in that order, and the next."""
+    out = np.zeros(max(0, len(order) - 1), np.int64)
+    for lo in range(0, len(out), _TILE):
+        rows = text[order[lo : lo + _TILE + 1]]
+        out[lo : lo + _TILE] = common(rows[1:], rows[:-1])
+    return out
+
+
 def compare(text: np.ndarray, low: np.ndarray, high: np.ndarray, borders: list[bytes | None], shape: Shape) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(flags, open): flags[i, o] is 1 if row i's string o bytes before its anchor is another row's before i; open has the
     (row, o) that were first here but may be elsewhere. Rows come in order of their place in the corpus."""
@@ -222,13 +231,13 @@ def compare(text: np.ndarray, low: np.ndarray, high: np.ndarray, borders: list[b
     flags, undecided = np.zeros((n, s.back + 1), bool), []
     ahead, behind = text[:, : s.length], text[:, s.length :]
     by_ahead, by_behind = multikey_order(ahead), multikey_order(behind)
-    share_a = common(ahead[by_ahead][1:], ahead[by_ahead][:-1])
-    share_b = common(behind[by_behind][1:], behind[by_behind][:-1])
+    share_a, share_b = shared_with_next(ahead, by_ahead), shared_with_next(behind, by_behind)
     at_border = np.zeros(n, np.int64)
     for b in borders:
         if b is not None:
             edge = np.frombuffer(b[: s.length].ljust(s.length, b"\0"), np.uint8)
-            at_border = np.maximum(at_border, common(ahead, np.broadcast_to(edge, ahead.shape)))
+            for lo in range(0, n, _TILE):
+                at_border[lo : lo + _TILE] = np.maximum(at_border[lo : lo + _TILE], common(ahead[lo : lo + _TILE], edge[None, :]))
     a, b = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for o in range(s.back + 1):
         rows = np.flatnonzero((low <= o) & (o <= high))
@@ -297,9 +306,10 @@ def _buckets(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("bucket
 
 
 def _joined(rows: list[dict], columns: tuple) -> tuple[np.ndarray, ...]:
-    """The suffixes of rows and their blocks, in order of their places in the corpus."""
-    parts = [_unpack(r["payload"], r["n"], *columns) for r in rows]
+    """The suffixes of rows and their blocks, in order of their places in the corpus; rows leave their payloads."""
+    parts = [_unpack(r.pop("payload"), r["n"], *columns) for r in rows]
     text, ids, nulls, place, index, low, high = (np.concatenate(c) for c in zip(*parts, strict=True))
+    parts.clear()
     block = np.repeat(np.array([r["block"] for r in rows]), [r["n"] for r in rows])
     order = np.lexsort((block, place, ids, nulls))
     return tuple(x[order] for x in (text, ids, nulls, place, index, low, high, block))
