@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprov.functions import bits
+from docprov.operators import near
 from docprov.sources.files import written
 from docprov.sources.register import verdict
 
@@ -23,7 +23,7 @@ def _shares(rows: DataFrame, most: int) -> bool:
     return rows.limit(most + 1).count() <= most
 
 
-def _loops(leaks: DataFrame, register: DataFrame, most: int, most_pairs: int = 20_000_000_000) -> bool:
+def _loops(leaks: DataFrame, register: DataFrame, most: int, most_pairs: int = 1_000_000_000) -> bool:
     """True if a nested loop is cheap: leaks few enough to broadcast, and so few pairs that comparing all costs less than bands."""
     return _shares(leaks, most) and leaks.count() * register.count() <= most_pairs
 
@@ -42,55 +42,10 @@ def gridded(leaks: DataFrame, register: DataFrame, near: Column, block_rows: int
     return b.join(a, (F.col("_block") == F.col("_of_block")) & (F.col("_shard") == F.col("_of_shard")) & near).drop("_block", "_shard", "_of_block", "_of_shard")
 
 
-def banded(leaks: DataFrame, register: DataFrame, hash_of_leak: str, hash_of_release: str, radius: int, bands: int = 5) -> DataFrame:
-    """Pairs within radius by equality of bands: of `bands` bands one differs in radius // bands bits at most.
-
-    A leak asks for every value near each of its bands; Spark joins by (band, value), and pairs are told apart by
-    the first band that finds them, so that each comes once. At radius 12 five bands ask for some 460 values a leak, of which a
-    twentieth of the register is a candidate; four would ask for 2,788 and find little less.
-    """
-    probes, stored = band_probes(leaks, hash_of_leak, radius, bands), band_slots(register, hash_of_release, bands)
-    return band_pairs(probes, stored, hash_of_leak, hash_of_release, radius, bands)
-
-
-def _edges(bands: int) -> list[int]:
-    return [64 * b // bands for b in range(bands + 1)]
-
-
-def _part(h: str, b: int, bands: int) -> Column:
-    edges = _edges(bands)
-    return F.shiftrightunsigned(F.col(h), edges[b]).bitwiseAND(F.lit((1 << edges[b + 1] - edges[b]) - 1))
-
-
-def band_probes(leaks: DataFrame, hash_of_leak: str, radius: int, bands: int = 5) -> DataFrame:
-    """leaks with a row and a column probe (band, value) for every value near each of their bands."""
-    edges, each = _edges(bands), radius // bands
-
-    def flips(b: int) -> list[int]:
-        width = edges[b + 1] - edges[b]
-        return [0] + [sum(1 << i for i in c) for k in range(1, each + 1) for c in combinations(range(width), k)]
-
-    asked = F.explode(F.flatten(F.array(*(_near_values(_part(hash_of_leak, b, bands), b, flips(b)) for b in range(bands)))))
-    return leaks.select("*", asked.alias("probe"))
-
-
-def band_slots(register: DataFrame, hash_of_release: str, bands: int = 5) -> DataFrame:
-    """register with a row and a column slot (band, value) for each of its bands."""
-    return register.select("*", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), _part(hash_of_release, b, bands).alias("value")) for b in range(bands)))).alias("slot"))
-
-
-def band_pairs(probes: DataFrame, stored: DataFrame, hash_of_leak: str, hash_of_release: str, radius: int, bands: int = 5) -> DataFrame:
-    """Pairs within radius of band_probes() and band_slots(), each once."""
-    each = radius // bands
-    pairs = probes.join(stored, (F.col("probe.band") == F.col("slot.band")) & (F.col("probe.value") == F.col("slot.value")))
-    first = F.lit(bands)
-    for b in reversed(range(bands)):
-        first = F.when(F.bit_count(_part(hash_of_leak, b, bands).bitwiseXOR(_part(hash_of_release, b, bands))) <= each, b).otherwise(first)
-    return pairs.filter((bits.hamming(F.col(hash_of_leak), F.col(hash_of_release)) <= radius) & (first == F.col("slot.band"))).drop("probe", "slot")
-
-
-def _near_values(value: Column, band: int, flips: list[int]) -> Column:
-    return F.transform(F.array(*(F.lit(f).cast("bigint") for f in flips)), lambda f: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(f).alias("value")))
+def banded(leaks: DataFrame, register: DataFrame, hash_of_leak: str, hash_of_release: str, radius: int) -> DataFrame:
+    """leak_id, event_id and distance of pairs within radius, each once: see near.pairs()."""
+    of = leaks.select("leak_id", F.col(hash_of_leak).alias("h")), register.withColumn("h", F.col(hash_of_release))
+    return near.pairs(*of, ("h",), radius).drop("kind")
 
 
 def as_leaks(leaks: DataFrame) -> DataFrame:
@@ -103,40 +58,45 @@ def radius_join(leaks: DataFrame, register: DataFrame, radius: int = RADIUS, mos
     a = as_leaks(leaks).filter("leak_p_hash IS NOT NULL").select("leak_id", "leak_p_hash")
     b = register.filter("p_hash IS NOT NULL").select("event_id", "p_hash")
     far = bits.hamming(F.col("leak_p_hash"), F.col("p_hash"))
-    pairs = nested(a, b, far <= radius, most) if radius > NARROW or _loops(a, b, most) else banded(a, b, "leak_p_hash", "p_hash", radius)
-    return pairs.select("leak_id", "event_id", far.alias("distance"))
+    if radius > NARROW or _loops(a, b, most):
+        return nested(a, b, far <= radius, most).select("leak_id", "event_id", far.alias("distance"))
+    return banded(a, register, "leak_p_hash", "p_hash", radius)
 
 
 def three_way(leaks: DataFrame, register: DataFrame, radius: int = RADIUS, most: int = 100_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Candidates that any hash has within radius; a distance outside it is null; best is the least.
 
-    A nested loop while leaks and pairs are few. Beyond, a narrow radius is joined in bands, hash by hash, a pair coming from the
-    first hash that is near; a wide one in blocks. carry: columns of the register that come along, with the leak's read_bits.
+    A nested loop while leaks and pairs are few. Beyond, a narrow radius is joined in bands, hash by hash, and the distances of a
+    pair are gathered; a wide one in blocks. carry: columns of the register that come along, with the leak's read_bits.
     """
+    names = ("p_dist", "d_dist", "a_dist")
+    if radius <= NARROW and not _loops(leaks, register, most):
+        found = near.pairs(leaks.select("leak_id", *_HASHES), register, _HASHES, radius)
+        pairs = found.groupBy("leak_id", "event_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("distance"))).alias(n) for k, n in enumerate(names)))
+        if carry:
+            pairs = pairs.join(register.select("event_id", *carry), "event_id").join(leaks.select("leak_id", "read_bits"), "leak_id")
+        return pairs.select("leak_id", "event_id", *names, *carry, *(["read_bits"] if carry else []), F.least(*names).alias("best"))
     far = {h: bits.hamming(F.col(f"leak_{h}"), F.col(h)) for h in _HASHES}
-    near = {h: F.coalesce(far[h] <= radius, F.lit(False)) for h in _HASHES}
+    close = [F.coalesce(far[h] <= radius, F.lit(False)) for h in _HASHES]
     a, b = as_leaks(leaks), register.select("event_id", *_HASHES, *carry)
     along = [*carry, "read_bits"] if carry else []
     a = a if carry else a.drop("read_bits")
-    if radius > NARROW or _loops(a, b, most):
-        pairs = nested(a, b, near["p_hash"] | near["d_hash"] | near["a_hash"], most)
-    else:
-        pairs, before = None, F.lit(False)
-        for h in _HASHES:
-            fresh = banded(a.filter(F.col(f"leak_{h}").isNotNull()), b.filter(F.col(h).isNotNull()), f"leak_{h}", h, radius).filter(~before)
-            pairs, before = fresh if pairs is None else pairs.unionByName(fresh), before | near[h]
-    kept = [F.when(far[h] <= radius, far[h]).alias(n) for h, n in zip(_HASHES, ("p_dist", "d_dist", "a_dist"), strict=True)]
+    pairs = nested(a, b, close[0] | close[1] | close[2], most)
+    kept = [F.when(far[h] <= radius, far[h]).alias(n) for h, n in zip(_HASHES, names, strict=True)]
     return pairs.select("leak_id", "event_id", *kept, *along).withColumn("best", F.least("p_dist", "d_dist", "a_dist"))
 
 
 def tiered(leaks: DataFrame, register: DataFrame, tiers: tuple[int, ...] = (RADIUS, WIDER, WIDEST)) -> DataFrame:
     """three_way at the first tier that finds anything for a leak; a wider tier only sees the leaks still empty.
 
-    The leaks left for the next tier are written, so that no tier is searched again for each wider one.
+    The leaks left for the next tier are written, so that no tier is searched again for each wider one, and so are both sides, whose
+    derivation would make the loop's code too long to be compiled, and the pairs of a narrow tier, which are few.
     """
-    out, rest = None, leaks
+    alike = [c for c in register.columns if c == "asset_id"]
+    out, rest, register = None, written(leaks.select("leak_id", "read_bits", *_HASHES), "leaks"), written(register.select("event_id", *alike, *_HASHES), "register")
     for radius in tiers:
         found = three_way(rest, register, radius).withColumn("tier", F.lit(radius))
+        found = written(found, "found") if radius <= NARROW else found
         out = found if out is None else out.unionByName(found)
         if radius != tiers[-1]:
             rest = written(rest.join(found.select("leak_id").distinct(), "leak_id", "left_anti"), "rest")
@@ -204,7 +164,8 @@ def best_of_users(leaks: DataFrame, register: DataFrame, tiers: tuple[int, ...]
     """
     columns = ("user_id", "created_at", "payload")
     # both are written: how they are derived would make the loop's code too long to be compiled, and tiers read them again
-    register, leaks = written(register.select("event_id", *columns, *_HASHES), "register"), written(leaks.select("leak_id", "read_bits", *_HASHES), "leaks")
+    alike = [c for c in register.columns if c == "asset_id"]
+    register, leaks = written(register.select("event_id", *alike, *columns, *_HASHES), "register"), written(leaks.select("leak_id", "read_bits", *_HASHES), "leaks")
     matching = bits.matching(F.col("read_bits"), F.col("payload"))
     some, b = (matching >= least).alias("some"), packed(matching, F.col("created_at"), F.col("event_id"))
     own = F.when(matching >= least, F.col("user_id")).alias("user_id")

@@ -34,11 +34,11 @@ def t1(s, d):
     least, most = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
     for k in range(4):  # files of rising times: the stream reads them in this order
         part = orders.filter(F.floor((F.col("o_orderkey") - least) * 4 / (most - least + 1)) == k)
-        part.coalesce(1).write.mode("append").parquet(path)
-    arriving = reg.releases_of(s.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(path)).select("event_id", "p_hash")
+        part.repartition(1).write.mode("append").parquet(path)
+    arriving = reg.releases_of(s.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(path)).select("event_id", "asset_id", "p_hash")
     kinds = F.when(F.col("event_id") % 50 == 0, F.array(F.lit("release"), F.lit("leak"))).otherwise(F.array(F.lit("release")))
-    rows = arriving.select(F.explode(kinds).alias("kind"), F.col("event_id").alias("id"), "p_hash")
-    rows = rows.select("kind", (F.col("id") * 2 + (F.col("kind") == "leak").cast("long")).alias("seq"), "id", "p_hash")
+    rows = arriving.select(F.explode(kinds).alias("kind"), F.col("event_id").alias("id"), "asset_id", "p_hash")
+    rows = rows.select("kind", (F.col("id") * 2 + (F.col("kind") == "leak").cast("long")).alias("seq"), "id", "asset_id", "p_hash")
     return st.hot_register(rows, "hot").groupBy("leak_id").agg(F.count("*").alias("n"), F.min("event_id").alias("least"), F.max("event_id").alias("latest"))
 
 
