@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docprov.functions import bits
-from docprov.functions.workers import ship
 from docprov.plans import rasters
 from docprov.plans.registry import query
 from docprov.sources import files
@@ -57,7 +56,6 @@ def t2(s, d):
         (F.col("ts") + wait).alias("resp_ts"),
         F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"),
     ).drop("copy")
-    ship(s)
     with st.stateful(s):
         return st.drained(st.answered(asked, given), "answered")
 

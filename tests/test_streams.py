@@ -85,3 +85,15 @@ def test_first_receipts_read_the_folders_they_touch(spark):
         rows = spark.read.parquet(str(place))
         assert rows.count() == 302 and rows.filter("receipt_id = 'last'").first()["_batch"] == 2
     assert {n.split("/")[0] for n in before ^ names()} <= {f"_bucket={r[0]}" for r in rows.filter("receipt_id IN ('new', 'last')").select("_bucket").collect()}
+
+
+def test_a_second_answer_is_refused_after_the_watermark_has_passed_the_first(spark):
+    """`late` is shorter than the time to answer; rows are joined by the engine, not one by one in Python."""
+    t = "2024-01-01 10:0{}:{}".format
+    batches = [[("c", 1, 5, 7, t(0, "00")), ("r", 1, 5, 7, t(0, "01"))], [("c", 2, 5, 7, t(1, "40"))], [("r", 1, 5, 7, t(1, "59")), ("r", 2, 5, 7, t(1, "41"))]]
+    got, _ = run(spark, batches, late="1 second")
+    assert got == [(1, 5, 7), (2, 5, 7)]
+    rows = arriving(spark, [[(1, 5, 7, None)]], "challenge_id long, asset_id long, user_id long, ch_ts timestamp")
+    given = rows.select(F.col("challenge_id").alias("for_challenge"), F.col("asset_id").alias("asset"), F.col("user_id").alias("user"), F.col("ch_ts").alias("resp_ts"))
+    plan = st.answered(rows, given)._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "InPandas" not in plan
