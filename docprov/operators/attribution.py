@@ -15,6 +15,8 @@ from docprov.sources.register import verdict
 RADIUS, WIDER, WIDEST = 12, 28, 34
 #: Up to this radius bands ask for some thousand values a leak; beyond it nearly any two hashes match.
 NARROW = 15
+#: Pairs that a task of a nested loop compares, and how many tasks there are at most.
+TASK_PAIRS, MOST_TASKS = 50_000_000, 4096
 _HASHES = ("p_hash", "d_hash", "a_hash")
 
 
@@ -29,8 +31,12 @@ def _loops(leaks: DataFrame, register: DataFrame, most: int, most_pairs: int = 1
 
 
 def nested(leaks: DataFrame, register: DataFrame, near: Column, most: int = 100_000) -> DataFrame:
-    """Pairs for which near holds: leaks, counted first, are broadcast; a larger side is dealt in blocks."""
-    return register.join(F.broadcast(leaks), near) if _shares(leaks, most) else gridded(leaks, register, near)
+    """Pairs for which near holds: leaks, counted first, are broadcast; a larger side is dealt in blocks. The register is dealt to tasks
+    by the number of pairs, as a small file would be one task's however many leaks it meets."""
+    if not _shares(leaks, most):
+        return gridded(leaks, register, near)
+    tasks = min(MOST_TASKS, leaks.count() * register.count() // TASK_PAIRS)
+    return (register.repartition(tasks, "event_id") if tasks > 1 else register).join(F.broadcast(leaks), near)
 
 
 def gridded(leaks: DataFrame, register: DataFrame, near: Column, block_rows: int = 50_000, shard_rows: int = 500_000) -> DataFrame:

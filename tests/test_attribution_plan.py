@@ -36,3 +36,13 @@ def test_pairs_are_reduced_by_hash_where_they_are_found(spark):
 
     plan = at.best_of_users(reg.leaks(spark, sf), reg.releases(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" in plan and "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_a_nested_loop_is_dealt_by_its_pairs(spark, monkeypatch):
+    """A register of one file met all leaks in one task."""
+    monkeypatch.setattr(at, "TASK_PAIRS", 1000)
+    ids = spark.range(0, 500, 1, 1).select(F.col("id").alias("event_id"), F.xxhash64("id").alias("h"))
+    leaks = spark.range(10).withColumnRenamed("id", "leak_id")
+    pairs = at.nested(leaks, ids, F.col("h") > F.col("leak_id") * 0)
+    assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 10 * ids.filter("h > 0").count()
