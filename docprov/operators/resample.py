@@ -20,6 +20,8 @@ from docprov.functions.workers import ship
 
 #: (places, weights) of each new value: rows of equal length. All rows of weights have the same sum.
 Taps = tuple[np.ndarray, np.ndarray]
+#: Tiles that a task of a filter gives out at once, or those of one strip.
+TILES = 4096
 
 
 def blur(size: int, sigma: float = 1.5) -> Taps:
@@ -60,9 +62,20 @@ def _along(rasters: DataFrame, keys: list[str], along: str, rule: Callable[[dict
     kinds = {f.name: f.dataType.simpleString() for f in rasters.schema}
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "w int, h int, d long, t int, px array<long>"])
 
+    def put(b: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+        """A row for each tile of out: (row of b, w, h, d, numbers of tiles, their px)."""
+        n = [len(o[4]) for o in out]
+        row = pa.array(np.repeat([o[0] for o in out], n), pa.int64())
+        size = [pa.array(np.repeat([o[k] for o in out], n), f) for k, f in ((1, pa.int32()), (2, pa.int32()), (3, pa.int64()))]
+        px = np.concatenate([o[5] for o in out])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(px) + 1) * 64, pa.int32()), pa.array(px.ravel(), pa.int64()))
+        t = pa.array(np.concatenate([o[4] for o in out]), pa.int32())
+        return pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in keys), *size, t, lists], names=[*keys, "w", "h", "d", "t", "px"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
+            ready = 0
             own = [b.column(k).to_pylist() for k in keys]
             lists, size = b.column("p"), (b.column(c).to_pylist() for c in ("w", "h", "d", "line"))
             for i, (w, h, d, line) in enumerate(zip(*size, strict=True)):
@@ -86,12 +99,14 @@ def _along(rasters: DataFrame, keys: list[str], along: str, rule: Callable[[dict
                     made = made.transpose(0, 2, 1)
                 new = len(places)
                 w2, h2 = (new, h) if along == "x" else (w, new)
-                for j, px in enumerate(made.reshape(-1, 64).tolist()):
-                    out.append((*key, w2, h2, 1 if last else d, (line * (w2 // 8) + j) if along == "x" else (j * (w2 // 8) + line), px))
+                j = np.arange(len(made))
+                out.append((i, w2, h2, 1 if last else d, line * (w2 // 8) + j if along == "x" else j * (w2 // 8) + line, made.reshape(-1, 64)))
+                ready += len(made)
+                if ready >= TILES:  # what is ready goes out: memory doesn't grow with a batch's strips
+                    yield put(b, out)
+                    out, ready = [], 0
             if out:
-                cols = list(zip(*out, strict=True))
-                fields = [b.schema.field(k).type for k in keys] + [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(cols, fields, strict=True)], names=[*keys, "w", "h", "d", "t", "px"])
+                yield put(b, out)
 
     ship(rasters.sparkSession)
     return _strips(rasters, keys, along).mapInArrow(run, schema)

@@ -97,3 +97,11 @@ def test_three_hashes_of_sides_that_do_not_divide(spark):
         assert name == "flat" or got[name][0] == brute_hashes(v)[0]
     assert max(x[1] for x in got.values()) >> 56  # a d_hash has more than 56 bits
     assert resample.fingerprints(tiles(spark, rasters).filter("false"), ["image_id"]).count() == 0
+
+
+def test_a_batch_of_many_strips_goes_out_in_parts(spark, monkeypatch):
+    """What a task held grew with its batch: all tiles of 10,000 strips, as Python numbers."""
+    monkeypatch.setattr(resample, "TILES", 4)
+    v = {str(k): noise(32, 48, k) for k in range(6)}
+    got = arrays(resample.filtered(tiles(spark, v), ["image_id"], lambda row, n: resample.area(n, n)))
+    assert all((got[k] == v[k]).all() for k in v)
