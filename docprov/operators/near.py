@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -14,19 +15,40 @@ from docprov.functions.workers import ship
 from docprov.sources.files import written
 
 BANDS = 5
-#: Copies of one asset within this distance of each other are looked for by one of them.
-SLACK = 2
+#: Numbers of bands to choose from: fewer and wider ones leave fewer pairs to compare, and have more values to look up.
+_CHOICES = (5, 4, 3)
+#: What looking up a near value of a band costs, and what each value of the register's costs beside, in comparisons of two hashes.
+_LOOKUP, _VALUE = 12, 30_000
+#: Copies of one asset within this distance of their majority are looked for by that.
+SLACK = 1
 #: Releases of one asset that one row holds at most: those whose ids are the same but for the last six bits.
 _CHUNK = 64
 _BLOCK = 1 << 16  # pairs compared at once
 FOUND = "leak_id long, event_id long, kind int, distance int"
 
 
-def thresholds(radius: int) -> list[int]:
+def thresholds(radius: int, bands: int = BANDS) -> list[int]:
     """Of hashes within radius, at least one band b differs in thresholds[b] bits at most: each could else take one more, and they
     sum up to more than the radius. -1: a band that isn't needed."""
-    each, more = divmod(radius + 1, BANDS)
-    return [each - 1 + (b < more) for b in range(BANDS)]
+    each, more = divmod(radius + 1, bands)
+    return [each - 1 + (b < more) for b in range(bands)]
+
+
+def _edges(width: int, bands: int) -> list[int]:
+    return [width * b // bands for b in range(bands + 1)]
+
+
+def fitting(width: int, radius: int, n_asked: int, n_held: int) -> int:
+    """The number of bands with the least work for so many leaks and clusters of a kind."""
+
+    def work(bands: int) -> float:
+        edges, cost = _edges(width, bands), 0.0
+        for lo, hi, most in zip(edges, edges[1:], thresholds(radius, bands)):
+            values = sum(comb(hi - lo, k) for k in range(min(hi - lo, most) + 1))
+            cost += n_asked * n_held * values / (1 << hi - lo) + min(n_held, 1 << hi - lo) * (values * _LOOKUP + _VALUE) * (most >= 0)
+        return cost
+
+    return min(_CHOICES, key=work)
 
 
 def _flips(width: int, most: int) -> list[int]:
@@ -35,7 +57,8 @@ def _flips(width: int, most: int) -> list[int]:
 
 def clusters(register: DataFrame, hashes: tuple[str, ...]) -> DataFrame:
     """kind (the number of a hash), rep, ids and hs (hashes): releases of an asset_id, if there is such a column, whose hashes are
-    SLACK from rep at most; others stand alone. Null hashes are left out."""
+    SLACK from rep at most; others stand alone. Of three releases rep has the bits that two of them have: the asset's own hash, if
+    each is a bit from it. Null hashes are left out."""
     one = F.struct("event_id", *hashes)
     if "asset_id" in register.columns:
         rows = register.groupBy("asset_id", F.floor(F.col("event_id") / _CHUNK)).agg(F.collect_list(one).alias("all"))
@@ -44,11 +67,13 @@ def clusters(register: DataFrame, hashes: tuple[str, ...]) -> DataFrame:
 
     def of(k: int, h: str) -> Column:
         own = F.filter(F.transform("all", lambda x: F.struct(x["event_id"].alias("id"), x[h].alias("h"))), lambda x: x["h"].isNotNull())
-        return F.struct(F.lit(k).alias("kind"), own.alias("own"), F.array_min(F.transform("all", lambda x: x[h])).alias("rep"))
+        return F.struct(F.lit(k).alias("kind"), own.alias("own"))
 
-    rows = rows.select(F.inline(F.array(*(of(k, h) for k, h in enumerate(hashes))))).filter("rep IS NOT NULL")
+    rows = rows.select(F.inline(F.array(*(of(k, h) for k, h in enumerate(hashes))))).filter(F.size("own") > 0)
+    x, y, z = (F.get("own", F.lit(i))["h"] for i in range(3))
+    rows = rows.select("kind", "own", F.coalesce(x.bitwiseAND(y).bitwiseOR(x.bitwiseAND(z)).bitwiseOR(y.bitwiseAND(z)), x).alias("rep"))
     within = lambda x: bits.hamming(x["h"], F.col("rep")) <= SLACK
-    together = F.array(F.struct("rep", F.filter("own", within).alias("m")))
+    together = F.filter(F.array(F.struct("rep", F.filter("own", within).alias("m"))), lambda c: F.size(c["m"]) > 0)
     alone = F.transform(F.filter("own", lambda x: ~within(x)), lambda x: F.struct(x["h"].alias("rep"), F.array(x).alias("m")))
     rows = rows.select("kind", F.inline(F.concat(together, alone)))
     return rows.select("kind", "rep", F.col("m.id").alias("ids"), F.col("m.h").alias("hs"))
@@ -57,8 +82,8 @@ def clusters(register: DataFrame, hashes: tuple[str, ...]) -> DataFrame:
 def pairs(leaks: DataFrame, register: DataFrame | None, hashes: tuple[str, ...], radius: int, most: int = 4_000_000, least_bits: int = 3, held: DataFrame | None = None) -> DataFrame:
     """leak_id, event_id, kind and distance of every leak and release whose hash number `kind` is within radius; each once.
 
-    By pigeonhole some band of a leak and of a cluster's rep, which are within radius + SLACK, is near. Clusters are grouped by band and
-    the first bits of its value, a leak goes to the groups whose bits are near its own, and a group's task compares the two by the
+    By pigeonhole some band of a leak and of a cluster's rep, which are within radius + SLACK, is near; the number of bands follows from
+    the tables' sizes (fitting()), as leaks times releases grow faster than both. Clusters are grouped by band and the first bits of its value, a leak goes to the groups whose bits are near its own, and a group's task compares the two by the
     whole of the band's value first, then by the hash. The number of bits follows from the tables' sizes, so that a group has
     about `most` releases; one that has more, as many hashes are alike, is cut, and its leaks meet each of the cuts. held: the
     clusters() of a register, if they are stored.
@@ -66,28 +91,29 @@ def pairs(leaks: DataFrame, register: DataFrame | None, hashes: tuple[str, ...],
     held = held if held is not None else written(clusters(register, hashes), "clusters")
     asked = leaks.select("leak_id", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(h).alias("h")) for k, h in enumerate(hashes)))))
     asked = written(asked.filter("h IS NOT NULL"), "asked")
-    n, ones = held.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.bit_or("rep"), F.lit(0))).first()
+    n, n_held, ones = held.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.count("*"), F.coalesce(F.bit_or("rep"), F.lit(0))).first()
     n_asked, ones_asked = asked.agg(F.count("*"), F.coalesce(F.bit_or("h"), F.lit(0))).first()
-    width = ((ones | ones_asked) % (1 << 64)).bit_length()  # bits beyond are 0 in all hashes
-    edges, near = [width * b // BANDS for b in range(BANDS + 1)], thresholds(radius + SLACK)
-    used = [b for b in range(BANDS) if near[b] >= 0]
+    width = ((ones | ones_asked) % (1 << 64)).bit_length()  # bits beyond are 0 in all reps and leaks
+    bands = fitting(width, radius + SLACK, n_asked // len(hashes), n_held // len(hashes))
+    edges, near = _edges(width, bands), thresholds(radius + SLACK, bands)
+    used = [b for b in range(bands) if near[b] >= 0]
     first = max(least_bits, (max(n, n_asked) // len(hashes) // most).bit_length())
-    first = [min(first, edges[b + 1] - edges[b]) for b in range(BANDS)]
-
-    def part(h: str, b: int) -> Column:
-        return F.shiftrightunsigned(F.col(h), edges[b + 1] - first[b]).bitwiseAND(F.lit((1 << first[b]) - 1)).cast("int") if first[b] else F.lit(0)
-
-    def key(b: int, own: Column) -> Column:
-        return (F.col("kind") * BANDS + b) * 65536 + own
-
-    def around(b: int) -> Column:
-        own = part("h", b)
-        return F.array(*(key(b, own.bitwiseXOR(F.lit(f))) for f in _flips(first[b], near[b])))
-
-    stored = held.select("rep", "ids", "hs", F.explode(F.array(*(key(b, part("rep", b)) for b in used))).alias("key"))
-    probes = asked.select("leak_id", "h", F.explode(F.concat(*map(around, used))).alias("key"))
-    sizes = [df.groupBy("key").agg(many.alias("n")).filter(F.col("n") > 2 * most) for df, many in ((stored, F.sum(F.size("ids"))), (probes, F.count("*")))]
-    large = [{r["key"]: -(-r["n"] // most) for r in s.collect()} for s in sizes]  # a row for each group that is too large: rarely one
+    first = [min(first, edges[b + 1] - edges[b]) for b in range(bands)]
+
+    def keyed(rows: DataFrame, h: str, flips: dict[int, list[int]]) -> DataFrame:
+        """rows once for each used band and each of its flips, with the key: kind, band and the band's first bits but for the flip."""
+        one = [F.struct(F.lit(b).alias("b"), F.lit(edges[b + 1] - first[b]).alias("by"), F.lit((1 << first[b]) - 1).cast("long").alias("ones"), F.lit(f).cast("long").alias("flip")) for b in used for f in flips[b]]
+        part = F.call_function("shiftrightunsigned", F.col(h), F.col("by")).bitwiseAND(F.col("ones"))
+        key = (F.col("kind") * bands + F.col("b")) * 65536 + part.bitwiseXOR(F.col("flip")).cast("int")
+        return rows.select("*", F.inline(F.array(*one))).withColumn("key", key).drop("b", "by", "ones", "flip")
+
+    plain, near_flips = {b: [0] for b in used}, {b: _flips(first[b], near[b]) for b in used}
+    # counted by the leak's own bits; those of the groups it goes to are added up here: a number for each band and first bits
+    here, own = ({r["key"]: r["n"] for r in keyed(rows, h, plain).groupBy("key").agg(many.alias("n")).collect()} for rows, h, many in ((held, "rep", F.sum(F.size("ids"))), (asked, "h", F.count("*"))))
+    there = {key: sum(own.get(key ^ f, 0) for f in near_flips[key // 65536 % bands]) for key in here}
+    large = [{key: -(-n // most) for key, n in of.items() if n > 2 * most} for of in (here, there)]  # rarely one
+    stored = keyed(held.select("rep", "ids", "hs", "kind"), "rep", plain).drop("kind")
+    probes = keyed(asked.select("leak_id", "h", "kind"), "h", near_flips).drop("kind")
 
     def cuts(of: dict[int, int]) -> Column:
         return F.coalesce(F.create_map(*(F.lit(x) for kv in of.items() for x in kv))[F.col("key")], F.lit(1)) if of else F.lit(1)
@@ -108,6 +134,13 @@ def _taken(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def _true(flags: np.ndarray) -> np.ndarray:
+    """Where flags, few of them true, are: they are looked through eight at a time."""
+    whole = len(flags) // 8 * 8
+    some = (np.flatnonzero(flags[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([some[flags[some]], np.flatnonzero(flags[whole:]) + whole])
+
+
 def _within(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a and b are within radius, as numbers of both; block by block."""
     if len(a) > len(b):
@@ -118,7 +151,7 @@ def _within(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
         step = max(1, _BLOCK // max(1, len(some)))
         for i in range(0, len(a), step):
             far = np.bitwise_count(a[i : i + step, None] ^ some[None, :])
-            hit = np.flatnonzero((far <= radius).ravel())
+            hit = _true((far <= radius).ravel())
             if len(hit):
                 out[0].append(hit // len(some) + i)
                 out[1].append(hit % len(some) + j)
@@ -135,7 +168,7 @@ def _comparison(edges: list[int], near: list[int], radius: int):
         found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
         kind = 0
         if asked.num_rows and held.num_rows:
-            kind, band = divmod(asked.column("key")[0].as_py() // 65536, BANDS)
+            kind, band = divmod(asked.column("key")[0].as_py() // 65536, len(near))
             leak, h = (asked.column(c).to_numpy() for c in ("leak_id", "h"))
             h, rep = h.view(np.uint64), held.column("rep").to_numpy().view(np.uint64)
             ids, hs = (held.column(c).combine_chunks() for c in ("ids", "hs"))

@@ -57,3 +57,24 @@ def test_probes_are_not_broadcast(spark):
     found = attribution.three_way(leaks, ids, most=0)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 200
+
+
+@pytest.mark.parametrize("bands", near._CHOICES)
+def test_pairs_are_the_same_with_any_number_of_bands(spark, monkeypatch, bands):
+    monkeypatch.setattr(near, "fitting", lambda *_: bands)
+    leaks, register, every = _tables(spark)
+    got = [tuple(x) for x in near.pairs(leaks, register, ("p", "d"), 12, 100).collect()]
+    assert len(got) == len(set(got)) and set(got) == {x for x in every if x[3] <= 12}
+
+
+def test_larger_tables_get_wider_bands():
+    """Compared pairs were a tenth of leaks times clusters at any size."""
+    assert near.fitting(60, 13, 3_000, 19_000) == 5 and near.fitting(60, 13, 1_080_000, 6_750_000) < 5
+
+
+def test_a_cluster_is_looked_for_by_its_majority(spark):
+    """Copies a bit from their asset's hash are two from each other, so that one of them is further from a leak than that."""
+    own = 0b1011 << 40
+    rows = spark.createDataFrame([(i, 0, own ^ 1 << i) for i in range(8)] + [(9, 1, 7), (10, 1, None)], "event_id long, asset_id long, p long")
+    got = sorted((r["rep"], sorted(r["ids"])) for r in near.clusters(rows, ("p",)).collect())
+    assert got == [(7, [9]), (own, list(range(8)))]
