@@ -17,18 +17,21 @@ _STAR = "releases r JOIN users u USING (user_id) JOIN assets a USING (asset_id)"
 @query("s1_register_scan", "SELECT event_id, user_id, asset_id, receipt_id, short_id, p_hash, d_hash, a_hash, payload FROM releases")
 def s1(s, d):
     """The register, written once with all that is derived, and scanned."""
-    return reg.stored(reg.releases(s, d), "event_id", "created_at").select("event_id", "user_id", "asset_id", "receipt_id", "short_id", "p_hash", "d_hash", "a_hash", "payload")
+    register = reg.releases(s, d)
+    return reg.stored(register, "event_id", "created_at", reg.buckets_of(register)).select("event_id", "user_id", "asset_id", "receipt_id", "short_id", "p_hash", "d_hash", "a_hash", "payload")
 
 
 @query("s2_projected_index_scan", "SELECT event_id, p_hash, d_hash, a_hash FROM releases WHERE a_hash IS NOT NULL")
 def s2(s, d):
-    return reg.stored(reg.releases(s, d), "event_id", "created_at").select("event_id", "p_hash", "d_hash", "a_hash").filter("a_hash IS NOT NULL")
+    register = reg.releases(s, d)
+    return reg.stored(register, "event_id", "created_at", reg.buckets_of(register)).select("event_id", "p_hash", "d_hash", "a_hash").filter("a_hash IS NOT NULL")
 
 
 @query("s1_register_range_join", " SELECT leak_id, user_id, 48 - bit_count(xor(read_bits, payload)) AS matches FROM releases JOIN leaks ON leak_id = event_id WHERE CAST(created_at AS DATE) BETWEEN DATE '1994-03-01' AND DATE '1996-06-30'")
 def s1_range(s, d):
     """Leaks beside their own releases of some years, both stored in buckets of the same key."""
-    register, leaks = reg.stored(reg.releases(s, d), "event_id", "created_at"), reg.stored(reg.leaks(s, d), "leak_id")
+    buckets = reg.buckets_of(reg.releases(s, d))
+    register, leaks = reg.stored(reg.releases(s, d), "event_id", "created_at", buckets), reg.stored(reg.leaks(s, d), "leak_id", buckets=buckets)
     own = reg.of_years(register, "1994-03-01", "1996-06-30").join(leaks, F.col("leak_id") == F.col("event_id"))
     return own.select("leak_id", "user_id", bits.matching(F.col("read_bits"), F.col("payload")).alias("matches"))
 

@@ -90,7 +90,14 @@ def releases_of(orders: DataFrame) -> DataFrame:
     return known.withColumn("payload", bits.build_payload(F.col("short_id")))
 
 
-BUCKETS = 8
+#: Buckets of a stored table at least, and rows that one holds, about.
+BUCKETS, BUCKET_ROWS = 8, 1_000_000
+
+
+def buckets_of(rows: DataFrame) -> int:
+    """The number of buckets for a table of so many rows: what a task reads doesn't grow with it. A power of two, so that tables
+    of other sizes can be read in the same buckets."""
+    return max(BUCKETS, 1 << max(0, -(-rows.count() // BUCKET_ROWS) - 1).bit_length())
 
 
 def stored(rows: DataFrame, key: str, created_at: str | None = None, buckets: int = BUCKETS) -> DataFrame:

@@ -53,3 +53,16 @@ def test_regions_of_any_shape(spark):
     assert got == {i: flood(s, width) for i, s in shapes.items() if s}
     assert raster.regions(checked, most=3, width=width).filter("image_id = 0").count() == 3
     assert raster.regions(checked.filter("false")).count() == 0
+
+
+def test_buckets_grow_with_the_table(spark, monkeypatch):
+    """Eight of any size were read by a task each."""
+    from docprov.plans import registry
+
+    query = registry.queries()["s1_register_range_join"]
+    few, rows = sorted(map(tuple, query(spark, SF).collect())), spark.range(1000)
+    assert reg.buckets_of(rows) == 8
+    monkeypatch.setattr(reg, "BUCKET_ROWS", 100)
+    assert reg.buckets_of(rows) == 16 and reg.buckets_of(rows.limit(0)) == 8 and reg.buckets_of(spark.range(1601)) == 32
+    many = query(spark, SF)
+    assert few and any("_00015" in f for f in many.inputFiles()) and sorted(map(tuple, many.collect())) == few
