@@ -79,6 +79,7 @@ class Encoder:
         self.library, self.inner = Tokenizer.from_file(path), Tokenizer.from_file(path)
         added = self.library.get_added_tokens_decoder().values()
         self.names = [t.content.encode() for t in added]
+        self.lower_names = [n.lower() for n in self.names]
         self.inner.normalizer, self.inner.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.line = self.inner.encode(_LINE, add_special_tokens=False).ids
         self.largest = max(self.library.get_vocab(with_added_tokens=True).values())
@@ -132,10 +133,13 @@ class Encoder:
             return self._encode(texts)
         out: list = []
         for t in texts:
-            if any(n in t for n in self.names):  # an added token, such as <|endoftext|>: the library finds it in the text as it stands
+            # an added token, such as <|endoftext|>: the library finds it in the text as it stands. In capitals it is none there, and
+            # would be one after lower-casing here, so that such a text goes to the library too
+            low = t if self.spaced else t.lower()
+            if any(n in low for n in (self.names if self.spaced else self.lower_names)):
                 out.append(self._encode([t])[0])
             elif not self.spaced:
-                out.append([u if _ODD.search(u) else u.lower() for u in t.split()] if _JOINS.search(t) else t.lower().split())
+                out.append([u if _ODD.search(u) else u.lower() for u in t.split()] if _JOINS.search(t) else low.split())
             elif _WIDE_SPACE.search(t):
                 out.append(self._encode([t])[0])
             else:

@@ -69,6 +69,13 @@ def test_ten_thousand_texts_have_the_plain_calls_ids():
     assert ids_of(BYTE_BPE, "a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
+def test_a_name_in_capitals_is_no_added_token():
+    """Lower-cased before it went to the library with other characters of its word, it became one."""
+    texts = ["WE'LL<|ENDOFTEXT|>\u0130 a", "<|EndOfText|>\u65e5", "<|STARTOFTEXT|>", "a<|endoftext|><|ENDOFTEXT|>\u0130"]
+    got = Encoder(WORD_BPE, "word")([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(WORD_BPE, t) for t in texts]
+
+
 def test_files_round_trip(spark):
     for bits, most in ((False, 1 << 27), (True, 1 << 27), (False, 5)):
         files = planes.write_corpus(docs(spark), BYTE_BPE, "byte", end_id=0, block=64, bits=bits, file_ids=most)
