@@ -72,16 +72,13 @@ def radius_join(leaks: DataFrame, register: DataFrame, radius: int = RADIUS, mos
 def three_way(leaks: DataFrame, register: DataFrame, radius: int = RADIUS, most: int = 100_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Candidates that any hash has within radius; a distance outside it is null; best is the least.
 
-    A nested loop while leaks and pairs are few. Beyond, a narrow radius is joined in bands, hash by hash, and the distances of a
-    pair are gathered; a wide one in blocks. carry: columns of the register that come along, with the leak's read_bits.
+    A nested loop while leaks and pairs are few. Beyond, a narrow radius is joined in bands, hash by hash, and the first hash that
+    finds a pair tells all its distances; a wide one in blocks. carry: columns of the register that come along, with the leak's read_bits.
     """
     names = ("p_dist", "d_dist", "a_dist")
     if radius <= NARROW and not _loops(leaks, register, most):
-        found = near.pairs(leaks.select("leak_id", *_HASHES), register, _HASHES, radius)
-        pairs = found.groupBy("leak_id", "event_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("distance"))).alias(n) for k, n in enumerate(names)))
-        if carry:
-            pairs = pairs.join(register.select("event_id", *carry), "event_id").join(leaks.select("leak_id", "read_bits"), "leak_id")
-        return pairs.select("leak_id", "event_id", *names, *carry, *(["read_bits"] if carry else []), F.least(*names).alias("best"))
+        own = ("read_bits",) if carry else ()
+        return near.candidates(leaks, register, _HASHES, names, radius, carry, own).withColumn("best", F.least(*names))
     far = {h: bits.hamming(F.col(f"leak_{h}"), F.col(h)) for h in _HASHES}
     close = [F.coalesce(far[h] <= radius, F.lit(False)) for h in _HASHES]
     a, b = as_leaks(leaks), register.select("event_id", *_HASHES, *carry)

@@ -55,23 +55,31 @@ def _flips(width: int, most: int) -> list[int]:
     return [sum(1 << i for i in c) for k in range(min(width, most) + 1) for c in combinations(range(width), k)]
 
 
+def _together(register: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """all: the event_ids and columns of the releases of an asset_id (and of near ids), if there is such a column, else of one each."""
+    one = F.struct("event_id", *columns)
+    if "asset_id" not in register.columns:
+        return register.select(F.array(one).alias("all"))
+    return register.groupBy("asset_id", F.floor(F.col("event_id") / _CHUNK)).agg(F.collect_list(one).alias("all")).select("all")
+
+
+def _majority(x: Column, y: Column, z: Column) -> Column:
+    """The bits that two of three have; x if there are fewer."""
+    return F.coalesce(x.bitwiseAND(y).bitwiseOR(x.bitwiseAND(z)).bitwiseOR(y.bitwiseAND(z)), x)
+
+
 def clusters(register: DataFrame, hashes: tuple[str, ...]) -> DataFrame:
     """kind (the number of a hash), rep, ids and hs (hashes): releases of an asset_id, if there is such a column, whose hashes are
     SLACK from rep at most; others stand alone. Of three releases rep has the bits that two of them have: the asset's own hash, if
     each is a bit from it. Null hashes are left out."""
-    one = F.struct("event_id", *hashes)
-    if "asset_id" in register.columns:
-        rows = register.groupBy("asset_id", F.floor(F.col("event_id") / _CHUNK)).agg(F.collect_list(one).alias("all"))
-    else:
-        rows = register.select(F.array(one).alias("all"))
+    rows = _together(register, hashes)
 
     def of(k: int, h: str) -> Column:
         own = F.filter(F.transform("all", lambda x: F.struct(x["event_id"].alias("id"), x[h].alias("h"))), lambda x: x["h"].isNotNull())
         return F.struct(F.lit(k).alias("kind"), own.alias("own"))
 
     rows = rows.select(F.inline(F.array(*(of(k, h) for k, h in enumerate(hashes))))).filter(F.size("own") > 0)
-    x, y, z = (F.get("own", F.lit(i))["h"] for i in range(3))
-    rows = rows.select("kind", "own", F.coalesce(x.bitwiseAND(y).bitwiseOR(x.bitwiseAND(z)).bitwiseOR(y.bitwiseAND(z)), x).alias("rep"))
+    rows = rows.select("kind", "own", _majority(*(F.get("own", F.lit(i))["h"] for i in range(3))).alias("rep"))
     within = lambda x: bits.hamming(x["h"], F.col("rep")) <= SLACK
     together = F.filter(F.array(F.struct("rep", F.filter("own", within).alias("m"))), lambda c: F.size(c["m"]) > 0)
     alone = F.transform(F.filter("own", lambda x: ~within(x)), lambda x: F.struct(x["h"].alias("rep"), F.array(x).alias("m")))
@@ -89,15 +97,62 @@ def pairs(leaks: DataFrame, register: DataFrame | None, hashes: tuple[str, ...],
     clusters() of a register, if they are stored.
     """
     held = held if held is not None else written(clusters(register, hashes), "clusters")
-    asked = leaks.select("leak_id", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(h).alias("h")) for k, h in enumerate(hashes)))))
-    asked = written(asked.filter("h IS NOT NULL"), "asked")
-    n, n_held, ones = held.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.count("*"), F.coalesce(F.bit_or("rep"), F.lit(0))).first()
+    asked = written(_asked(leaks, hashes), "asked")
+    return _compared(asked, held.select("rep", "ids", "hs", "kind"), len(hashes), radius, most, least_bits, FOUND)
+
+
+def _asked(leaks: DataFrame, hashes: tuple[str, ...], own: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each leak and hash, not null, number `kind`."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(h).alias("h")) for k, h in enumerate(hashes)))
+    return leaks.select("leak_id", *own, F.inline(kinds)).filter("h IS NOT NULL")
+
+
+def candidates(leaks: DataFrame, register: DataFrame, hashes: tuple[str, ...], names: tuple[str, ...], radius: int, carry: tuple[str, ...] = (), own: tuple[str, ...] = (), most: int = 4_000_000, least_bits: int = 3) -> DataFrame:
+    """leak_id, event_id and a distance (one of names) for each hash, null outside radius, of every leak and release of which any hash is
+    within radius; each once. carry: columns of the register that come along; own: columns of leaks.
+
+    Of an asset's releases only the reps of clusters() are compared, as in pairs(). An asset that any of its reps names for a leak is
+    taken once, and its releases, with all that comes along, stand in one row that is joined to it and looked at whole: so a release
+    isn't moved for each hash and band, and no row of the result is moved at all."""
+    sets = written(_together(register, (*hashes, *carry)).select(F.monotonically_increasing_id().alias("gid"), "all", F.array_distinct(F.flatten(F.array(*(_reps(k, h) for k, h in enumerate(hashes))))).alias("reps")), "sets")
+    held = written(sets.select("gid", F.inline("reps")), "reps")
+    mine = {h: f"_leak_{h}" for h in hashes}
+    asked = written(_asked(leaks.select("leak_id", *hashes, *own, *(F.col(h).alias(m) for h, m in mine.items())), hashes, (*own, *mine.values())), "asked")
+    along = [f for f in asked.schema if f.name not in ("kind", "h", "leak_id")]
+    schema = ", ".join(["leak_id long, gid long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in along)])
+    hits = _compared(asked, held, len(hashes), radius, most, least_bits, schema, [f.name for f in along])
+    hits = hits.repartition("gid").dropDuplicates(["gid", "leak_id"])
+    each = hits.join(sets.select("gid", "all").hint("merge"), "gid").select("leak_id", *own, *mine.values(), F.inline("all"))
+    far = [bits.hamming(F.col(m), F.col(h)) for h, m in mine.items()]
+    near = [F.coalesce(f <= radius, F.lit(False)) for f in far]
+    any_ = near[0]
+    for x in near[1:]:
+        any_ = any_ | x
+    return each.filter(any_).select("leak_id", "event_id", *(F.when(f <= radius, f).alias(n) for f, n in zip(far, names, strict=True)), *carry, *own)
+
+
+def _reps(k: int, h: str) -> Column:
+    """(kind, rep) of `all`: the majority of the first three hashes number k, if any is SLACK from it, and each that is further."""
+    own = F.filter(F.transform("all", lambda x: x[h]), lambda x: x.isNotNull())
+
+    def of(own: Column) -> Column:
+        rep = _majority(*(F.get(own, F.lit(i)) for i in range(3)))
+        return F.transform(own, lambda x: F.struct(F.lit(k).alias("kind"), F.when(bits.hamming(x, rep) <= SLACK, rep).otherwise(x).alias("rep")))
+
+    return F.flatten(F.transform(F.array(own), of))
+
+
+def _compared(asked: DataFrame, held: DataFrame, kinds: int, radius: int, most: int, least_bits: int, schema: str, along: list[str] | None = None) -> DataFrame:
+    """asked (leak_id, kind, h) against clusters() by groups, both written: see pairs(). along: of reps alone, with a gid, and columns of
+    asked; leak_id and gid within radius + SLACK."""
+    size = F.size("ids") if along is None else F.lit(1)
+    n, n_held, ones = held.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*"), F.coalesce(F.bit_or("rep"), F.lit(0))).first()
     n_asked, ones_asked = asked.agg(F.count("*"), F.coalesce(F.bit_or("h"), F.lit(0))).first()
     width = ((ones | ones_asked) % (1 << 64)).bit_length()  # bits beyond are 0 in all reps and leaks
-    bands = fitting(width, radius + SLACK, n_asked // len(hashes), n_held // len(hashes))
+    bands = fitting(width, radius + SLACK, n_asked // kinds, n_held // kinds)
     edges, near = _edges(width, bands), thresholds(radius + SLACK, bands)
     used = [b for b in range(bands) if near[b] >= 0]
-    first = max(least_bits, (max(n, n_asked) // len(hashes) // most).bit_length())
+    first = max(least_bits, (max(n, n_asked) // kinds // most).bit_length())
     first = [min(first, edges[b + 1] - edges[b]) for b in range(bands)]
 
     def keyed(rows: DataFrame, h: str, flips: dict[int, list[int]]) -> DataFrame:
@@ -109,11 +164,11 @@ def pairs(leaks: DataFrame, register: DataFrame | None, hashes: tuple[str, ...],
 
     plain, near_flips = {b: [0] for b in used}, {b: _flips(first[b], near[b]) for b in used}
     # counted by the leak's own bits; those of the groups it goes to are added up here: a number for each band and first bits
-    here, own = ({r["key"]: r["n"] for r in keyed(rows, h, plain).groupBy("key").agg(many.alias("n")).collect()} for rows, h, many in ((held, "rep", F.sum(F.size("ids"))), (asked, "h", F.count("*"))))
+    here, own = ({r["key"]: r["n"] for r in keyed(rows, h, plain).groupBy("key").agg(many.alias("n")).collect()} for rows, h, many in ((held, "rep", F.sum(size)), (asked, "h", F.count("*"))))
     there = {key: sum(own.get(key ^ f, 0) for f in near_flips[key // 65536 % bands]) for key in here}
     large = [{key: -(-n // most) for key, n in of.items() if n > 2 * most} for of in (here, there)]  # rarely one
-    stored = keyed(held.select("rep", "ids", "hs", "kind"), "rep", plain).drop("kind")
-    probes = keyed(asked.select("leak_id", "h", "kind"), "h", near_flips).drop("kind")
+    stored = keyed(held, "rep", plain).drop("kind")
+    probes = keyed(asked, "h", near_flips).drop("kind")
 
     def cuts(of: dict[int, int]) -> Column:
         return F.coalesce(F.create_map(*(F.lit(x) for kv in of.items() for x in kv))[F.col("key")], F.lit(1)) if of else F.lit(1)
@@ -122,11 +177,11 @@ def pairs(leaks: DataFrame, register: DataFrame | None, hashes: tuple[str, ...],
         df = df.withColumn(names[0], F.pmod(F.xxhash64(id_), cuts(own)).cast("int"))
         return df.withColumn(names[1], F.explode(F.sequence(F.lit(0), cuts(other) - 1)) if other else F.lit(0))
 
-    stored = dealt(stored, large[0], large[1], F.element_at("ids", 1), ("cut", "block"))
+    stored = dealt(stored, large[0], large[1], F.element_at("ids", 1) if along is None else F.col("gid"), ("cut", "block"))
     probes = dealt(probes, large[1], large[0], F.col("leak_id"), ("block", "cut"))
-    ship(leaks.sparkSession)
-    run = _comparison(edges, near, radius)
-    return probes.groupBy("key", "cut", "block").cogroup(stored.groupBy("key", "cut", "block")).applyInArrow(run, FOUND)
+    ship(asked.sparkSession)
+    run = _comparison(edges, near, radius, along)
+    return probes.groupBy("key", "cut", "block").cogroup(stored.groupBy("key", "cut", "block")).applyInArrow(run, schema)
 
 
 def _taken(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -158,8 +213,8 @@ def _within(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
 
 
-def _comparison(edges: list[int], near: list[int], radius: int):
-    """The function of a group of leaks (leak_id, h, key) and one of clusters (rep, ids, hs, key)."""
+def _comparison(edges: list[int], near: list[int], radius: int, along: list[str] | None = None):
+    """The function of a group of leaks (leak_id, h, key) and one of clusters (rep, ids, hs, key); with along, of reps (rep, gid, key)."""
 
     def part(h: np.ndarray, b: int) -> np.ndarray:
         return (h >> np.uint64(edges[b])) & np.uint64((1 << edges[b + 1] - edges[b]) - 1) if edges[b + 1] > edges[b] else np.zeros_like(h)
@@ -171,9 +226,10 @@ def _comparison(edges: list[int], near: list[int], radius: int):
             kind, band = divmod(asked.column("key")[0].as_py() // 65536, len(near))
             leak, h = (asked.column(c).to_numpy() for c in ("leak_id", "h"))
             h, rep = h.view(np.uint64), held.column("rep").to_numpy().view(np.uint64)
-            ids, hs = (held.column(c).combine_chunks() for c in ("ids", "hs"))
-            n = ids.value_lengths().to_numpy().astype(np.int64)
-            at, ids, hs = np.cumsum(n) - n, ids.flatten().to_numpy(), hs.flatten().to_numpy().view(np.uint64)
+            if along is None:
+                ids, hs = (held.column(c).combine_chunks() for c in ("ids", "hs"))
+                n = ids.value_lengths().to_numpy().astype(np.int64)
+                at, ids, hs = np.cumsum(n) - n, ids.flatten().to_numpy(), hs.flatten().to_numpy().view(np.uint64)
 
             def members(i: np.ndarray, j: np.ndarray) -> None:
                 """Adds the members of clusters j that are within radius of leaks i, if this is the first band that tells."""
@@ -181,6 +237,10 @@ def _comparison(edges: list[int], near: list[int], radius: int):
                 for b in range(band):
                     ok &= np.bitwise_count(part(h[i], b) ^ part(rep[j], b)).astype(np.int64) > near[b]
                 i, j = i[ok], j[ok]
+                if along is not None:
+                    found[0].append(i)
+                    found[1].append(j)
+                    return
                 who, i = _taken(at[j], n[j]), np.repeat(i, n[j])
                 far = np.bitwise_count(h[i] ^ hs[who])
                 ok = far <= radius
@@ -211,6 +271,9 @@ def _comparison(edges: list[int], near: list[int], radius: int):
                 if waiting:
                     members(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
         a, b, d = (np.concatenate(f) for f in found)
+        if along is not None:
+            i, j = pa.array(a), pa.array(b)
+            return pa.table({"leak_id": asked.column("leak_id").take(i), "gid": held.column("gid").take(j)} | {c: asked.column(c).take(i) for c in along})
         return pa.table({"leak_id": a, "event_id": b, "kind": np.full(len(a), kind, np.int32), "distance": d})
 
     return run

@@ -78,3 +78,15 @@ def test_a_cluster_is_looked_for_by_its_majority(spark):
     rows = spark.createDataFrame([(i, 0, own ^ 1 << i) for i in range(8)] + [(9, 1, 7), (10, 1, None)], "event_id long, asset_id long, p long")
     got = sorted((r["rep"], sorted(r["ids"])) for r in near.clusters(rows, ("p",)).collect())
     assert got == [(7, [9]), (own, list(range(8)))]
+
+
+def test_rows_of_any_hash_are_not_moved(spark, monkeypatch):
+    """They grow as leaks times releases, and were gathered by leak and release, and joined to what came along."""
+    leaks, register, every = _tables(spark)
+    leaks, register = (rows.select("*", F.col("p").alias("p_hash"), F.col("d").alias("d_hash"), F.when(F.pmod(F.col("d"), F.lit(3)) > 0, F.col("p")).alias("a_hash")) for rows in (leaks.withColumn("read_bits", F.col("leak_id")), register.withColumn("user_id", F.col("event_id") % 9)))
+    for rows in (register, register.drop("asset_id")):
+        found = attribution.three_way(leaks, rows, most=0, carry=("user_id",))
+        got = sorted(map(str, found.collect()))
+        assert got == sorted(map(str, attribution.three_way(leaks, rows, carry=("user_id",)).collect())) and len({x[:2] for x in every if x[3] <= 12}) == len(got)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "event_id" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
