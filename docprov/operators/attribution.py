@@ -125,6 +125,19 @@ def pool(leaks: DataFrame, register: DataFrame, candidates: DataFrame, newest: i
     return ids.join(leaks.select("leak_id", "read_bits"), "leak_id").join(r, "event_id").select("leak_id", "event_id", "user_id", "created_at", bits.matching(F.col("read_bits"), F.col("payload")).alias("matches"))
 
 
+def pooled(leaks: DataFrame, register: DataFrame, newest: int = 50) -> DataFrame:
+    """pool() of three_way()'s candidates: releases' columns come along with the pairs, each of which is found once, so that none of
+    these rows, as many as leaks times releases ask for, is moved: only the newest releases are taken out of the candidates."""
+    columns = ("user_id", "created_at", "payload")
+    alike = [c for c in register.columns if c == "asset_id"]
+    register, leaks = written(register.select("event_id", *alike, *columns, *_HASHES), "register"), written(leaks.select("leak_id", "read_bits", *_HASHES), "leaks")
+    recent = F.broadcast(written(register.orderBy(F.desc("created_at"), F.desc("event_id")).limit(newest).select("event_id", *columns), "recent"))
+    late = leaks.select("leak_id", "read_bits").join(recent)  # newest is a constant: so many rows for each leak
+    older = three_way(leaks, register, carry=columns).join(recent.select("event_id"), "event_id", "left_anti")
+    rows = ("leak_id", "event_id", "user_id", "created_at", bits.matching(F.col("read_bits"), F.col("payload")).alias("matches"))
+    return late.select(*rows).union(older.select(*rows))
+
+
 def _order() -> list[Column]:
     return [F.desc(c) for c in ("matches", "created_at", "event_id")]
 

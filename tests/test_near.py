@@ -90,3 +90,17 @@ def test_rows_of_any_hash_are_not_moved(spark, monkeypatch):
         assert got == sorted(map(str, attribution.three_way(leaks, rows, carry=("user_id",)).collect())) and len({x[:2] for x in every if x[3] <= 12}) == len(got)
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "event_id" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
+@pytest.mark.parametrize("loops", [True, False])
+def test_a_pool_of_what_comes_along_with_candidates(spark, monkeypatch, loops):
+    monkeypatch.setattr(attribution, "_loops", lambda *_: loops)
+    leaks, register, _ = _tables(spark)
+    hashes = [F.col(h).alias(f"{h}_hash") for h in ("p", "d")] + [F.lit(None).cast("long").alias("a_hash")]
+    leaks = leaks.select("leak_id", F.col("leak_id").alias("read_bits"), *hashes)
+    register = register.select("event_id", "asset_id", (F.col("event_id") % 9).alias("user_id"), F.timestamp_seconds(F.col("event_id") % 70).alias("created_at"), (F.col("event_id") * 3).alias("payload"), *hashes)
+    want = attribution.pool(leaks, register, attribution.three_way(leaks, register))
+    assert sorted(attribution.pooled(leaks, register).collect()) == sorted(want.collect())
+    if not loops:
+        plan = attribution.pooled(leaks, register)._jdf.queryExecution().executedPlan().toString()
+        assert "event_id" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
