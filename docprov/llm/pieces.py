@@ -110,6 +110,8 @@ class Model(Vocabulary):
         self.longest_piece = max(map(len, self.pieces))
         self.grid = grid_of([[ord(c) + 1 for c in p] for p in self.pieces])
         self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.apart = np.ones(1 << 16, bool)  # by two bytes of ASCII: whether they stand side by side in no piece
+        self.apart[[ord(a) << 8 | ord(b) for a, b in (p.replace(MARK, " ") for p in self.pairs) if (a + b).isascii()]] = False
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
         self.unit = re.compile(b"(?s).+" if crossing else b" *[^ ]+| +")
         # where runs of marks are merged behind all else, and greedily, they can be told apart from the word behind them
@@ -190,7 +192,10 @@ class Model(Vocabulary):
         return fits
 
     def _ids(self, pieces: list[str]) -> bytes:
-        out = array.array("I")
+        try:
+            return array.array("I", map(self.ids.__getitem__, pieces)).tobytes()
+        except KeyError:  # bytes stand for a character
+            out = array.array("I")
         for p in pieces:
             i = self.ids.get(p)
             if i is None:
@@ -261,11 +266,12 @@ class Model(Vocabulary):
                     if row is None:
                         row = self.fits[left] = {}
                     for p, size in piece[k:stop]:
-                        fits = row.get(p)
-                        if fits is None:
-                            fits = self._fit(row, left, p)
-                        if fits:
-                            last[here + size] = p
+                        if last[here + size] is None:  # a prefix has one last piece
+                            fits = row.get(p)
+                            if fits is None:
+                                fits = self._fit(row, left, p)
+                            if fits:
+                                last[here + size] = p
                 c = part[here]
                 if c not in ids and (here == 0 or (left is not None and self.may_follow(left, c))):  # no piece: bytes stand for it
                     last[here + 1] = c
@@ -286,17 +292,29 @@ class Model(Vocabulary):
                 start = i
         yield text[start:]
 
+    def _ascii_parts(self, units: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """_parts() of all units, none of them empty and all of ASCII, one behind another, and where each unit's begin (and end)."""
+        text = b"".join(units)
+        codes = np.frombuffer(text, np.uint8).astype(np.uint16)
+        cut = np.ones(len(codes) + 1, bool)
+        cut[1:-1] = self.apart[codes[:-1] << 8 | codes[1:]]
+        first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))])
+        cut[first] = True
+        at = np.flatnonzero(cut)
+        ends = at.tolist()
+        return [text[a:b] for a, b in zip(ends, ends[1:])], np.searchsorted(at, first).tolist()
+
     def _learn(self, units: list[bytes], chunk: int) -> dict[bytes, bytes]:
         """ids of units that aren't known; short ones are remembered, parts that stand for a unit of their own too."""
         known, mark = self.known, MARK.encode()
-        parts, heads, got = {}, {}, {}
+        parts, plain, heads, got = {}, set(), {}, {}
         for u in units:
-            body = u.lstrip(b" ")
-            n = len(u) - len(body)
             if not self.greedy and b"  " in u:
                 got[u] = self._ids(self.merged(u.decode().replace(" ", MARK))[0])
                 continue
-            if n > 1:  # the last mark of a run may belong to the word
+            if u.startswith(b"  "):  # the last mark of a run may belong to the word
+                body = u.lstrip(b" ")
+                n = len(u) - len(body)
                 heads[u] = n - 1 if body else n
                 u = b" " + body if body else b""
             if len(u) > 4096:
@@ -304,13 +322,21 @@ class Model(Vocabulary):
                 for x in self._encode_parts(self._parts(u), chunk):
                     ids += x
                 got[u] = bytes(ids)
-            elif u and u not in parts and u not in known:
+            elif u.isascii():
+                plain.add(u)
+            elif u not in parts and u not in known:
                 parts[u] = [x.encode().replace(mark, b" ") for x in self._parts(u)]
-        fresh = list({p for each in parts.values() for p in each if p not in known})
+        plain = [u for u in plain if u and u not in known]
+        cut, bounds = self._ascii_parts(plain)
+        fresh = list(set(cut).union(*parts.values()).difference(known))
         got.update(zip(fresh, self._encode_parts([p.decode().replace(" ", MARK) for p in fresh], chunk), strict=True))
+        of = {p: got[p] if p in got else known[p] for p in set(cut).union(*parts.values())}
+        for u, a, b in zip(plain, bounds, bounds[1:]):
+            if b > a + 1:
+                got[u] = b"".join(map(of.__getitem__, cut[a:b]))
         for u, each in parts.items():
             if u not in got:
-                got[u] = b"".join([got[p] if p in got else known[p] for p in each])
+                got[u] = b"".join(map(of.__getitem__, each))
         lone = self._ids([MARK])
         for u, n in heads.items():
             body = u.lstrip(b" ")

@@ -111,6 +111,15 @@ def test_encodes_words_and_runs_like_the_library():
     same(["".join(r.choice(names) for _ in range(r.randint(1, 12))) for _ in range(1500)])
 
 
+def test_units_of_ascii_are_cut_together_as_one_by_one():
+    r, m = random.Random(7), pieces.Model(PIECE_BPE)
+    units = [" " * r.randint(0, 1) + "".join(r.choice("abcXYZ019.,;:-_=/\n\t\x00\x7f(") for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    cut, bounds = m._ascii_parts([u.encode() for u in units])
+    want = [list(m._parts(u.encode())) for u in units]
+    assert [[x.decode().replace(" ", "▁") for x in cut[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)] == want
+    assert m._ascii_parts([]) == ([], [0]) and max(map(len, want)) > 5
+
+
 def test_long_units_take_little_memory():
     code = """
 import random, resource, sys
